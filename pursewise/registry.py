@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pursewise import oracle as O
 from pursewise.operators import facts as FA
@@ -104,3 +105,174 @@ _reg_series("zero_fill", "spending", FA.SPENDING, "month", RANGE_TWO_YEAR_ENDS,
 _reg_series("year_end_fold", "treasury_receipts", FA.TREASURY_RECEIPTS, "week", RANGE_TWO_YEAR_ENDS)
 _reg_series("keys_by_slots", "spending", FA.SPENDING, "month", RANGE_YEAR, FILTERS_ONE,
             by=("district", "treasury_code"))
+
+
+# ---------------------------------------------------------------- F: filters
+
+from pursewise.operators import filters as FI  # noqa: E402
+from pursewise.operators import heads as HE  # noqa: E402
+from pursewise.operators import joins as JO  # noqa: E402
+from pursewise.operators import shaping as SH  # noqa: E402
+
+
+@register("filter_date_range", O.oracle_with(
+    "select demand, major, date, cast(sanction as double) as sanction from allocation "
+    f"where date between {O.sql_date(RANGE_SHORT[0])} and {O.sql_date(RANGE_SHORT[1])}", "allocation"))
+def _filter_date_range(spark, sf):
+    df = FI.date_range(view(spark, sf, "allocation"), "date", *RANGE_SHORT)
+    return df.select("demand", "major", "date", F.col("sanction").cast("double").alias("sanction"))
+
+
+def _filter_rows_sql(filters, single=False):
+    return O.oracle_with(
+        "select district, major, sub_major, soe_description, transdate, cast(gross as double) as gross "
+        f"from spending where true{O.sql_filters(filters, single)}", "spending")
+
+
+def _filter_rows(filters, single=False):
+    def run(spark, sf):
+        df = FI.apply_filters(view(spark, sf, "spending"), filters, single=single)
+        return df.select("district", "major", "sub_major", "soe_description", "transdate",
+                         F.col("gross").cast("double").alias("gross"))
+    return run
+
+
+register("filter_payload_in", _filter_rows_sql(FILTERS_TWO))(_filter_rows(FILTERS_TWO))
+register("filter_payload_in_quoted", _filter_rows_sql(FILTERS_ONE))(_filter_rows(FILTERS_ONE))
+register("filter_quoted_in", _filter_rows_sql(FILTER_SINGLE, True))(_filter_rows(FILTER_SINGLE, True))
+
+
+@register("filter_classified", O.oracle_with(
+    "select ocid, classification_id from tenders where classification_id != ''", "tenders"))
+def _filter_classified(spark, sf):
+    return FI.classified(view(spark, sf, "tenders")).select("ocid", "classification_id")
+
+
+# ---------------------------------------------------------------- J, S-2, R: joins and shaping
+
+@register("awards_with_tenders", O.oracle_with(
+    "select a.ocid, a.award_id, a.supplier_name, cast(a.award_value_amount as double) as award_value_amount "
+    "from awards a left join tenders t on t.ocid = a.ocid where t.classification_id != ''",
+    "awards", "tenders"))
+def _awards(spark, sf):
+    out = JO.awards_with_tenders(view(spark, sf, "awards"), view(spark, sf, "tenders"))
+    return out.withColumn("award_value_amount", F.col("award_value_amount").cast("double"))
+
+
+@register("expenditure_summary", O.oracle_with(
+    "select demand, demand_description, cast(sanction_previous as double) as sanction_previous, "
+    "cast(sanction_current as double) as sanction_current, "
+    "case when cast(sanction_previous as double) = 0 then null else "
+    "(cast(sanction_current as double) - cast(sanction_previous as double)) "
+    "/ cast(sanction_previous as double) * 100.0 end as pct_change from exp_summary", "exp_summary"))
+def _exp_summary(spark, sf):
+    return SH.expenditure_summary(view(spark, sf, "exp_summary"))
+
+
+@register("allocation_by_year", O.oracle_with(
+    "select financial_year, concat_ws('-', demand, demand_description) as demand_label, "
+    "cast(sanction as double) as sanction, cast(addition as double) as addition "
+    "from allocation_summary", "allocation_summary"))
+def _alloc_by_year(spark, sf):
+    return SH.allocation_by_year_flat(view(spark, sf, "allocation_summary"))
+
+
+@register("allocation_by_year_nested")
+def _alloc_by_year_nested(spark, sf):
+    return SH.allocation_by_year(view(spark, sf, "allocation_summary"))
+
+
+@register("covid_columns", O.oracle_with(
+    "select department, cast(funds_sanctioned as double) as funds_sanctioned, "
+    "funds_sanctioned_from, date, purpose from covid", "covid"))
+def _covid(spark, sf):
+    return SH.covid_rows(view(spark, sf, "covid"))
+
+
+@register("tender_columns", O.oracle_with(
+    "select ocid, id, date, cast(tender_value_amount as double) as tender_value_amount, buyer_name, "
+    "classification_id from tenders where classification_id != ''", "tenders"))
+def _tenders(spark, sf):
+    return SH.tender_rows(view(spark, sf, "tenders"))
+
+
+@register("by_district")
+def _by_district(spark, sf):
+    s = FA.series(view(spark, sf, "spending"), FA.SPENDING, "week", *RANGE_YEAR)
+    return SH.by_key_series(s, FA.SPENDING.measures, "week")
+
+
+@register("result_json")
+def _result_json(spark, sf):
+    return SH.result_json(FA.series(view(spark, sf, "treasury_receipts"), FA.TREASURY_RECEIPTS,
+                                    "month", *RANGE_YEAR))
+
+
+# ---------------------------------------------------------------- H: heads
+
+def _sql_label(level) -> str:
+    if isinstance(level, str):
+        return level
+    return f"concat_ws('-', {level[0]}, {level[1]})"
+
+
+def _sql_tree(view_name: str, levels, filters=None) -> str:
+    labs = ", ".join(f"coalesce(cast({_sql_label(lv)} as varchar), '') as l{i + 1:02d}"
+                     for i, lv in enumerate(levels))
+    parts = []
+    for i in range(len(levels)):
+        parent = "''" if i == 0 else "concat_ws(chr(31), " + ", ".join(
+            f"l{j + 1:02d}" for j in range(i)) + ")"
+        parts.append(f"select {i + 1} as level, {parent} as parent_path, l{i + 1:02d} as label from lab")
+    return O.oracle_with(
+        f"with lab as (select {labs} from {view_name} where true{O.sql_filters(filters)})\n"
+        + "\nunion\n".join(parts), view_name)
+
+
+def _sql_unique(view_name: str, heads) -> str:
+    parts = [f"select '{HE.level_name(h)}' as head, cast({_sql_label(h)} as varchar) as value "
+             f"from {view_name}" for h in heads]
+    return O.oracle_with("\nunion\n".join(parts), view_name)
+
+
+DISTRICTS_TWO = {"district": "'NATION_3', 'NATION_7'"}
+
+
+@register("heads_flat", O.oracle_with(
+    f"select distinct {', '.join(HE.ALLOCATION_HEADS)} from allocation", "allocation"))
+def _heads_flat(spark, sf):
+    return HE.heads_flat(view(spark, sf, "allocation"))
+
+
+def _reg_tree(name, view_name, levels, filters=None):
+    register(name, _sql_tree(view_name, levels, filters))(
+        lambda spark, sf: HE.heads_tree(view(spark, sf, view_name), levels, filters))
+
+
+_reg_tree("heads_tree_codes", "allocation", HE.ALLOCATION_HEADS)
+_reg_tree("heads_tree_desc", "allocation", HE.ALLOCATION_DESC_LEVELS)
+_reg_tree("heads_tree_receipts", "budget_receipts", HE.RECEIPT_LEVELS)
+_reg_tree("heads_tree_spending", "spending", HE.SPENDING_LEVELS)
+_reg_tree("filter_query_string", "spending", HE.SPENDING_LEVELS, DISTRICTS_TWO)
+_reg_tree("heads_tree_treasury_receipts", "treasury_receipts", HE.TREASURY_RECEIPT_LEVELS,
+          {"district": "'NATION_1', 'NATION_2', 'NATION_24'"})
+_reg_tree("heads_tree_schemes", "schemes", HE.SCHEME_LEVELS)
+
+ALLOCATION_UNIQUE = ("demand", "demand_desc", "major", "major_desc", "sub_major", "sub_major_desc",
+                     "minor", "minor_desc", "sub_minor", "sub_minor_desc", "budget",
+                     "voted_charged", "plan_nonplan", "soe")
+
+
+@register("unique_heads_allocation", _sql_unique("allocation", ALLOCATION_UNIQUE))
+def _unique_alloc(spark, sf):
+    df = view(spark, sf, "allocation")
+    return HE.unique_heads(df, HE.head_columns(df, until="soe"))
+
+
+register("unique_heads_treasury_receipts", _sql_unique("treasury_receipts", HE.TREASURY_RECEIPT_UNIQUE))(
+    lambda spark, sf: HE.unique_heads(view(spark, sf, "treasury_receipts"), HE.TREASURY_RECEIPT_UNIQUE))
+register("unique_heads_schemes", _sql_unique("schemes", HE.SCHEME_UNIQUE))(
+    lambda spark, sf: HE.unique_heads(view(spark, sf, "schemes"), HE.SCHEME_UNIQUE))
+register("head_combinations", O.oracle_with(
+    f"select distinct concat_ws('+', {', '.join(HE.COMBINATION_COLUMNS)}) as combination from spending",
+    "spending"))(lambda spark, sf: HE.head_combinations(view(spark, sf, "spending")))
