@@ -276,3 +276,140 @@ register("unique_heads_schemes", _sql_unique("schemes", HE.SCHEME_UNIQUE))(
 register("head_combinations", O.oracle_with(
     f"select distinct concat_ws('+', {', '.join(HE.COMBINATION_COLUMNS)}) as combination from spending",
     "spending"))(lambda spark, sf: HE.head_combinations(view(spark, sf, "spending")))
+
+
+# ---------------------------------------------------------------- X: extraction (round trip)
+
+from pursewise.operators import extract as EX  # noqa: E402
+from pursewise.sources import captured as CA  # noqa: E402
+
+PAGE_KEYS = ["treasury_id", "ddo_code", "from_date", "to_date"]
+_PAGE_ROWS = f"page_rows as ({CA.oracle_rows(CA.PAGE_ROWS_SQL)})"
+_CELLS = [f"c{i}" for i in range(1, 8)]
+
+
+def _cells_flat(df):
+    return df.select(*PAGE_KEYS, "pos", *[F.col("cells")[i].alias(f"c{i + 1}") for i in range(7)])
+
+
+@register("html_table_rows", f"with {_PAGE_ROWS} select {', '.join(PAGE_KEYS)}, pos, {', '.join(_CELLS)} "
+          "from page_rows where kind not in (0, 1, 2)")
+def _html_rows(spark, sf):
+    return _cells_flat(EX.extract_rows(CA.pages_html(spark, sf)))
+
+
+@register("html_blank_cells", f"with {_PAGE_ROWS} select ddo_code, from_date, pos, c3, c4, c5 "
+          "from page_rows where kind not in (0, 1, 2)")
+def _html_blank(spark, sf):
+    return _cells_flat(EX.extract_rows(CA.pages_html(spark, sf))).select(
+        "ddo_code", "from_date", "pos", "c3", "c4", "c5")
+
+
+register("html_rows_parsed", ORACLES["html_table_rows"])(
+    lambda spark, sf: _cells_flat(EX.extract_rows_parsed(CA.pages_html(spark, sf))))
+
+_HEADINGS = ", ".join(f"({i}, '{h}')" for i, h in enumerate(CA.HEADER_CELLS))
+
+
+@register("html_table_header", f"with {_PAGE_ROWS}, pages as (select distinct {', '.join(PAGE_KEYS)} "
+          f"from page_rows where kind not in (0, 1, 2)) select {', '.join(PAGE_KEYS)}, h.hpos, h.heading "
+          f"from pages cross join (values {_HEADINGS}) h(hpos, heading)")
+def _html_header(spark, sf):
+    h = EX.extract_header(CA.pages_html(spark, sf))
+    return h.select(*PAGE_KEYS, F.posexplode("header").alias("hpos", "heading")).withColumn(
+        "hpos", F.col("hpos").cast("int"))
+
+
+_PAGE_STATUS = ("case kind when 0 then 'not_available' when 1 then 'empty' when 2 then 'failed' "
+                "else 'dataset' end")
+
+
+@register("response_status", f"with {_PAGE_ROWS} select distinct {', '.join(PAGE_KEYS)}, "
+          f"{_PAGE_STATUS} as response_status from page_rows")
+def _status(spark, sf):
+    return EX.classify(CA.pages_html(spark, sf)).select(*PAGE_KEYS, "response_status")
+
+
+@register("treasury_counters", f"with {_PAGE_ROWS}, p as (select distinct {', '.join(PAGE_KEYS)}, kind "
+          "from page_rows), t as (select concat('T', lpad(cast(r_regionkey as varchar), 2, '0')) as treasury_id "
+          "from region) select t.treasury_id, cast(count(case when p.kind > 2 then 1 end) as bigint) "
+          "as dataset_count, cast(count(case when p.kind = 0 then 1 end) as bigint) as dataset_not_avail_count "
+          "from t left join p on p.treasury_id = t.treasury_id group by t.treasury_id")
+def _counters(spark, sf):
+    treasuries = spark.read.parquet(f"{sf}/region.parquet").select(
+        F.concat(F.lit("T"), F.lpad(F.col("r_regionkey").cast("string"), 2, "0")).alias("treasury_id"))
+    return EX.counters(EX.classify(CA.pages_html(spark, sf)), treasuries)
+
+
+@register("failed_requests", f"with {_PAGE_ROWS} select distinct {', '.join(PAGE_KEYS)}, 500 as status "
+          "from page_rows where kind = 2")
+def _failed(spark, sf):
+    return EX.failures(CA.pages_html(spark, sf)).select(*PAGE_KEYS, "status")
+
+
+@register("form_options", "select cast(row_number() over (order by r_regionkey) as int) as position, "
+          "concat('T', lpad(cast(r_regionkey as varchar), 2, '0')) as value, "
+          "concat(r_name, ' Treasury') as text from region")
+def _form_options(spark, sf):
+    forms = CA.forms_html(spark, sf).filter(F.col("form") == "query")
+    return EX.options(forms, "cmbHOD", skip_placeholder=True)
+
+
+@register("form_options_departments", "select cast(row_number() over (order by n_nationkey) - 1 as int) "
+          "as position, concat('D', lpad(cast(n_nationkey as varchar), 3, '0')) as value, "
+          "concat(n_name, ' Department') as text from nation")
+def _form_depts(spark, sf):
+    forms = CA.forms_html(spark, sf).filter(F.col("form") == "budget")
+    return EX.options(forms, "cmbDpt", skip_placeholder=False)
+
+
+@register("query_option", "select query_id, query_name from (select lpad(cast(p_size as varchar), 3, '0') "
+          "as query_id, concat('Consolidated report size ', cast(p_size as varchar)) as query_name, "
+          "row_number() over (order by p_size) - 1 as idx from (select distinct p_size from part)) "
+          "where idx = 9")
+def _query_option(spark, sf):
+    return EX.query_option(CA.forms_html(spark, sf).filter(F.col("form") == "query"), 9)
+
+
+@register("ddo_list", "select concat('T', lpad(cast(n_regionkey as varchar), 2, '0')) as treasury_code, "
+          "lpad(cast(s_suppkey as varchar), 4, '0') as ddo_code, concat(s_name, ' (DDO)') as ddo_name "
+          "from supplier join nation on s_nationkey = n_nationkey")
+def _ddo_list(spark, sf):
+    return EX.ddo_list(CA.forms_html(spark, sf).filter(F.col("form") == "ddo"))
+
+
+_RECEIPT_ROWS = f"rr as ({CA.oracle_rows(CA.RECEIPT_ROWS_SQL)})"
+_KINDS = "(values ('0'), ('1')) k(public_head_bool)"
+
+
+@register("xml_major_codes", f"with {_RECEIPT_ROWS}, m as (select distinct date, major, major_desc from rr) "
+          "select k.public_head_bool, strftime(m.date, '%d/%m/%Y') as date, m.major as major_code "
+          f"from m cross join {_KINDS}")
+def _xml_majors(spark, sf):
+    return EX.major_codes(CA.receipts_xml(spark, sf))
+
+
+_HEAD_SQL = "concat(major, '-', sub_major, '-', minor, '-', sub_minor, ' [', sub_minor_desc, ']')"
+
+
+@register("xml_receipt_rows", f"with {_RECEIPT_ROWS} select k.public_head_bool, strftime(rr.date, '%d/%m/%Y') "
+          "as date, cast(row_number() over (partition by k.public_head_bool, rr.date order by rr.row_key) - 1 "
+          f"as int) as pos, {_HEAD_SQL} as head, strftime(rr.date, '%d/%m/%Y') as receipt_date, "
+          f"cast(rr.total_receipt as varchar) as total from rr cross join {_KINDS}")
+def _xml_rows(spark, sf):
+    r = EX.receipt_rows(CA.receipts_xml(spark, sf))
+    return r.select("public_head_bool", "date", "pos", F.col("cols")[0].alias("head"),
+                    F.col("cols")[1].alias("receipt_date"), F.col("cols")[2].alias("total"))
+
+
+@register("split_receipt_head", "select major, sub_major, minor, sub_minor, sub_minor_desc, "
+          "strftime(date, '%d/%m/%Y') as date, cast(total_receipt as double) as total "
+          "from budget_receipts")
+def _split_head(spark, sf):
+    xml = CA.receipts_xml(spark, sf).filter(F.col("public_head_bool") == "0")
+    r = EX.receipt_rows(xml).select(F.col("cols")[0].alias("head"), F.col("cols")[1].alias("date"),
+                                    F.col("cols")[2].cast("double").alias("total"))
+    return EX.split_head(r).drop("head")
+
+
+ORACLES["split_receipt_head"] = O.oracle_with(ORACLES["split_receipt_head"], "budget_receipts")
