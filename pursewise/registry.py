@@ -413,3 +413,198 @@ def _split_head(spark, sf):
 
 
 ORACLES["split_receipt_head"] = O.oracle_with(ORACLES["split_receipt_head"], "budget_receipts")
+
+
+# ---------------------------------------------------------------- P: planning
+
+import uuid  # noqa: E402
+
+from pursewise.plans import requests as PL  # noqa: E402
+from pursewise.session import ensure_checkpoint_dir  # noqa: E402
+from pursewise.sources import io as IO  # noqa: E402
+
+PLAN_RANGE = ("20190401", "20190430")
+CRAWL = "treasury_expenditures"
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A fresh folder under the shared checkpoint folder (never a machine-local one on a
+    cluster: ``spark.checkpoint.dir`` names the shared place)."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/pursewise-io/{what}-{uuid.uuid4().hex}"
+
+
+def _treasuries(spark, sf):
+    forms = CA.forms_html(spark, sf).filter(F.col("form") == "query")
+    return EX.options(forms, "cmbHOD", skip_placeholder=True).select(
+        F.col("value").alias("treasury_id"), F.col("text").alias("treasury_name"))
+
+
+def _query(spark, sf, index=9):
+    forms = CA.forms_html(spark, sf).filter(F.col("form") == "query")
+    row = EX.query_option(forms, index).first()  # one option: a request parameter
+    return row["query_id"], row["query_name"]
+
+
+def _treasury_plan(spark, sf):
+    latest = IO.latest_snapshot(CA.ddo_snapshots(spark, sf), "treasury_code", "snapshot_date")
+    qid, qname = _query(spark, sf)
+    return PL.plan_treasury_requests(_treasuries(spark, sf),
+                                     latest.select("treasury_code", F.col("`DDO Code`").alias("ddo_code")),
+                                     qid, qname, *PLAN_RANGE)
+
+
+_SQL_PLAN = (
+    "with plan as (select '20190401' as start, '20190430' as \"end\", '010' as query_id, "
+    "'Consolidated report size 10' as query_name, "
+    "concat('T', lpad(cast(n_regionkey as varchar), 2, '0')) as treasury_id, "
+    "concat(r_name, ' Treasury') as treasury_name, lpad(cast(s_suppkey as varchar), 4, '0') as ddo_code, "
+    "concat('T', lpad(cast(n_regionkey as varchar), 2, '0'), '-', lpad(cast(s_suppkey as varchar), 4, '0')) "
+    "as hod_code, s_suppkey from supplier join nation on s_nationkey = n_nationkey "
+    "join region on n_regionkey = r_regionkey where s_suppkey % 7 <> 0)")
+_PLAN_COLS = "start, \"end\", query_id, query_name, treasury_id, treasury_name, ddo_code, hod_code"
+
+
+@register("plan_treasury_requests", f"{_SQL_PLAN} select {_PLAN_COLS} from plan")
+def _plan_treasury(spark, sf):
+    return _treasury_plan(spark, sf)
+
+
+@register("latest_ddo_snapshot", "select concat('T', lpad(cast(n_regionkey as varchar), 2, '0')) as "
+          "treasury_code, lpad(cast(s_suppkey as varchar), 4, '0') as \"DDO Code\", s_name as \"DDO Name\" "
+          "from supplier join nation on s_nationkey = n_nationkey where s_suppkey % 7 <> 0")
+def _latest_snapshot(spark, sf):
+    """S-6 write, S-3 read by header, S-4 newest snapshot per treasury."""
+    path = scratch(spark, "ddo-snapshots")
+    IO.write_snapshot(CA.ddo_snapshots(spark, sf), path)
+    read = IO.ddo_codes(spark, path)
+    return IO.latest_snapshot(read, "treasury_code", "snapshot_date").select(
+        "treasury_code", "DDO Code", "DDO Name")
+
+
+_SQL_SNAPSHOTS = ("select concat('T', lpad(cast(n_regionkey as varchar), 2, '0')) as treasury_code, "
+                  "make_date(2020, 1, snap) as snapshot_date, lpad(cast(s_suppkey as varchar), 4, '0') "
+                  "as \"DDO Code\", s_name as \"DDO Name\" from supplier join nation on s_nationkey = n_nationkey "
+                  "cross join (values (1), (2), (3)) s(snap) where snap < 3 or s_suppkey % 7 <> 0")
+
+
+@register("ddo_list_sink", _SQL_SNAPSHOTS)
+def _ddo_sink(spark, sf):
+    path = scratch(spark, "ddo-snapshots")
+    IO.write_snapshot(CA.ddo_snapshots(spark, sf), path)
+    return IO.ddo_codes(spark, path)
+
+
+@register("ddo_codes_read", "select \"DDO Code\" from (" + _SQL_SNAPSHOTS + ")")
+def _ddo_read(spark, sf):
+    path = scratch(spark, "ddo-snapshots")
+    IO.write_snapshot(CA.ddo_snapshots(spark, sf), path)
+    return IO.ddo_codes(spark, path).select("DDO Code")
+
+
+@register("plan_budget_requests", "select '01/04/2019' as date, '010' as query_id, "
+          "'Consolidated report size 10' as query_name, concat('D', lpad(cast(n_nationkey as varchar), 3, '0')) "
+          "as hod_name, '.00001' as unit from nation where n_nationkey = (select min(n_nationkey) from nation)")
+def _plan_budget(spark, sf):
+    forms = CA.forms_html(spark, sf).filter(F.col("form") == "budget")
+    depts = EX.options(forms, "cmbDpt", skip_placeholder=False)
+    qid, qname = (lambda r: (r["query_id"], r["query_name"]))(EX.query_option(forms, 9).first())
+    return PL.plan_budget_request(depts, qid, qname, "01/04/2019", PL.EXPENDITURE_UNITS["lakhs"])
+
+
+@register("plan_receipt_requests", f"with {_RECEIPT_ROWS}, d as (select distinct strftime(date, '%d/%m/%Y') "
+          "as date from rr), m as (select distinct date, major, major_desc from rr) "
+          f"select 1 as step, k.public_head_bool, d.date, '0000' as major_code from d cross join {_KINDS} "
+          f"union all select 2 as step, k.public_head_bool, strftime(m.date, '%d/%m/%Y') as date, "
+          f"m.major as major_code from m cross join {_KINDS}")
+def _plan_receipts(spark, sf):
+    xml = CA.receipts_xml(spark, sf)
+    return PL.plan_receipt_requests(xml.select("date"), EX.major_codes(xml))
+
+
+_SQL_PATH = ("concat('expenditures/', replace(replace(regexp_replace(concat('treasury_expenditures_', "
+             "treasury_name, '_', ddo_code, '_', start, '-', \"end\", '.csv'), ',+', '', 'g'), ' ', '_'), '/', '_'))")
+
+
+@register("dataset_path", f"{_SQL_PLAN} select {_PLAN_COLS}, {_SQL_PATH} as path from plan")
+def _dataset_path(spark, sf):
+    return PL.dataset_path(_treasury_plan(spark, sf), CRAWL)
+
+
+@register("skip_collected", f"{_SQL_PLAN} select {_PLAN_COLS}, {_SQL_PATH} as path from plan "
+          "where not (s_suppkey % 2 = 0 and s_suppkey % 4 <> 0)")
+def _skip_collected(spark, sf):
+    plan = PL.dataset_path(_treasury_plan(spark, sf), CRAWL)
+    # collected_files: half of the planned datasets have a file; a quarter of those are empty.
+    key = F.col("ddo_code").cast("int")
+    files = plan.filter(key % 2 == 0).select(
+        "path", F.when(key % 4 == 0, F.lit(0)).otherwise(F.lit(1024)).cast("long").alias("length"))
+    return PL.missing(plan, files)
+
+
+@register("request_url")
+def _request_url(spark, sf):
+    plan = _treasury_plan(spark, sf)
+    return PL.request_url(plan, "https://example.invalid/report.asp", list(zip(
+        PL.TREASURY_PARAMS, ("start", "end", "query_id", "hod_code", "query_name"))))
+
+
+@register("amount_unit", O.oracle_with(
+    "select district, cast(sum(gross * cast(0.00001 as decimal(6,5))) as double) as gross "
+    "from spending group by district", "spending"))
+def _amount_unit(spark, sf):
+    scaled = PL.scale(view(spark, sf, "spending").select("district", "gross"), ["gross"], "lakhs")
+    return scaled.groupBy("district").agg(F.sum("gross").cast("double").alias("gross"))
+
+
+# ---------------------------------------------------------------- S: sinks and ingest (round trip)
+
+_ROW_SCHEMA = ("treasury_id string, ddo_code string, from_date string, to_date string, pos int, "
+               + ", ".join(f"c{i} string" for i in range(1, 8)))
+
+
+@register("dataset_sink", ORACLES["html_table_rows"])
+def _dataset_sink(spark, sf):
+    path = scratch(spark, "datasets")
+    IO.write_datasets(_cells_flat(EX.extract_rows(CA.pages_html(spark, sf))), path,
+                      ("treasury_id", "ddo_code"))
+    return IO.read_csv(spark, path, _ROW_SCHEMA)
+
+
+@register("receipts_sink", f"with {_RECEIPT_ROWS} select strftime(rr.date, '%d_%m_%Y') as day, "
+          f"{_HEAD_SQL} as head, strftime(rr.date, '%d/%m/%Y') as date, cast(rr.total_receipt as varchar) "
+          f"as total from rr cross join {_KINDS}")
+def _receipts_sink(spark, sf):
+    xml = CA.receipts_xml(spark, sf)
+    rows = EX.receipt_rows(xml).select(
+        F.translate("date", "/", "_").alias("day"), "public_head_bool", F.col("cols")[0].alias("head"),
+        F.col("cols")[1].alias("date"), F.col("cols")[2].alias("total"))
+    kinds = [rows.filter(F.col("public_head_bool") == k).drop("public_head_bool") for k in ("0", "1")]
+    path = scratch(spark, "receipts")
+    IO.write_receipts(kinds, path)
+    back = IO.read_receipts(spark, path)
+    return back.select("day", F.col(f"`{IO.RECEIPTS_HEADER[0]}`").alias("head"),
+                       F.col("date"), F.col(f"`{IO.RECEIPTS_HEADER[2]}`").alias("total"))
+
+
+@register("heads_export", ORACLES["head_combinations"])
+def _heads_export(spark, sf):
+    path = scratch(spark, "heads")
+    IO.export_heads(HE.head_combinations(view(spark, sf, "spending")), path)
+    return IO.read_csv(spark, path, "combination string")
+
+
+@register("csv_drop_ingest", ORACLES["html_table_rows"])
+def _csv_drop_ingest(spark, sf):
+    """Two drops of dataset CSVs land in one folder; after each, one catch-up run. The
+    table must equal the rows of both drops, each file taken once."""
+    from pursewise.streaming.ingest import ingest
+
+    rows = _cells_flat(EX.extract_rows(CA.pages_html(spark, sf)))
+    root = scratch(spark, "ingest")
+    drops, out, ckpt = f"{root}/drops", f"{root}/table", f"{root}/checkpoint"
+    first = F.col("treasury_id").isin("T00", "T01", "T02")
+    for cond in (first, ~first):
+        part = rows.filter(cond).withColumn("dataset", F.concat_ws("_", "treasury_id", "ddo_code"))
+        IO.write_datasets(part, drops, ("dataset",))
+        ingest(spark, drops, out, ckpt, _ROW_SCHEMA + ", dataset string")
+    return spark.read.parquet(out).drop("dataset", "source_file")
