@@ -453,14 +453,18 @@ def _treasury_plan(spark, sf):
                                      qid, qname, *PLAN_RANGE)
 
 
+_SQL_LATEST = (
+    "snaps as (select concat('T', lpad(cast(n_regionkey as varchar), 2, '0')) as treasury_code, snap, "
+    "s_suppkey, s_name from supplier join nation on s_nationkey = n_nationkey "
+    "cross join (values (1), (2), (3)) t(snap) where snap < 3 or s_suppkey % 7 <> 0), "
+    "latest as (select * from snaps where snap = (select max(snap) from snaps s2 "
+    "where s2.treasury_code = snaps.treasury_code))")
 _SQL_PLAN = (
-    "with plan as (select '20190401' as start, '20190430' as \"end\", '010' as query_id, "
-    "'Consolidated report size 10' as query_name, "
-    "concat('T', lpad(cast(n_regionkey as varchar), 2, '0')) as treasury_id, "
+    f"with {_SQL_LATEST}, plan as (select '20190401' as start, '20190430' as \"end\", '010' as query_id, "
+    "'Consolidated report size 10' as query_name, l.treasury_code as treasury_id, "
     "concat(r_name, ' Treasury') as treasury_name, lpad(cast(s_suppkey as varchar), 4, '0') as ddo_code, "
-    "concat('T', lpad(cast(n_regionkey as varchar), 2, '0'), '-', lpad(cast(s_suppkey as varchar), 4, '0')) "
-    "as hod_code, s_suppkey from supplier join nation on s_nationkey = n_nationkey "
-    "join region on n_regionkey = r_regionkey where s_suppkey % 7 <> 0)")
+    "concat(l.treasury_code, '-', lpad(cast(s_suppkey as varchar), 4, '0')) as hod_code, s_suppkey "
+    "from latest l join region on l.treasury_code = concat('T', lpad(cast(r_regionkey as varchar), 2, '0')))")
 _PLAN_COLS = "start, \"end\", query_id, query_name, treasury_id, treasury_name, ddo_code, hod_code"
 
 
@@ -469,9 +473,8 @@ def _plan_treasury(spark, sf):
     return _treasury_plan(spark, sf)
 
 
-@register("latest_ddo_snapshot", "select concat('T', lpad(cast(n_regionkey as varchar), 2, '0')) as "
-          "treasury_code, lpad(cast(s_suppkey as varchar), 4, '0') as \"DDO Code\", s_name as \"DDO Name\" "
-          "from supplier join nation on s_nationkey = n_nationkey where s_suppkey % 7 <> 0")
+@register("latest_ddo_snapshot", f"with {_SQL_LATEST} select treasury_code, "
+          "lpad(cast(s_suppkey as varchar), 4, '0') as \"DDO Code\", s_name as \"DDO Name\" from latest")
 def _latest_snapshot(spark, sf):
     """S-6 write, S-3 read by header, S-4 newest snapshot per treasury."""
     path = scratch(spark, "ddo-snapshots")

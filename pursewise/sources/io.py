@@ -56,20 +56,28 @@ def ddo_codes(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, schema)
 
 
-def latest_snapshot(df: DataFrame, key: str = "treasury_code", ts: str | None = None) -> DataFrame:
+def latest_snapshot(df: DataFrame, key: str = "treasury_code", ts: str | None = None,
+                    snapshot: str | None = None) -> DataFrame:
     """S-4: per key, only the rows of its newest snapshot.
 
-    ``ts`` defaults to the file modification time. The newest time per key is a small
-    partial aggregate; the rows are then kept by a semi join on (key, time), so a key
-    that holds a third of the rows is never gathered into one task (as a window over
-    the key would). A key without any snapshot simply has no rows.
+    With ``ts`` (a column such as the snapshot day) the newest value per key wins.
+    Without it, the file modification time decides, and a snapshot is a file (one CSV
+    per snapshot, as the crawler writes them) or, with ``snapshot="folder"``, the folder
+    of a snapshot written as several part files. The newest time per key is a small
+    partial aggregate; rows are then kept by a semi join, so a key that holds a third of
+    the rows is never gathered into one task (as a window over the key would). A key
+    without any snapshot simply has no rows.
     """
-    if ts is None:
-        df = df.withColumn("_snapshot_ts", F.col("_metadata.file_modification_time"))
-        ts = "_snapshot_ts"
-    newest = df.groupBy(key).agg(F.max(ts).alias(ts))
-    out = df.join(newest, [key, ts], "left_semi")
-    return out.drop("_snapshot_ts") if ts == "_snapshot_ts" else out
+    if ts is not None:
+        newest = df.groupBy(key).agg(F.max(ts).alias(ts))
+        return df.join(newest, [key, ts], "left_semi")
+    path = F.col("_metadata.file_path")
+    snap = F.regexp_replace(path, "/[^/]*$", "") if snapshot == "folder" else path
+    tagged = df.withColumn("_snapshot", snap).withColumn(
+        "_mtime", F.col("_metadata.file_modification_time"))
+    per_snapshot = tagged.groupBy(key, "_snapshot").agg(F.max("_mtime").alias("_mtime"))
+    newest = per_snapshot.groupBy(key).agg(F.max_by("_snapshot", "_mtime").alias("_snapshot"))
+    return tagged.join(newest, [key, "_snapshot"], "left_semi").drop("_snapshot", "_mtime")
 
 
 def write_snapshot(df: DataFrame, path: str) -> None:
