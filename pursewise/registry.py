@@ -611,3 +611,33 @@ def _csv_drop_ingest(spark, sf):
         IO.write_datasets(part, drops, ("dataset",))
         ingest(spark, drops, out, ckpt, _ROW_SCHEMA + ", dataset string")
     return spark.read.parquet(out).drop("dataset", "source_file")
+
+
+# ---------------------------------------------------------------- H-12, R-3 nested
+
+from pursewise.operators import tree as TR  # noqa: E402
+
+
+@register("head_dimensions", _sql_unique("spending", HE.DIMENSION_HEADS))
+def _head_dimensions(spark, sf):
+    """Written once partitioned by head, then read back (all heads: every partition)."""
+    path = scratch(spark, "dimensions")
+    HE.build_dimensions(view(spark, sf, "spending"), path)
+    return HE.read_dimensions(spark, path, HE.DIMENSION_HEADS)
+
+
+@register("head_dimensions_pruned", O.oracle_with(
+    "select distinct 'ddo_code' as head, ddo_code as value from spending "
+    "union select distinct 'district', district from spending", "spending"))
+def _head_dimensions_pruned(spark, sf):
+    """Reading two heads touches only their two partition folders."""
+    path = scratch(spark, "dimensions")
+    HE.build_dimensions(view(spark, sf, "spending"), path)
+    return HE.read_dimensions(spark, path, ["ddo_code", "district"])
+
+
+@register("heads_tree_json")
+def _heads_tree_json(spark, sf):
+    """R-3 (b): the receipts head tree (H-4) as ordered JSON fragments, no tree gathered."""
+    levels = HE.label_rows(view(spark, sf, "budget_receipts"), HE.RECEIPT_LEVELS)
+    return TR.tree_json_fragments(levels)
