@@ -55,52 +55,44 @@ def _json_key(label: Column) -> Column:
     return j.substr(F.lit(2), F.length(j) - F.lit(2))
 
 
-def tree_json_fragments(levels_df: DataFrame, sep: str = PATH_SEP) -> DataFrame:
+def tree_json_fragments(levels_df: DataFrame) -> DataFrame:
     """R-3 (b): ``(path, fragment)``; ``'{' + concat(fragments ordered by path) + '}'``
     is the nested document ``{root: {child: {... {leaf: {}}}}}``.
 
-    Every row of ``levels_df`` has the same depth, so leaves are the last level.
+    Every row of ``levels_df`` has the same depth ``n``, so leaves are the full paths.
+    In path order an inner node opens ``"label":{``; a leaf writes ``"label":{}``, then
+    closes each ancestor whose last descendant it is, then a comma unless it is the last
+    leaf of all. A leaf closes ``min(run, n - 1)`` ancestors where ``run`` counts the prefix
+    lengths ``m`` in ``0..n-1`` under which it is the greatest path; those form a run
+    from ``n-1`` down, so counting is enough. ``max`` per prefix is a partial aggregate,
+    so a hot root costs one partial row per task; every group is bounded.
     """
     n = len(levels_df.columns)
-    nodes = tree_edges(levels_df, sep).withColumn(
-        "path", F.when(F.col("level") == 1, F.array(F.col("label")))
-        .otherwise(F.concat(F.split(F.col("parent_path"), sep, -1), F.array(F.col("label")))))
-    last = nodes.groupBy("level", "parent_path").agg(F.max("label").alias("_last"))
-    flagged = nodes.join(last, ["level", "parent_path"]).select(
-        "level", "parent_path", "label", "path", (F.col("label") == F.col("_last")).alias("is_last"))
-    # run = how many of the node and its ancestors, going up, are last children (stops at
-    # the first that is not); built one level at a time, each join keyed by the parent.
-    runs = flagged.filter(F.col("level") == 1).select(
-        "path", "label", "level", "is_last",
-        F.when(F.col("is_last"), F.lit(1)).otherwise(F.lit(0)).alias("run"))
-    done = [runs]
-    for lvl in range(2, n + 1):
-        prev = done[-1].select(F.col("path").alias("_ppath"), F.col("run").alias("_prun"))
-        cur = flagged.filter(F.col("level") == lvl).withColumn(
-            "_ppath", F.slice(F.col("path"), 1, lvl - 1))
-        cur = cur.join(prev, "_ppath").select(
-            "path", "label", "level", "is_last",
-            F.when(F.col("is_last"), F.col("_prun") + 1).otherwise(F.lit(0)).alias("run"))
-        done.append(cur)
-    allnodes = done[0]
-    for d in done[1:]:
-        allnodes = allnodes.unionByName(d)
-    key = _json_key(F.col("label"))
-    # closes after a leaf: one per last child on the way up, excluding the root level
-    # (the document's own brace closes that); a comma when the climb stopped early.
-    climb = F.least(F.col("run"), F.col("level") - 1)
-    stopped_early = F.col("run") < F.col("level")
-    leaf = F.concat(key, F.lit(":{}"), F.repeat(F.lit("}"), climb),
-                    F.when(stopped_early, F.lit(",")).otherwise(F.lit("")))
-    inner = F.concat(key, F.lit(":{"))
-    return allnodes.select(
-        "path", F.when(F.col("level") == n, leaf).otherwise(inner).alias("fragment"))
-
-
-def write_tree_json(levels_df: DataFrame, path: str, sep: str = PATH_SEP) -> None:
+    path = F.array(*[_label(F.col(f"`{c}`")) for c in levels_df.columns])
+    leaves = levels_df.select(path.alias("path")).distinct()
+    prefixes = F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
+                           lambda m: F.struct(m.alias("m"), F.slice("path", 1, m).alias("prefix")))
+    greatest = (leaves.select("path", F.inline(prefixes))
+                .groupBy("m", "prefix").agg(F.max("path").alias("path"))
+                .groupBy("path").agg(F.count(F.lit(1)).alias("run")))
+    leaf_rows = leaves.join(greatest, "path", "left").select(
+        "path", F.coalesce("run", F.lit(0)).alias("run"))
+    key = _json_key(F.element_at("path", -1))
+    closes = F.least(F.col("run"), F.lit(n - 1))
+    leaf_frag = F.concat(key, F.lit(":{}"), F.repeat(F.lit("}"), closes),
+                         F.when(F.col("run") < n, F.lit(",")).otherwise(F.lit("")))
+    inner = leaves.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(max(n - 1, 1))),
+                                                lambda i: F.slice("path", 1, i))).alias("path"))
+    inner = inner.filter(F.size("path") < n).distinct()
+    inner_frag = F.concat(_json_key(F.element_at("path", -1)), F.lit(":{"))
+    return leaf_rows.select("path", leaf_frag.alias("fragment")).unionByName(
+        inner.select("path", inner_frag.alias("fragment")))
+
+
+def write_tree_json(levels_df: DataFrame, path: str) -> None:
     """Write the nested document as ordered text part files; read in part order they
     concatenate to the JSON. Sorting is distributed; no part holds more than its range."""
-    frags = tree_json_fragments(levels_df, sep).withColumn("_section", F.lit(1))
+    frags = tree_json_fragments(levels_df).withColumn("_section", F.lit(1))
     spark = levels_df.sparkSession
     braces = spark.createDataFrame([(0, "{"), (2, "}")], "_section int, fragment string").select(
         F.array().cast("array<string>").alias("path"), "fragment", "_section")
