@@ -284,7 +284,7 @@ from pursewise.operators import extract as EX  # noqa: E402
 from pursewise.sources import captured as CA  # noqa: E402
 
 PAGE_KEYS = ["treasury_id", "ddo_code", "from_date", "to_date"]
-_PAGE_ROWS = f"page_rows as ({CA.oracle_rows(CA.PAGE_ROWS_SQL)})"
+_PAGE_ROWS = f"page_rows as ({CA.oracle_rows(CA.PAGE_ROWS_SQL)})"  # with pos, for DuckDB
 _CELLS = [f"c{i}" for i in range(1, 8)]
 
 

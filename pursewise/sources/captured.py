@@ -21,15 +21,12 @@ HEADER_CELLS = ("DDO Name", "Major Head", "Flag", "Budget", "Object", "Gross Amo
 
 # Rows that go into the dataset pages: one page per (treasury, DDO, ship month); a
 # supplier whose key ends in 0 gets a "no record" page, 1 an empty page, 2 an HTTP 500.
-PAGE_ROWS_SQL = """
+PAGE_BASE_SQL = """
 select concat('T', lpad(cast(r_regionkey as string), 2, '0')) as treasury_id,
   lpad(cast(s_suppkey as string), 4, '0') as ddo_code,
   cast(year(cast(l_shipdate as date)) * 10000 + month(cast(l_shipdate as date)) * 100 + 1 as string) as from_date,
   cast(year(last_day(cast(l_shipdate as date))) * 10000 + month(last_day(cast(l_shipdate as date))) * 100
        + day(last_day(cast(l_shipdate as date))) as string) as to_date,
-  cast(row_number() over (partition by s_suppkey, year(cast(l_shipdate as date)), month(cast(l_shipdate as date))
-                          order by l_orderkey, l_linenumber, l_partkey, l_returnflag, l_quantity,
-                                   l_extendedprice, l_shipdate, o_orderpriority) - 1 as int) as pos,
   s_name as c1,
   lpad(regexp_extract(p_brand, '[0-9]+', 0), 4, '0') as c2,
   concat(' ', l_returnflag) as c3,
@@ -37,7 +34,9 @@ select concat('T', lpad(cast(r_regionkey as string), 2, '0')) as treasury_id,
   concat(substr(o_orderpriority, 1, 1), ' & ', substr(o_orderpriority, 3)) as c5,
   cast(cast(l_extendedprice as decimal(18,2)) as string) as c6,
   cast(cast(l_shipdate as date) as string) as c7,
-  cast(s_suppkey % 10 as int) as kind
+  cast(s_suppkey % 10 as int) as kind,
+  l_orderkey as o1, l_linenumber as o2, l_partkey as o3, l_returnflag as o4, l_quantity as o5,
+  l_extendedprice as o6, l_shipdate as o7, o_orderpriority as o8
 from {lineitem}
 join {orders} on l_orderkey = o_orderkey
 join {part} on l_partkey = p_partkey
@@ -46,11 +45,18 @@ join {nation} on s_nationkey = n_nationkey
 join {region} on n_regionkey = r_regionkey
 """
 
+# The rows as they stand on the pages: ``pos`` counts within a page in the order
+# (o1, ..., o8); rows equal in all of those are equal in every cell too.
+PAGE_ROWS_SQL = ("select *, cast(row_number() over (partition by treasury_id, ddo_code, from_date, to_date "
+                 "order by o1, o2, o3, o4, o5, o6, o7, o8) - 1 as int) as pos from (" + PAGE_BASE_SQL + ") b")
+PAGE_ORDER = ("o1", "o2", "o3", "o4", "o5", "o6", "o7", "o8")
+
 PAGE_TABLES = ("lineitem", "orders", "part", "supplier", "nation", "region")
 
 
 def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(PAGE_ROWS_SQL, **load_tables(spark, sf_dir, PAGE_TABLES))
+    """The page rows without their position (the renderer orders each page itself)."""
+    return spark.sql(PAGE_BASE_SQL, **load_tables(spark, sf_dir, PAGE_TABLES))
 
 
 def oracle_rows(sql: str) -> str:
@@ -74,8 +80,6 @@ def render_pages(rows: DataFrame) -> DataFrame:
     # The flag cell holds a bold child before its text (first-text-node rule), a LOW
     # budget renders as an empty cell (blank rule), the object cell carries an entity.
     row_html = F.concat(
-        F.lit('<tr class="'), F.when(F.col("pos") % 2 == 0, F.lit("popeven")).otherwise(F.lit("popeodd")),
-        F.lit('">'),
         _td(_esc(F.col("c1"))), _td(F.col("c2")),
         _td(F.concat(F.lit("<b>flag</b>"), _esc(F.col("c3")))),
         F.when(F.col("c4") == " ", F.lit("<td></td>")).otherwise(_td(F.col("c4"))),
@@ -88,10 +92,12 @@ def render_pages(rows: DataFrame) -> DataFrame:
               + "".join(f"<td>{h}</td>" for h in HEADER_CELLS) + "</tr>\n")
     keys = ["treasury_id", "ddo_code", "from_date", "to_date", "kind"]
     grouped = rows.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("pos", row_html.alias("html")))).alias("_rows"))
+        F.array_sort(F.collect_list(F.struct(*PAGE_ORDER, row_html.alias("html")))).alias("_rows"))
     table = F.concat(
         F.lit('<html><body><h3>Report</h3>\n<table class="grid" border="1">\n'), F.lit(header),
-        F.array_join(F.transform("_rows", lambda r: r["html"]), ""),
+        F.array_join(F.transform("_rows", lambda r, i: F.concat(
+            F.when(i % 2 == 0, F.lit('<tr class="popeven">')).otherwise(F.lit('<tr class="popeodd">')),
+            r["html"])), ""),
         F.lit('<tr class="total"><td>Total</td></tr>\n</table></body></html>'))
     body = (F.when(F.col("kind") == 0, F.lit(f"<html><body><p>{NO_RECORD_TEXT}</p></body></html>"))
             .when(F.col("kind") == 1, F.lit("<html><body></body></html>"))
