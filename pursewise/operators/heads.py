@@ -103,10 +103,11 @@ def head_combinations(df: DataFrame, cols: Sequence[str] = COMBINATION_COLUMNS)
 def build_dimensions(df: DataFrame, path: str, heads: Sequence[str] = DIMENSION_HEADS) -> None:
     """H-12: write the unique values of every head once, partitioned by head.
 
-    Not repartitioned by head first: a head with very many values (DDO codes) would
-    land in one task. Each task writes its share of every head instead.
+    Rebalanced on the head, not repartitioned: a head with very many values (DDO codes)
+    is split by AQE over several tasks and files instead of landing in one task.
     """
-    unique_heads(df, heads).write.mode("overwrite").partitionBy("head").parquet(path)
+    (unique_heads(df, heads).hint("rebalance", "head")
+     .write.mode("overwrite").partitionBy("head").parquet(path))
 
 
 def read_dimensions(spark, path: str, heads: Sequence[str] | None = None) -> DataFrame:

@@ -641,3 +641,20 @@ def _heads_tree_json(spark, sf):
     """R-3 (b): the receipts head tree (H-4) as ordered JSON fragments, no tree gathered."""
     levels = HE.label_rows(view(spark, sf, "budget_receipts"), HE.RECEIPT_LEVELS)
     return TR.tree_json_fragments(levels)
+
+
+# ---------------------------------------------------------------- S-1
+
+from pursewise.sources.fixtures import BASE_TABLES, load_tables  # noqa: E402
+
+
+@register("load_tables", " union all ".join(
+    f"select '{t}' as table_name, count(*) as row_count from {t}" for t in BASE_TABLES))
+def _load_tables(spark, sf):
+    frames = load_tables(spark, sf, BASE_TABLES, spread=False)
+    out = None
+    for name in BASE_TABLES:
+        c = frames[name].agg(F.count(F.lit(1)).alias("row_count")).select(
+            F.lit(name).alias("table_name"), "row_count")
+        out = c if out is None else out.unionByName(c)
+    return out

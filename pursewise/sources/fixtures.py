@@ -161,11 +161,12 @@ def spread_small_scan(df: DataFrame, min_partitions: int | None = None) -> DataF
     it is, so the extra shuffle only ever moves an input smaller than the slot count in
     splits. Filters and column pruning still reach the scan below the spread.
     """
-    spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    try:
+        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # no RDD API (e.g. a Spark Connect session): leave the scan as it is
         return df
-    return df.repartition(want)
+    return df if splits >= want else df.repartition(want)
 
 
 def load_tables(spark: SparkSession, sf_dir: str, names=BASE_TABLES,
