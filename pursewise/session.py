@@ -36,8 +36,9 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the operator sets it to a shared file system; it is only filled in
-    here (with a scratch folder) when nothing is configured, as in local tests.
+    On a cluster the operator sets it to a shared file system. Only a local-mode session
+    without one gets a scratch folder (as in tests); a cluster session without one is an
+    error, since a machine-local folder is not visible to the other executors.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -45,6 +46,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
         configured = tempfile.mkdtemp(prefix="pursewise-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
