@@ -22,9 +22,11 @@ HEADER_CLASS = "popupheadingeKosh"
 ROW_CLASS_PART = "pope"
 
 _TABLE = r"(?is)<table\b.*?</table>"
-_ROW = (r"(?is)<tr\b[^>]*?\bclass\s*=\s*[\"'][^\"']*" + ROW_CLASS_PART
-        + r"[^\"']*[\"'][^>]*>(.*?)</tr>")
-_HEADER_ROW = (r"(?is)<tr\b[^>]*?\bclass\s*=\s*[\"']" + HEADER_CLASS + r"[\"'][^>]*>(.*?)</tr>")
+# Attribute values may be double-quoted, single-quoted or bare.
+_ROW = (r"(?is)<tr\b[^>]*?\bclass\s*=\s*(?:\"[^\"]*" + ROW_CLASS_PART + r"[^\"]*\"|'[^']*"
+        + ROW_CLASS_PART + r"[^']*'|[^\s>\"']*" + ROW_CLASS_PART + r"[^\s>\"']*)[^>]*>(.*?)</tr>")
+_HEADER_ROW = (r"(?is)<tr\b[^>]*?\bclass\s*=\s*(?:\"" + HEADER_CLASS + r"\"|'" + HEADER_CLASS
+               + r"'|" + HEADER_CLASS + r"(?=[\s>]))[^>]*>(.*?)</tr>")
 _CELL = r"(?is)<td\b[^>]*>(.*?)</td>"
 # A child element with no element inside it; removed once per nesting depth.
 _LEAF_ELEMENT = r"(?is)<([a-z][a-z0-9]*)\b[^>]*>[^<]*</\1\s*>"
@@ -133,8 +135,8 @@ def failure_counts(responses: DataFrame, key: str = "treasury_id", status: str =
 
 
 def _select_block(body: Column, select_id: str) -> Column:
-    return F.regexp_extract(
-        body, r"(?is)<select\b[^>]*?\bid\s*=\s*[\"']" + select_id + r"[\"'][^>]*>(.*?)</select>", 1)
+    ident = r"(?:\"" + select_id + r"\"|'" + select_id + r"'|" + select_id + r"(?=[\s>]))"
+    return F.regexp_extract(body, r"(?is)<select\b[^>]*?\bid\s*=\s*" + ident + r"[^>]*>(.*?)</select>", 1)
 
 
 def options(forms: DataFrame, select_id: str, skip_placeholder: bool,
@@ -149,7 +151,8 @@ def options(forms: DataFrame, select_id: str, skip_placeholder: bool,
     rows = forms.select(*keys, F.posexplode(opts).alias("position", "_opt"))
     if skip_placeholder:
         rows = rows.filter(F.col("position") > 0)
-    value = F.regexp_extract(F.col("_opt"), r"(?is)<option\b[^>]*?\bvalue\s*=\s*[\"']([^\"']*)[\"']", 1)
+    raw = F.regexp_extract(F.col("_opt"), r"(?is)<option\b[^>]*?\bvalue\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", 1)
+    value = F.regexp_replace(raw, r"^[\"']|[\"']$", "")
     text = F.regexp_extract(F.col("_opt"), r"(?is)<option\b[^>]*>(.*?)</option>", 1)
     text = F.regexp_replace(text, r"(?s)<[^>]*>", "")
     return rows.select(*keys, F.col("position").cast("int").alias("position"),

@@ -80,3 +80,17 @@ def test_xml_rows_and_majors(spark):
     split = EX.split_head(spark.createDataFrame([(rows[0][0],)], "head string")).first()
     assert (split["major"], split["sub_major"], split["minor"], split["sub_minor"],
             split["sub_minor_desc"]) == ("0020", "00", "101", "01", "Tax & Duty")
+
+
+def test_unquoted_and_single_quoted_attributes(spark):
+    body = ("<table><tr class=popupheadingeKosh><td>H</td></tr>"
+            "<tr class=popeven><td>a</td></tr><tr class='x popeodd'><td>b</td></tr>"
+            "<tr class=popup><td>no</td></tr></table>"
+            "<select id=cmbDpt><option value=D01>One</option><option value='D02'>Two</option></select>")
+    df = spark.createDataFrame([("k", body)], "key string, body string")
+    rows = [r["cells"] for r in EX.extract_rows(df, keys=("key",)).orderBy("pos").collect()]
+    assert rows == [["a"], ["b"]]
+    assert EX.extract_header(df, keys=("key",)).first()["header"] == ["H"]
+    opts = [(r["position"], r["value"], r["text"]) for r in
+            EX.options(df, "cmbDpt", skip_placeholder=False).orderBy("position").collect()]
+    assert opts == [(0, "D01", "One"), (1, "D02", "Two")]
