@@ -7,14 +7,25 @@ survey (ranges and filter payloads), never row caps or id subsets.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pursewise import oracle as O
+from pursewise.operators import extract as EX
 from pursewise.operators import facts as FA
-from pursewise.sources.fixtures import view
+from pursewise.operators import filters as FI
+from pursewise.operators import heads as HE
+from pursewise.operators import joins as JO
+from pursewise.operators import shaping as SH
+from pursewise.operators import tree as TR
+from pursewise.plans import requests as PL
+from pursewise.session import ensure_checkpoint_dir
+from pursewise.sources import captured as CA
+from pursewise.sources import io as IO
+from pursewise.sources.fixtures import BASE_TABLES, load_tables, view
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -109,11 +120,6 @@ _reg_series("keys_by_slots", "spending", FA.SPENDING, "month", RANGE_YEAR, FILTE
 
 # ---------------------------------------------------------------- F: filters
 
-from pursewise.operators import filters as FI  # noqa: E402
-from pursewise.operators import heads as HE  # noqa: E402
-from pursewise.operators import joins as JO  # noqa: E402
-from pursewise.operators import shaping as SH  # noqa: E402
-
 
 @register("filter_date_range", O.oracle_with(
     "select demand, major, date, cast(sanction as double) as sanction from allocation "
@@ -280,8 +286,6 @@ register("head_combinations", O.oracle_with(
 
 # ---------------------------------------------------------------- X: extraction (round trip)
 
-from pursewise.operators import extract as EX  # noqa: E402
-from pursewise.sources import captured as CA  # noqa: E402
 
 PAGE_KEYS = ["treasury_id", "ddo_code", "from_date", "to_date"]
 _PAGE_ROWS = f"page_rows as ({CA.oracle_rows(CA.PAGE_ROWS_SQL)})"  # with pos, for DuckDB
@@ -417,11 +421,6 @@ ORACLES["split_receipt_head"] = O.oracle_with(ORACLES["split_receipt_head"], "bu
 
 # ---------------------------------------------------------------- P: planning
 
-import uuid  # noqa: E402
-
-from pursewise.plans import requests as PL  # noqa: E402
-from pursewise.session import ensure_checkpoint_dir  # noqa: E402
-from pursewise.sources import io as IO  # noqa: E402
 
 PLAN_RANGE = ("20190401", "20190430")
 CRAWL = "treasury_expenditures"
@@ -615,8 +614,6 @@ def _csv_drop_ingest(spark, sf):
 
 # ---------------------------------------------------------------- H-12, R-3 nested
 
-from pursewise.operators import tree as TR  # noqa: E402
-
 
 @register("head_dimensions", _sql_unique("spending", HE.DIMENSION_HEADS))
 def _head_dimensions(spark, sf):
@@ -645,8 +642,6 @@ def _heads_tree_json(spark, sf):
 
 # ---------------------------------------------------------------- S-1
 
-from pursewise.sources.fixtures import BASE_TABLES, load_tables  # noqa: E402
-
 
 @register("load_tables", " union all ".join(
     f"select '{t}' as table_name, count(*) as row_count from {t}" for t in BASE_TABLES))
