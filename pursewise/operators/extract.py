@@ -77,7 +77,10 @@ def header_cells(body: Column) -> Column:
 
 def extract_rows(responses: DataFrame, keys: Sequence[str] = ("treasury_id", "ddo_code", "from_date", "to_date"),
                  body: str = "body") -> DataFrame:
-    """X-1 + X-2: ``(keys..., pos, cells array<string>)``, one row per data row."""
+    """X-1 + X-2: ``(keys..., pos, cells array<string>)``, one row per data row.
+
+    To name the cells by their headings use ``extract_records`` (no join needed).
+    """
     return responses.select(
         *keys, F.posexplode(data_rows(F.col(body))).alias("pos", "_row")
     ).select(*keys, F.col("pos").cast("int").alias("pos"), row_cells(F.col("_row")).alias("cells"))
@@ -90,10 +93,23 @@ def extract_header(responses: DataFrame, keys: Sequence[str] = ("treasury_id", "
     return responses.select(*keys, h.alias("header")).filter(F.size("header") > 0)
 
 
-def named_cells(rows: DataFrame, header: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """X-3: cells keyed by their column heading, ``map<heading, cell>`` per row."""
-    return rows.join(header, list(keys)).select(
-        *keys, "pos", F.map_from_arrays(F.col("header"), F.col("cells")).alias("record"))
+def extract_records(responses: DataFrame, keys: Sequence[str] = ("treasury_id", "ddo_code", "from_date", "to_date"),
+                    body: str = "body") -> DataFrame:
+    """X-1 + X-3: ``(keys..., pos, record array<struct<heading, cell>>)``.
+
+    The page's headings are read once per response and zipped with each of its rows in
+    the same task, so naming the cells needs no join. ``arrays_zip`` keeps rows whose cell
+    count differs from the heading count (the missing side is null) and allows repeated
+    headings.
+    """
+    b = F.col(body)
+    # Headings and row list are materialized side by side first; with the headings
+    # inside the generator's projection, the optimizer would re-parse them per row.
+    pages = responses.select(*keys, header_cells(b).alias("_h"), data_rows(b).alias("_rows"))
+    rows = pages.select(*keys, "_h", F.posexplode("_rows").alias("pos", "_row"))
+    return rows.select(*keys, F.col("pos").cast("int").alias("pos"),
+                       F.arrays_zip(F.col("_h").alias("heading"), row_cells(F.col("_row")).alias("cell"))
+                       .alias("record"))
 
 
 def classify(responses: DataFrame, body: str = "body", status: str = "status") -> DataFrame:

@@ -653,3 +653,22 @@ def _load_tables(spark, sf):
             F.lit(name).alias("table_name"), "row_count")
         out = c if out is None else out.unionByName(c)
     return out
+
+
+# ---------------------------------------------------------------- X-3 named cells, X-11 counts
+
+_UNPIVOT = " union all ".join(
+    f"select {', '.join(PAGE_KEYS)}, pos, '{h}' as heading, c{i + 1} as cell from page_rows "
+    "where kind not in (0, 1, 2)" for i, h in enumerate(CA.HEADER_CELLS))
+
+
+@register("html_named_cells", f"with {_PAGE_ROWS} {_UNPIVOT}")
+def _html_named_cells(spark, sf):
+    records = EX.extract_records(CA.pages_html(spark, sf), PAGE_KEYS)
+    return records.select(*PAGE_KEYS, "pos", F.inline("record"))
+
+
+@register("failed_requests_per_treasury", f"with {_PAGE_ROWS} select treasury_id, count(*) as failed_count "
+          f"from (select distinct {', '.join(PAGE_KEYS)} from page_rows where kind = 2) group by treasury_id")
+def _failed_per_treasury(spark, sf):
+    return EX.failure_counts(CA.pages_html(spark, sf))
