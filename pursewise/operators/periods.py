@@ -76,3 +76,22 @@ def slots(spark: SparkSession, start, end, grain: str) -> DataFrame:
         .select(F.col("pos").cast("int").alias("pos"), "slot_start",
                 slot_label(F.col("slot_start"), end, g).alias(g))
     )
+
+
+def slots_covering(df: DataFrame, date_col: str, grain: str) -> DataFrame:
+    """G-1 / G-2 over the data: the slots from a table's first to its last date.
+
+    The bounds are one partial ``min``/``max`` aggregate; the slot list is generated
+    from them on an executor (its length is set by the date span, not the row count).
+    """
+    g = _grain(grain)
+    d = F.col(date_col)
+    bounds = df.agg(F.min(d).alias("_s"), F.max(d).alias("_e"))
+    first = week_start(F.col("_s")) if g == "week" else F.trunc(F.col("_s"), "MM")
+    last = week_start(F.col("_e")) if g == "week" else F.trunc(F.col("_e"), "MM")
+    step = F.expr("interval 7 days") if g == "week" else F.expr("interval 1 month")
+    grid = bounds.filter(F.col("_s").isNotNull()).select(
+        "_e", F.posexplode(F.sequence(first, last, step)).alias("pos", "slot_start"))
+    label = (week0(F.least(F.date_add(F.col("slot_start"), 6), F.col("_e"))) if g == "week"
+             else month_num(F.col("slot_start")))
+    return grid.select(F.col("pos").cast("int").alias("pos"), "slot_start", label.alias(g))

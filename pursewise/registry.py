@@ -21,6 +21,7 @@ from pursewise.operators import heads as HE
 from pursewise.operators import joins as JO
 from pursewise.operators import shaping as SH
 from pursewise.operators import tree as TR
+from pursewise.operators.periods import slots_covering
 from pursewise.plans import requests as PL
 from pursewise.session import ensure_checkpoint_dir
 from pursewise.sources import captured as CA
@@ -672,3 +673,61 @@ def _html_named_cells(spark, sf):
           f"from (select distinct {', '.join(PAGE_KEYS)} from page_rows where kind = 2) group by treasury_id")
 def _failed_per_treasury(spark, sf):
     return EX.failure_counts(CA.pages_html(spark, sf))
+
+
+# ---------------------------------------------------------------- G-1, G-2 over the data; F-6 on a request table
+
+
+_BOUNDS = "b as (select min(transdate) as s, max(transdate) as e from spending)"
+
+
+@register("week_slots", O.oracle_with(
+    f"with {_BOUNDS} select cast(row_number() over (order by t.x) - 1 as int) as pos, "
+    "cast(t.x as date) as slot_start, cast(strftime(least(cast(t.x as date) + 6, b.e), '%U') as int) as week "
+    "from b, generate_series(b.s - cast(dayofweek(b.s) as int), b.e - cast(dayofweek(b.e) as int), "
+    "interval 7 day) t(x)", "spending"))
+def _week_slots(spark, sf):
+    return slots_covering(view(spark, sf, "spending"), "transdate", "week")
+
+
+@register("month_slots", O.oracle_with(
+    f"with {_BOUNDS} select cast(row_number() over (order by t.x) - 1 as int) as pos, "
+    "cast(t.x as date) as slot_start, cast(month(t.x) as int) as month "
+    "from b, generate_series(cast(date_trunc('month', b.s) as date), cast(date_trunc('month', b.e) as date), "
+    "interval 1 month) t(x)", "spending"))
+def _month_slots(spark, sf):
+    return slots_covering(view(spark, sf, "spending"), "transdate", "month")
+
+
+# Requests made from order rows: a P order writes its end date as dd/mm/yyyy (rejected),
+# a 3-MEDIUM order asks for range 'week' (rejected: the names are Week and Month).
+_REQUESTS_SQL = """
+select o_orderkey as request_id,
+  cast(cast(o_orderdate as date) as string) as start,
+  case when o_orderstatus = 'P' then {ddmmyyyy} else cast(cast(o_orderdate as date) + {days30} as string) end as "end",
+  case when o_orderpriority = '1-URGENT' then 'Week' when o_orderpriority = '3-MEDIUM' then 'week'
+       else 'Month' end as range
+from orders
+"""
+
+
+@register("validate_params", "with r as (" + _REQUESTS_SQL.format(
+    ddmmyyyy="strftime(cast(o_orderdate as date), '%d/%m/%Y')", days30="interval 30 day").replace(
+    "cast(cast(o_orderdate as date) + interval 30 day as string)",
+    "cast(cast(cast(o_orderdate as date) + interval 30 day as date) as string)")
+    + ") select request_id, start, \"end\", range, case "
+    "when start is null or \"end\" is null then 'start and end date is required' "
+    "when try_strptime(start, '%Y-%m-%d') is null or try_strptime(\"end\", '%Y-%m-%d') is null "
+    "or not regexp_full_match(start, '[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}') "
+    "or not regexp_full_match(\"end\", '[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}') then 'invalid date' "
+    "when range not in ('Week', 'Month') then 'invalid range' end as reject from r")
+def _validate_params(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    d = F.col("o_orderdate").cast("date")
+    requests = o.select(
+        F.col("o_orderkey").alias("request_id"), d.cast("string").alias("start"),
+        F.when(F.col("o_orderstatus") == "P", F.date_format(d, "dd/MM/yyyy"))
+        .otherwise(F.date_add(d, 30).cast("string")).alias("end"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("Week"))
+        .when(F.col("o_orderpriority") == "3-MEDIUM", F.lit("week")).otherwise(F.lit("Month")).alias("range"))
+    return FI.request_rejects(requests)
