@@ -51,3 +51,20 @@ def test_month_slots_inside_one_month(spark):
     assert _labels(spark, "1998-05-01", "1998-05-29", "month") == [5]
     assert _labels(spark, "2019-04-01", "2020-03-31", "month") == list(range(4, 13)) + [1, 2, 3]
     assert slot_count("1998-05-01", "1998-05-29", "month") == 1
+
+
+def test_slots_covering_data_and_empty_input(spark):
+    from pursewise.operators.periods import slots_covering
+
+    df = spark.createDataFrame([(dt.date(2019, 12, 30),), (dt.date(2020, 1, 14),)], "d date")
+    got = [(r["pos"], str(r["slot_start"]), r["week"]) for r in
+           slots_covering(df, "d", "week").orderBy("pos").collect()]
+    assert got == [(0, "2019-12-29", 0), (1, "2020-01-05", 1), (2, "2020-01-12", 2)]
+    assert slots_covering(df.filter("false"), "d", "month").count() == 0
+
+
+def test_head_columns_by_name(spark):
+    from pursewise.operators.heads import head_columns
+
+    df = spark.createDataFrame([tuple("abcde")], "x string, demand string, major string, SOE string, after string")
+    assert head_columns(df, until="soe", start=1) == ["demand", "major", "SOE"]
