@@ -32,7 +32,8 @@ def main(argv=None) -> int:
 
     from pyspark.sql import SparkSession
 
-    spark = SparkSession.builder.appName(f"pursewise-{args.query}").getOrCreate()
+    spark = (SparkSession.builder.appName(f"pursewise-{args.query}")
+             .config("spark.ui.enabled", "false").getOrCreate())
     df = QUERIES[args.query](spark, args.tables)
     if args.cmd == "explain":
         df.explain("formatted")
