@@ -79,7 +79,10 @@ def render_pages(rows: DataFrame) -> DataFrame:
     """``pages_html``: (treasury_id, ddo_code, from_date, to_date, status, body)."""
     # The flag cell holds a bold child before its text (first-text-node rule), a LOW
     # budget renders as an empty cell (blank rule), the object cell carries an entity.
+    row_class = F.when(F.col("o2") % 2 == 0, F.lit('<tr class="popeven">')).otherwise(
+        F.lit('<tr class="popeodd">'))
     row_html = F.concat(
+        row_class,
         _td(_esc(F.col("c1"))), _td(F.col("c2")),
         _td(F.concat(F.lit("<b>flag</b>"), _esc(F.col("c3")))),
         F.when(F.col("c4") == " ", F.lit("<td></td>")).otherwise(_td(F.col("c4"))),
@@ -91,13 +94,13 @@ def render_pages(rows: DataFrame) -> DataFrame:
     header = ('<tr class="' + HEADER_CLASS + '">'
               + "".join(f"<td>{h}</td>" for h in HEADER_CELLS) + "</tr>\n")
     keys = ["treasury_id", "ddo_code", "from_date", "to_date", "kind"]
-    grouped = rows.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(*PAGE_ORDER, row_html.alias("html")))).alias("_rows"))
+    # listagg ... within group orders the rows of a page inside the aggregate.
+    order = ", ".join(PAGE_ORDER)
+    grouped = rows.select(*keys, *PAGE_ORDER, row_html.alias("_html")).groupBy(*keys).agg(
+        F.expr(f"listagg(_html, '') within group (order by {order})").alias("_rows"))
     table = F.concat(
         F.lit('<html><body><h3>Report</h3>\n<table class="grid" border="1">\n'), F.lit(header),
-        F.array_join(F.transform("_rows", lambda r, i: F.concat(
-            F.when(i % 2 == 0, F.lit('<tr class="popeven">')).otherwise(F.lit('<tr class="popeodd">')),
-            r["html"])), ""),
+        F.col("_rows"),
         F.lit('<tr class="total"><td>Total</td></tr>\n</table></body></html>'))
     body = (F.when(F.col("kind") == 0, F.lit(f"<html><body><p>{NO_RECORD_TEXT}</p></body></html>"))
             .when(F.col("kind") == 1, F.lit("<html><body></body></html>"))
