@@ -57,6 +57,8 @@ def _time(fn, runs: int = 3) -> float:
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
+    # local mode: the driver JVM is the whole cluster, so it gets half the machine's memory
+    os.environ.setdefault("PURSEWISE_DRIVER_MEMORY", "16g")
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2)
     jobs = {key: (lambda q=registry.QUERIES[name]: _run(q(spark, sf))) for key, name in HEADLINE.items()}
     jobs["h8_per_column"] = lambda: _h8_per_column(spark, sf)
