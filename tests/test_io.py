@@ -54,3 +54,22 @@ def test_ingest_takes_each_file_once(spark):
     ingest(spark, drops, out, ckpt, schema)
     got = sorted((r["a"], r["b"], r["source_file"]) for r in spark.read.parquet(out).collect())
     assert got == [("x", 1, "one.csv"), ("y", 2, "one.csv"), ("z", 3, "two.csv")]
+
+
+def test_missing_against_listed_files(spark):
+    from pursewise.plans import requests as PL
+
+    root = tempfile.mkdtemp(prefix="pw-files-")
+    os.makedirs(f"{root}/receipts")
+    header = ",".join(IO.RECEIPTS_HEADER) + "\n"
+    with open(f"{root}/receipts/budget_receipts_01_04_2019.csv", "w") as f:
+        f.write(header + "0020-00-101-01 [x],01/04/2019,12.50\n")
+    with open(f"{root}/receipts/budget_receipts_02_04_2019.csv", "w") as f:
+        f.write(header)  # header only: must be collected again (Q-14)
+    open(f"{root}/receipts/budget_receipts_03_04_2019.csv", "w").close()  # empty
+    files = IO.list_files(spark, root).select(
+        F.regexp_extract("path", "(receipts/[^/]*)$", 1).alias("path"), "length")
+    plan = spark.createDataFrame([(f"0{d}/04/2019",) for d in range(1, 5)], "date string").select(
+        "date", PL.budget_path("budget_receipts", F.col("date")).alias("path"))
+    todo = PL.missing(plan, files, header_bytes=len(header.encode()))
+    assert sorted(r["date"] for r in todo.collect()) == ["02/04/2019", "03/04/2019", "04/04/2019"]
