@@ -69,7 +69,8 @@ def in_predicate(col: Column, text: str) -> Column:
     quoted, bare = parse_in_list(text)
     preds = []
     if quoted:
-        preds.append(col.isin(quoted))
+        # compared as text, so a quoted member never forces a cast of the column (ANSI)
+        preds.append(col.cast("string").isin(quoted))
     if bare:
         preds.append(col.try_cast("decimal(38,10)").isin([F.lit(b).cast("decimal(38,10)") for b in bare]))
     if not preds:
@@ -97,16 +98,23 @@ def apply_filters(df: DataFrame, payload: Mapping | None, single: bool = False)
     for key, value in filters_of(payload).items():
         name = _resolve(df, key)
         if single:
-            df = df.filter(F.col(name) == F.lit(str(value)))
+            df = df.filter(F.col(name).cast("string") == F.lit(str(value)))
         else:
             df = df.filter(in_predicate(F.col(name), str(value)))
     return df
 
 
 def date_range(df: DataFrame, col: str, start, end) -> DataFrame:
-    """F-1: both ends included, compared as dates (Q-9)."""
+    """F-1: both ends included, compared as dates (Q-9).
+
+    A timestamp column is compared through ``cast(col as date)``, so the whole end day
+    counts; the optimizer still turns that into bounds on the column at the scan.
+    """
     s, e = parse_day(start), parse_day(end)
-    return df.filter(F.col(col).between(F.lit(s), F.lit(e)))
+    c = F.col(col)
+    if df.schema[col].dataType.typeName() in ("timestamp", "timestamp_ntz"):
+        c = c.cast("date")
+    return df.filter(c.between(F.lit(s), F.lit(e)))
 
 
 def classified(df: DataFrame, col: str = "classification_id") -> DataFrame:

@@ -66,3 +66,22 @@ def test_request_table_rejects(spark):
                                "start string, end string, range string")
     got = [r["reject"] for r in request_rejects(df).collect()]
     assert got[0] is None and got[1] and got[2] and got[3] == "invalid range"
+
+
+def test_quoted_members_on_numeric_column_do_not_raise(spark):
+    df = spark.createDataFrame([(1,), (2,), (11,)], "n int")
+    assert sorted(r[0] for r in apply_filters(df, {"filters": {"n": "'1', 'abc'"}}).collect()) == [1]
+    assert sorted(r[0] for r in apply_filters(df, {"filters": {"n": "11, 2"}}).collect()) == [2, 11]
+
+
+def test_date_range_on_timestamps_keeps_the_whole_end_day(spark):
+    import datetime as dt
+
+    from pursewise.operators.filters import date_range
+
+    df = spark.createDataFrame([(dt.datetime(2019, 4, 30, 18, 0),), (dt.datetime(2019, 5, 1, 0, 0),)],
+                               "ts timestamp_ntz")
+    assert date_range(df, "ts", "2019-04-01", "2019-04-30").count() == 1
+    plan = date_range(df.sparkSession.read.parquet("/root/testdata/sf0.001/lineitem.parquet"),
+                      "l_shipdate", "1997-04-01", "1998-03-31")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(l_shipdate" in plan
