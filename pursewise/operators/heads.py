@@ -80,8 +80,14 @@ def label_rows(df: DataFrame, levels: Sequence, filters: Mapping | None = None)
 
 
 def heads_tree(df: DataFrame, levels: Sequence, filters: Mapping | None = None) -> DataFrame:
-    """H-2 .. H-7: the head tree as distinct edges ``(level, parent_path, label)``."""
-    return tree_edges(label_rows(df, levels, filters))
+    """H-2 .. H-7: the head tree as distinct edges ``(level, parent_path, label)``.
+
+    The label rows are de-duplicated first (the GROUP BY of the reference): real spending
+    has many transactions per head combination, and the map-side partial aggregate
+    shrinks them before any path string is built. Only the distinct combinations are
+    exploded into their edges.
+    """
+    return tree_edges(label_rows(df, levels, filters).distinct())
 
 
 def unique_heads(df: DataFrame, heads: Sequence) -> DataFrame:
