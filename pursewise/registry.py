@@ -186,7 +186,8 @@ def _alloc_by_year(spark, sf):
 
 @register("allocation_by_year_nested")
 def _alloc_by_year_nested(spark, sf):
-    return SH.allocation_by_year(view(spark, sf, "allocation_summary"))
+    nested = SH.allocation_by_year(view(spark, sf, "allocation_summary"))
+    return nested.select("financial_year", F.to_json("demands").alias("demands"))  # JSON text at the edge
 
 
 @register("covid_columns", O.oracle_with(
@@ -206,7 +207,8 @@ def _tenders(spark, sf):
 @register("by_district")
 def _by_district(spark, sf):
     s = FA.series(view(spark, sf, "spending"), FA.SPENDING, "week", *RANGE_YEAR)
-    return SH.by_key_series(s, FA.SPENDING.measures, "week")
+    nested = SH.by_key_series(s, FA.SPENDING.measures, "week")
+    return nested.select("district", F.to_json("series").alias("series"))  # JSON text at the edge
 
 
 @register("result_json")
@@ -638,7 +640,8 @@ def _head_dimensions_pruned(spark, sf):
 def _heads_tree_json(spark, sf):
     """R-3 (b): the receipts head tree (H-4) as ordered JSON fragments, no tree gathered."""
     levels = HE.label_rows(view(spark, sf, "budget_receipts"), HE.RECEIPT_LEVELS)
-    return TR.tree_json_fragments(levels)
+    frags = TR.tree_json_fragments(levels)
+    return frags.select(F.to_json("path").alias("path"), "fragment")
 
 
 # ---------------------------------------------------------------- S-1
