@@ -96,3 +96,53 @@ def result_json(df: DataFrame) -> DataFrame:
 def result_count(df: DataFrame) -> DataFrame:
     """R-7: the ``count`` beside the records."""
     return df.agg(F.count(F.lit(1)).alias("count"))
+
+
+def _json_value(c):
+    # to_json of a one-element array gives [v] with JSON typing and escaping; drop brackets.
+    j = F.to_json(F.array(c))
+    return j.substr(F.lit(2), F.length(j) - F.lit(2))
+
+
+def columnar_json_fragments(df: DataFrame, columns: Sequence[str], key: str,
+                            names: Sequence[str] | None = None) -> DataFrame:
+    """R-5 / R-6 document ``{"records": {name: [values in key order], ...}, "count": n}``
+    as ordered fragments ``(s1, s2, s3, k, fragment)``; concatenated in that order they
+    are the document.
+
+    Each row gives one fragment per column, so the work is spread like the table itself;
+    no column is gathered into one task. Two scalars come from small aggregates: the
+    first key (which value needs no comma) and the row count. ``key`` must be unique and
+    not null (a row id); it fixes the order of the values in every column.
+    """
+    names = list(names or columns)
+    first_key, count = df.agg(F.min(key), F.count(F.lit(1))).first()
+    if count == 0:
+        first_key = None
+    parts = []
+    spark = df.sparkSession
+    k_type = df.schema[key].dataType.simpleString()
+    head = [(0, 0, 0, '{"records":{')]
+    for i, name in enumerate(names):
+        head.append((1, i, 0, ("," if i else "") + '"' + name.replace('"', '\\"') + '":['))
+        head.append((1, i, 2, "]"))
+    head.append((2, 0, 0, '},"count":' + str(count) + "}"))
+    fixed = spark.createDataFrame(head, "s1 int, s2 int, s3 int, fragment string").select(
+        "s1", "s2", "s3", F.lit(None).cast(k_type).alias("k"), "fragment")
+    parts.append(fixed)
+    comma = F.when(F.col(key) == F.lit(first_key), F.lit("")).otherwise(F.lit(","))
+    cells = F.array(*[F.struct(F.lit(i).alias("s2"), _json_value(F.col(c)).alias("v"))
+                      for i, c in enumerate(columns)])
+    values = df.select(F.col(key), F.inline(cells)).select(
+        F.lit(1).alias("s1"), "s2", F.lit(1).alias("s3"), F.col(key).alias("k"),
+        F.concat(comma, F.col("v")).alias("fragment"))
+    parts.append(values)
+    return parts[0].unionByName(parts[1])
+
+
+def write_columnar_json(df: DataFrame, path: str, columns: Sequence[str], key: str,
+                        names: Sequence[str] | None = None) -> None:
+    """Write the columnar document as ordered text part files (a range-partitioned sort);
+    read in part order they concatenate to the JSON."""
+    frags = columnar_json_fragments(df, columns, key, names)
+    frags.orderBy("s1", "s2", "s3", "k").select("fragment").write.mode("overwrite").text(path)

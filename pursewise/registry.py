@@ -734,3 +734,22 @@ def _validate_params(spark, sf):
         F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("Week"))
         .when(F.col("o_orderpriority") == "3-MEDIUM", F.lit("week")).otherwise(F.lit("Month")).alias("range"))
     return FI.request_rejects(requests)
+
+
+# ---------------------------------------------------------------- R-5, R-6 columnar documents
+
+COVID_COLUMNS = ("department", "funds_sanctioned", "funds_sanctioned_from", "date", "purpose")
+
+
+@register("covid_document")
+def _covid_document(spark, sf):
+    """R-5 document as ordered fragments (write with ``shaping.write_columnar_json``)."""
+    df = view(spark, sf, "covid").withColumn("funds_sanctioned", F.col("funds_sanctioned").cast("double"))
+    return SH.columnar_json_fragments(df, COVID_COLUMNS, "row_id")
+
+
+@register("tender_document")
+def _tender_document(spark, sf):
+    """R-6 document: classified tenders, every column but the surrogate id."""
+    t = SH.tender_rows(view(spark, sf, "tenders"))
+    return SH.columnar_json_fragments(t, t.columns, "ocid")
