@@ -28,8 +28,10 @@ _ROW = (r"(?is)<tr\b[^>]*?\bclass\s*=\s*(?:\"[^\"]*" + ROW_CLASS_PART + r"[^\"]*
 _HEADER_ROW = (r"(?is)<tr\b[^>]*?\bclass\s*=\s*(?:\"" + HEADER_CLASS + r"\"|'" + HEADER_CLASS
                + r"'|" + HEADER_CLASS + r"(?=[\s>]))[^>]*>(.*?)</tr>")
 _CELL = r"(?is)<td\b[^>]*>(.*?)</td>"
-# A child element with no element inside it; removed once per nesting depth.
-_LEAF_ELEMENT = r"(?is)<([a-z][a-z0-9]*)\b[^>]*>[^<]*</\1\s*>"
+# A child element with no element inside it (void tags such as <br> may sit inside);
+# removed once per nesting depth.
+_VOID = r"<(?:br|img|hr|wbr|input|meta|col|area)\b[^>]*>"
+_LEAF_ELEMENT = r"(?is)<([a-z][a-z0-9]*)\b[^>]*>(?:[^<]|" + _VOID + r")*</\1\s*>"
 _FIRST_TEXT = r"(?s)^(?:<[^>]*>)*([^<]*)"
 _TEXT_NODE = r"(?s)>([^<]+)<"
 
@@ -45,7 +47,7 @@ def data_rows(body: Column) -> Column:
                                  lambda t: F.regexp_extract_all(t, F.lit(_ROW), 1)))
 
 
-def cell_text(cell_html: Column, depth: int = 3) -> Column:
+def cell_text(cell_html: Column, depth: int = 5) -> Column:
     """X-2: the first direct text node of a cell, ``' '`` when it has none.
 
     Child elements are removed innermost first (``depth`` levels of nesting), so

@@ -23,6 +23,9 @@ CASES = {
     " <b>x</b>": " ",
     "R&amp;D &lt;1&gt;": "R&D <1>",
     "&amp;lt;": "&lt;",
+    "<b>x<br>y</b> tail": " tail",
+    "<a>z<b><c><d>x</d></c></b></a>t": "t",
+    "a<br/>b": "a",
 }
 
 
