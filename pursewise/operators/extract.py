@@ -58,7 +58,10 @@ def cell_text(cell_html: Column, depth: int = 5) -> Column:
     for _ in range(depth):
         s = F.regexp_replace(s, _LEAF_ELEMENT, "")
     first = F.regexp_extract(s, _FIRST_TEXT, 1)
-    return F.coalesce(F.nullif(decode_entities(first), F.lit("")), F.lit(" "))
+    # Most cells are plain text: the patterns only run on cells that hold markup.
+    text = F.when(cell_html.contains("<"), first).otherwise(cell_html)
+    text = F.when(text.contains("&"), decode_entities(text)).otherwise(text)
+    return F.coalesce(F.nullif(text, F.lit("")), F.lit(" "))
 
 
 def row_cells(row_html: Column) -> Column:
