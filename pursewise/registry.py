@@ -441,8 +441,8 @@ def _treasuries(spark, sf):
         F.col("value").alias("treasury_id"), F.col("text").alias("treasury_name"))
 
 
-def _query(spark, sf, index=9):
-    forms = CA.forms_html(spark, sf).filter(F.col("form") == "query")
+def _query(spark, sf, index=9, form="query"):
+    forms = CA.forms_html(spark, sf).filter(F.col("form") == form)
     row = EX.query_option(forms, index).first()  # one option: a request parameter
     return row["query_id"], row["query_name"]
 
@@ -512,7 +512,7 @@ def _ddo_read(spark, sf):
 def _plan_budget(spark, sf):
     forms = CA.forms_html(spark, sf).filter(F.col("form") == "budget")
     depts = EX.options(forms, "cmbDpt", skip_placeholder=False)
-    qid, qname = (lambda r: (r["query_id"], r["query_name"]))(EX.query_option(forms, 9).first())
+    qid, qname = _query(spark, sf, 9, form="budget")
     return PL.plan_budget_request(depts, qid, qname, "01/04/2019", PL.EXPENDITURE_UNITS["lakhs"])
 
 
