@@ -8,9 +8,10 @@ as many tasks as its edges hash to.
 
 ``tree_json_fragments`` renders the nested form ``{label: {label: {...}}}`` without
 gathering a tree anywhere: every node gets a text fragment that depends only on itself
-and on whether it and its ancestors are the last child of their parent (a per-parent
-``max`` aggregate). Written in path order (``orderBy`` is a range-partitioned sort), the
-part files concatenate to the document. No group larger than a node's depth is formed.
+and, for a leaf, on how many of its prefixes it is the greatest path under (a partial
+``max`` per prefix, then a count). Written in path order (``orderBy`` is a
+range-partitioned sort), the part files concatenate to the document. The plan has the
+same size at any depth.
 """
 
 from __future__ import annotations
