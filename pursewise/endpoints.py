@@ -5,6 +5,23 @@ as ``%Y-%m-%d``, ``vis_range`` ``Week``/``Month``, and the JSON body
 ``{"filters": {column: "v1, v2"}}`` as text or a dict. Parameters are validated on the
 driver (F-6) before any Spark work; results are lazy DataFrames. Nothing is collected:
 write the result, or turn it into JSON lines with ``shaping.result_json``.
+
+Routes of the reference and their functions here:
+
+    exp_summary -> expenditure_summary        allocation_exp_summary -> allocation_summary
+    detail_exp_week / _month -> allocation_week / allocation_month
+    treasury_exp_week -> spending_week        treasury_exp, treasury_exp_temp -> spending_series
+    treasury_rec -> treasury_receipts_series  schemes -> schemes_series
+    detail_receipts_week / _month -> receipts_week / receipts_month
+    acc_heads -> account_heads                acc_heads_test -> account_heads_tree
+    acc_heads_desc -> account_heads_desc_tree acc_heads_receipts -> receipts_heads_tree
+    acc_heads_treasury -> spending_heads_tree acc_heads_treasury_rec -> treasury_receipts_heads_tree
+    acc_heads_schemes -> schemes_heads_tree   heads_temp -> heads_combinations
+    unique_acc_heads -> unique_heads          unique_acc_heads_treasury -> unique_heads_stored
+    unique_acc_heads_treasury_rec -> unique_heads_treasury_receipts
+    unique_acc_heads_schemes -> unique_heads_schemes
+    covid_summary -> covid_spending           procurement_tenders -> tenders
+    procurement_awards -> awards
 """
 
 from __future__ import annotations
@@ -151,3 +168,17 @@ def tenders(tenders_df: DataFrame) -> DataFrame:
 
 def awards(awards_df: DataFrame, tenders_df: DataFrame) -> DataFrame:
     return JO.awards_with_tenders(awards_df, tenders_df)
+
+
+def heads_combinations(spending: DataFrame, export_path: str | None = None) -> DataFrame:
+    """Distinct head combinations (H-11); with ``export_path`` also written to CSV (S-8)."""
+    out = HE.head_combinations(spending)
+    if export_path:
+        from pursewise.sources.io import export_heads
+
+        export_heads(out, export_path)
+    return out
+
+
+# The temporary copy of the spending series route serves the same query.
+spending_series_temp = spending_series

@@ -30,3 +30,22 @@ def test_heads_endpoints(spark):
     some = EP.spending_heads_tree(sp, {"district": "'NATION_3', 'NATION_8'"}).count()
     assert 0 < some < all_edges
     assert EP.unique_heads(view(spark, SF_SMALL, "allocation")).count() > 0
+
+
+def test_every_route_has_a_function():
+    import re
+
+    doc = EP.__doc__
+    for name in re.findall(r"-> (\w+)", doc):
+        assert callable(getattr(EP, name)), name
+
+
+def test_heads_combinations_export(spark):
+    import os
+    import tempfile
+
+    from pursewise.sources.io import read_csv
+
+    out = os.path.join(tempfile.mkdtemp(prefix="pw-heads-"), "heads")
+    df = EP.heads_combinations(view(spark, SF_SMALL, "spending"), out)
+    assert read_csv(spark, out, "combination string").count() == df.count() > 0
