@@ -5,7 +5,8 @@ after two warm-up passes over all of them, each runs three times and the median
 reported. H-8 is also timed the way the reference runs it, one distinct job per head
 column, as ``h8_per_column``.
 
-Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8).
+Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_EVENT_LOG
+(a folder: write Spark's event log there for stage and task times).
 Prints one JSON line.
 """
 
@@ -59,7 +60,10 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     # local mode: the driver JVM is the whole cluster, so it gets half the machine's memory
     os.environ.setdefault("PURSEWISE_DRIVER_MEMORY", "16g")
-    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2)
+    extra = {}
+    if os.environ.get("BENCH_EVENT_LOG"):  # stage and task times, read from the log afterwards
+        extra = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": os.environ["BENCH_EVENT_LOG"]}
+    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2, extra_conf=extra)
     jobs = {key: (lambda q=registry.QUERIES[name]: _run(q(spark, sf))) for key, name in HEADLINE.items()}
     jobs["h8_per_column"] = lambda: _h8_per_column(spark, sf)
     for _ in range(2):  # two warm-up passes over everything before any timing (JIT)
