@@ -5,9 +5,11 @@ The date filter is a plain ``between`` on a date column, so it reaches the parqu
 sums run on decimals with a partial aggregate before the shuffle (a hot district costs
 one partial row per task, not its rows), and only the final projection casts to double.
 
-The series join the sums to the request's slots. The slot grid is generated per key
-from an array literal (``posexplode(sequence(...))``), so no cross join is planned and
-the grid is exactly the size of the answer: keys x slots.
+The series put every requested slot beside each key's sums: the sums of a key are
+packed into a map by slot (bounded by the request's slot count), and the slot list is an
+array literal exploded per key (``posexplode(sequence(...))``). No cross join or second
+scan is planned, and the grid is exactly the size of the answer: keys x slots. The two
+small shuffles (by key and slot, then by key) come after the partial sums, never before.
 """
 
 from __future__ import annotations
