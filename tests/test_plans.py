@@ -44,3 +44,31 @@ def test_stored_dimensions_prune_partitions(spark):
 def test_extraction_needs_no_python(spark):
     plan = _plan(spark, "html_table_rows")
     assert "MapInPandas" not in plan and "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_partial_sums_before_any_exchange(spark):
+    plan = _plan(spark, "spending_series_week")
+    lines = plan.splitlines()
+    partial = [i for i, l in enumerate(lines) if "partial_sum" in l]
+    # the tree is printed root first: the partial aggregate sits below (after) an exchange line
+    exchanges = [i for i, l in enumerate(lines) if "Exchange hashpartitioning(district" in l]
+    assert partial and exchanges and min(exchanges) < max(partial)
+
+
+def test_edge_distinct_hashes_on_the_whole_edge(spark):
+    plan = _plan(spark, "heads_tree_codes")
+    hashed = [l for l in plan.splitlines() if "Exchange hashpartitioning(level" in l]
+    assert hashed and all("parent_path" in l and "label" in l for l in hashed), hashed
+
+
+def test_spread_only_for_scans_with_few_splits(spark, tmp_path):
+    from pursewise.sources.fixtures import spread_small_scan
+
+    one = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    assert one.rdd.getNumPartitions() == 1
+    assert spread_small_scan(one, 4).rdd.getNumPartitions() == 4
+    many = spark.range(0, 1000, numPartitions=1).repartition(16)
+    path = str(tmp_path / "many")
+    many.write.parquet(path)
+    wide = spark.read.parquet(path)
+    assert spread_small_scan(wide, 4) is wide
