@@ -636,7 +636,27 @@ def _head_dimensions_pruned(spark, sf):
     return HE.read_dimensions(spark, path, ["ddo_code", "district"])
 
 
-@register("heads_tree_json")
+def _sql_tree_json(view_name: str, levels) -> str:
+    """The fragments of R-3 (b) in plain SQL: for each leaf, count the prefixes under which
+    it is the greatest path; inner nodes open a brace."""
+    n = len(levels)
+    labs = ", ".join(f"coalesce(cast({_sql_label(lv)} as varchar), '') as l{i + 1:02d}"
+                     for i, lv in enumerate(levels))
+    path = "[" + ", ".join(f"l{i + 1:02d}" for i in range(n)) + "]"
+    key = "substr(to_json([{p}[-1]]), 2, length(to_json([{p}[-1]])) - 2)"
+    return O.oracle_with(f"""with lab as (select distinct {labs} from {view_name}),
+leaves as (select {path} as path from lab),
+mx as (select max(path) as path from leaves, range(0, {n}) r(m) group by m, path[1:m]),
+runs as (select path, count(*) as run from mx group by path),
+leafrows as (select l.path, coalesce(r.run, 0) as run from leaves l left join runs r on r.path = l.path),
+inner_nodes as (select distinct path[1:i] as path from leaves, range(1, {n}) r(i))
+select to_json(path) as path, concat({key.format(p='path')}, ':{{}}', repeat('}}', least(run, {n - 1})),
+  case when run < {n} then ',' else '' end) as fragment from leafrows
+union all
+select to_json(path) as path, concat({key.format(p='path')}, ':{{') as fragment from inner_nodes""", view_name)
+
+
+@register("heads_tree_json", _sql_tree_json("budget_receipts", HE.RECEIPT_LEVELS))
 def _heads_tree_json(spark, sf):
     """R-3 (b): the receipts head tree (H-4) as ordered JSON fragments, no tree gathered."""
     levels = HE.label_rows(view(spark, sf, "budget_receipts"), HE.RECEIPT_LEVELS)
@@ -741,15 +761,52 @@ def _validate_params(spark, sf):
 COVID_COLUMNS = ("department", "funds_sanctioned", "funds_sanctioned_from", "date", "purpose")
 
 
-@register("covid_document")
+def _sql_json_value(c: str) -> str:
+    return f"substr(to_json([{c}]), 2, length(to_json([{c}])) - 2)"
+
+
+def _sql_columnar(select_sql: str, columns, key: str, key_type: str = "bigint") -> str:
+    """R-5 / R-6 fragments in plain SQL (the oracle of ``columnar_json_fragments``)."""
+    cols = ", ".join(f"({i}, '{c}')" for i, c in enumerate(columns))
+    vals = " union all ".join(
+        f"select 1 as s1, {i} as s2, 1 as s3, {key} as k, "
+        f"case when {key} = f.k0 then '' else ',' end || {_sql_json_value(c)} as fragment from t, f"
+        for i, c in enumerate(columns))
+    return f"""with t as ({select_sql}),
+f as (select min({key}) as k0, count(*) as n from t),
+cols(s2, name) as (values {cols})
+select 0 as s1, 0 as s2, 0 as s3, cast(null as {key_type}) as k, '{{"records":{{' as fragment
+union all select 1, s2, 0, null, case when s2 > 0 then ',' else '' end || '"' || name || '":[' from cols
+union all select 1, s2, 2, null, ']' from cols
+union all select 2, 0, 0, null, '}},"count":' || cast(n as varchar) || '}}' from f
+union all {vals}"""
+
+
+@register("covid_document", O.oracle_with(_sql_columnar(
+    "select row_id, department, cast(funds_sanctioned as double) as funds_sanctioned, "
+    "funds_sanctioned_from, date, purpose from covid",
+    ("department", "funds_sanctioned", "funds_sanctioned_from", "date", "purpose"), "row_id"), "covid"))
 def _covid_document(spark, sf):
     """R-5 document as ordered fragments (write with ``shaping.write_columnar_json``)."""
     df = view(spark, sf, "covid").withColumn("funds_sanctioned", F.col("funds_sanctioned").cast("double"))
     return SH.columnar_json_fragments(df, COVID_COLUMNS, "row_id")
 
 
-@register("tender_document")
+_TENDER_COLUMNS = ("ocid", "id", "date", "tender_value_amount", "buyer_name", "classification_id")
+
+
+@register("tender_document", O.oracle_with(_sql_columnar(
+    "select ocid, id, date, cast(tender_value_amount as double) as tender_value_amount, buyer_name, "
+    "classification_id from tenders where classification_id != ''", _TENDER_COLUMNS, "ocid", "varchar"),
+    "tenders"))
 def _tender_document(spark, sf):
     """R-6 document: classified tenders, every column but the surrogate id."""
     t = SH.tender_rows(view(spark, sf, "tenders"))
     return SH.columnar_json_fragments(t, t.columns, "ocid")
+
+
+@register("heads_tree_json_spending", _sql_tree_json("spending", HE.SPENDING_LEVELS))
+def _heads_tree_json_spending(spark, sf):
+    """R-3 (b) on the 12-level spending tree (H-5)."""
+    levels = HE.label_rows(view(spark, sf, "spending"), HE.SPENDING_LEVELS)
+    return TR.tree_json_fragments(levels).select(F.to_json("path").alias("path"), "fragment")
