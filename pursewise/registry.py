@@ -546,7 +546,16 @@ def _skip_collected(spark, sf):
     return PL.missing(plan, files)
 
 
-@register("request_url")
+def _sql_url_encode(c: str) -> str:
+    return f"replace(url_encode({c}), '%20', '+')"
+
+
+_SQL_URL = ("concat('https://example.invalid/report.asp?', " + ", '&', ".join(
+    f"'{k}=', {_sql_url_encode(c)}" for k, c in zip(
+        PL.TREASURY_PARAMS, ("start", '"end"', "query_id", "hod_code", "query_name"))) + ")")
+
+
+@register("request_url", f"{_SQL_PLAN} select {_PLAN_COLS}, {_SQL_URL} as url from plan")
 def _request_url(spark, sf):
     plan = _treasury_plan(spark, sf)
     return PL.request_url(plan, "https://example.invalid/report.asp", list(zip(
