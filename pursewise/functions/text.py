@@ -58,3 +58,10 @@ def url_encode(c) -> Column:
 def matches_day_pattern(c) -> Column:
     """E-13: ``dd/mm/yyyy`` at the start of the text (a prefix match, like ``re.match``)."""
     return _c(c).rlike(r"^[0-9]{2}/[0-9]{2}/[0-9]{4}")
+
+
+def json_value(c) -> Column:
+    """A value as JSON text (string quoted and escaped, number, date as text, null):
+    ``to_json`` of a one-element array, brackets dropped."""
+    j = F.to_json(F.array(_c(c)))
+    return j.substr(F.lit(2), F.length(j) - F.lit(2))

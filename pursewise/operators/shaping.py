@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pursewise.functions.text import json_value
 from pursewise.operators.filters import classified
 
 
@@ -98,12 +99,6 @@ def result_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("count"))
 
 
-def _json_value(c):
-    # to_json of a one-element array gives [v] with JSON typing and escaping; drop brackets.
-    j = F.to_json(F.array(c))
-    return j.substr(F.lit(2), F.length(j) - F.lit(2))
-
-
 def columnar_json_fragments(df: DataFrame, columns: Sequence[str], key: str,
                             names: Sequence[str] | None = None) -> DataFrame:
     """R-5 / R-6 document ``{"records": {name: [values in key order], ...}, "count": n}``
@@ -131,7 +126,7 @@ def columnar_json_fragments(df: DataFrame, columns: Sequence[str], key: str,
         "s1", "s2", "s3", F.lit(None).cast(k_type).alias("k"), "fragment")
     parts.append(fixed)
     comma = F.when(F.col(key) == F.lit(first_key), F.lit("")).otherwise(F.lit(","))
-    cells = F.array(*[F.struct(F.lit(i).alias("s2"), _json_value(F.col(c)).alias("v"))
+    cells = F.array(*[F.struct(F.lit(i).alias("s2"), json_value(F.col(c)).alias("v"))
                       for i, c in enumerate(columns)])
     values = df.select(F.col(key), F.inline(cells)).select(
         F.lit(1).alias("s1"), "s2", F.lit(1).alias("s3"), F.col(key).alias("k"),

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pursewise.functions.text import json_value
+
 # Fixed value: joins the labels of a parent path; no label contains it.
 PATH_SEP = "\u001f"
 
@@ -50,12 +52,6 @@ def tree_edges(levels_df: DataFrame, sep: str = PATH_SEP) -> DataFrame:
     return levels_df.select(F.inline(edges)).distinct()
 
 
-def _json_key(label: Column) -> Column:
-    # to_json of a one-element array gives ["..."] with JSON escaping; drop the brackets.
-    j = F.to_json(F.array(label))
-    return j.substr(F.lit(2), F.length(j) - F.lit(2))
-
-
 def tree_json_fragments(levels_df: DataFrame) -> DataFrame:
     """R-3 (b): ``(path, fragment)``; ``'{' + concat(fragments ordered by path) + '}'``
     is the nested document ``{root: {child: {... {leaf: {}}}}}``.
@@ -78,14 +74,14 @@ def tree_json_fragments(levels_df: DataFrame) -> DataFrame:
                 .groupBy("path").agg(F.count(F.lit(1)).alias("run")))
     leaf_rows = leaves.join(greatest, "path", "left").select(
         "path", F.coalesce("run", F.lit(0)).alias("run"))
-    key = _json_key(F.element_at("path", -1))
+    key = json_value(F.element_at("path", -1))
     closes = F.least(F.col("run"), F.lit(n - 1))
     leaf_frag = F.concat(key, F.lit(":{}"), F.repeat(F.lit("}"), closes),
                          F.when(F.col("run") < n, F.lit(",")).otherwise(F.lit("")))
     inner = leaves.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(max(n - 1, 1))),
                                                 lambda i: F.slice("path", 1, i))).alias("path"))
     inner = inner.filter(F.size("path") < n).distinct()
-    inner_frag = F.concat(_json_key(F.element_at("path", -1)), F.lit(":{"))
+    inner_frag = F.concat(json_value(F.element_at("path", -1)), F.lit(":{"))
     return leaf_rows.select("path", leaf_frag.alias("fragment")).unionByName(
         inner.select("path", inner_frag.alias("fragment")))
 
