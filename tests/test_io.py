@@ -73,3 +73,10 @@ def test_missing_against_listed_files(spark):
         "date", PL.budget_path("budget_receipts", F.col("date")).alias("path"))
     todo = PL.missing(plan, files, header_bytes=len(header.encode()))
     assert sorted(r["date"] for r in todo.collect()) == ["02/04/2019", "03/04/2019", "04/04/2019"]
+
+
+def test_database_reader_checks_partitions(spark):
+    import pytest
+
+    with pytest.raises(ValueError):
+        IO.read_database_table(spark, "jdbc:none://x", "t", "id", 0, 10, 0)
