@@ -18,11 +18,14 @@ from pyspark.sql.types import StructType
 DDO_HEADER = ("DDO Code", "DDO Name")
 RECEIPTS_HEADER = ("Maj-Smj-Min-Smn [Sub Minor Head]", "date", "Total Receipt")
 
+# Null is written as \N (the MySQL convention), so an empty field always means '' and
+# both survive a round trip; blank cells need the two whitespace options off.
 CSV_OPTIONS = {
     "header": "true",
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
     "escape": '"',
+    "nullValue": "\\N",
 }
 
 

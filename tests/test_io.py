@@ -80,3 +80,11 @@ def test_database_reader_checks_partitions(spark):
 
     with pytest.raises(ValueError):
         IO.read_database_table(spark, "jdbc:none://x", "t", "id", 0, 10, 0)
+
+
+def test_empty_null_and_blank_survive_csv(spark):
+    df = spark.createDataFrame([("k", "", None, " ")], "key string, e string, n string, b string")
+    path = _tmp("csv")
+    IO.write_datasets(df, path, ("key",))
+    back = IO.read_csv(spark, path, "e string, n string, b string, key string").first()
+    assert (back["e"], back["n"], back["b"]) == ("", None, " ")
