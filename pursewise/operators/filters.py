@@ -104,17 +104,30 @@ def apply_filters(df: DataFrame, payload: Mapping | None, single: bool = False)
     return df
 
 
+# Partition column of stored fact tables: year * 100 + month of the date column.
+MONTH_KEY = "month_key"
+
+
+def month_key(d: Column) -> Column:
+    return (F.year(d) * 100 + F.month(d)).cast("int")
+
+
 def date_range(df: DataFrame, col: str, start, end) -> DataFrame:
     """F-1: both ends included, compared as dates (Q-9).
 
     A timestamp column is compared through ``cast(col as date)``, so the whole end day
-    counts; the optimizer still turns that into bounds on the column at the scan.
+    counts; the optimizer still turns that into bounds on the column at the scan. A table
+    stored by ``io.write_fact_table`` carries ``month_key``; the same range on it prunes
+    the scan to the months' folders.
     """
     s, e = parse_day(start), parse_day(end)
     c = F.col(col)
     if df.schema[col].dataType.typeName() in ("timestamp", "timestamp_ntz"):
         c = c.cast("date")
-    return df.filter(c.between(F.lit(s), F.lit(e)))
+    out = df.filter(c.between(F.lit(s), F.lit(e)))
+    if MONTH_KEY in df.columns:
+        out = out.filter(F.col(MONTH_KEY).between(s.year * 100 + s.month, e.year * 100 + e.month))
+    return out
 
 
 def classified(df: DataFrame, col: str = "classification_id") -> DataFrame:

@@ -140,3 +140,13 @@ def read_database_table(spark: SparkSession, url: str, table: str, partition_col
             "numPartitions": str(num_partitions)}
     opts.update({k: str(v) for k, v in (properties or {}).items()})
     return spark.read.format("jdbc").options(**opts).load()
+
+
+def write_fact_table(df: DataFrame, path: str, date_col: str) -> None:
+    """Store a fact table as parquet partitioned by ``month_key`` of its date column, so a
+    date range prunes the scan to its months (see ``filters.date_range``). Rebalanced on
+    the month: AQE splits a month that holds a large share of the rows."""
+    from pursewise.operators.filters import MONTH_KEY, month_key
+
+    out = df.withColumn(MONTH_KEY, month_key(F.col(date_col))).hint("rebalance", MONTH_KEY)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH_KEY).parquet(path)

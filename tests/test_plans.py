@@ -72,3 +72,18 @@ def test_spread_only_for_scans_with_few_splits(spark, tmp_path):
     many.write.parquet(path)
     wide = spark.read.parquet(path)
     assert spread_small_scan(wide, 4) is wide
+
+
+def test_stored_fact_table_prunes_months_and_gives_the_same_series(spark, tmp_path):
+    from pursewise.operators.facts import SPENDING, series
+    from pursewise.sources.fixtures import view
+    from pursewise.sources.io import write_fact_table
+
+    path = str(tmp_path / "spending")
+    write_fact_table(view(spark, SF_SMALL, "spending"), path, "transdate")
+    stored = spark.read.parquet(path)
+    a = series(stored, SPENDING, "week", "1997-04-01", "1998-03-31")
+    b = series(view(spark, SF_SMALL, "spending"), SPENDING, "week", "1997-04-01", "1998-03-31")
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    plan = a._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month_key" in plan and "(month_key" in plan
