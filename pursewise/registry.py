@@ -819,3 +819,11 @@ def _heads_tree_json_spending(spark, sf):
     """R-3 (b) on the 12-level spending tree (H-5)."""
     levels = HE.label_rows(view(spark, sf, "spending"), HE.SPENDING_LEVELS)
     return TR.tree_json_fragments(levels).select(F.to_json("path").alias("path"), "fragment")
+
+
+@register("spending_series_week_stored", ORACLES["spending_series_week"])
+def _spending_series_week_stored(spark, sf):
+    """G-5 over the spending table stored by month: the range reads only its months."""
+    path = scratch(spark, "spending-by-month")
+    IO.write_fact_table(view(spark, sf, "spending"), path, "transdate")
+    return FA.series(spark.read.parquet(path), FA.SPENDING, "week", *RANGE_YEAR)
