@@ -232,6 +232,21 @@ def split_head(df: DataFrame, col: str = "head") -> DataFrame:
         F.regexp_extract(c, pat, 5).alias("sub_minor_desc"))
 
 
+def major_list(responses: DataFrame, body: str = "body") -> DataFrame:
+    """The (major, major_desc) pairs a receipts response lists as ``code-desc``."""
+    majors = F.xpath(F.col(body), F.lit("//*[local-name()='ReceiptMajorDetail']/*[local-name()='Major']/text()"))
+    m = responses.select(F.explode(majors).alias("_m"))
+    return m.select(F.regexp_extract("_m", r"^\s*([^-]*?)\s*-", 1).alias("major"),
+                    F.regexp_extract("_m", r"^[^-]*-\s*(.*?)\s*$", 1).alias("major_desc")).distinct()
+
+
+def with_major_desc(split_rows: DataFrame, majors: DataFrame) -> DataFrame:
+    """X-12: the description of each row's major, which the head text lacks, from the
+    major list. A left join: a major missing from the list keeps its row with a null.
+    The list is one row per major code (a dimension), planned by size."""
+    return split_rows.join(majors, "major", "left")
+
+
 # ---------------------------------------------------------------- stdlib-parser fallback
 
 def extract_rows_parsed(responses: DataFrame, keys: Sequence[str] = ("treasury_id", "ddo_code", "from_date", "to_date"),

@@ -101,9 +101,13 @@ def unique_heads(df: DataFrame, heads: Sequence) -> DataFrame:
     return df.select(F.inline(pairs)).distinct()
 
 
-def head_combinations(df: DataFrame, cols: Sequence[str] = COMBINATION_COLUMNS) -> DataFrame:
-    """H-11: distinct ``concat_ws('+', ...)`` of the head columns (nulls skipped)."""
-    return df.select(F.concat_ws("+", *[F.col(c) for c in cols]).alias("combination")).distinct()
+def head_combinations(df: DataFrame, cols: Sequence[str] = COMBINATION_COLUMNS,
+                      keep_columns: bool = False) -> DataFrame:
+    """H-11: distinct ``concat_ws('+', ...)`` of the head columns (nulls skipped, which
+    shifts the parts). With ``keep_columns`` the separate columns stay beside it, so a
+    combination whose parts shifted can still be read back."""
+    combo = F.concat_ws("+", *[F.col(c) for c in cols]).alias("combination")
+    return df.select(combo, *(cols if keep_columns else ())).distinct()
 
 
 def build_dimensions(df: DataFrame, path: str, heads: Sequence[str] = DIMENSION_HEADS) -> None:

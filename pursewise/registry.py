@@ -827,3 +827,18 @@ def _spending_series_week_stored(spark, sf):
     path = scratch(spark, "spending-by-month")
     IO.write_fact_table(view(spark, sf, "spending"), path, "transdate")
     return FA.series(spark.read.parquet(path), FA.SPENDING, "week", *RANGE_YEAR)
+
+
+@register("query_option_receipts", "select query_id, query_name from (select lpad(cast(p_size as varchar), 3, '0') "
+          "as query_id, concat('Consolidated report size ', cast(p_size as varchar)) as query_name, "
+          "row_number() over (order by p_size) - 1 as idx from (select distinct p_size from part)) "
+          "where idx = 1")
+def _query_option_receipts(spark, sf):
+    """X-7 for treasury receipts: the query at index 1."""
+    return EX.query_option(CA.forms_html(spark, sf).filter(F.col("form") == "query"), 1)
+
+
+register("head_combinations_with_columns", O.oracle_with(
+    f"select distinct concat_ws('+', {', '.join(HE.COMBINATION_COLUMNS)}) as combination, "
+    f"{', '.join(HE.COMBINATION_COLUMNS)} from spending", "spending"))(
+    lambda spark, sf: HE.head_combinations(view(spark, sf, "spending"), keep_columns=True))

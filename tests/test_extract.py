@@ -97,3 +97,15 @@ def test_unquoted_and_single_quoted_attributes(spark):
     opts = [(r["position"], r["value"], r["text"]) for r in
             EX.options(df, "cmbDpt", skip_placeholder=False).orderBy("position").collect()]
     assert opts == [(0, "D01", "One"), (1, "D02", "Two")]
+
+
+def test_major_desc_joined_from_major_list(spark):
+    xml = ('<r xmlns="urn:x"><ReceiptMajorDetail><Major>0020 - Stamps and Registration</Major></ReceiptMajorDetail>'
+           '<ReceiptMajorDetail><Major>0021-Taxes</Major></ReceiptMajorDetail>'
+           '<ReceiptSubMinorDetail><H>0020-00-101-01 [Court fees]</H><T>5</T></ReceiptSubMinorDetail>'
+           '<ReceiptSubMinorDetail><H>0039-00-1-02 [x]</H><T>1</T></ReceiptSubMinorDetail></r>')
+    df = spark.createDataFrame([("0", "01/04/2019", xml)], "public_head_bool string, date string, body string")
+    rows = EX.receipt_rows(df).select(F.col("cols")[0].alias("head"))
+    out = EX.with_major_desc(EX.split_head(rows), EX.major_list(df))
+    got = sorted((r["major"], r["major_desc"]) for r in out.collect())
+    assert got == [("0020", "Stamps and Registration"), ("0039", None)]
