@@ -141,3 +141,19 @@ def write_columnar_json(df: DataFrame, path: str, columns: Sequence[str], key: s
     read in part order they concatenate to the JSON."""
     frags = columnar_json_fragments(df, columns, key, names)
     frags.orderBy("s1", "s2", "s3", "k").select("fragment").write.mode("overwrite").text(path)
+
+
+def records_json_fragments(df: DataFrame, key: str) -> DataFrame:
+    """R-7 document ``{"records": [row, ...], "count": n}`` as ordered fragments
+    ``(s1, k, fragment)``: one per row plus the opening and the count, in ``key`` order
+    (unique, not null). Written like the columnar document; nothing is gathered."""
+    first_key, count = df.agg(F.min(key), F.count(F.lit(1))).first()
+    k_type = df.schema[key].dataType.simpleString()
+    fixed = df.sparkSession.createDataFrame(
+        [(0, '{"records":['), (2, '],"count":' + str(count) + "}")], "s1 int, fragment string"
+    ).select("s1", F.lit(None).cast(k_type).alias("k"), "fragment")
+    comma = F.when(F.col(key) == F.lit(first_key), F.lit("")).otherwise(F.lit(","))
+    rows = df.select(F.lit(1).alias("s1"), F.col(key).alias("k"),
+                     F.concat(comma, F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+                     .alias("fragment"))
+    return fixed.unionByName(rows)

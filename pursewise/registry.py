@@ -842,3 +842,17 @@ register("head_combinations_with_columns", O.oracle_with(
     f"select distinct concat_ws('+', {', '.join(HE.COMBINATION_COLUMNS)}) as combination, "
     f"{', '.join(HE.COMBINATION_COLUMNS)} from spending", "spending"))(
     lambda spark, sf: HE.head_combinations(view(spark, sf, "spending"), keep_columns=True))
+
+
+_PLAN_FIELDS = ("start", "end", "query_id", "query_name", "treasury_id", "treasury_name", "ddo_code", "hod_code")
+_SQL_STRUCT = "{" + ", ".join(f"'{c}': \"{c}\"" for c in _PLAN_FIELDS) + "}"
+
+
+@register("result_document", f"{_SQL_PLAN}, f as (select min(hod_code) as k0, count(*) as n from plan) "
+          "select 0 as s1, cast(null as varchar) as k, '{\"records\":[' as fragment "
+          "union all select 2, null, '],\"count\":' || cast(n as varchar) || '}' from f "
+          "union all select 1, hod_code, case when hod_code = k0 then '' else ',' end || "
+          f"to_json({_SQL_STRUCT}) from plan, f")
+def _result_document(spark, sf):
+    """R-7 envelope ``{"records": [...], "count": n}`` over the request plan, as fragments."""
+    return SH.records_json_fragments(_treasury_plan(spark, sf), "hod_code")

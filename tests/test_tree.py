@@ -74,3 +74,12 @@ def test_columnar_document_matches_brute_force(spark):
     assert json.loads(text) == want
     empty = columnar_json_fragments(df.filter("false"), cols, "row_id").orderBy("s1", "s2", "s3", "k").collect()
     assert json.loads("".join(f["fragment"] for f in empty)) == {"records": {c: [] for c in cols}, "count": 0}
+
+
+def test_records_document_matches_rows(spark):
+    from pursewise.operators.shaping import records_json_fragments
+
+    df = spark.read.parquet(f"{SF_SMALL}/nation.parquet")
+    frags = records_json_fragments(df, "n_nationkey").orderBy("s1", "k").collect()
+    doc = json.loads("".join(f["fragment"] for f in frags))
+    assert doc["count"] == 25 and doc["records"] == [r.asDict() for r in df.orderBy("n_nationkey").collect()]
