@@ -31,7 +31,9 @@ _CELL = r"(?is)<td\b[^>]*>(.*?)</td>"
 # A child element with no element inside it (void tags such as <br> may sit inside);
 # removed once per nesting depth.
 _VOID = r"<(?:br|img|hr|wbr|input|meta|col|area)\b[^>]*>"
-_LEAF_ELEMENT = r"(?is)<([a-z][a-z0-9]*)\b[^>]*>(?:[^<]|" + _VOID + r")*</\1\s*>"
+# Possessive runs: the group repeats once per text run or void tag, not once per
+# character, so a long cell cannot overflow the regex engine's stack.
+_LEAF_ELEMENT = r"(?is)<([a-z][a-z0-9]*)\b[^>]*+>(?:[^<]++|" + _VOID + r")*+</\1\s*>"
 _FIRST_TEXT = r"(?s)^(?:<[^>]*>)*([^<]*)"
 _TEXT_NODE = r"(?s)>([^<]+)<"
 

@@ -109,3 +109,11 @@ def test_major_desc_joined_from_major_list(spark):
     out = EX.with_major_desc(EX.split_head(rows), EX.major_list(df))
     got = sorted((r["major"], r["major_desc"]) for r in out.collect())
     assert got == [("0020", "Stamps and Registration"), ("0039", None)]
+
+
+def test_long_cells_do_not_overflow_the_regex_stack(spark):
+    big = "x" * 100000
+    body = f'<table><tr class="pope"><td><b>{big}</b> tail</td><td>a<br>{big}</td><td>{big}</td></tr></table>'
+    df = spark.createDataFrame([("k", body)], "key string, body string")
+    cells = EX.extract_rows(df, keys=("key",)).first()["cells"]
+    assert [len(c) for c in cells] == [5, 1, 100000]
