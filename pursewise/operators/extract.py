@@ -197,10 +197,28 @@ def ddo_list(forms: DataFrame, key: str = "treasury_code") -> DataFrame:
     return o.select(key, F.col("value").alias("ddo_code"), F.col("text").alias("ddo_name"))
 
 
+_PREFIX = r"(?:[A-Za-z_][\w.-]*:)?"
+
+
+def _elements(text: Column, name: str) -> Column:
+    """Inner text of every ``name`` element, any namespace prefix. Patterns instead of an
+    XML parser: a malformed or truncated response (an error page in place of XML) then
+    gives no elements instead of failing the job."""
+    return F.regexp_extract_all(
+        text, F.lit(r"(?s)<" + _PREFIX + name + r"\b[^>]*+>(.*?)</" + _PREFIX + name + r"\s*>"), 1)
+
+
+def _majors(body: Column) -> Column:
+    """Text of each ``ReceiptMajorDetail/Major``, entities decoded."""
+    return F.transform(
+        F.flatten(F.transform(_elements(body, "ReceiptMajorDetail"), lambda d: _elements(d, "Major"))),
+        lambda m: decode_entities(F.regexp_replace(m, r"<[^>]*>", "")))
+
+
 def major_codes(responses: DataFrame, keys: Sequence[str] = ("public_head_bool", "date"),
                 body: str = "body") -> DataFrame:
     """X-9: every run of digits in each ``ReceiptMajorDetail/Major``, namespaces ignored."""
-    majors = F.xpath(F.col(body), F.lit("//*[local-name()='ReceiptMajorDetail']/*[local-name()='Major']/text()"))
+    majors = _majors(F.col(body))
     return (responses.select(*keys, F.explode(majors).alias("_m"))
             .select(*keys, F.explode(F.regexp_extract_all(F.col("_m"), F.lit("([0-9]+)"), 1))
                     .alias("major_code")))
@@ -210,10 +228,7 @@ def receipt_rows(responses: DataFrame, keys: Sequence[str] = ("public_head_bool"
                  body: str = "body", date: str = "date") -> DataFrame:
     """X-10: per ``ReceiptSubMinorDetail``, its non-blank text lines in order with the
     request date put second: ``(keys..., pos, cols array<string>)``."""
-    elems = F.regexp_extract_all(
-        F.col(body),
-        F.lit(r"(?s)<(?:[A-Za-z_][\w.-]*:)?ReceiptSubMinorDetail\b[^>]*>(.*?)</(?:[A-Za-z_][\w.-]*:)?ReceiptSubMinorDetail\s*>"),
-        1)
+    elems = _elements(F.col(body), "ReceiptSubMinorDetail")
     rows = responses.select(*keys, F.posexplode(elems).alias("pos", "_e"))
     texts = F.regexp_extract_all(F.concat(F.lit(">"), F.col("_e"), F.lit("<")), F.lit(_TEXT_NODE), 1)
     lines = F.flatten(F.transform(texts, lambda t: F.regexp_extract_all(t, F.lit("([^\n]+)"), 1)))
@@ -236,8 +251,7 @@ def split_head(df: DataFrame, col: str = "head") -> DataFrame:
 
 def major_list(responses: DataFrame, body: str = "body") -> DataFrame:
     """The (major, major_desc) pairs a receipts response lists as ``code-desc``."""
-    majors = F.xpath(F.col(body), F.lit("//*[local-name()='ReceiptMajorDetail']/*[local-name()='Major']/text()"))
-    m = responses.select(F.explode(majors).alias("_m"))
+    m = responses.select(F.explode(_majors(F.col(body))).alias("_m"))
     return m.select(F.regexp_extract("_m", r"^\s*([^-]*?)\s*-", 1).alias("major"),
                     F.regexp_extract("_m", r"^[^-]*-\s*(.*?)\s*$", 1).alias("major_desc")).distinct()
 

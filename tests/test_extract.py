@@ -117,3 +117,17 @@ def test_long_cells_do_not_overflow_the_regex_stack(spark):
     df = spark.createDataFrame([("k", body)], "key string, body string")
     cells = EX.extract_rows(df, keys=("key",)).first()["cells"]
     assert [len(c) for c in cells] == [5, 1, 100000]
+
+
+def test_malformed_responses_do_not_fail_the_job(spark):
+    df = spark.createDataFrame(
+        [("0", "01/04/2019", "<html><body>Server Error</body>"),
+         ("0", "02/04/2019", "<r><ReceiptMajorDetail><Major>0020-x</Major></ReceiptMajorDetail>"),
+         ("0", "03/04/2019", None)],
+        "public_head_bool string, date string, body string")
+    assert [r["major_code"] for r in EX.major_codes(df).collect()] == ["0020"]
+    assert EX.receipt_rows(df).count() == 0
+    pages = spark.createDataFrame([("k", "<table><tr class='pope'><td>x", 200), ("j", None, 200)],
+                                  "key string, body string, status int")
+    assert EX.extract_rows(pages, keys=("key",)).count() == 0
+    assert {r["response_status"] for r in EX.classify(pages).collect()} == {"empty"}
