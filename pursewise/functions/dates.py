@@ -51,7 +51,11 @@ def month_num(d: ColumnOrName) -> Column:
 
 
 def as_date(x: ColumnOrName, fmt: str | None = None) -> Column:
-    """E-3 / E-7: ``DATE(x)``; with a format, parse text such as ``dd/MM/yyyy``."""
+    """E-3 / E-7: ``DATE(x)``; with a format, parse text such as ``dd/MM/yyyy``.
+
+    Strict: under ANSI mode a value that does not parse fails the job. For text from
+    outside (crawled files, request tables) use ``try_as_date``.
+    """
     x = _c(x)
     return F.to_date(x, fmt) if fmt else x.cast("date")
 
