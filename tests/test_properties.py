@@ -78,3 +78,52 @@ def test_tree_document_matches_nested_dict(spark, paths):
         for x in p:
             cur = cur.setdefault(x, {})
     assert json.loads("{" + "".join(f["fragment"] for f in frags) + "}") == want
+
+
+DAY0 = __import__("datetime").date(2019, 11, 1)
+FACT = st.tuples(st.sampled_from(["A", "B", "C"]), st.integers(0, 480), st.integers(-50, 500))
+
+
+def _brute_series(facts, start, end, grain):
+    import datetime as dt
+    from collections import defaultdict
+
+    def key(d):
+        return d - dt.timedelta(days=(d.weekday() + 1) % 7) if grain == "week" else d.replace(day=1)
+
+    def step(d):
+        if grain == "week":
+            return d + dt.timedelta(days=7)
+        return (d.replace(day=28) + dt.timedelta(days=4)).replace(day=1)
+
+    slots, s = [], key(start)
+    while s <= key(end):
+        slots.append(s)
+        s = step(s)
+    sums = defaultdict(int)
+    for dist, day, amt in facts:
+        d = DAY0 + dt.timedelta(days=day)
+        if start <= d <= end:
+            sums[(dist, key(d))] += amt
+    dists = sorted({k[0] for k in sums})
+    label = (lambda s: int(min(s + dt.timedelta(days=6), end).strftime("%U"))) if grain == "week" \
+        else (lambda s: s.month)
+    return sorted((d, i, s, label(s), float(sums.get((d, s), 0))) for d in dists for i, s in enumerate(slots))
+
+
+@SETTINGS
+@given(st.lists(FACT, min_size=0, max_size=60), st.integers(0, 480), st.integers(0, 120),
+       st.sampled_from(["week", "month"]))
+def test_series_matches_brute_force(spark, facts, first, span, grain):
+    import datetime as dt
+    from decimal import Decimal
+
+    from pursewise.operators.facts import FactSpec, series
+
+    start = DAY0 + dt.timedelta(days=first)
+    end = start + dt.timedelta(days=span)
+    rows = [(d, DAY0 + dt.timedelta(days=day), Decimal(a)) for d, day, a in facts]
+    df = spark.createDataFrame(rows, "district string, transdate date, gross decimal(18,2)")
+    spec = FactSpec("transdate", ("gross",), ("district",))
+    got = sorted(tuple(r) for r in series(df, spec, grain, start, end).collect())
+    assert got == _brute_series(facts, start, end, grain)
