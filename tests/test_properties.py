@@ -127,3 +127,28 @@ def test_series_matches_brute_force(spark, facts, first, span, grain):
     spec = FactSpec("transdate", ("gross",), ("district",))
     got = sorted(tuple(r) for r in series(df, spec, grain, start, end).collect())
     assert got == _brute_series(facts, start, end, grain)
+
+
+CODE = st.text(alphabet=st.sampled_from(list("0123a")), min_size=0, max_size=4)
+
+
+@SETTINGS
+@given(st.lists(CODE, min_size=1, max_size=30), st.lists(CODE, min_size=1, max_size=4),
+       st.lists(st.integers(0, 40), min_size=0, max_size=3))
+def test_in_filter_matches_model(spark, codes, quoted, bare):
+    from decimal import Decimal, InvalidOperation
+
+    from pursewise.operators.filters import apply_filters
+
+    def as_number(v):
+        try:
+            return Decimal(v)
+        except InvalidOperation:
+            return None
+
+    text = ", ".join([f"'{q}'" for q in quoted] + [str(b) for b in bare])
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(codes)], "i int, code string")
+    got = sorted(r["i"] for r in apply_filters(df, {"filters": {"code": text}}).collect())
+    want = sorted(i for i, c in enumerate(codes)
+                  if c in quoted or (as_number(c) is not None and as_number(c) in {Decimal(b) for b in bare}))
+    assert got == want
