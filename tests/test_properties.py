@@ -152,3 +152,45 @@ def test_in_filter_matches_model(spark, codes, quoted, bare):
     want = sorted(i for i, c in enumerate(codes)
                   if c in quoted or (as_number(c) is not None and as_number(c) in {Decimal(b) for b in bare}))
     assert got == want
+
+
+NLABEL = st.one_of(st.none(), st.sampled_from(["a", "b", "a b", ""]))
+
+
+@SETTINGS
+@given(st.lists(st.tuples(NLABEL, NLABEL, NLABEL), min_size=1, max_size=30))
+def test_tree_edges_match_brute_force(spark, rows):
+    from pursewise.operators.tree import PATH_SEP, tree_edges
+
+    df = spark.createDataFrame(rows, "l1 string, l2 string, l3 string")
+    got = {(e["level"], e["parent_path"], e["label"]) for e in tree_edges(df).collect()}
+    want = set()
+    for r in rows:
+        labels = ["" if x is None else x for x in r]
+        for i in range(3):
+            want.add((i + 1, PATH_SEP.join(labels[:i]), labels[i]))
+    assert got == want
+
+
+@SETTINGS
+@given(st.lists(FACT, min_size=0, max_size=60), st.integers(0, 480), st.integers(0, 400),
+       st.sampled_from(["week", "month"]))
+def test_period_sums_match_brute_force(spark, facts, first, span, grain):
+    import datetime as dt
+    from collections import defaultdict
+    from decimal import Decimal
+
+    from pursewise.operators.facts import period_sums
+
+    start = DAY0 + dt.timedelta(days=first)
+    end = start + dt.timedelta(days=span)
+    rows = [(d, DAY0 + dt.timedelta(days=day), Decimal(a)) for d, day, a in facts]
+    df = spark.createDataFrame(rows, "district string, transdate date, gross decimal(18,2)")
+    got = sorted(tuple(r) for r in period_sums(df, "transdate", ["gross"], grain, start, end,
+                                               by=("district",)).collect())
+    sums = defaultdict(int)
+    for d, day, a in facts:
+        x = DAY0 + dt.timedelta(days=day)
+        if start <= x <= end:
+            sums[(d, int(x.strftime("%U")) if grain == "week" else x.month)] += a
+    assert got == sorted((d, p, float(v)) for (d, p), v in sums.items())
