@@ -23,6 +23,7 @@ _MEMBER = re.compile(
     r"""\s*(?:'((?:[^']|'')*)'|"((?:[^"]|"")*)"|([^,]*?))\s*(?:,|$)"""
 )
 
+# The accepted ranges and the receipts date pattern (dd/mm/yyyy).
 VIS_RANGES = ("Week", "Month")
 RECEIPT_DATE = re.compile(r"[0-9]{2}/[0-9]{2}/[0-9]{4}")
 

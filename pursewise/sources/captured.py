@@ -12,11 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pursewise.operators.extract import HEADER_CLASS, NO_RECORD_TEXT
 from pursewise.sources.fixtures import load_tables
 
-# Markers the captured pages carry.
-NO_RECORD_TEXT = "There is no record with given values"
-HEADER_CLASS = "popupheadingeKosh"
+# Headings of the rendered dataset pages (our own fixture, not the site's).
 HEADER_CELLS = ("DDO Name", "Major Head", "Flag", "Budget", "Object", "Gross Amount", "Voucher Date")
 
 # Rows that go into the dataset pages: one page per (treasury, DDO, ship month); a
