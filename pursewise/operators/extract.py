@@ -16,10 +16,21 @@ from pyspark.sql import functions as F
 
 from pursewise.functions.text import clean_text, decode_entities, strip_blank
 
-# The markers of a dataset page.
+# The markers of a dataset page, the ids of the form selects, the query
+# option indexes (expenditures, treasury receipts) and the receipts XML elements.
 NO_RECORD_TEXT = "There is no record with given values"
 HEADER_CLASS = "popupheadingeKosh"
 ROW_CLASS_PART = "pope"
+SELECT_QUERY = "ddlQuery"
+SELECT_TREASURY = "cmbHOD"
+SELECT_DEPARTMENT = "cmbDpt"
+SELECT_TREASURY_CODE = "ddlTreaCode"
+SELECT_DDO = "ddlDDOCode"
+QUERY_INDEX_EXPENDITURES = 9
+QUERY_INDEX_TREASURY_RECEIPTS = 1
+XML_MAJOR_DETAIL = "ReceiptMajorDetail"
+XML_MAJOR = "Major"
+XML_SUB_MINOR_DETAIL = "ReceiptSubMinorDetail"
 
 _TABLE = r"(?is)<table\b.*?</table>"
 # Attribute values may be double-quoted, single-quoted or bare.
@@ -183,7 +194,7 @@ def options(forms: DataFrame, select_id: str, skip_placeholder: bool,
                        clean_text(decode_entities(text)).alias("text"))
 
 
-def query_option(forms: DataFrame, index: int, select_id: str = "ddlQuery",
+def query_option(forms: DataFrame, index: int, select_id: str = SELECT_QUERY,
                  keys: Sequence[str] = ()) -> DataFrame:
     """X-7: the query offered at a fixed index (9 for expenditures, 1 for receipts)."""
     o = options(forms, select_id, skip_placeholder=False, keys=keys)
@@ -193,7 +204,7 @@ def query_option(forms: DataFrame, index: int, select_id: str = "ddlQuery",
 
 def ddo_list(forms: DataFrame, key: str = "treasury_code") -> DataFrame:
     """X-8: (treasury_code, code, name) for every DDO of a treasury's form."""
-    o = options(forms, "ddlDDOCode", skip_placeholder=True, keys=(key,))
+    o = options(forms, SELECT_DDO, skip_placeholder=True, keys=(key,))
     return o.select(key, F.col("value").alias("ddo_code"), F.col("text").alias("ddo_name"))
 
 
@@ -211,7 +222,7 @@ def _elements(text: Column, name: str) -> Column:
 def _majors(body: Column) -> Column:
     """Text of each ``ReceiptMajorDetail/Major``, entities decoded."""
     return F.transform(
-        F.flatten(F.transform(_elements(body, "ReceiptMajorDetail"), lambda d: _elements(d, "Major"))),
+        F.flatten(F.transform(_elements(body, XML_MAJOR_DETAIL), lambda d: _elements(d, XML_MAJOR))),
         lambda m: decode_entities(F.regexp_replace(m, r"<[^>]*>", "")))
 
 
@@ -228,7 +239,7 @@ def receipt_rows(responses: DataFrame, keys: Sequence[str] = ("public_head_bool"
                  body: str = "body", date: str = "date") -> DataFrame:
     """X-10: per ``ReceiptSubMinorDetail``, its non-blank text lines in order with the
     request date put second: ``(keys..., pos, cols array<string>)``."""
-    elems = _elements(F.col(body), "ReceiptSubMinorDetail")
+    elems = _elements(F.col(body), XML_SUB_MINOR_DETAIL)
     rows = responses.select(*keys, F.posexplode(elems).alias("pos", "_e"))
     texts = F.regexp_extract_all(F.concat(F.lit(">"), F.col("_e"), F.lit("<")), F.lit(_TEXT_NODE), 1)
     lines = F.flatten(F.transform(texts, lambda t: F.regexp_extract_all(t, F.lit("([^\n]+)"), 1)))

@@ -359,7 +359,7 @@ def _failed(spark, sf):
           "concat(r_name, ' Treasury') as text from region")
 def _form_options(spark, sf):
     forms = CA.forms_html(spark, sf).filter(F.col("form") == "query")
-    return EX.options(forms, "cmbHOD", skip_placeholder=True)
+    return EX.options(forms, EX.SELECT_TREASURY, skip_placeholder=True)
 
 
 @register("form_options_departments", "select cast(row_number() over (order by n_nationkey) - 1 as int) "
@@ -367,7 +367,7 @@ def _form_options(spark, sf):
           "concat(n_name, ' Department') as text from nation")
 def _form_depts(spark, sf):
     forms = CA.forms_html(spark, sf).filter(F.col("form") == "budget")
-    return EX.options(forms, "cmbDpt", skip_placeholder=False)
+    return EX.options(forms, EX.SELECT_DEPARTMENT, skip_placeholder=False)
 
 
 @register("query_option", "select query_id, query_name from (select lpad(cast(p_size as varchar), 3, '0') "
@@ -375,7 +375,7 @@ def _form_depts(spark, sf):
           "row_number() over (order by p_size) - 1 as idx from (select distinct p_size from part)) "
           "where idx = 9")
 def _query_option(spark, sf):
-    return EX.query_option(CA.forms_html(spark, sf).filter(F.col("form") == "query"), 9)
+    return EX.query_option(CA.forms_html(spark, sf).filter(F.col("form") == "query"), EX.QUERY_INDEX_EXPENDITURES)
 
 
 @register("ddo_list", "select concat('T', lpad(cast(n_regionkey as varchar), 2, '0')) as treasury_code, "
@@ -437,11 +437,11 @@ def scratch(spark: SparkSession, what: str) -> str:
 
 def _treasuries(spark, sf):
     forms = CA.forms_html(spark, sf).filter(F.col("form") == "query")
-    return EX.options(forms, "cmbHOD", skip_placeholder=True).select(
+    return EX.options(forms, EX.SELECT_TREASURY, skip_placeholder=True).select(
         F.col("value").alias("treasury_id"), F.col("text").alias("treasury_name"))
 
 
-def _query(spark, sf, index=9, form="query"):
+def _query(spark, sf, index=EX.QUERY_INDEX_EXPENDITURES, form="query"):
     forms = CA.forms_html(spark, sf).filter(F.col("form") == form)
     row = EX.query_option(forms, index).first()  # one option: a request parameter
     return row["query_id"], row["query_name"]
@@ -511,8 +511,8 @@ def _ddo_read(spark, sf):
           "as hod_name, '.00001' as unit from nation where n_nationkey = (select min(n_nationkey) from nation)")
 def _plan_budget(spark, sf):
     forms = CA.forms_html(spark, sf).filter(F.col("form") == "budget")
-    depts = EX.options(forms, "cmbDpt", skip_placeholder=False)
-    qid, qname = _query(spark, sf, 9, form="budget")
+    depts = EX.options(forms, EX.SELECT_DEPARTMENT, skip_placeholder=False)
+    qid, qname = _query(spark, sf, EX.QUERY_INDEX_EXPENDITURES, form="budget")
     return PL.plan_budget_request(depts, qid, qname, "01/04/2019", PL.EXPENDITURE_UNITS["lakhs"])
 
 
@@ -835,7 +835,8 @@ def _spending_series_week_stored(spark, sf):
           "where idx = 1")
 def _query_option_receipts(spark, sf):
     """X-7 for treasury receipts: the query at index 1."""
-    return EX.query_option(CA.forms_html(spark, sf).filter(F.col("form") == "query"), 1)
+    return EX.query_option(CA.forms_html(spark, sf).filter(F.col("form") == "query"),
+                           EX.QUERY_INDEX_TREASURY_RECEIPTS)
 
 
 register("head_combinations_with_columns", O.oracle_with(

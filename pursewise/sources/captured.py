@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pursewise.operators.extract import HEADER_CLASS, NO_RECORD_TEXT
+from pursewise.operators.extract import (HEADER_CLASS, NO_RECORD_TEXT, SELECT_DDO,
+                                         SELECT_DEPARTMENT, SELECT_QUERY, SELECT_TREASURY)
 from pursewise.sources.fixtures import load_tables
 
 # Headings of the rendered dataset pages (our own fixture, not the site's).
@@ -150,13 +151,13 @@ def forms_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     placeholder = '<option value="0">--Select--</option>\n'
     query_form = wide.select(
         F.lit("query").alias("form"), F.lit(None).cast("string").alias("treasury_code"),
-        F.concat(F.lit('<html><body><form>\n<select name="q" id="ddlQuery">\n'), F.col("1"),
-                 F.lit('</select>\n<select id="cmbHOD">\n' + placeholder), F.col("2"),
+        F.concat(F.lit(f'<html><body><form>\n<select name="q" id="{SELECT_QUERY}">\n'), F.col("1"),
+                 F.lit(f'</select>\n<select id="{SELECT_TREASURY}">\n' + placeholder), F.col("2"),
                  F.lit("</select>\n</form></body></html>")).alias("body"))
     budget_form = wide.select(
         F.lit("budget").alias("form"), F.lit(None).cast("string").alias("treasury_code"),
-        F.concat(F.lit('<html><body><form>\n<select id="ddlQuery">\n'), F.col("1"),
-                 F.lit('</select>\n<select id="cmbDpt">\n'), F.col("3"),
+        F.concat(F.lit(f'<html><body><form>\n<select id="{SELECT_QUERY}">\n'), F.col("1"),
+                 F.lit(f'</select>\n<select id="{SELECT_DEPARTMENT}">\n'), F.col("3"),
                  F.lit("</select>\n</form></body></html>")).alias("body"))
     ddo = (t["supplier"].join(t["nation"], F.col("s_nationkey") == F.col("n_nationkey"))
            .select(F.concat(F.lit("T"), F.lpad(F.col("n_regionkey").cast("string"), 2, "0")).alias("treasury_code"),
@@ -166,7 +167,7 @@ def forms_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     ddo_forms = ddo.groupBy("treasury_code").agg(
         F.array_sort(F.collect_list(F.struct("s_suppkey", "html"))).alias("o")).select(
         F.lit("ddo").alias("form"), "treasury_code",
-        F.concat(F.lit('<html><body><select id="ddlDDOCode">\n' + placeholder),
+        F.concat(F.lit(f'<html><body><select id="{SELECT_DDO}">\n' + placeholder),
                  F.array_join(F.transform("o", lambda r: r["html"]), ""),
                  F.lit("</select></body></html>")).alias("body"))
     return query_form.unionByName(budget_form).unionByName(ddo_forms)
