@@ -112,3 +112,14 @@ def scale(df: DataFrame, cols: Sequence[str], unit: str) -> DataFrame:
     sc = max(0, -exponent)
     lit = F.lit(str(factor)).cast(f"decimal({max(len(digits), sc) + 1},{sc})")
     return df.select(*[(F.col(c) * lit).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+def requests_to_make(treasuries: DataFrame, ddos: DataFrame, files: DataFrame, query_id: str,
+                     query_name: str, start: str, end: str, crawl_name: str, base_url: str,
+                     header_bytes: int = 0) -> DataFrame:
+    """One run of a treasury crawl, as a plan: P-1 (requests), P-4 (their file paths),
+    P-5 (drop those already collected) and P-6 (the URL of each remaining request)."""
+    plan = plan_treasury_requests(treasuries, ddos, query_id, query_name, start, end)
+    todo = missing(dataset_path(plan, crawl_name), files, header_bytes)
+    return request_url(todo, base_url, list(zip(
+        TREASURY_PARAMS, ("start", "end", "query_id", "hod_code", "query_name"))))

@@ -857,3 +857,18 @@ _SQL_STRUCT = "{" + ", ".join(f"'{c}': \"{c}\"" for c in _PLAN_FIELDS) + "}"
 def _result_document(spark, sf):
     """R-7 envelope ``{"records": [...], "count": n}`` over the request plan, as fragments."""
     return SH.records_json_fragments(_treasury_plan(spark, sf), "hod_code")
+
+
+@register("requests_to_make", f"{_SQL_PLAN} select {_PLAN_COLS}, {_SQL_PATH} as path, {_SQL_URL} as url "
+          "from plan where not (s_suppkey % 2 = 0 and s_suppkey % 4 <> 0)")
+def _requests_to_make(spark, sf):
+    """P-1 + P-4 + P-5 + P-6: the requests a run still has to make, with their URLs."""
+    latest = IO.latest_snapshot(CA.ddo_snapshots(spark, sf), "treasury_code", "snapshot_date")
+    ddos = latest.select("treasury_code", F.col("`DDO Code`").alias("ddo_code"))
+    qid, qname = _query(spark, sf)
+    plan = PL.dataset_path(_treasury_plan(spark, sf), CRAWL)
+    key = F.col("ddo_code").cast("int")
+    files = plan.filter(key % 2 == 0).select(
+        "path", F.when(key % 4 == 0, F.lit(0)).otherwise(F.lit(1024)).cast("long").alias("length"))
+    return PL.requests_to_make(_treasuries(spark, sf), ddos, files, qid, qname, *PLAN_RANGE, CRAWL,
+                               "https://example.invalid/report.asp")
