@@ -39,13 +39,16 @@ _ROW = (r"(?is)<tr\b[^>]*?\bclass\s*=\s*(?:\"[^\"]*" + ROW_CLASS_PART + r"[^\"]*
 _HEADER_ROW = (r"(?is)<tr\b[^>]*?\bclass\s*=\s*(?:\"" + HEADER_CLASS + r"\"|'" + HEADER_CLASS
                + r"'|" + HEADER_CLASS + r"(?=[\s>]))[^>]*>(.*?)</tr>")
 _CELL = r"(?is)<td\b[^>]*>(.*?)</td>"
-# A child element with no element inside it (void tags such as <br> may sit inside);
-# removed once per nesting depth.
-_VOID = r"<(?:br|img|hr|wbr|input|meta|col|area)\b[^>]*>"
-# Possessive runs: the group repeats once per text run or void tag, not once per
-# character, so a long cell cannot overflow the regex engine's stack.
-_LEAF_ELEMENT = r"(?is)<([a-z][a-z0-9]*)\b[^>]*+>(?:[^<]++|" + _VOID + r")*+</\1\s*>"
-_FIRST_TEXT = r"(?s)^(?:<[^>]*>)*([^<]*)"
+# Void tags (<br>, <img>, ...) and removed child elements are replaced by one separator
+# character: inside a child element it goes with the element, outside it splits text
+# nodes as the markup did. None of the patterns below repeats a group, so the regex engine never recurses
+# per tag or per character: a cell of any length or tag count is safe.
+_SEP = "\u0001"
+_VOID = r"(?i)<(?:br|img|hr|wbr|input|meta|col|area)\b[^>]*+>"
+# A child element with no element inside it; removed once per nesting depth.
+_LEAF_ELEMENT = r"(?is)<([a-z][a-z0-9]*)\b[^>]*+>[^<]*+</\1\s*+>"
+# The first run of text at the start or after a tag or a void separator.
+_FIRST_TEXT = r"(?s)(?:^|[>\u0001])([^<\u0001]+)"
 _TEXT_NODE = r"(?s)>([^<]+)<"
 
 
@@ -67,9 +70,10 @@ def cell_text(cell_html: Column, depth: int = 5) -> Column:
     ``<b>x</b> tail`` gives `` tail`` and ``a<br>b`` gives ``a``; entities are decoded
     last.
     """
-    s = cell_html
+    s = F.regexp_replace(cell_html, _VOID, _SEP)
     for _ in range(depth):
-        s = F.regexp_replace(s, _LEAF_ELEMENT, "")
+        # a removed child still ends the text node before it: it becomes a separator
+        s = F.regexp_replace(s, _LEAF_ELEMENT, _SEP)
     first = F.regexp_extract(s, _FIRST_TEXT, 1)
     # Most cells are plain text: the patterns only run on cells that hold markup.
     text = F.when(cell_html.contains("<"), first).otherwise(cell_html)

@@ -26,6 +26,8 @@ CASES = {
     "<b>x<br>y</b> tail": " tail",
     "<a>z<b><c><d>x</d></c></b></a>t": "t",
     "a<br/>b": "a",
+    "1<b></b>&amp;": "1",
+    "<i></i>x<b>y</b>z": "x",
 }
 
 
@@ -131,3 +133,10 @@ def test_malformed_responses_do_not_fail_the_job(spark):
                                   "key string, body string, status int")
     assert EX.extract_rows(pages, keys=("key",)).count() == 0
     assert {r["response_status"] for r in EX.classify(pages).collect()} == {"empty"}
+
+
+def test_many_tags_in_a_cell_do_not_overflow_the_regex_stack(spark):
+    brs = "<br>" * 20000
+    body = f'<table><tr class="pope"><td>{brs}t</td><td><b>x{brs}y</b> tail</td></tr></table>'
+    df = spark.createDataFrame([("k", body)], "key string, body string")
+    assert EX.extract_rows(df, keys=("key",)).first()["cells"] == ["t", " tail"]
