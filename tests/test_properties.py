@@ -194,3 +194,54 @@ def test_period_sums_match_brute_force(spark, facts, first, span, grain):
         if start <= x <= end:
             sums[(d, int(x.strftime("%U")) if grain == "week" else x.month)] += a
     assert got == sorted((d, p, float(v)) for (d, p), v in sums.items())
+
+
+def _header_texts(html):
+    """Every text node inside the td cells of rows with class exactly popupheadingeKosh."""
+    from html.parser import HTMLParser
+
+    class P(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.in_row, self.td = [], False, 0
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "tr":
+                self.in_row = dict(attrs).get("class") == "popupheadingeKosh"
+            elif tag == "td" and self.in_row:
+                self.td += 1
+
+        def handle_endtag(self, tag):
+            if tag == "td" and self.td:
+                self.td -= 1
+            elif tag == "tr":
+                self.in_row = False
+
+        def handle_data(self, data):
+            if self.in_row and self.td:
+                self.out.append(data)
+
+    p = P()
+    p.feed(html)
+    p.close()
+    return p.out
+
+
+HCELL = st.recursive(
+    st.one_of(st.text(alphabet=st.sampled_from(list("Ab 1")), min_size=1, max_size=4),
+              st.sampled_from(["&amp;", "<br>"])),
+    lambda inner: st.one_of(
+        st.tuples(st.sampled_from(["b", "span"]), inner).map(lambda t: f"<{t[0]}>{t[1]}</{t[0]}>"),
+        st.tuples(inner, inner).map(lambda t: t[0] + t[1])),
+    max_leaves=5)
+
+
+@SETTINGS
+@given(st.lists(HCELL, min_size=1, max_size=5))
+def test_header_text_nodes_match_parser(spark, cells):
+    body = ('<table><tr class="popupheadingeKosh">' + "".join(f"<td>{c}</td>" for c in cells)
+            + '</tr><tr class="pope"><td>x</td></tr></table>')
+    df = spark.createDataFrame([("k", body)], "key string, body string")
+    got = EX.extract_header(df, keys=("key",)).collect()
+    got = got[0]["header"] if got else []
+    assert got == _header_texts(body)
