@@ -248,7 +248,10 @@ def receipt_rows(responses: DataFrame, keys: Sequence[str] = ("public_head_bool"
     texts = F.regexp_extract_all(F.concat(F.lit(">"), F.col("_e"), F.lit("<")), F.lit(_TEXT_NODE), 1)
     lines = F.flatten(F.transform(texts, lambda t: F.regexp_extract_all(t, F.lit("([^\n]+)"), 1)))
     kept = F.filter(lines, lambda x: strip_blank(x) != F.lit(""))
-    cols = F.array_insert(F.transform(kept, decode_entities), 2, F.col(date))
+    lines = F.transform(kept, decode_entities)
+    # Python's list.insert(1, date): second place, or last when there is at most one line
+    # (array_insert would pad an empty list with a null first).
+    cols = F.concat(F.slice(lines, 1, 1), F.array(F.col(date)), F.slice(lines, 2, F.size(lines)))
     return rows.select(*keys, F.col("pos").cast("int").alias("pos"), cols.alias("cols"))
 
 

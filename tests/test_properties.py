@@ -245,3 +245,27 @@ def test_header_text_nodes_match_parser(spark, cells):
     got = EX.extract_header(df, keys=("key",)).collect()
     got = got[0]["header"] if got else []
     assert got == _header_texts(body)
+
+
+XTEXT = st.text(alphabet=st.sampled_from(list("Ab1 \n\t-[]")), min_size=0, max_size=8).map(
+    lambda t: t.replace("&", "&amp;"))
+XCHILD = st.tuples(st.sampled_from(["H", "T", "X"]), XTEXT).map(lambda t: f"<{t[0]}>{t[1]}</{t[0]}>")
+XELEM = st.lists(st.one_of(XCHILD, XTEXT), min_size=0, max_size=4).map("".join)
+
+
+@SETTINGS
+@given(st.lists(XELEM, min_size=1, max_size=6))
+def test_receipt_rows_match_etree(spark, elems):
+    import xml.etree.ElementTree as ET
+
+    body = ('<r xmlns="urn:x">' + "".join(f"<ReceiptSubMinorDetail>{e}</ReceiptSubMinorDetail>" for e in elems)
+            + "</r>")
+    root = ET.fromstring(body)
+    want = []
+    for el in root.iter("{urn:x}ReceiptSubMinorDetail"):
+        cols = [x for t in el.itertext() for x in re.findall(".+", t) if x.strip()]
+        cols.insert(1, "01/04/2019")
+        want.append(cols)
+    df = spark.createDataFrame([("0", "01/04/2019", body)], "public_head_bool string, date string, body string")
+    got = [r["cols"] for r in EX.receipt_rows(df).orderBy("pos").collect()]
+    assert got == want
