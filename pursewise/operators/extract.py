@@ -191,8 +191,9 @@ def options(forms: DataFrame, select_id: str, skip_placeholder: bool,
         rows = rows.filter(F.col("position") > 0)
     raw = F.regexp_extract(F.col("_opt"), r"(?is)<option\b[^>]*?\bvalue\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", 1)
     value = F.regexp_replace(raw, r"^[\"']|[\"']$", "")
-    text = F.regexp_extract(F.col("_opt"), r"(?is)<option\b[^>]*>(.*?)</option>", 1)
-    text = F.regexp_replace(text, r"(?s)<[^>]*>", "")
+    inner = F.regexp_extract(F.col("_opt"), r"(?is)<option\b[^>]*>(.*?)</option>", 1)
+    # the first text node inside the option, at any depth (``.//text()``, first)
+    text = F.regexp_extract(inner, _FIRST_TEXT, 1)
     return rows.select(*keys, F.col("position").cast("int").alias("position"),
                        decode_entities(value).alias("value"),
                        clean_text(decode_entities(text)).alias("text"))

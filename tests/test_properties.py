@@ -269,3 +269,52 @@ def test_receipt_rows_match_etree(spark, elems):
     df = spark.createDataFrame([("0", "01/04/2019", body)], "public_head_bool string, date string, body string")
     got = [r["cols"] for r in EX.receipt_rows(df).orderBy("pos").collect()]
     assert got == want
+
+
+def _option_model(html, select_id):
+    """(position, value, cleaned first text node) of every option of the select."""
+    from html.parser import HTMLParser
+
+    class P(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.in_sel, self.cur = [], False, None
+
+        def handle_starttag(self, tag, attrs):
+            a = dict(attrs)
+            if tag == "select":
+                self.in_sel = a.get("id") == select_id
+            elif tag == "option" and self.in_sel:
+                self.cur = [len(self.out), a.get("value") or "", None]
+                self.out.append(self.cur)
+
+        def handle_endtag(self, tag):
+            if tag == "option":
+                self.cur = None
+            elif tag == "select":
+                self.in_sel = False
+
+        def handle_data(self, data):
+            if self.cur is not None and self.cur[2] is None:
+                self.cur[2] = data
+
+    p = P()
+    p.feed(html)
+    p.close()
+    return [(i, v, re.sub(r"\s{2,}", " ", t or "").strip()) for i, v, t in p.out]
+
+
+OTEXT = st.text(alphabet=st.sampled_from(list("Ab1 \n")), min_size=1, max_size=8)
+OPTION = st.tuples(st.text(alphabet=st.sampled_from(list("T01")), max_size=3), OTEXT,
+                   st.booleans()).map(
+    lambda t: f'<option value="{t[0]}">' + (f"<b>{t[1]}</b>x" if t[2] else t[1]) + "</option>")
+
+
+@SETTINGS
+@given(st.lists(OPTION, min_size=1, max_size=8))
+def test_options_match_parser(spark, opts):
+    body = '<form><select id="other"><option value="z">no</option></select><select id="cmbHOD">' + \
+        "".join(opts) + "</select></form>"
+    df = spark.createDataFrame([(body,)], "body string")
+    got = [tuple(r) for r in EX.options(df, "cmbHOD", skip_placeholder=False).orderBy("position").collect()]
+    assert got == _option_model(body, "cmbHOD")
