@@ -318,3 +318,45 @@ def test_options_match_parser(spark, opts):
     df = spark.createDataFrame([(body,)], "body string")
     got = [tuple(r) for r in EX.options(df, "cmbHOD", skip_placeholder=False).orderBy("position").collect()]
     assert got == _option_model(body, "cmbHOD")
+
+
+PAGE_PART = st.sampled_from([
+    '<table><tr class="popeven"><td>x</td></tr></table>', '<table><tr class="other"><td>y</td></tr></table>',
+    '<tr class="pope"><td>outside</td></tr>', "<p>There is no record with given values</p>", "<p>text</p>",
+    '<table><tr class="popupheadingeKosh"><td>H</td></tr></table>'])
+
+
+def _classify_model(body, status):
+    from html.parser import HTMLParser
+
+    class P(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.tables, self.rows = 0, 0
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "table":
+                self.tables += 1
+            elif tag == "tr" and self.tables and "pope" in (dict(attrs).get("class") or ""):
+                self.rows += 1
+
+        def handle_endtag(self, tag):
+            if tag == "table":
+                self.tables -= 1
+
+    if status >= 400:
+        return "failed"
+    p = P()
+    p.feed(body)
+    if p.rows:
+        return "dataset"
+    return "not_available" if EX.NO_RECORD_TEXT in body else "empty"
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.lists(PAGE_PART, max_size=4).map("".join), st.sampled_from([200, 404, 500])),
+                min_size=1, max_size=20))
+def test_classify_matches_model(spark, pages):
+    df = spark.createDataFrame([(i, b, s) for i, (b, s) in enumerate(pages)], "i int, body string, status int")
+    got = [r["response_status"] for r in EX.classify(df).orderBy("i").collect()]
+    assert got == [_classify_model(b, s) for b, s in pages]
