@@ -360,3 +360,17 @@ def test_classify_matches_model(spark, pages):
     df = spark.createDataFrame([(i, b, s) for i, (b, s) in enumerate(pages)], "i int, body string, status int")
     got = [r["response_status"] for r in EX.classify(df).orderBy("i").collect()]
     assert got == [_classify_model(b, s) for b, s in pages]
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from(["T1", "T2", "T3"]), st.integers(1, 4), st.sampled_from(list("abcde"))),
+                min_size=1, max_size=40))
+def test_latest_snapshot_matches_model(spark, rows):
+    from pursewise.sources.io import latest_snapshot
+
+    df = spark.createDataFrame(rows, "treasury_code string, snap int, ddo string")
+    got = sorted(tuple(r) for r in latest_snapshot(df, "treasury_code", "snap").collect())
+    newest = {}
+    for t, s, _ in rows:
+        newest[t] = max(newest.get(t, s), s)
+    assert got == sorted(r for r in rows if r[1] == newest[r[0]])
