@@ -374,3 +374,17 @@ def test_latest_snapshot_matches_model(spark, rows):
     for t, s, _ in rows:
         newest[t] = max(newest.get(t, s), s)
     assert got == sorted(r for r in rows if r[1] == newest[r[0]])
+
+
+JTEXT = st.one_of(st.none(), st.text(alphabet=st.sampled_from(list('a"\\\n\t/é€ {}[],:')), max_size=6))
+
+
+@SETTINGS
+@given(st.lists(st.tuples(JTEXT, st.integers(-10**6, 10**6)), min_size=0, max_size=15))
+def test_columnar_document_escapes_any_text(spark, rows):
+    from pursewise.operators.shaping import columnar_json_fragments
+
+    df = spark.createDataFrame([(i, s, n) for i, (s, n) in enumerate(rows)], "id int, s string, n bigint")
+    frags = columnar_json_fragments(df, ["s", "n"], "id").orderBy("s1", "s2", "s3", "k").collect()
+    doc = json.loads("".join(f["fragment"] for f in frags))
+    assert doc == {"records": {"s": [s for s, _ in rows], "n": [n for _, n in rows]}, "count": len(rows)}
