@@ -388,3 +388,17 @@ def test_columnar_document_escapes_any_text(spark, rows):
     frags = columnar_json_fragments(df, ["s", "n"], "id").orderBy("s1", "s2", "s3", "k").collect()
     doc = json.loads("".join(f["fragment"] for f in frags))
     assert doc == {"records": {"s": [s for s, _ in rows], "n": [n for _, n in rows]}, "count": len(rows)}
+
+
+WLABEL = st.text(alphabet=st.sampled_from(list('a"\\\né{}:,')), max_size=3)
+
+
+@SETTINGS
+@given(st.lists(st.tuples(WLABEL, WLABEL), min_size=1, max_size=20))
+def test_tree_document_escapes_any_label(spark, paths):
+    df = spark.createDataFrame(paths, "l1 string, l2 string")
+    frags = tree_json_fragments(df).orderBy("path").collect()
+    want = {}
+    for a, b in paths:
+        want.setdefault(a, {}).setdefault(b, {})
+    assert json.loads("{" + "".join(f["fragment"] for f in frags) + "}") == want
