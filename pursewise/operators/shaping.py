@@ -91,7 +91,9 @@ def tender_rows(tenders: DataFrame, drop: Sequence[str] = ("uuid",)) -> DataFram
 
 def result_json(df: DataFrame) -> DataFrame:
     """R-7: one JSON record per row (``value``); write it out, do not collect it."""
-    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("value"))
+    # null fields are written as null, as json.dumps does (Spark drops them by default)
+    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]),
+                               {"ignoreNullFields": "false"}).alias("value"))
 
 
 def result_count(df: DataFrame) -> DataFrame:
@@ -154,6 +156,7 @@ def records_json_fragments(df: DataFrame, key: str) -> DataFrame:
     ).select("s1", F.lit(None).cast(k_type).alias("k"), "fragment")
     comma = F.when(F.col(key) == F.lit(first_key), F.lit("")).otherwise(F.lit(","))
     rows = df.select(F.lit(1).alias("s1"), F.col(key).alias("k"),
-                     F.concat(comma, F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+                     F.concat(comma, F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]),
+                                               {"ignoreNullFields": "false"}))
                      .alias("fragment"))
     return fixed.unionByName(rows)

@@ -83,3 +83,12 @@ def test_records_document_matches_rows(spark):
     frags = records_json_fragments(df, "n_nationkey").orderBy("s1", "k").collect()
     doc = json.loads("".join(f["fragment"] for f in frags))
     assert doc["count"] == 25 and doc["records"] == [r.asDict() for r in df.orderBy("n_nationkey").collect()]
+
+
+def test_records_keep_null_fields(spark):
+    from pursewise.operators.shaping import records_json_fragments, result_json
+
+    df = spark.createDataFrame([(1, None), (2, "x")], "id int, v string")
+    frags = records_json_fragments(df, "id").orderBy("s1", "k").collect()
+    assert json.loads("".join(f["fragment"] for f in frags))["records"] == [{"id": 1, "v": None}, {"id": 2, "v": "x"}]
+    assert json.loads(result_json(df).orderBy("value").first()["value"]) == {"id": 1, "v": None}
