@@ -402,3 +402,16 @@ def test_tree_document_escapes_any_label(spark, paths):
     for a, b in paths:
         want.setdefault(a, {}).setdefault(b, {})
     assert json.loads("{" + "".join(f["fragment"] for f in frags) + "}") == want
+
+
+PART = st.text(alphabet=st.sampled_from(list("0123AbZ")), min_size=1, max_size=4)
+DESC = st.text(alphabet=st.sampled_from(list("ab -&[]Z")), min_size=0, max_size=8)
+
+
+@SETTINGS
+@given(st.lists(st.tuples(PART, PART, PART, PART, DESC), min_size=1, max_size=20))
+def test_split_head_round_trip(spark, heads):
+    rows = [(f"{a}-{b}-{c}-{d} [{e}]",) for a, b, c, d, e in heads]
+    out = EX.split_head(spark.createDataFrame(rows, "head string")).collect()
+    got = sorted((r["major"], r["sub_major"], r["minor"], r["sub_minor"], r["sub_minor_desc"]) for r in out)
+    assert got == sorted(heads)
