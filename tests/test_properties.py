@@ -415,3 +415,22 @@ def test_split_head_round_trip(spark, heads):
     out = EX.split_head(spark.createDataFrame(rows, "head string")).collect()
     got = sorted((r["major"], r["sub_major"], r["minor"], r["sub_minor"], r["sub_minor_desc"]) for r in out)
     assert got == sorted(heads)
+
+
+NAME = st.text(alphabet=st.sampled_from(list("Ab ,/-_1")), min_size=1, max_size=10)
+
+
+@SETTINGS
+@given(st.lists(st.tuples(NAME, st.text(alphabet=st.sampled_from(list("0179")), min_size=1, max_size=4)),
+                min_size=1, max_size=20))
+def test_dataset_path_matches_rule(spark, plans):
+    from pursewise.plans.requests import dataset_path
+
+    def rule(t, d):
+        name = f"treasury_expenditures_{t}_{d}_20190401-20190430.csv"
+        return "expenditures/" + re.sub(r",+", "", name).replace(" ", "_").replace("/", "_")
+
+    df = spark.createDataFrame([(i, t, d, "20190401", "20190430") for i, (t, d) in enumerate(plans)],
+                               "i int, treasury_name string, ddo_code string, start string, end string")
+    got = [r["path"] for r in dataset_path(df, "treasury_expenditures").orderBy("i").collect()]
+    assert got == [rule(t, d) for t, d in plans]
