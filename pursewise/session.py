@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -54,3 +56,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="pursewise-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's modules to the executors, once per Spark application.
+
+    Python tasks import their helpers from it whatever the executors' working directory is.
+    Where the package is installed on the executors this changes nothing.
+    """
+    sc = spark.sparkContext
+    package = Path(__file__).parent
+    if getattr(sc, "_pursewise_shipped", False) or not package.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="pursewise-")) / "pursewise.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, Path(package.name) / f.relative_to(package))
+    sc.addPyFile(str(archive))
+    sc._pursewise_shipped = True
