@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Named entities decoded natively; ``&amp;`` goes last so ``&amp;lt;``
-# stays ``&lt;``.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-            ("&nbsp;", " "))
+_REFERENCE = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*(?=;));?"
+# The most frequent names first: the list is searched in order.
+_COMMON = ("amp", "lt", "gt", "quot", "nbsp", "apos")
+_NAMED = {n: html5[n + ";"] for n in (*_COMMON, *sorted(k[:-1] for k in html5 if k.endswith(";")))}
+# Numbers 128 to 159 stand for the Windows-1252 character, as in browsers.
+_WINDOWS = {n: bytes([n]).decode("cp1252") for n in range(128, 160) if bytes([n]).decode("cp1252", "ignore")}
 
 
 def _c(c) -> Column:
@@ -28,12 +32,33 @@ def clean_text(c) -> Column:
     return strip_blank(F.regexp_replace(_c(c), r"\s{2,}", " "))
 
 
+def _literal_map(pairs: dict) -> Column:
+    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+
+
+def _referenced(ref: Column) -> Column:
+    """The character of one reference; an unknown name stays as it is."""
+    body = F.regexp_replace(ref, "^&#?|;$", "")
+    hexa = F.lower(F.substring(body, 1, 1)) == "x"
+    digits = F.when(hexa, F.substring(body, 2, 1_000_000)).otherwise(body)
+    digits = F.regexp_replace(digits, "^0+(?=.)", "")
+    number = F.when(F.length(digits) > 8, F.lit(-1)).otherwise(
+        F.when(hexa, F.conv(digits, 16, 10)).otherwise(F.try_to_number(digits, F.lit("99999999")).cast("string")).cast("int"))
+    plain = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+    char = F.coalesce(F.try_element_at(_literal_map(_WINDOWS), number), F.when(valid, plain).otherwise(F.lit("\ufffd")))
+    return F.when(F.substring(ref, 2, 1) == "#", char).otherwise(
+        F.coalesce(F.try_element_at(_literal_map(_NAMED), body), ref))
+
+
 def decode_entities(c) -> Column:
-    """Decode the common named entities, ``&amp;`` last."""
-    out = _c(c)
-    for ent, ch in ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+    """Decode character references once, left to right: every HTML name that ends in ``;``
+    and every number (``&amp;lt;`` stays ``&lt;``)."""
+    text = _c(c)
+    parts = F.split(text, _REFERENCE)
+    refs = F.transform(F.regexp_extract_all(text, F.lit(_REFERENCE), 0), _referenced)
+    full = F.array_join(F.flatten(F.zip_with(parts, refs, lambda p, r: F.array(p, F.coalesce(r, F.lit(""))))), "")
+    return F.when(text.contains("&"), full).otherwise(text)
 
 
 def file_part(c) -> Column:

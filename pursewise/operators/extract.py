@@ -3,24 +3,26 @@
 A table of responses goes in; rows, headers, options and receipt lines come out through
 ``regexp_extract_all`` + ``posexplode`` + higher-order functions, so every response is
 parsed inside whole-stage code on the executor that read it, with no Python per row.
-``extract_rows_parsed`` is the stdlib-parser fallback (``mapInPandas``) for markup the
-patterns cannot take (unbalanced tags, numeric character references).
+Pages whose rows the patterns cannot read (nested tables, unclosed rows or cells, elements
+nested in a cell, comments, scripts) are told apart in the plan (``needs_parser``), and only
+these go to a small parser helper, in Arrow batches of the same pass over the table.
 """
 
-from __future__ import annotations
-
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
-from pursewise.functions.text import clean_text, decode_entities, strip_blank
+from pursewise.functions.htmlrows import ROW_CLASS_PART, parse_rows
+from pursewise.functions.text import clean_text, decode_entities, digit_runs, strip_blank
+from pursewise.session import ship_package
 
 # The markers of a dataset page, the ids of the form selects, the query
 # option indexes (expenditures, treasury receipts) and the receipts XML elements.
 NO_RECORD_TEXT = "There is no record with given values"
 HEADER_CLASS = "popupheadingeKosh"
-ROW_CLASS_PART = "pope"
 SELECT_QUERY = "ddlQuery"
 SELECT_TREASURY = "cmbHOD"
 SELECT_DEPARTMENT = "cmbDpt"
@@ -63,22 +65,19 @@ def data_rows(body: Column) -> Column:
                                  lambda t: F.regexp_extract_all(t, F.lit(_ROW), 1)))
 
 
-def cell_text(cell_html: Column, depth: int = 5) -> Column:
-    """X-2: the first direct text node of a cell, ``' '`` when it has none.
+def cell_text(cell_html: Column) -> Column:
+    """X-2: the first direct text node of a cell, ``' '`` when it has none, and null when the
+    cell holds markup these patterns cannot read (elements inside elements, a stray ``<``).
 
-    Child elements are removed innermost first (``depth`` levels of nesting), so
-    ``<b>x</b> tail`` gives `` tail`` and ``a<br>b`` gives ``a``; entities are decoded
-    last.
+    Child elements are removed first, so ``<b>x</b> tail`` gives `` tail`` and ``a<br>b``
+    gives ``a``; entities are decoded last.
     """
-    s = F.regexp_replace(cell_html, _VOID, _SEP)
-    for _ in range(depth):
-        # a removed child still ends the text node before it: it becomes a separator
-        s = F.regexp_replace(s, _LEAF_ELEMENT, _SEP)
-    first = F.regexp_extract(s, _FIRST_TEXT, 1)
+    # a removed child still ends the text node before it: it becomes a separator
+    s = F.regexp_replace(F.regexp_replace(cell_html, _VOID, _SEP), _LEAF_ELEMENT, _SEP)
+    first = F.when(~s.contains("<"), F.regexp_extract(s, _FIRST_TEXT, 1))
     # Most cells are plain text: the patterns only run on cells that hold markup.
     text = F.when(cell_html.contains("<"), first).otherwise(cell_html)
-    text = F.when(text.contains("&"), decode_entities(text)).otherwise(text)
-    return F.coalesce(F.nullif(text, F.lit("")), F.lit(" "))
+    return F.when(text == "", F.lit(" ")).otherwise(decode_entities(text))
 
 
 def row_cells(row_html: Column) -> Column:
@@ -86,6 +85,45 @@ def row_cells(row_html: Column) -> Column:
     return F.transform(F.regexp_extract_all(row_html, F.lit(_CELL), 1), lambda c: cell_text(c))
 
 
+def _unpaired(body: Column, tag: str) -> Column:
+    """Start and end tags do not alternate: one is missing, or an element holds its like."""
+    parts = F.split(body, rf"(?i)</{tag}\s*>")
+    starts = F.transform(parts, lambda p: F.size(F.split(p, rf"(?i)<{tag}\b")) - 1)
+    return F.exists(F.slice(starts, F.lit(1), F.size(starts) - 1), lambda n: n != 1) | (F.element_at(starts, -1) != 0)
+
+
+def needs_parser(body: Column) -> Column:
+    """Pages with rows whose markup is not simply nested (see ``_unpaired``), hides markup in
+    comments, scripts or attribute values, or names an entity without its ``;``."""
+    odd = (_unpaired(body, "table") | _unpaired(body, "tr") | _unpaired(body, "td")
+           | body.rlike(r"(?i)<!--|<!\[|<(?:script|style|textarea|title|th|xmp)\b")
+           | body.rlike("=\\s*\"[^\"<>]*>") | body.rlike("=\\s*'[^'<>]*>")
+           | body.rlike(r"&[A-Za-z][A-Za-z0-9]*+(?!;)"))
+    return F.coalesce(body.contains(ROW_CLASS_PART) & odd, F.lit(False))
+
+
+@F.pandas_udf(ArrayType(ArrayType(StringType())))
+def _parsed_pages(body: pd.Series) -> pd.Series:
+    return body.map(lambda b: None if b is None else parse_rows(b))
+
+
+def with_cells(responses: DataFrame, body: str = "body", name: str = "_cells") -> DataFrame:
+    """X-1 + X-2: ``responses`` with the cells of all data rows (array of arrays), page order.
+
+    The patterns read every page; the parser gets only the body of those that need it
+    (null for all others, so nothing else is sent to Python).
+    """
+    ship_package(responses.sparkSession)
+    b = F.col(body)
+    native = F.transform(data_rows(b), lambda r: row_cells(r))
+    out = responses.withColumn("_native", native).withColumn("_odd", needs_parser(b))
+    out = out.withColumn("_odd", F.col("_odd") | F.exists("_native", lambda r: F.exists(r, lambda c: c.isNull())))
+    out = out.withColumn("_parsed", _parsed_pages(F.when(F.col("_odd"), b)))
+    empty = F.array().cast("array<array<string>>")
+    return out.withColumn(name, F.coalesce(F.when(F.col("_odd"), F.col("_parsed")).otherwise(F.col("_native")), empty)
+                          ).drop("_native", "_odd", "_parsed")
+
+
 def header_cells(body: Column) -> Column:
     """X-3: every text node inside the cells of the heading rows (class exactly
     ``popupheadingeKosh``), in order, entities decoded."""
@@ -103,9 +141,9 @@ def extract_rows(responses: DataFrame, keys: Sequence[str] = ("treasury_id", "dd
 
     To name the cells by their headings use ``extract_records`` (no join needed).
     """
-    return responses.select(
-        *keys, F.posexplode(data_rows(F.col(body))).alias("pos", "_row")
-    ).select(*keys, F.col("pos").cast("int").alias("pos"), row_cells(F.col("_row")).alias("cells"))
+    rows = with_cells(responses.select(*keys, F.col(body).alias("body")))
+    return rows.select(*keys, F.posexplode("_cells").alias("pos", "cells")).select(
+        *keys, F.col("pos").cast("int").alias("pos"), "cells")
 
 
 def extract_header(responses: DataFrame, keys: Sequence[str] = ("treasury_id", "ddo_code", "from_date", "to_date"),
@@ -124,25 +162,24 @@ def extract_records(responses: DataFrame, keys: Sequence[str] = ("treasury_id",
     count differs from the heading count (the missing side is null) and allows repeated
     headings.
     """
-    b = F.col(body)
-    # Headings and row list are materialized side by side first; with the headings
-    # inside the generator's projection, the optimizer would re-parse them per row.
-    pages = responses.select(*keys, header_cells(b).alias("_h"), data_rows(b).alias("_rows"))
-    rows = pages.select(*keys, "_h", F.posexplode("_rows").alias("pos", "_row"))
+    pages = with_cells(responses.select(*keys, F.col(body).alias("body"), header_cells(F.col(body)).alias("_h")))
+    rows = pages.select(*keys, "_h", F.posexplode("_cells").alias("pos", "_row"))
     return rows.select(*keys, F.col("pos").cast("int").alias("pos"),
-                       F.arrays_zip(F.col("_h").alias("heading"), row_cells(F.col("_row")).alias("cell"))
-                       .alias("record"))
+                       F.arrays_zip(F.col("_h").alias("heading"), F.col("_row").alias("cell")).alias("record"))
 
 
 def classify(responses: DataFrame, body: str = "body", status: str = "status") -> DataFrame:
-    """X-4: ``dataset`` (rows), ``not_available`` (the no-record text), ``empty``;
-    responses that failed (status >= 400) are ``failed`` and never parsed."""
+    """X-4: ``dataset`` (rows), ``not_available`` (the no-record text), ``unparsed`` (a row
+    marker on the page but no row found), ``empty``; responses that failed (status >= 400)
+    are ``failed``."""
     b = F.col(body)
+    has = lambda text: F.coalesce(b.contains(text), F.lit(False))
     kind = (F.when(F.col(status) >= 400, F.lit("failed"))
-            .when(F.size(data_rows(b)) > 0, F.lit("dataset"))
-            .when(F.coalesce(b.contains(NO_RECORD_TEXT), F.lit(False)), F.lit("not_available"))
+            .when(F.size("_cells") > 0, F.lit("dataset"))
+            .when(has(NO_RECORD_TEXT), F.lit("not_available"))
+            .when(has(ROW_CLASS_PART), F.lit("unparsed"))
             .otherwise(F.lit("empty")))
-    return responses.withColumn("response_status", kind)
+    return with_cells(responses, body).withColumn("response_status", kind).drop("_cells")
 
 
 def counters(classified: DataFrame, treasuries: DataFrame, key: str = "treasury_id",
@@ -236,7 +273,7 @@ def major_codes(responses: DataFrame, keys: Sequence[str] = ("public_head_bool",
     """X-9: every run of digits in each ``ReceiptMajorDetail/Major``, namespaces ignored."""
     majors = _majors(F.col(body))
     return (responses.select(*keys, F.explode(majors).alias("_m"))
-            .select(*keys, F.explode(F.regexp_extract_all(F.col("_m"), F.lit("([0-9]+)"), 1))
+            .select(*keys, F.explode(digit_runs(F.col("_m")))
                     .alias("major_code")))
 
 
@@ -280,27 +317,3 @@ def with_major_desc(split_rows: DataFrame, majors: DataFrame) -> DataFrame:
     major list. A left join: a major missing from the list keeps its row with a null.
     The list is one row per major code (a dimension), planned by size."""
     return split_rows.join(majors, "major", "left")
-
-
-# ---------------------------------------------------------------- stdlib-parser fallback
-
-def extract_rows_parsed(responses: DataFrame, keys: Sequence[str] = ("treasury_id", "ddo_code", "from_date", "to_date"),
-                        body: str = "body") -> DataFrame:
-    """X-1 + X-2 with ``html.parser`` in ``mapInPandas``: tolerant of ill-formed markup and
-    decodes every entity. Same output as ``extract_rows``; one Arrow batch at a time."""
-    from pursewise.functions.htmlrows import parse_rows
-
-    key_list = list(keys)
-    schema = ", ".join([*(f"`{k}` string" for k in key_list), "pos int", "cells array<string>"])
-
-    def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for rec in pdf[key_list + [body]].itertuples(index=False):
-                for pos, cells in enumerate(parse_rows(rec[-1] or "")):
-                    out.append((*rec[:-1], pos, cells))
-            yield pd.DataFrame(out, columns=[*key_list, "pos", "cells"])
-
-    return responses.select(*[F.col(k).cast("string") for k in key_list], body).mapInPandas(run, schema)

@@ -293,33 +293,34 @@ register("head_combinations", O.oracle_with(
 PAGE_KEYS = ["treasury_id", "ddo_code", "from_date", "to_date"]
 _PAGE_ROWS = f"page_rows as ({CA.oracle_rows(CA.PAGE_ROWS_SQL)})"  # with pos, for DuckDB
 _CELLS = [f"c{i}" for i in range(1, 8)]
+# what the object cell of a page with numeric references (kind 6) holds after decoding
+_SHOWN = [("case when kind = 6 then concat(c5, chr(8377), chr(8377), chr(8217)) else c5 end as c5" if c == "c5" else c)
+          for c in _CELLS]
+_HAS_ROWS = "kind between 3 and 8"
 
 
 def _cells_flat(df):
     return df.select(*PAGE_KEYS, "pos", *[F.col("cells")[i].alias(f"c{i + 1}") for i in range(7)])
 
 
-@register("html_table_rows", f"with {_PAGE_ROWS} select {', '.join(PAGE_KEYS)}, pos, {', '.join(_CELLS)} "
-          "from page_rows where kind not in (0, 1, 2)")
+@register("html_table_rows", f"with {_PAGE_ROWS} select {', '.join(PAGE_KEYS)}, pos, {', '.join(_SHOWN)} "
+          f"from page_rows where {_HAS_ROWS}")
 def _html_rows(spark, sf):
     return _cells_flat(EX.extract_rows(CA.pages_html(spark, sf)))
 
 
-@register("html_blank_cells", f"with {_PAGE_ROWS} select ddo_code, from_date, pos, c3, c4, c5 "
-          "from page_rows where kind not in (0, 1, 2)")
+@register("html_blank_cells", f"with {_PAGE_ROWS} select ddo_code, from_date, pos, c3, c4, {_SHOWN[4]} "
+          f"from page_rows where {_HAS_ROWS}")
 def _html_blank(spark, sf):
     return _cells_flat(EX.extract_rows(CA.pages_html(spark, sf))).select(
         "ddo_code", "from_date", "pos", "c3", "c4", "c5")
 
 
-register("html_rows_parsed", ORACLES["html_table_rows"])(
-    lambda spark, sf: _cells_flat(EX.extract_rows_parsed(CA.pages_html(spark, sf))))
-
 _HEADINGS = ", ".join(f"({i}, '{h}')" for i, h in enumerate(CA.HEADER_CELLS))
 
 
 @register("html_table_header", f"with {_PAGE_ROWS}, pages as (select distinct {', '.join(PAGE_KEYS)} "
-          f"from page_rows where kind not in (0, 1, 2)) select {', '.join(PAGE_KEYS)}, h.hpos, h.heading "
+          f"from page_rows where {_HAS_ROWS}) select {', '.join(PAGE_KEYS)}, h.hpos, h.heading "
           f"from pages cross join (values {_HEADINGS}) h(hpos, heading)")
 def _html_header(spark, sf):
     h = EX.extract_header(CA.pages_html(spark, sf))
@@ -327,7 +328,7 @@ def _html_header(spark, sf):
         "hpos", F.col("hpos").cast("int"))
 
 
-_PAGE_STATUS = ("case kind when 0 then 'not_available' when 1 then 'empty' when 2 then 'failed' "
+_PAGE_STATUS = ("case kind when 0 then 'not_available' when 1 then 'empty' when 2 then 'failed' when 10 then 'unparsed' "
                 "else 'dataset' end")
 
 
@@ -339,7 +340,7 @@ def _status(spark, sf):
 
 @register("treasury_counters", f"with {_PAGE_ROWS}, p as (select distinct {', '.join(PAGE_KEYS)}, kind "
           "from page_rows), t as (select concat('T', lpad(cast(r_regionkey as varchar), 2, '0')) as treasury_id "
-          "from region) select t.treasury_id, cast(count(case when p.kind > 2 then 1 end) as bigint) "
+          "from region) select t.treasury_id, cast(count(case when p.kind between 3 and 8 then 1 end) as bigint) "
           "as dataset_count, cast(count(case when p.kind = 0 then 1 end) as bigint) as dataset_not_avail_count "
           "from t left join p on p.treasury_id = t.treasury_id group by t.treasury_id")
 def _counters(spark, sf):
@@ -400,8 +401,8 @@ _HEAD_SQL = "concat(major, '-', sub_major, '-', minor, '-', sub_minor, ' [', sub
 
 
 @register("xml_receipt_rows", f"with {_RECEIPT_ROWS} select k.public_head_bool, strftime(rr.date, '%d/%m/%Y') "
-          "as date, cast(row_number() over (partition by k.public_head_bool, rr.date order by rr.row_key) - 1 "
-          f"as int) as pos, {_HEAD_SQL} as head, strftime(rr.date, '%d/%m/%Y') as receipt_date, "
+          "as date, cast(row_number() over (partition by k.public_head_bool, rr.date, rr.major, "
+          f"rr.row_key // {CA.RECEIPTS_PER_PART} order by rr.row_key) - 1 as int) as pos, {_HEAD_SQL} as head, strftime(rr.date, '%d/%m/%Y') as receipt_date, "
           f"cast(rr.total_receipt as varchar) as total from rr cross join {_KINDS}")
 def _xml_rows(spark, sf):
     r = EX.receipt_rows(CA.receipts_xml(spark, sf))
@@ -691,8 +692,8 @@ def _load_tables(spark, sf):
 # ---------------------------------------------------------------- X-3 named cells, X-11 counts
 
 _UNPIVOT = " union all ".join(
-    f"select {', '.join(PAGE_KEYS)}, pos, '{h}' as heading, c{i + 1} as cell from page_rows "
-    "where kind not in (0, 1, 2)" for i, h in enumerate(CA.HEADER_CELLS))
+    f"select {', '.join(PAGE_KEYS)}, pos, '{h}' as heading, {'case when kind = 6 then concat(c5, chr(8377), chr(8377), chr(8217)) else c5 end' if i == 4 else f'c{i + 1}'} as cell from page_rows "
+    f"where {_HAS_ROWS}" for i, h in enumerate(CA.HEADER_CELLS))
 
 
 @register("html_named_cells", f"with {_PAGE_ROWS} {_UNPIVOT}")

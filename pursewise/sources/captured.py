@@ -20,7 +20,9 @@ from pursewise.sources.fixtures import load_tables
 HEADER_CELLS = ("DDO Name", "Major Head", "Flag", "Budget", "Object", "Gross Amount", "Voucher Date")
 
 # Rows that go into the dataset pages: one page per (treasury, DDO, ship month); a
-# supplier whose key ends in 0 gets a "no record" page, 1 an empty page, 2 an HTTP 500.
+# supplier whose key ends in 0 gets a "no record" page, 1 an empty page (every other one a
+# page with a row marker and no rows: kind 10), 2 an HTTP 500. Kinds 3 to 7 are pages in odd
+# markup: unclosed rows and cells, nested tables, deep nesting, numeric references, comments.
 PAGE_BASE_SQL = """
 select concat('T', lpad(cast(r_regionkey as string), 2, '0')) as treasury_id,
   lpad(cast(s_suppkey as string), 4, '0') as ddo_code,
@@ -34,7 +36,8 @@ select concat('T', lpad(cast(r_regionkey as string), 2, '0')) as treasury_id,
   concat(substr(o_orderpriority, 1, 1), ' & ', substr(o_orderpriority, 3)) as c5,
   cast(cast(l_extendedprice as decimal(18,2)) as string) as c6,
   cast(cast(l_shipdate as date) as string) as c7,
-  cast(s_suppkey % 10 as int) as kind,
+  cast(case when s_suppkey % 20 = 11 then 10 when s_suppkey % 10 < 3 then s_suppkey % 10
+    when s_suppkey % 100 < 8 then s_suppkey % 100 else 8 end as int) as kind,
   l_orderkey as o1, l_linenumber as o2, l_partkey as o3, l_returnflag as o4, l_quantity as o5,
   l_extendedprice as o6, l_shipdate as o7, o_orderpriority as o8
 from {lineitem}
@@ -77,20 +80,25 @@ def _td(inner):
 
 def render_pages(rows: DataFrame) -> DataFrame:
     """``pages_html``: (treasury_id, ddo_code, from_date, to_date, status, body)."""
-    # The flag cell holds a bold child before its text (first-text-node rule), a LOW
-    # budget renders as an empty cell (blank rule), the object cell carries an entity.
+    # The flag cell holds children before its text (first-text-node rule), a LOW budget
+    # renders as an empty cell (blank rule), the object cell carries an entity.
     row_class = F.when(F.col("o2") % 2 == 0, F.lit('<tr class="popeven">')).otherwise(
         F.lit('<tr class="popeodd">'))
-    row_html = F.concat(
-        row_class,
-        _td(_esc(F.col("c1"))), _td(F.col("c2")),
-        _td(F.concat(F.lit("<b>flag</b>"), _esc(F.col("c3")))),
-        F.when(F.col("c4") == " ", F.lit("<td></td>")).otherwise(_td(F.col("c4"))),
-        _td(_esc(F.col("c5"))),
-        F.concat(F.lit('<td align="right">'), F.col("c6"), F.lit("</td>")),
-        _td(F.col("c7")),
-        F.lit("</tr>\n"),
-    )
+    kind = F.col("kind")
+    deep = 9
+    flag = (F.when(kind == 4, F.lit("<table><tr><td>inner</td></tr><tr class='x'><td>2</td></tr></table>"))
+            .when(kind == 5, F.lit("<i>" * deep + "deep" + "</i>" * deep + "<u><s>more</s></u>"))
+            .when(kind == 7, F.lit('<!-- <tr class="popeodd"><td>hidden</td></tr> -->'))
+            .otherwise(F.lit("<b>flag</b>")))
+    numeric = F.regexp_replace(F.col("c5"), "&", "&#38;")
+    numeric = F.concat(numeric, F.lit("&#8377;&#x20B9;&rsquo;"))
+    object_cell = F.when(kind == 6, numeric).otherwise(_esc(F.col("c5")))
+    cells = [_esc(F.col("c1")), F.col("c2"), F.concat(flag, _esc(F.col("c3"))),
+             F.when(F.col("c4") == " ", F.lit("")).otherwise(F.col("c4")), object_cell, F.col("c6"), F.col("c7")]
+    closed = F.concat(row_class, *[_td(c) for c in cells], F.lit("</tr>\n"))
+    # without end tags: a cell ends at the next cell, a row at the next row
+    unclosed = F.concat(row_class, *[F.concat(F.lit("<td>"), c) for c in cells])
+    row_html = F.when(kind == 3, unclosed).otherwise(closed)
     header = ('<tr class="' + HEADER_CLASS + '">'
               + "".join(f"<td>{h}</td>" for h in HEADER_CELLS) + "</tr>\n")
     keys = ["treasury_id", "ddo_code", "from_date", "to_date", "kind"]
@@ -105,6 +113,7 @@ def render_pages(rows: DataFrame) -> DataFrame:
     body = (F.when(F.col("kind") == 0, F.lit(f"<html><body><p>{NO_RECORD_TEXT}</p></body></html>"))
             .when(F.col("kind") == 1, F.lit("<html><body></body></html>"))
             .when(F.col("kind") == 2, F.lit("<html><body>Server Error</body></html>"))
+            .when(F.col("kind") == 10, F.lit('<html><body><div class="popeven">moved</div></body></html>'))
             .otherwise(table))
     status = F.when(F.col("kind") == 2, F.lit(500)).otherwise(F.lit(200))
     return grouped.select("treasury_id", "ddo_code", "from_date", "to_date", status.alias("status"),
@@ -127,7 +136,8 @@ def forms_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ``query`` holds ``ddlQuery`` (one option per part size) and ``cmbHOD`` (placeholder,
     then one option per region); ``budget`` holds ``ddlQuery`` and ``cmbDpt`` (one per
-    nation, no placeholder); ``ddo`` forms hold ``ddlDDOCode`` for one treasury each.
+    nation, no placeholder); ``ddo`` forms hold ``ddlDDOCode`` for one treasury and
+    DDOS_PER_FORM supplier keys each.
     Option texts carry line breaks and runs of blanks.
     """
     t = load_tables(spark, sf_dir, ("part", "region", "nation", "supplier"))
@@ -161,10 +171,10 @@ def forms_html(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.lit("</select>\n</form></body></html>")).alias("body"))
     ddo = (t["supplier"].join(t["nation"], F.col("s_nationkey") == F.col("n_nationkey"))
            .select(F.concat(F.lit("T"), F.lpad(F.col("n_regionkey").cast("string"), 2, "0")).alias("treasury_code"),
-                   F.col("s_suppkey"),
+                   F.col("s_suppkey"), F.floor(F.col("s_suppkey") / DDOS_PER_FORM).alias("part"),
                    _option(F.lpad(F.col("s_suppkey").cast("string"), 4, "0"),
                            F.concat(F.col("s_name"), F.lit("  (DDO)"))).alias("html")))
-    ddo_forms = ddo.groupBy("treasury_code").agg(
+    ddo_forms = ddo.groupBy("treasury_code", "part").agg(
         F.array_sort(F.collect_list(F.struct("s_suppkey", "html"))).alias("o")).select(
         F.lit("ddo").alias("form"), "treasury_code",
         F.concat(F.lit(f'<html><body><select id="{SELECT_DDO}">\n' + placeholder),
@@ -184,6 +194,9 @@ select lpad(cast(c_nationkey as string), 4, '0') as major, c_mktsegment as major
 from {orders} join {customer} on o_custkey = c_custkey
 """
 
+RECEIPTS_PER_PART = 4096
+DDOS_PER_FORM = 1000
+
 XML_HEAD = ('<?xml version="1.0" encoding="utf-8"?>\n'
             '<ArrayOfReceipt xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" '
             'xmlns="http://tempuri.org/">\n')
@@ -195,11 +208,13 @@ def receipt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def receipts_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``receipts_xml``: (public_head_bool, date, body) per head kind and day.
+    """``receipts_xml``: (public_head_bool, date, major_code, part, body).
 
-    Each body lists the day's majors (``ReceiptMajorDetail/Major`` = ``code-desc``) and
-    one ``ReceiptSubMinorDetail`` per receipt with a head text and a total, blank lines
-    between the elements and ampersands escaped.
+    As in the two request steps: the response for major ``0000`` lists the day's majors
+    (``ReceiptMajorDetail/Major`` = ``code-desc``); each major's responses hold one
+    ``ReceiptSubMinorDetail`` per receipt with a head text and a total, blank lines between
+    the elements and ampersands escaped. A part covers RECEIPTS_PER_PART row keys, so no
+    response grows with the data.
     """
     r = receipt_rows(spark, sf_dir)
     day = F.date_format("date", "dd/MM/yyyy")
@@ -209,18 +224,21 @@ def receipts_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.replace(F.col("sub_minor_desc"), F.lit("&"), F.lit("&amp;")),
         F.lit("]</Head>\n    <Total>"), F.col("total_receipt").cast("string"),
         F.lit("</Total>\n  </ReceiptSubMinorDetail>\n"))
-    per_day = r.groupBy(day.alias("date")).agg(
-        F.array_sort(F.collect_set(F.concat_ws("-", "major", "major_desc"))).alias("majors"),
+    majors = r.groupBy(day.alias("date")).agg(
+        F.array_sort(F.collect_set(F.concat_ws("-", "major", "major_desc"))).alias("majors"))
+    listed = F.array_join(F.transform("majors", lambda m: F.concat(
+        F.lit("  <ReceiptMajorDetail><Major>"), F.replace(m, F.lit("&"), F.lit("&amp;")),
+        F.lit("</Major></ReceiptMajorDetail>\n"))), "")
+    first = majors.select("date", F.lit("0000").alias("major_code"), F.lit(0).cast("long").alias("part"),
+                          F.concat(F.lit(XML_HEAD), listed, F.lit("</ArrayOfReceipt>")).alias("body"))
+    part = F.floor(F.col("row_key") / RECEIPTS_PER_PART)
+    details = r.groupBy(day.alias("date"), F.col("major").alias("major_code"), part.alias("part")).agg(
         F.array_sort(F.collect_list(F.struct("row_key", detail.alias("x")))).alias("details"))
-    body = F.concat(
-        F.lit(XML_HEAD),
-        F.array_join(F.transform("majors", lambda m: F.concat(
-            F.lit("  <ReceiptMajorDetail><Major>"), F.replace(m, F.lit("&"), F.lit("&amp;")),
-            F.lit("</Major></ReceiptMajorDetail>\n"))), ""),
-        F.array_join(F.transform("details", lambda d: d["x"]), ""),
-        F.lit("</ArrayOfReceipt>"))
+    rows = F.array_join(F.transform("details", lambda d: d["x"]), "")
+    second = details.select("date", "major_code", "part",
+                            F.concat(F.lit(XML_HEAD), rows, F.lit("</ArrayOfReceipt>")).alias("body"))
     kinds = F.explode(F.array(F.lit("0"), F.lit("1"))).alias("public_head_bool")
-    return per_day.select(kinds, "date", body.alias("body"))
+    return first.unionByName(second).select(kinds, "date", "major_code", "part", "body")
 
 
 # ---------------------------------------------------------------- DDO snapshots
