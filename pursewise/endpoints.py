@@ -35,7 +35,7 @@ from pursewise.operators import facts as FA
 from pursewise.operators import heads as HE
 from pursewise.operators import joins as JO
 from pursewise.operators import shaping as SH
-from pursewise.operators.filters import InvalidParams, validate
+from pursewise.operators.filters import CLASS_COLUMN, InvalidParams, validate
 
 
 def parse_payload(body: str | bytes | Mapping | None) -> Mapping:
@@ -162,12 +162,12 @@ def covid_spending(covid: DataFrame) -> DataFrame:
     return SH.covid_rows(covid)
 
 
-def tenders(tenders_df: DataFrame) -> DataFrame:
-    return SH.tender_rows(tenders_df)
+def tenders(tenders_df: DataFrame, class_col: str = CLASS_COLUMN) -> DataFrame:
+    return SH.tender_rows(tenders_df, class_col=class_col)
 
 
-def awards(awards_df: DataFrame, tenders_df: DataFrame) -> DataFrame:
-    return JO.awards_with_tenders(awards_df, tenders_df)
+def awards(awards_df: DataFrame, tenders_df: DataFrame, class_col: str = CLASS_COLUMN) -> DataFrame:
+    return JO.awards_with_tenders(awards_df, tenders_df, class_col=class_col)
 
 
 def heads_combinations(spending: DataFrame, export_path: str | None = None) -> DataFrame:

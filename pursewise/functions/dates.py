@@ -65,11 +65,6 @@ def try_as_date(x: ColumnOrName, fmt: str) -> Column:
     return F.try_to_timestamp(_c(x), F.lit(fmt)).cast("date")
 
 
-def format_date(d: ColumnOrName, fmt: str) -> Column:
-    """E-7: format a date, e.g. ``yyyyMMdd`` or ``dd/MM/yyyy``."""
-    return F.date_format(_c(d), fmt)
-
-
 def today_text() -> Column:
     """E-16: the day of the run as ``yyyy-MM-dd`` (names a snapshot)."""
     return F.date_format(F.current_date(), "yyyy-MM-dd")

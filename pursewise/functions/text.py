@@ -80,9 +80,13 @@ def url_encode(c) -> Column:
     return F.replace(F.replace(enc, F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
+# Fixed value: dd/mm/yyyy.
+DAY_PATTERN = "[0-9]{2}/[0-9]{2}/[0-9]{4}"
+
+
 def matches_day_pattern(c) -> Column:
     """E-13: ``dd/mm/yyyy`` at the start of the text (a prefix match, like ``re.match``)."""
-    return _c(c).rlike(r"^[0-9]{2}/[0-9]{2}/[0-9]{4}")
+    return _c(c).rlike("^" + DAY_PATTERN)
 
 
 def json_value(c) -> Column:

@@ -32,6 +32,8 @@ class FactSpec:
     date_col: str
     measures: tuple[str, ...]
     by: tuple[str, ...] = ()
+    #: Month partition column of a table stored by ``io.write_fact_table``.
+    month_col: str | None = None
 
 
 # Date column, measures and place key of each fact table.
@@ -42,14 +44,15 @@ TREASURY_RECEIPTS = FactSpec("bookdate", ("netreceipt",), ("district",))
 SCHEMES = FactSpec("transdate", ("gross", "agded", "btded", "netpayment"), ("district",))
 
 
-def _filtered(df: DataFrame, date_col: str, start, end, filters, single: bool) -> DataFrame:
+def _filtered(df: DataFrame, date_col: str, start, end, filters, single: bool,
+              month_col: str | None = None) -> DataFrame:
     s, e = validate(start, end)
-    return apply_filters(date_range(df, date_col, s, e), filters, single=single)
+    return apply_filters(date_range(df, date_col, s, e, month_col), filters, single=single)
 
 
 def period_sums(df: DataFrame, date_col: str, measures: Sequence[str], grain: str,
                 start, end, by: Sequence[str] = (), filters: Mapping | None = None,
-                single: bool = False) -> DataFrame:
+                single: bool = False, month_col: str | None = None) -> DataFrame:
     """A-*: sums grouped by the bare period number (and ``by``), as the reference asks.
 
     The bare week or month number merges the same period of different years (Q-11);
@@ -57,7 +60,7 @@ def period_sums(df: DataFrame, date_col: str, measures: Sequence[str], grain: st
     """
     g = _grain(grain)
     period = week0(date_col) if g == "week" else month_num(date_col)
-    f = _filtered(df, date_col, start, end, filters, single)
+    f = _filtered(df, date_col, start, end, filters, single, month_col)
     return (
         f.groupBy(*by, period.alias(g))
         .agg(*[F.sum(m).cast("double").alias(m) for m in measures])
@@ -71,9 +74,9 @@ def record_count(sums: DataFrame) -> DataFrame:
 
 def slot_sums(df: DataFrame, date_col: str, measures: Sequence[str], grain: str,
               start, end, by: Sequence[str] = (), filters: Mapping | None = None,
-              single: bool = False) -> DataFrame:
+              single: bool = False, month_col: str | None = None) -> DataFrame:
     """Decimal sums per (by, slot_start); the year-end fold (G-4) is this grouping."""
-    f = _filtered(df, date_col, start, end, filters, single)
+    f = _filtered(df, date_col, start, end, filters, single, month_col)
     return f.groupBy(*by, slot_of(date_col, grain).alias("slot_start")).agg(
         *[F.sum(m).alias(m) for m in measures]
     )
@@ -111,7 +114,7 @@ def series(df: DataFrame, spec: FactSpec, grain: str, start, end,
            filters: Mapping | None = None, by: Sequence[str] | None = None) -> DataFrame:
     """G-5 .. G-12: filtered sums per slot, every slot present, in slot order by ``pos``."""
     keys = spec.by if by is None else tuple(by)
-    sums = slot_sums(df, spec.date_col, spec.measures, grain, start, end, keys, filters)
+    sums = slot_sums(df, spec.date_col, spec.measures, grain, start, end, keys, filters, month_col=spec.month_col)
     return fill_slots(sums, spec.measures, grain, start, end, keys)
 
 
@@ -120,4 +123,5 @@ def sums_of(df: DataFrame, spec: FactSpec, grain: str, start, end,
             single: bool = False) -> DataFrame:
     """A-* for a fact spec."""
     keys = spec.by if by is None else tuple(by)
-    return period_sums(df, spec.date_col, spec.measures, grain, start, end, keys, filters, single)
+    return period_sums(df, spec.date_col, spec.measures, grain, start, end, keys, filters, single,
+                       spec.month_col)

@@ -17,15 +17,15 @@ from decimal import Decimal, InvalidOperation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pursewise.functions.dates import parse_day
+from pursewise.functions.dates import parse_day, try_as_date
+from pursewise.functions.text import DAY_PATTERN, matches_day_pattern
 
 _MEMBER = re.compile(
     r"""\s*(?:'((?:[^']|'')*)'|"((?:[^"]|"")*)"|([^,]*?))\s*(?:,|$)"""
 )
 
-# The accepted ranges and the receipts date pattern (dd/mm/yyyy).
+# The accepted ranges.
 VIS_RANGES = ("Week", "Month")
-RECEIPT_DATE = re.compile(r"[0-9]{2}/[0-9]{2}/[0-9]{4}")
 
 
 class InvalidParams(ValueError):
@@ -113,27 +113,31 @@ def month_key(d: Column) -> Column:
     return (F.year(d) * 100 + F.month(d)).cast("int")
 
 
-def date_range(df: DataFrame, col: str, start, end) -> DataFrame:
+def date_range(df: DataFrame, col: str, start, end, month_col: str | None = None) -> DataFrame:
     """F-1: both ends included, compared as dates (Q-9).
 
     A timestamp column is compared through ``cast(col as date)``, so the whole end day
-    counts; the optimizer still turns that into bounds on the column at the scan. A table
-    stored by ``io.write_fact_table`` carries ``month_key``; the same range on it prunes
-    the scan to the months' folders.
+    counts; the optimizer still turns that into bounds on the column at the scan. For a
+    table stored by ``io.write_fact_table`` name its month column (``MONTH_KEY``): the same
+    range on it prunes the scan to the months' folders.
     """
     s, e = parse_day(start), parse_day(end)
     c = F.col(col)
     if df.schema[col].dataType.typeName() in ("timestamp", "timestamp_ntz"):
         c = c.cast("date")
     out = df.filter(c.between(F.lit(s), F.lit(e)))
-    if MONTH_KEY in df.columns:
-        out = out.filter(F.col(MONTH_KEY).between(s.year * 100 + s.month, e.year * 100 + e.month))
+    if month_col is not None:
+        out = out.filter(F.col(month_col).between(s.year * 100 + s.month, e.year * 100 + e.month))
     return out
 
 
-def classified(df: DataFrame, col: str = "classification_id") -> DataFrame:
+# Fixed value: the column that holds a tender's class.
+CLASS_COLUMN = "tender/classification/id"
+
+
+def classified(df: DataFrame, col: str = CLASS_COLUMN) -> DataFrame:
     """F-5: ``col != ''`` drops empty and null alike."""
-    return df.filter(F.col(col) != F.lit(""))
+    return df.filter(F.col(f"`{col}`") != F.lit(""))
 
 
 def validate(start=None, end=None, vis_range: str | None = None,
@@ -152,16 +156,23 @@ def validate(start=None, end=None, vis_range: str | None = None,
 
 def validate_receipt_date(text: str | None) -> str:
     """F-6 for the receipts crawl date: ``dd/mm/yyyy`` matched at the start (like re.match)."""
-    if not text or RECEIPT_DATE.match(text) is None:
+    if not text or re.match(DAY_PATTERN, text) is None:
         raise InvalidParams("Wrong date format, please use dd/mm/yyyy!")
     return text
 
 
+def receipt_date_rejects(requests: DataFrame, date: str = "date") -> DataFrame:
+    """F-6 / E-13 for a table of receipt requests: adds ``reject`` unless the date starts with
+    ``dd/mm/yyyy``."""
+    ok = F.coalesce(matches_day_pattern(date), F.lit(False))
+    return requests.withColumn("reject", F.when(~ok, F.lit("invalid date")))
+
+
 def request_rejects(requests: DataFrame, start: str = "start", end: str = "end",
                     vis_range: str | None = "range") -> DataFrame:
     """F-6 for a table of requests: adds ``reject`` (null when the request is valid)."""
-    s = F.try_to_timestamp(F.col(start), F.lit("yyyy-MM-dd"))
-    e = F.try_to_timestamp(F.col(end), F.lit("yyyy-MM-dd"))
+    # one or two digits of month and day, like the driver form
+    s, e = try_as_date(start, "yyyy-M-d"), try_as_date(end, "yyyy-M-d")
     reason = (
         F.when(F.col(start).isNull() | F.col(end).isNull(), F.lit("start and end date is required"))
         .when(s.isNull() | e.isNull() | ~F.col(start).rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$")

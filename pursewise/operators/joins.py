@@ -7,15 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pursewise.operators.filters import classified
+from pursewise.operators.filters import CLASS_COLUMN, classified
 
 # The award-side columns the awards query names (uuid is dropped).
-AWARD_COLUMNS = ("ocid", "award_id", "supplier_name", "award_value_amount")
+AWARD_COLUMNS = ("ocid", "id", "date", "parties/0/roles", "awards/0/id", "awards/0/suppliers/0/id", "parties/0/id",
+                 "parties/0/contactPoint/name", "awards/0/suppliers/0/name", "awards/0/value/currency",
+                 "awards/0/value/amount")
 
 
 def awards_with_tenders(awards: DataFrame, tenders: DataFrame,
                         award_columns: Sequence[str] = AWARD_COLUMNS,
-                        key: str = "ocid", class_col: str = "classification_id") -> DataFrame:
+                        key: str = "ocid", class_col: str = CLASS_COLUMN) -> DataFrame:
     """J-1: awards LEFT JOIN tenders ON ocid WHERE classification <> ''.
 
     The predicate on the right side makes the outer join an inner one, so it is written
@@ -24,6 +26,6 @@ def awards_with_tenders(awards: DataFrame, tenders: DataFrame,
     the planner's size check, else a shuffled sort-merge join, split by AQE on a skewed
     ocid) is left to the optimizer.
     """
-    t = classified(tenders, class_col).select(F.col(key).alias("_tkey"))
-    joined = awards.join(t, awards[key] == t["_tkey"], "inner")
-    return joined.select(*[awards[c] for c in award_columns])
+    t = classified(tenders, class_col).select(F.col(f"`{key}`").alias("_tkey"))
+    joined = awards.join(t, awards[f"`{key}`"] == t["_tkey"], "inner")
+    return joined.select(*[awards[f"`{c}`"] for c in award_columns])

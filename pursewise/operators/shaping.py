@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pursewise.functions.text import json_value
-from pursewise.operators.filters import classified
+from pursewise.operators.filters import CLASS_COLUMN, classified
 
 
 def expenditure_summary(summary: DataFrame) -> DataFrame:
@@ -75,9 +75,32 @@ def covid_rows(covid: DataFrame) -> DataFrame:
     )
 
 
-def tender_rows(tenders: DataFrame, drop: Sequence[str] = ("uuid",)) -> DataFrame:
+# The columns the tender table publishes, in order.
+TENDER_COLUMNS = (
+    "ocid", "id", "date", "tender/id", "tag", "tender/participationFees/0/value/currency",
+    "tender/participationFees/0/value/amount", "tender/participationFees/0/paymentAddress/locality",
+    "tender/datePublished", "tender/awardPeriod/startDate", "tender/documentAvailabilityPeriod/startDate",
+    "tender/documentAvailabilityPeriod/endDate", "tender/enquiryPeriod/startDate", "tender/enquiryPeriod/endDate",
+    "tender/tenderPeriod/startDate", "tender/tenderPeriod/endDate", "tender/title", "tender/description",
+    "tender/value/currency", "tender/value/amount", "tender/items/id", "tender/items/description", "initiationType",
+    "tender/process", "tender/tenderPeriod/durationInDays", "tender/contractPeriod/durationInDays",
+    "parties/0/address/locality", "tender/bidOpening/address/streetAddress", "tender/allowPreferentialBidder",
+    "tender/participationFees/1/value/currency", "tender/participationFees/1/value/amount",
+    "tender/participationFees/1/exemptionAllowed", "tender/participationFees/1/description",
+    "tender/participationFees/0/payee/name", "buyer/id", "buyer/name", "tender/externalReference",
+    "tender/procurementMethod", "tender/contractType", "tender/mainProcurementCategory",
+    "tender/evaluation/generalTechnicalEvaluationAllowed", "tender/evaluation/itemWiseTechnicalEvaluationAllowed",
+    "tender/participationFee/0/multiCurrencyAllowed", "tender/allowTwoStageBid", "tender/procuringEntity/id",
+    "tender/procuringEntity/name", "parties/0/id", "parties/0/roles", "parties/0/contactPoint/name",
+    "parties/0/address/streetAddress", "parties/0/address/postalCode", "tender/participationFees/0/description",
+    "tender/participationFees/0/methodOfPayment", "award/date", "tender/numberOfTenderers",
+    "tender/classification/scheme", "tender/classification/id", "tender/classification/description",
+)
+
+
+def tender_rows(tenders: DataFrame, drop: Sequence[str] = ("uuid",), class_col: str = CLASS_COLUMN) -> DataFrame:
     """R-6: classified tenders, every column but the surrogate id; decimals as double."""
-    t = classified(tenders)
+    t = classified(tenders, class_col)
     cols = []
     for f in t.schema.fields:
         if f.name in drop:
@@ -96,45 +119,52 @@ def result_json(df: DataFrame) -> DataFrame:
                                {"ignoreNullFields": "false"}).alias("value"))
 
 
-def result_count(df: DataFrame) -> DataFrame:
-    """R-7: the ``count`` beside the records."""
-    return df.agg(F.count(F.lit(1)).alias("count"))
+def _placed(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, head): each row as (k, _row, _nth) with a place of its own, and one row with the
+    first place and the row count.
+
+    The key orders the document; rows with equal or null keys are ordered by their columns,
+    and rows equal in all columns are numbered, so every column lists its values in the same
+    order. Both parts are lazy and read the same plan.
+    """
+    names = df.columns
+    row = F.struct(*[F.col(f"`{c}`") for c in names])
+    rows = df.select(F.col(f"`{key}`").alias("k"), row.alias("_row")).groupBy("k", "_row").agg(F.count(F.lit(1)).alias("_n"))
+    rows = rows.select("k", "_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_nth"))
+    head = rows.agg(F.min(F.struct("k", "_row", "_nth")).alias("first"), F.count(F.lit(1)).alias("n"))
+    return rows, head
+
+
+def _comma(rows: DataFrame, head: DataFrame) -> DataFrame:
+    """Adds ``_comma``: empty for the first row (one-row join), a comma for the others."""
+    return rows.join(F.broadcast(head.select("first")), F.lit(True)).withColumn(
+        "_comma", F.when(F.struct("k", "_row", "_nth").eqNullSafe(F.col("first")), F.lit("")).otherwise(F.lit(","))
+    ).drop("first")
 
 
 def columnar_json_fragments(df: DataFrame, columns: Sequence[str], key: str,
                             names: Sequence[str] | None = None) -> DataFrame:
     """R-5 / R-6 document ``{"records": {name: [values in key order], ...}, "count": n}``
-    as ordered fragments ``(s1, s2, s3, k, fragment)``; concatenated in that order they
-    are the document.
+    as ordered fragments ``(s1, s2, s3, k, fragment, _row, _nth)``; concatenated in the order
+    (s1, s2, s3, k, _row, _nth) they are the document.
 
     Each row gives one fragment per column, so the work is spread like the table itself;
-    no column is gathered into one task. Two scalars come from small aggregates: the
-    first key (which value needs no comma) and the row count. ``key`` must be unique and
-    not null (a row id); it fixes the order of the values in every column.
+    no column is gathered into one task. Keys may repeat or be null (see ``_placed``).
     """
     names = list(names or columns)
-    first_key, count = df.agg(F.min(key), F.count(F.lit(1))).first()
-    if count == 0:
-        first_key = None
-    parts = []
-    spark = df.sparkSession
-    k_type = df.schema[key].dataType.simpleString()
-    head = [(0, 0, 0, '{"records":{')]
+    rows, head = _placed(df, key)
+    fixed = [(0, 0, 0, F.lit('{"records":{'))]
     for i, name in enumerate(names):
-        head.append((1, i, 0, ("," if i else "") + '"' + name.replace('"', '\\"') + '":['))
-        head.append((1, i, 2, "]"))
-    head.append((2, 0, 0, '},"count":' + str(count) + "}"))
-    fixed = spark.createDataFrame(head, "s1 int, s2 int, s3 int, fragment string").select(
-        "s1", "s2", "s3", F.lit(None).cast(k_type).alias("k"), "fragment")
-    parts.append(fixed)
-    comma = F.when(F.col(key) == F.lit(first_key), F.lit("")).otherwise(F.lit(","))
-    cells = F.array(*[F.struct(F.lit(i).alias("s2"), json_value(F.col(c)).alias("v"))
+        fixed.append((1, i, 0, F.concat(F.lit("," if i else ""), json_value(F.lit(name)), F.lit(":["))))
+        fixed.append((1, i, 2, F.lit("]")))
+    fixed.append((2, 0, 0, F.concat(F.lit('},"count":'), F.col("n").cast("string"), F.lit("}"))))
+    frame = head.select(F.inline(F.array(*[F.struct(F.lit(s1).alias("s1"), F.lit(s2).alias("s2"), F.lit(s3).alias("s3"),
+                                                    text.alias("fragment")) for s1, s2, s3, text in fixed])))
+    cells = F.array(*[F.struct(F.lit(i).alias("s2"), json_value(F.col(f"_row.`{c}`")).alias("v"))
                       for i, c in enumerate(columns)])
-    values = df.select(F.col(key), F.inline(cells)).select(
-        F.lit(1).alias("s1"), "s2", F.lit(1).alias("s3"), F.col(key).alias("k"),
-        F.concat(comma, F.col("v")).alias("fragment"))
-    parts.append(values)
-    return parts[0].unionByName(parts[1])
+    values = _comma(rows, head).select("k", "_row", "_nth", "_comma", F.inline(cells)).select(
+        F.lit(1).alias("s1"), "s2", F.lit(1).alias("s3"), "k", F.concat("_comma", "v").alias("fragment"), "_row", "_nth")
+    return values.unionByName(frame, allowMissingColumns=True)
 
 
 def write_columnar_json(df: DataFrame, path: str, columns: Sequence[str], key: str,
@@ -142,21 +172,17 @@ def write_columnar_json(df: DataFrame, path: str, columns: Sequence[str], key: s
     """Write the columnar document as ordered text part files (a range-partitioned sort);
     read in part order they concatenate to the JSON."""
     frags = columnar_json_fragments(df, columns, key, names)
-    frags.orderBy("s1", "s2", "s3", "k").select("fragment").write.mode("overwrite").text(path)
+    frags.orderBy("s1", "s2", "s3", "k", "_row", "_nth").select("fragment").write.mode("overwrite").text(path)
 
 
 def records_json_fragments(df: DataFrame, key: str) -> DataFrame:
     """R-7 document ``{"records": [row, ...], "count": n}`` as ordered fragments
-    ``(s1, k, fragment)``: one per row plus the opening and the count, in ``key`` order
-    (unique, not null). Written like the columnar document; nothing is gathered."""
-    first_key, count = df.agg(F.min(key), F.count(F.lit(1))).first()
-    k_type = df.schema[key].dataType.simpleString()
-    fixed = df.sparkSession.createDataFrame(
-        [(0, '{"records":['), (2, '],"count":' + str(count) + "}")], "s1 int, fragment string"
-    ).select("s1", F.lit(None).cast(k_type).alias("k"), "fragment")
-    comma = F.when(F.col(key) == F.lit(first_key), F.lit("")).otherwise(F.lit(","))
-    rows = df.select(F.lit(1).alias("s1"), F.col(key).alias("k"),
-                     F.concat(comma, F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]),
-                                               {"ignoreNullFields": "false"}))
-                     .alias("fragment"))
-    return fixed.unionByName(rows)
+    ``(s1, k, fragment, _row, _nth)``: one per row plus the opening and the count, in the
+    order (s1, k, _row, _nth). Written like the columnar document; nothing is gathered."""
+    rows, head = _placed(df, key)
+    close = F.concat(F.lit('],"count":'), F.col("n").cast("string"), F.lit("}"))
+    frame = head.select(F.inline(F.array(F.struct(F.lit(0).alias("s1"), F.lit('{"records":[').alias("fragment")),
+                                         F.struct(F.lit(2).alias("s1"), close.alias("fragment")))))
+    text = F.to_json("_row", {"ignoreNullFields": "false"})
+    values = _comma(rows, head).select(F.lit(1).alias("s1"), "k", F.concat("_comma", text).alias("fragment"), "_row", "_nth")
+    return values.unionByName(frame, allowMissingColumns=True)

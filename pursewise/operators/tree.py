@@ -63,27 +63,23 @@ def tree_json_fragments(levels_df: DataFrame) -> DataFrame:
     lengths ``m`` in ``0..n-1`` under which it is the greatest path; those form a run
     from ``n-1`` down, so counting is enough. ``max`` per prefix is a partial aggregate,
     so a hot root costs one partial row per task; every group is bounded.
+
+    One pass: every distinct path gives its prefixes (itself included), one group per
+    prefix keeps the greatest path, and one group per node counts how often it is that.
     """
     n = len(levels_df.columns)
     path = F.array(*[_label(F.col(f"`{c}`")) for c in levels_df.columns])
     leaves = levels_df.select(path.alias("path")).distinct()
-    prefixes = F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
-                           lambda m: F.struct(m.alias("m"), F.slice("path", 1, m).alias("prefix")))
-    greatest = (leaves.select("path", F.inline(prefixes))
-                .groupBy("m", "prefix").agg(F.max("path").alias("path"))
-                .groupBy("path").agg(F.count(F.lit(1)).alias("run")))
-    leaf_rows = leaves.join(greatest, "path", "left").select(
-        "path", F.coalesce("run", F.lit(0)).alias("run"))
+    prefixes = F.transform(F.sequence(F.lit(0), F.lit(n)), lambda m: F.slice("path", 1, m))
+    greatest = leaves.select("path", F.explode(prefixes).alias("prefix")).groupBy("prefix").agg(F.max("path").alias("last"))
+    marks = F.array(F.struct(F.col("prefix").alias("path"), F.lit(0).alias("ends")),
+                    F.struct(F.col("last").alias("path"), F.lit(1).alias("ends")))
+    nodes = greatest.select(F.inline(marks)).where(F.size("path") > 0).groupBy("path").agg(F.sum("ends").alias("ends"))
     key = json_value(F.element_at("path", -1))
-    closes = F.least(F.col("run"), F.lit(n - 1))
-    leaf_frag = F.concat(key, F.lit(":{}"), F.repeat(F.lit("}"), closes),
-                         F.when(F.col("run") < n, F.lit(",")).otherwise(F.lit("")))
-    inner = leaves.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(max(n - 1, 1))),
-                                                lambda i: F.slice("path", 1, i))).alias("path"))
-    inner = inner.filter(F.size("path") < n).distinct()
-    inner_frag = F.concat(json_value(F.element_at("path", -1)), F.lit(":{"))
-    return leaf_rows.select("path", leaf_frag.alias("fragment")).unionByName(
-        inner.select("path", inner_frag.alias("fragment")))
+    run = F.col("ends") - 1  # a leaf is the greatest path under itself
+    leaf = F.concat(key, F.lit(":{}"), F.repeat(F.lit("}"), F.least(run, F.lit(n - 1)).cast("int")),
+                    F.when(run < n, F.lit(",")).otherwise(F.lit("")))
+    return nodes.select("path", F.when(F.size("path") == n, leaf).otherwise(F.concat(key, F.lit(":{"))).alias("fragment"))
 
 
 def write_tree_json(levels_df: DataFrame, path: str) -> None:

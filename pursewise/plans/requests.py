@@ -25,44 +25,51 @@ RECEIPT_UNITS = {"rupees": "0", "thousands": "1", "lakhs": "2"}
 ALL_MAJORS = "0000"
 
 
-def plan_treasury_requests(treasuries: DataFrame, ddos: DataFrame, query_id: str, query_name: str,
+def plan_treasury_requests(treasuries: DataFrame, ddos: DataFrame, query: DataFrame,
                            start: str, end: str, treasury_key: str = "treasury_id",
                            ddo_treasury_key: str = "treasury_code", ddo_col: str = "ddo_code") -> DataFrame:
     """P-1: one request per (treasury, DDO of its latest snapshot) for the range and query.
 
-    ``treasuries`` has (treasury_id, treasury_name); ``ddos`` (treasury_code, ddo_code).
-    Both are dimensions; the equi-join is planned by size (broadcast under the
+    ``treasuries`` has (treasury_id, treasury_name); ``ddos`` (treasury_code, ddo_code);
+    ``query`` is the one row (query_id, query_name) of the option asked for (X-7): without
+    it there is nothing to plan. The equi-join is planned by size (broadcast under the
     threshold, else shuffled).
     """
     d = ddos.select(F.col(ddo_treasury_key).alias(treasury_key), F.col(ddo_col).alias("ddo_code"))
     plan = treasuries.select(treasury_key, "treasury_name").join(d, treasury_key)
+    plan = plan.join(F.broadcast(_one_query(query)), F.lit(True))
     return plan.select(
-        F.lit(start).alias("start"), F.lit(end).alias("end"),
-        F.lit(query_id).alias("query_id"), F.lit(query_name).alias("query_name"),
+        F.lit(start).alias("start"), F.lit(end).alias("end"), "query_id", "query_name",
         treasury_key, "treasury_name", "ddo_code",
         F.concat_ws("-", F.col(treasury_key), F.col("ddo_code")).alias("hod_code"))
 
 
-def plan_budget_request(departments: DataFrame, query_id: str, query_name: str, date: str,
-                        unit: str) -> DataFrame:
+def _one_query(query: DataFrame) -> DataFrame:
+    """The query option as one row at most (a form offers one option at an index)."""
+    one = query.agg(F.min(F.struct("query_id", "query_name")).alias("q")).where("q is not null")
+    return one.select("q.query_id", "q.query_name")
+
+
+def plan_budget_request(departments: DataFrame, query: DataFrame, date: str, unit: str) -> DataFrame:
     """P-2: one request for the first department (position 0) with start = end = date."""
-    first = departments.filter(F.col("position") == 0)
+    first = departments.filter(F.col("position") == 0).join(F.broadcast(_one_query(query)), F.lit(True))
     return first.select(
-        F.lit(date).alias("date"), F.lit(query_id).alias("query_id"),
-        F.lit(query_name).alias("query_name"), F.col("value").alias("hod_name"),
+        F.lit(date).alias("date"), "query_id", "query_name", F.col("value").alias("hod_name"),
         F.lit(unit).alias("unit"))
 
 
 def plan_receipt_requests(dates: DataFrame, major_codes: DataFrame | None = None,
-                          date_col: str = "date") -> DataFrame:
+                          date_col: str = "date", unit: str = "rupees") -> DataFrame:
     """P-3: step 1 asks every day for all majors (``0000``) under both head kinds; step 2
-    asks once per major code found in a step-1 response, keeping its head kind."""
+    asks once per major code found in a step-1 response, keeping its head kind. Each request
+    names its unit by index (P-7)."""
+    unit_index = F.lit(RECEIPT_UNITS[unit]).alias("unit")
     first = dates.select(F.col(date_col).alias("date")).distinct().select(
         F.lit(1).alias("step"), F.explode(F.array(F.lit("0"), F.lit("1"))).alias("public_head_bool"),
-        "date", F.lit(ALL_MAJORS).alias("major_code"))
+        "date", F.lit(ALL_MAJORS).alias("major_code"), unit_index)
     if major_codes is None:
         return first
-    second = major_codes.select(F.lit(2).alias("step"), "public_head_bool", "date", "major_code")
+    second = major_codes.select(F.lit(2).alias("step"), "public_head_bool", "date", "major_code", unit_index)
     return first.unionByName(second)
 
 
@@ -86,13 +93,13 @@ def budget_path(crawl_name: str, date: Column) -> Column:
     return F.concat(F.lit(kind + "/"), dataset_file_name([F.lit(crawl_name), date]))
 
 
-def missing(plan: DataFrame, files: DataFrame, header_bytes: int = 0, path_col: str = "path") -> DataFrame:
-    """P-5: planned datasets without a collected file.
+def missing(plan: DataFrame, collected: DataFrame, path_col: str = "path") -> DataFrame:
+    """P-5: planned datasets that are not collected yet.
 
-    A file counts only when it has more than ``header_bytes`` bytes: an empty file is
-    collected again, and with the header length given, so is a header-only file (Q-14).
+    ``collected`` has (path, n_rows), as ``io.collected_datasets`` lists it. A dataset counts
+    when it has a data row: empty and header-only files are collected again (Q-14).
     """
-    done = files.filter(F.col("length") > header_bytes).select(F.col("path").alias(path_col))
+    done = collected.filter(F.col("n_rows") > 0).select(F.col("path").alias(path_col))
     return plan.join(done, path_col, "left_anti")
 
 
@@ -105,21 +112,28 @@ def request_url(plan: DataFrame, base: str, params: Sequence[tuple[str, str]]) -
     return plan.withColumn("url", F.concat(F.lit(base + "?"), F.concat_ws("&", *pairs)))
 
 
+def budget_request_url(plan: DataFrame, base: str) -> DataFrame:
+    """P-6 for the budget crawl: start and end are the one date, and the unit is named."""
+    return request_url(plan, base, list(zip(
+        BUDGET_PARAMS, ("date", "date", "query_id", "hod_name", "query_name", "unit"))))
+
+
 def scale(df: DataFrame, cols: Sequence[str], unit: str) -> DataFrame:
-    """P-7: amounts in rupees, thousands or lakhs; exact decimal factor."""
-    factor = Decimal(EXPENDITURE_UNITS.get(unit, unit))
+    """P-7: amounts in rupees, thousands or lakhs, by name, factor or receipt index ('0', '1',
+    '2'); exact decimal factor."""
+    names = {index: name for name, index in RECEIPT_UNITS.items()}
+    factor = Decimal(EXPENDITURE_UNITS.get(names.get(unit, unit), unit))
     digits, exponent = factor.as_tuple().digits, factor.as_tuple().exponent
     sc = max(0, -exponent)
     lit = F.lit(str(factor)).cast(f"decimal({max(len(digits), sc) + 1},{sc})")
     return df.select(*[(F.col(c) * lit).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
-def requests_to_make(treasuries: DataFrame, ddos: DataFrame, files: DataFrame, query_id: str,
-                     query_name: str, start: str, end: str, crawl_name: str, base_url: str,
-                     header_bytes: int = 0) -> DataFrame:
+def requests_to_make(treasuries: DataFrame, ddos: DataFrame, collected: DataFrame, query: DataFrame,
+                     start: str, end: str, crawl_name: str, base_url: str) -> DataFrame:
     """One run of a treasury crawl, as a plan: P-1 (requests), P-4 (their file paths),
     P-5 (drop those already collected) and P-6 (the URL of each remaining request)."""
-    plan = plan_treasury_requests(treasuries, ddos, query_id, query_name, start, end)
-    todo = missing(dataset_path(plan, crawl_name), files, header_bytes)
+    plan = plan_treasury_requests(treasuries, ddos, query, start, end)
+    todo = missing(dataset_path(plan, crawl_name), collected)
     return request_url(todo, base_url, list(zip(
         TREASURY_PARAMS, ("start", "end", "query_id", "hod_code", "query_name"))))

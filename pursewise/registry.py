@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pursewise import oracle as O
+from pursewise.functions.dates import iso_week, last_saturday, week0, weekday_name
 from pursewise.operators import extract as EX
 from pursewise.operators import facts as FA
 from pursewise.operators import filters as FI
@@ -150,20 +152,27 @@ register("filter_quoted_in", _filter_rows_sql(FILTER_SINGLE, True))(_filter_rows
 
 
 @register("filter_classified", O.oracle_with(
-    "select ocid, classification_id from tenders where classification_id != ''", "tenders"))
+    "select ocid, \"tender/classification/id\" as class_id from tenders where \"tender/classification/id\" != ''", "tenders"))
 def _filter_classified(spark, sf):
-    return FI.classified(view(spark, sf, "tenders")).select("ocid", "classification_id")
+    return FI.classified(view(spark, sf, "tenders")).select("ocid", F.col(f"`{FI.CLASS_COLUMN}`").alias("class_id"))
 
 
 # ---------------------------------------------------------------- J, S-2, R: joins and shaping
 
+
+def _quoted(columns, prefix="") -> str:
+    """The published columns in DuckDB SQL, amounts as double."""
+    return ", ".join(f'cast({prefix}"{c}" as double) as "{c}"' if c.endswith("value/amount") else f'{prefix}"{c}"'
+                     for c in columns)
+
+
 @register("awards_with_tenders", O.oracle_with(
-    "select a.ocid, a.award_id, a.supplier_name, cast(a.award_value_amount as double) as award_value_amount "
-    "from awards a left join tenders t on t.ocid = a.ocid where t.classification_id != ''",
+    f"select {_quoted(JO.AWARD_COLUMNS, 'a.')} "
+    "from awards a left join tenders t on t.ocid = a.ocid where t.\"tender/classification/id\" != ''",
     "awards", "tenders"))
 def _awards(spark, sf):
     out = JO.awards_with_tenders(view(spark, sf, "awards"), view(spark, sf, "tenders"))
-    return out.withColumn("award_value_amount", F.col("award_value_amount").cast("double"))
+    return out.withColumn("awards/0/value/amount", F.col("`awards/0/value/amount`").cast("double"))
 
 
 @register("expenditure_summary", O.oracle_with(
@@ -184,10 +193,15 @@ def _alloc_by_year(spark, sf):
     return SH.allocation_by_year_flat(view(spark, sf, "allocation_summary"))
 
 
-@register("allocation_by_year_nested")
+@register("allocation_by_year_nested", O.oracle_with(
+    "select financial_year, concat_ws('-', demand, demand_description) as demand_label, "
+    "cast(unnest([0, 1]) as int) as at, unnest([cast(sanction as double), cast(addition as double)]) as value "
+    "from allocation_summary", "allocation_summary"))
 def _alloc_by_year_nested(spark, sf):
     nested = SH.allocation_by_year(view(spark, sf, "allocation_summary"))
-    return nested.select("financial_year", F.to_json("demands").alias("demands"))  # JSON text at the edge
+    # the nested value of each year, listed again
+    labels = nested.select("financial_year", F.explode("demands").alias("demand_label", "_values"))
+    return labels.select("financial_year", "demand_label", F.posexplode("_values").alias("at", "value"))
 
 
 @register("covid_columns", O.oracle_with(
@@ -198,23 +212,29 @@ def _covid(spark, sf):
 
 
 @register("tender_columns", O.oracle_with(
-    "select ocid, id, date, cast(tender_value_amount as double) as tender_value_amount, buyer_name, "
-    "classification_id from tenders where classification_id != ''", "tenders"))
+    f"select {_quoted(SH.TENDER_COLUMNS)} from tenders where \"tender/classification/id\" != ''", "tenders"))
 def _tenders(spark, sf):
     return SH.tender_rows(view(spark, sf, "tenders"))
 
 
-@register("by_district")
+@register("by_district", "select district, pos, week as label, cast(unnest([0, 1, 2, 3]) as int) as at, "
+          "unnest([gross, agded, btded, netpayment]) as value from ("
+          + O.sql_series("spending", FA.SPENDING, "week", *RANGE_YEAR) + ") s")
 def _by_district(spark, sf):
     s = FA.series(view(spark, sf, "spending"), FA.SPENDING, "week", *RANGE_YEAR)
     nested = SH.by_key_series(s, FA.SPENDING.measures, "week")
-    return nested.select("district", F.to_json("series").alias("series"))  # JSON text at the edge
+    # the nested value of each district, listed again
+    slots = nested.select("district", F.inline("series"))
+    return slots.select("district", "pos", "label", F.posexplode("sums").alias("at", "value"))
 
 
-@register("result_json")
+@register("result_json", "select district, pos, cast(slot_start as varchar) as slot_start, month, netreceipt from ("
+          + O.sql_series("treasury_receipts", FA.TREASURY_RECEIPTS, "month", *RANGE_YEAR) + ") s")
 def _result_json(spark, sf):
-    return SH.result_json(FA.series(view(spark, sf, "treasury_receipts"), FA.TREASURY_RECEIPTS,
-                                    "month", *RANGE_YEAR))
+    text = SH.result_json(FA.series(view(spark, sf, "treasury_receipts"), FA.TREASURY_RECEIPTS, "month", *RANGE_YEAR))
+    # the JSON records, read back
+    schema = "district string, pos int, slot_start string, month int, netreceipt double"
+    return text.select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
 # ---------------------------------------------------------------- H: heads
@@ -263,7 +283,8 @@ _reg_tree("heads_tree_desc", "allocation", HE.ALLOCATION_DESC_LEVELS)
 _reg_tree("heads_tree_receipts", "budget_receipts", HE.RECEIPT_LEVELS)
 _reg_tree("heads_tree_spending", "spending", HE.SPENDING_LEVELS)
 _reg_tree("filter_query_string", "spending", HE.SPENDING_LEVELS, DISTRICTS_TWO)
-_reg_tree("heads_tree_treasury_receipts", "treasury_receipts", HE.TREASURY_RECEIPT_LEVELS,
+_reg_tree("heads_tree_treasury_receipts", "treasury_receipts", HE.TREASURY_RECEIPT_LEVELS)
+_reg_tree("heads_tree_treasury_receipts_filtered", "treasury_receipts", HE.TREASURY_RECEIPT_LEVELS,
           {"district": "'NATION_1', 'NATION_2', 'NATION_24'"})
 _reg_tree("heads_tree_schemes", "schemes", HE.SCHEME_LEVELS)
 
@@ -410,17 +431,18 @@ def _xml_rows(spark, sf):
                     F.col("cols")[1].alias("receipt_date"), F.col("cols")[2].alias("total"))
 
 
-@register("split_receipt_head", "select major, sub_major, minor, sub_minor, sub_minor_desc, "
-          "strftime(date, '%d/%m/%Y') as date, cast(total_receipt as double) as total "
-          "from budget_receipts")
+@register("split_receipt_head", f"with {_RECEIPT_ROWS} select k.public_head_bool, major, "
+          "(select min(major_desc) from rr r2 where r2.major = rr.major) as major_desc, sub_major, minor, "
+          "sub_minor, sub_minor_desc, strftime(date, '%d/%m/%Y') as date, cast(total_receipt as double) as total "
+          f"from rr cross join {_KINDS}")
 def _split_head(spark, sf):
-    xml = CA.receipts_xml(spark, sf).filter(F.col("public_head_bool") == "0")
-    r = EX.receipt_rows(xml).select(F.col("cols")[0].alias("head"), F.col("cols")[1].alias("date"),
+    """Both head kinds, with the major's description from the major list (its first, where a
+    code is listed with several)."""
+    xml = CA.receipts_xml(spark, sf)
+    r = EX.receipt_rows(xml).select("public_head_bool", F.col("cols")[0].alias("head"), F.col("cols")[1].alias("date"),
                                     F.col("cols")[2].cast("double").alias("total"))
-    return EX.split_head(r).drop("head")
-
-
-ORACLES["split_receipt_head"] = O.oracle_with(ORACLES["split_receipt_head"], "budget_receipts")
+    majors = EX.major_list(xml).groupBy("major").agg(F.min("major_desc").alias("major_desc"))
+    return EX.with_major_desc(EX.split_head(r).drop("head"), majors)
 
 
 # ---------------------------------------------------------------- P: planning
@@ -443,17 +465,16 @@ def _treasuries(spark, sf):
 
 
 def _query(spark, sf, index=EX.QUERY_INDEX_EXPENDITURES, form="query"):
-    forms = CA.forms_html(spark, sf).filter(F.col("form") == form)
-    row = EX.query_option(forms, index).first()  # one option: a request parameter
-    return row["query_id"], row["query_name"]
+    return EX.query_option(CA.forms_html(spark, sf).filter(F.col("form") == form), index)
 
 
-def _treasury_plan(spark, sf):
+def _latest_ddos(spark, sf):
     latest = IO.latest_snapshot(CA.ddo_snapshots(spark, sf), "treasury_code", "snapshot_date")
-    qid, qname = _query(spark, sf)
-    return PL.plan_treasury_requests(_treasuries(spark, sf),
-                                     latest.select("treasury_code", F.col("`DDO Code`").alias("ddo_code")),
-                                     qid, qname, *PLAN_RANGE)
+    return latest.select("treasury_code", F.col("`DDO Code`").alias("ddo_code"))
+
+
+def _treasury_plan(spark, sf):
+    return PL.plan_treasury_requests(_treasuries(spark, sf), _latest_ddos(spark, sf), _query(spark, sf), *PLAN_RANGE)
 
 
 _SQL_LATEST = (
@@ -479,12 +500,12 @@ def _plan_treasury(spark, sf):
 @register("latest_ddo_snapshot", f"with {_SQL_LATEST} select treasury_code, "
           "lpad(cast(s_suppkey as varchar), 4, '0') as \"DDO Code\", s_name as \"DDO Name\" from latest")
 def _latest_snapshot(spark, sf):
-    """S-6 write, S-3 read by header, S-4 newest snapshot per treasury."""
+    """S-6 write day by day, S-3 read by header, S-4 newest snapshot per treasury by file time."""
     path = scratch(spark, "ddo-snapshots")
-    IO.write_snapshot(CA.ddo_snapshots(spark, sf), path)
-    read = IO.ddo_codes(spark, path)
-    return IO.latest_snapshot(read, "treasury_code", "snapshot_date").select(
-        "treasury_code", "DDO Code", "DDO Name")
+    snapshots = CA.ddo_snapshots(spark, sf)
+    for day in (1, 2, 3):
+        IO.write_snapshot(snapshots.filter(F.dayofmonth("snapshot_date") == day), path)
+    return IO.latest_snapshot(IO.ddo_codes(spark, path)).select("treasury_code", "DDO Code", "DDO Name")
 
 
 _SQL_SNAPSHOTS = ("select concat('T', lpad(cast(n_regionkey as varchar), 2, '0')) as treasury_code, "
@@ -513,15 +534,22 @@ def _ddo_read(spark, sf):
 def _plan_budget(spark, sf):
     forms = CA.forms_html(spark, sf).filter(F.col("form") == "budget")
     depts = EX.options(forms, EX.SELECT_DEPARTMENT, skip_placeholder=False)
-    qid, qname = _query(spark, sf, EX.QUERY_INDEX_EXPENDITURES, form="budget")
-    return PL.plan_budget_request(depts, qid, qname, "01/04/2019", PL.EXPENDITURE_UNITS["lakhs"])
+    query = _query(spark, sf, EX.QUERY_INDEX_EXPENDITURES, form="budget")
+    return PL.plan_budget_request(depts, query, "01/04/2019", PL.EXPENDITURE_UNITS["lakhs"])
+
+
+@register("budget_request_url", ORACLES["plan_budget_requests"].replace(
+    "select", "select *, concat('https://example.invalid/report.asp?from_date=01%2F04%2F2019&To_date=01%2F04%2F2019&ddlquery=', "
+    "query_id, '&HODCode=', hod_name, '&Str=', replace(query_name, ' ', '+'), '&Unit=', unit) as url from (select", 1) + ")")
+def _budget_request_url(spark, sf):
+    return PL.budget_request_url(_plan_budget(spark, sf), "https://example.invalid/report.asp")
 
 
 @register("plan_receipt_requests", f"with {_RECEIPT_ROWS}, d as (select distinct strftime(date, '%d/%m/%Y') "
           "as date from rr), m as (select distinct date, major, major_desc from rr) "
-          f"select 1 as step, k.public_head_bool, d.date, '0000' as major_code from d cross join {_KINDS} "
+          f"select 1 as step, k.public_head_bool, d.date, '0000' as major_code, '0' as unit from d cross join {_KINDS} "
           f"union all select 2 as step, k.public_head_bool, strftime(m.date, '%d/%m/%Y') as date, "
-          f"m.major as major_code from m cross join {_KINDS}")
+          f"m.major as major_code, '0' as unit from m cross join {_KINDS}")
 def _plan_receipts(spark, sf):
     xml = CA.receipts_xml(spark, sf)
     return PL.plan_receipt_requests(xml.select("date"), EX.major_codes(xml))
@@ -536,15 +564,22 @@ def _dataset_path(spark, sf):
     return PL.dataset_path(_treasury_plan(spark, sf), CRAWL)
 
 
+def _collected(spark, sf) -> DataFrame:
+    """Datasets written by S-5 under their P-4 paths and listed again: half of the planned
+    datasets are there, and half of those hold a header only."""
+    root = scratch(spark, "collected")
+    key = F.col("ddo_code").cast("int")
+    have = PL.dataset_path(_treasury_plan(spark, sf), CRAWL).filter(key % 2 == 0)
+    IO.write_collected(have.filter(key % 4 != 0).select("path", "treasury_id", "ddo_code"), root + "/rows")
+    header = have.filter(key % 4 == 0).select(F.col("path").alias("dataset"), F.lit("treasury_id,ddo_code").alias("value"))
+    header.write.partitionBy("dataset").text(root + "/headers")
+    return IO.collected_datasets(spark, root)
+
+
 @register("skip_collected", f"{_SQL_PLAN} select {_PLAN_COLS}, {_SQL_PATH} as path from plan "
           "where not (s_suppkey % 2 = 0 and s_suppkey % 4 <> 0)")
 def _skip_collected(spark, sf):
-    plan = PL.dataset_path(_treasury_plan(spark, sf), CRAWL)
-    # collected_files: half of the planned datasets have a file; a quarter of those are empty.
-    key = F.col("ddo_code").cast("int")
-    files = plan.filter(key % 2 == 0).select(
-        "path", F.when(key % 4 == 0, F.lit(0)).otherwise(F.lit(1024)).cast("long").alias("length"))
-    return PL.missing(plan, files)
+    return PL.missing(PL.dataset_path(_treasury_plan(spark, sf), CRAWL), _collected(spark, sf))
 
 
 def _sql_url_encode(c: str) -> str:
@@ -579,10 +614,15 @@ _ROW_SCHEMA = ("treasury_id string, ddo_code string, from_date string, to_date s
 
 @register("dataset_sink", ORACLES["html_table_rows"])
 def _dataset_sink(spark, sf):
+    """One folder per (kind, treasury, DDO, period); the second half of the periods is
+    written after the first and leaves it in place."""
     path = scratch(spark, "datasets")
-    IO.write_datasets(_cells_flat(EX.extract_rows(CA.pages_html(spark, sf))), path,
-                      ("treasury_id", "ddo_code"))
-    return IO.read_csv(spark, path, _ROW_SCHEMA)
+    rows = _cells_flat(EX.extract_rows(CA.pages_html(spark, sf))).withColumn("kind", F.lit("expenditures")).withColumn(
+        "period", F.concat_ws("-", "from_date", "to_date"))
+    late = F.substring("from_date", 5, 2) > "06"
+    for part in (~late, late):
+        IO.write_datasets(rows.filter(part), path, ("kind", "treasury_id", "ddo_code", "period"))
+    return IO.read_csv(spark, path, _ROW_SCHEMA + ", kind string, period string").drop("kind", "period")
 
 
 @register("receipts_sink", f"with {_RECEIPT_ROWS} select strftime(rr.date, '%d_%m_%Y') as day, "
@@ -608,21 +648,36 @@ def _heads_export(spark, sf):
     return IO.read_csv(spark, path, "combination string")
 
 
-@register("csv_drop_ingest", ORACLES["html_table_rows"])
+@register("csv_drop_ingest", ORACLES["html_table_rows"] + " and not (treasury_id = 'T01' and pos % 2 = 1)")
 def _csv_drop_ingest(spark, sf):
-    """Two drops of dataset CSVs land in one folder; after each, one catch-up run. The
-    table must equal the rows of both drops, each file taken once."""
+    """Three drops of dataset CSVs land in one folder; after each, one catch-up run. The
+    second drop's files are a year old; the third collects the datasets of one treasury
+    again, with every other row. The table holds each dataset as it was collected last."""
     from pursewise.streaming.ingest import ingest
 
     rows = _cells_flat(EX.extract_rows(CA.pages_html(spark, sf)))
+    rows = rows.withColumn("dataset", F.concat_ws("_", "treasury_id", "ddo_code"))
     root = scratch(spark, "ingest")
     drops, out, ckpt = f"{root}/drops", f"{root}/table", f"{root}/checkpoint"
     first = F.col("treasury_id").isin("T00", "T01", "T02")
-    for cond in (first, ~first):
-        part = rows.filter(cond).withColumn("dataset", F.concat_ws("_", "treasury_id", "ddo_code"))
-        IO.write_datasets(part, drops, ("dataset",))
+    again = (F.col("treasury_id") == "T01") & (F.col("pos") % 2 == 0)
+    for n, cond in enumerate((first, ~first, again)):
+        IO.write_datasets(rows.filter(cond), drops, ("dataset",))
+        if n == 1:
+            _age_files(spark, drops, days=365)
         ingest(spark, drops, out, ckpt, _ROW_SCHEMA + ", dataset string")
-    return spark.read.parquet(out).drop("dataset", "source_file")
+    return spark.read.parquet(out).select(*[f.split()[0] for f in _ROW_SCHEMA.split(", ")])
+
+
+def _age_files(spark, path: str, days: int) -> None:
+    """Set the times of the CSV files under ``path`` back (as a copy that keeps times has them)."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = fs.listFiles(fs_path, True)
+    while files.hasNext():
+        f = files.next()
+        if f.getPath().getName().endswith(".csv"):
+            fs.setTimes(f.getPath(), f.getModificationTime() - days * 86_400_000, -1)
 
 
 # ---------------------------------------------------------------- H-12, R-3 nested
@@ -680,7 +735,7 @@ def _heads_tree_json(spark, sf):
 @register("load_tables", " union all ".join(
     f"select '{t}' as table_name, count(*) as row_count from {t}" for t in BASE_TABLES))
 def _load_tables(spark, sf):
-    frames = load_tables(spark, sf, BASE_TABLES, spread=False)
+    frames = load_tables(spark, sf, BASE_TABLES)
     out = None
     for name in BASE_TABLES:
         c = frames[name].agg(F.count(F.lit(1)).alias("row_count")).select(
@@ -736,7 +791,7 @@ def _month_slots(spark, sf):
 # a 3-MEDIUM order asks for range 'week' (rejected: the names are Week and Month).
 _REQUESTS_SQL = """
 select o_orderkey as request_id,
-  cast(cast(o_orderdate as date) as string) as start,
+  case when o_orderkey % 4 = 0 then {short} else cast(cast(o_orderdate as date) as string) end as start,
   case when o_orderstatus = 'P' then {ddmmyyyy} else cast(cast(o_orderdate as date) + {days30} as string) end as "end",
   case when o_orderpriority = '1-URGENT' then 'Week' when o_orderpriority = '3-MEDIUM' then 'week'
        else 'Month' end as range
@@ -745,7 +800,8 @@ from orders
 
 
 @register("validate_params", "with r as (" + _REQUESTS_SQL.format(
-    ddmmyyyy="strftime(cast(o_orderdate as date), '%d/%m/%Y')", days30="interval 30 day").replace(
+    ddmmyyyy="strftime(cast(o_orderdate as date), '%d/%m/%Y')", days30="interval 30 day",
+    short="strftime(cast(o_orderdate as date), '%Y-%-m-%-d')").replace(
     "cast(cast(o_orderdate as date) + interval 30 day as string)",
     "cast(cast(cast(o_orderdate as date) + interval 30 day as date) as string)")
     + ") select request_id, start, \"end\", range, case "
@@ -758,7 +814,8 @@ def _validate_params(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet")
     d = F.col("o_orderdate").cast("date")
     requests = o.select(
-        F.col("o_orderkey").alias("request_id"), d.cast("string").alias("start"),
+        F.col("o_orderkey").alias("request_id"),
+        F.when(F.col("o_orderkey") % 4 == 0, F.date_format(d, "yyyy-M-d")).otherwise(d.cast("string")).alias("start"),
         F.when(F.col("o_orderstatus") == "P", F.date_format(d, "dd/MM/yyyy"))
         .otherwise(F.date_add(d, 30).cast("string")).alias("end"),
         F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("Week"))
@@ -766,6 +823,29 @@ def _validate_params(spark, sf):
     return FI.request_rejects(requests)
 
 
+@register("validate_receipt_dates", "with r as (select o_orderkey as request_id, case when o_orderstatus = 'P' "
+          "then strftime(cast(o_orderdate as date), '%Y-%m-%d') else strftime(cast(o_orderdate as date), '%d/%m/%Y') || ' ' "
+          "end as date from orders) select request_id, date, case when regexp_matches(date, '^[0-9]{2}/[0-9]{2}/[0-9]{4}') "
+          "then null else 'invalid date' end as reject from r")
+def _validate_receipt_dates(spark, sf):
+    d = F.col("o_orderdate").cast("date")
+    text = F.when(F.col("o_orderstatus") == "P", F.date_format(d, "yyyy-MM-dd")).otherwise(
+        F.concat(F.date_format(d, "dd/MM/yyyy"), F.lit(" ")))
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    return FI.receipt_date_rejects(o.select(F.col("o_orderkey").alias("request_id"), text.alias("date")))
+
+
+@register("calendar_days", "select distinct cast(o_orderdate as date) as day, cast(strftime(cast(o_orderdate as date), '%V') as int) "
+          "as iso_week, dayname(cast(o_orderdate as date)) as weekday, cast(cast(o_orderdate as date) - "
+          "cast((dayofweek(cast(o_orderdate as date)) + 1) % 7 as int) as date) as saturday, "
+          "cast(strftime(cast(o_orderdate as date), '%U') as int) as week from orders")
+def _calendar_days(spark, sf):
+    """E-1, E-6: the calendar of the order days."""
+    days = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderdate").cast("date").alias("day")).distinct()
+    return days.select("day", iso_week("day").alias("iso_week"), weekday_name("day").alias("weekday"),
+                       last_saturday("day").alias("saturday"), week0("day").alias("week"))
+
+
 # ---------------------------------------------------------------- R-5, R-6 columnar documents
 
 COVID_COLUMNS = ("department", "funds_sanctioned", "funds_sanctioned_from", "date", "purpose")
@@ -778,12 +858,13 @@ def _sql_json_value(c: str) -> str:
 def _sql_columnar(select_sql: str, columns, key: str, key_type: str = "bigint") -> str:
     """R-5 / R-6 fragments in plain SQL (the oracle of ``columnar_json_fragments``)."""
     cols = ", ".join(f"({i}, '{c}')" for i, c in enumerate(columns))
+    order = ", ".join(f'"{c}" nulls first' for c in (key, *columns))
+    quoted = [f'"{c}"' for c in columns]
     vals = " union all ".join(
-        f"select 1 as s1, {i} as s2, 1 as s3, {key} as k, "
-        f"case when {key} = f.k0 then '' else ',' end || {_sql_json_value(c)} as fragment from t, f"
-        for i, c in enumerate(columns))
-    return f"""with t as ({select_sql}),
-f as (select min({key}) as k0, count(*) as n from t),
+        f"select 1 as s1, {i} as s2, 1 as s3, k, case when r = 1 then '' else ',' end || {_sql_json_value(c)} as fragment from t"
+        for i, c in enumerate(quoted))
+    return f"""with u as ({select_sql}), t as (select *, "{key}" as k, row_number() over (order by {order}) as r from u),
+f as (select count(*) as n from t),
 cols(s2, name) as (values {cols})
 select 0 as s1, 0 as s2, 0 as s3, cast(null as {key_type}) as k, '{{"records":{{' as fragment
 union all select 1, s2, 0, null, case when s2 > 0 then ',' else '' end || '"' || name || '":[' from cols
@@ -792,27 +873,27 @@ union all select 2, 0, 0, null, '}},"count":' || cast(n as varchar) || '}}' from
 union all {vals}"""
 
 
+# keys of the covid rows: some null, some repeated
+_COVID_KEY = "case when row_id % 97 = 0 then null when row_id % 89 = 0 then 89 else row_id end"
+
+
 @register("covid_document", O.oracle_with(_sql_columnar(
-    "select row_id, department, cast(funds_sanctioned as double) as funds_sanctioned, "
-    "funds_sanctioned_from, date, purpose from covid",
-    ("department", "funds_sanctioned", "funds_sanctioned_from", "date", "purpose"), "row_id"), "covid"))
+    f"select {_COVID_KEY} as doc_key, department, cast(funds_sanctioned as double) as funds_sanctioned, "
+    "funds_sanctioned_from, date, purpose from covid", COVID_COLUMNS, "doc_key"), "covid"))
 def _covid_document(spark, sf):
     """R-5 document as ordered fragments (write with ``shaping.write_columnar_json``)."""
     df = view(spark, sf, "covid").withColumn("funds_sanctioned", F.col("funds_sanctioned").cast("double"))
-    return SH.columnar_json_fragments(df, COVID_COLUMNS, "row_id")
-
-
-_TENDER_COLUMNS = ("ocid", "id", "date", "tender_value_amount", "buyer_name", "classification_id")
+    df = df.select(F.expr(_COVID_KEY).alias("doc_key"), *COVID_COLUMNS)
+    return SH.columnar_json_fragments(df, COVID_COLUMNS, "doc_key").drop("_row", "_nth")
 
 
 @register("tender_document", O.oracle_with(_sql_columnar(
-    "select ocid, id, date, cast(tender_value_amount as double) as tender_value_amount, buyer_name, "
-    "classification_id from tenders where classification_id != ''", _TENDER_COLUMNS, "ocid", "varchar"),
-    "tenders"))
+    f"select {_quoted(SH.TENDER_COLUMNS)} from tenders where \"tender/classification/id\" != ''",
+    SH.TENDER_COLUMNS, "ocid", "varchar"), "tenders"))
 def _tender_document(spark, sf):
     """R-6 document: classified tenders, every column but the surrogate id."""
     t = SH.tender_rows(view(spark, sf, "tenders"))
-    return SH.columnar_json_fragments(t, t.columns, "ocid")
+    return SH.columnar_json_fragments(t, t.columns, "ocid").drop("_row", "_nth")
 
 
 @register("heads_tree_json_spending", _sql_tree_json("spending", HE.SPENDING_LEVELS))
@@ -827,7 +908,7 @@ def _spending_series_week_stored(spark, sf):
     """G-5 over the spending table stored by month: the range reads only its months."""
     path = scratch(spark, "spending-by-month")
     IO.write_fact_table(view(spark, sf, "spending"), path, "transdate")
-    return FA.series(spark.read.parquet(path), FA.SPENDING, "week", *RANGE_YEAR)
+    return FA.series(spark.read.parquet(path), replace(FA.SPENDING, month_col=FI.MONTH_KEY), "week", *RANGE_YEAR)
 
 
 @register("query_option_receipts", "select query_id, query_name from (select lpad(cast(p_size as varchar), 3, '0') "
@@ -857,19 +938,12 @@ _SQL_STRUCT = "{" + ", ".join(f"'{c}': \"{c}\"" for c in _PLAN_FIELDS) + "}"
           f"to_json({_SQL_STRUCT}) from plan, f")
 def _result_document(spark, sf):
     """R-7 envelope ``{"records": [...], "count": n}`` over the request plan, as fragments."""
-    return SH.records_json_fragments(_treasury_plan(spark, sf), "hod_code")
+    return SH.records_json_fragments(_treasury_plan(spark, sf), "hod_code").drop("_row", "_nth")
 
 
 @register("requests_to_make", f"{_SQL_PLAN} select {_PLAN_COLS}, {_SQL_PATH} as path, {_SQL_URL} as url "
           "from plan where not (s_suppkey % 2 = 0 and s_suppkey % 4 <> 0)")
 def _requests_to_make(spark, sf):
     """P-1 + P-4 + P-5 + P-6: the requests a run still has to make, with their URLs."""
-    latest = IO.latest_snapshot(CA.ddo_snapshots(spark, sf), "treasury_code", "snapshot_date")
-    ddos = latest.select("treasury_code", F.col("`DDO Code`").alias("ddo_code"))
-    qid, qname = _query(spark, sf)
-    plan = PL.dataset_path(_treasury_plan(spark, sf), CRAWL)
-    key = F.col("ddo_code").cast("int")
-    files = plan.filter(key % 2 == 0).select(
-        "path", F.when(key % 4 == 0, F.lit(0)).otherwise(F.lit(1024)).cast("long").alias("length"))
-    return PL.requests_to_make(_treasuries(spark, sf), ddos, files, qid, qname, *PLAN_RANGE, CRAWL,
-                               "https://example.invalid/report.asp")
+    return PL.requests_to_make(_treasuries(spark, sf), _latest_ddos(spark, sf), _collected(spark, sf), _query(spark, sf),
+                               *PLAN_RANGE, CRAWL, "https://example.invalid/report.asp")

@@ -15,6 +15,8 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pursewise.operators.shaping import TENDER_COLUMNS
+
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -122,23 +124,50 @@ select c_mktsegment as department, cast(o_totalprice as decimal(18,2)) as funds_
   o_orderstatus as funds_sanctioned_from, cast(o_orderdate as date) as date, o_orderpriority as purpose,
   o_orderkey as row_id
 from {orders} join {customer} on o_custkey = c_custkey
-""",
-    "tenders": """
-select cast(o_orderkey as string) as ocid, concat('tender-', cast(o_orderkey as string)) as id,
-  cast(o_orderdate as date) as date, cast(o_totalprice as decimal(18,2)) as tender_value_amount,
-  c_name as buyer_name,
-  case when o_orderpriority = '4-NOT SPECIFIED' then '' when o_orderpriority = '5-LOW' then null
-       else substr(o_orderpriority, 1, 1) end as classification_id
-from {orders} join {customer} on o_custkey = c_custkey
-""",
-    "awards": """
-select cast(case when l_linenumber = 7 then l_orderkey + 100000000 else l_orderkey end as string) as ocid,
-  concat('award-', cast(l_orderkey as string), '-', cast(l_linenumber as string), '-', cast(l_suppkey as string)) as award_id,
-  s_name as supplier_name, cast(l_extendedprice as decimal(18,2)) as award_value_amount
-from {lineitem} join {supplier} on l_suppkey = s_suppkey
 """,
 }
 
+
+def _tender_column(i: int, name: str) -> str:
+    """An expression for each published column: the keys and amounts the operators use, dates
+    and amounts by the end of the name, otherwise text with some nulls."""
+    known = {
+        "ocid": "cast(o_orderkey as string)",
+        "id": "concat('tender-', cast(o_orderkey as string), '-', cast(lot as string))",
+        "date": "cast(o_orderdate as date)",
+        "tender/value/amount": "cast(o_totalprice as decimal(18,2))",
+        "buyer/name": "c_name",
+        "tender/classification/id": "case when o_orderpriority = '4-NOT SPECIFIED' then '' "
+                                    "when o_orderpriority = '5-LOW' then null else substr(o_orderpriority, 1, 1) end",
+    }
+    if name in known:
+        return known[name]
+    if name.endswith("value/amount"):
+        return f"cast(case when o_orderkey % {i + 2} = 0 then null else o_totalprice end as decimal(18,2))"
+    if name.endswith("Date") or name.endswith("/date") or name.endswith("datePublished"):
+        return f"case when o_orderkey % {i + 2} = 0 then null else cast(o_orderdate as date) end"
+    return f"case when o_orderkey % {i + 2} = 0 then null else concat('{i}/', o_orderstatus) end"
+
+
+# Every tenth tender comes in two lots: two rows with one ocid.
+VIEW_SQL["tenders"] = (
+    "select concat('u-', cast(o_orderkey as string), '-', cast(lot as string)) as uuid,\n  "
+    + ",\n  ".join(f"{_tender_column(i, c)} as `{c}`" for i, c in enumerate(TENDER_COLUMNS))
+    + "\nfrom {orders} join {customer} on o_custkey = c_custkey\n"
+      "join (select 1 as lot union all select 2 as lot) lots on lot = 1 or o_orderkey % 10 = 0")
+
+VIEW_SQL["awards"] = """
+select concat('a-', cast(l_orderkey as string), '-', cast(l_linenumber as string)) as uuid,
+  cast(case when l_linenumber = 7 then l_orderkey + 100000000 else l_orderkey end as string) as ocid,
+  concat('award-', cast(l_orderkey as string), '-', cast(l_linenumber as string), '-', cast(l_suppkey as string)) as id,
+  cast(l_shipdate as date) as date, case when l_linenumber = 1 then 'buyer' else 'supplier' end as `parties/0/roles`,
+  cast(l_linenumber as string) as `awards/0/id`, cast(l_suppkey as string) as `awards/0/suppliers/0/id`,
+  cast(s_nationkey as string) as `parties/0/id`, concat('desk ', l_returnflag) as `parties/0/contactPoint/name`,
+  s_name as `awards/0/suppliers/0/name`, 'INR' as `awards/0/value/currency`,
+  cast(l_extendedprice as decimal(18,2)) as `awards/0/value/amount`
+from {lineitem} join {supplier} on l_suppkey = s_suppkey
+"""
+
 _PLACEHOLDER = re.compile(r"\{([a-z_]+)\}")
 
 
@@ -146,37 +175,9 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-# The table that feeds the large pipelines (always the probe side of its joins); the
-# others are dimensions or build sides, which a spread would only delay.
-FACT_TABLES = ("lineitem",)
-
-
-def spread_small_scan(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Give a fact table read by fewer tasks than the cluster has slots a round-robin
-    spread, so the joins and projections before the first shuffle run in parallel.
-
-    A parquet file smaller than one split, or written as one row group, is read by a
-    single task however large the cluster. The check is on the scan's split count (known
-    at planning, no job runs): a large input already has many splits and is returned as
-    it is, so the extra shuffle only ever moves an input smaller than the slot count in
-    splits. Filters and column pruning still reach the scan below the spread.
-    """
-    try:
-        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # no RDD API (e.g. a Spark Connect session): leave the scan as it is
-        return df
-    return df if splits >= want else df.repartition(want)
-
-
-def load_tables(spark: SparkSession, sf_dir: str, names=BASE_TABLES,
-                spread: bool = True) -> dict[str, DataFrame]:
+def load_tables(spark: SparkSession, sf_dir: str, names=BASE_TABLES) -> dict[str, DataFrame]:
     """S-1: bind the base tables of a directory, lazily (no rows are read here)."""
-    out = {}
-    for n in names:
-        df = spark.read.parquet(table_path(sf_dir, n))
-        out[n] = spread_small_scan(df) if spread and n in FACT_TABLES else df
-    return out
+    return {n: spark.read.parquet(table_path(sf_dir, n)) for n in names}
 
 
 @lru_cache(maxsize=None)
@@ -191,8 +192,9 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def oracle_view_sql(name: str) -> str:
-    """The same view for DuckDB, where the base tables are registered by name."""
-    return _PLACEHOLDER.sub(lambda m: m.group(1), VIEW_SQL[name])
+    """The same view for DuckDB, where the base tables are registered by name and quoted
+    names stand in double quotes."""
+    return _PLACEHOLDER.sub(lambda m: m.group(1), VIEW_SQL[name]).replace("`", '"')
 
 
 def oracle_with(sql: str, *views: str) -> str:

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from pursewise.functions.dates import today_text
+
 # CSV headers the collected files carry.
 DDO_HEADER = ("DDO Code", "DDO Name")
 RECEIPTS_HEADER = ("Maj-Smj-Min-Smn [Sub Minor Head]", "date", "Total Receipt")
@@ -65,31 +67,32 @@ def ddo_codes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def latest_snapshot(df: DataFrame, key: str = "treasury_code", ts: str | None = None,
-                    snapshot: str | None = None) -> DataFrame:
+                    snapshot: str = "folder") -> DataFrame:
     """S-4: per key, only the rows of its newest snapshot.
 
     With ``ts`` (a column such as the snapshot day) the newest value per key wins.
-    Without it, the file modification time decides, and a snapshot is a file (one CSV
-    per snapshot, as the crawler writes them) or, with ``snapshot="folder"``, the folder
-    of a snapshot written as several part files. The newest time per key is a small
-    partial aggregate; rows are then kept by a semi join, so a key that holds a third of
-    the rows is never gathered into one task (as a window over the key would). A key
-    without any snapshot simply has no rows.
+    Without it, the file modification time decides, and a snapshot is a folder, as
+    ``write_snapshot`` makes it (any number of part files), or, with ``snapshot="file"``,
+    one file. The newest time per key is a small partial aggregate; rows are then kept by a
+    semi join, so a key that holds a third of the rows is never gathered into one task (as a
+    window over the key would). A key without any snapshot simply has no rows.
     """
     if ts is not None:
         newest = df.groupBy(key).agg(F.max(ts).alias(ts))
         return df.join(newest, [key, ts], "left_semi")
     path = F.col("_metadata.file_path")
-    snap = F.regexp_replace(path, "/[^/]*$", "") if snapshot == "folder" else path
+    snap = path if snapshot == "file" else F.regexp_replace(path, "/[^/]*$", "")
     tagged = df.withColumn("_snapshot", snap).withColumn(
         "_mtime", F.col("_metadata.file_modification_time"))
-    per_snapshot = tagged.groupBy(key, "_snapshot").agg(F.max("_mtime").alias("_mtime"))
-    newest = per_snapshot.groupBy(key).agg(F.max_by("_snapshot", "_mtime").alias("_snapshot"))
+    newest = tagged.groupBy(key).agg(F.max(F.struct("_mtime", "_snapshot"))["_snapshot"].alias("_snapshot"))
     return tagged.join(newest, [key, "_snapshot"], "left_semi").drop("_snapshot", "_mtime")
 
 
 def write_snapshot(df: DataFrame, path: str) -> None:
-    """S-6: (DDO Code, DDO Name) per treasury and day, header included."""
+    """S-6: (DDO Code, DDO Name) per treasury and day, header included. Rows without a
+    snapshot_date column are a snapshot of the day of the run (E-16)."""
+    if "snapshot_date" not in df.columns:
+        df = df.withColumn("snapshot_date", today_text())
     _writer(df.select("treasury_code", "snapshot_date", *[F.col(f"`{c}`") for c in DDO_HEADER]),
             ("treasury_code", "snapshot_date")).csv(path)
 
@@ -119,10 +122,27 @@ def export_heads(df: DataFrame, path: str) -> None:
     _writer(df, ()).csv(path)
 
 
-def list_files(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
-    """(path, length) of the files under ``path``; the content column is never read."""
-    return (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-            .option("recursiveFileLookup", "true").load(path).select("path", "length"))
+def write_collected(df: DataFrame, root: str, path_col: str = "path") -> None:
+    """S-5 under the P-4 paths: one folder ``dataset=<path>`` for each collected dataset."""
+    out = df.withColumnRenamed(path_col, "dataset") if path_col != "dataset" else df
+    write_datasets(out, root, ("dataset",))
+
+
+def collected_datasets(spark: SparkSession, root: str) -> DataFrame:
+    """(path, n_rows): the datasets under ``root`` by their P-4 path, with their data rows.
+
+    A dataset is a folder ``dataset=<path>`` of part files (``write_collected``) or one file
+    ``<kind>/<name>``. Only one column is parsed, so that rows with line breaks count once.
+    A header-only file counts 0 rows; an empty file is not listed.
+    """
+    rows = (spark.read.schema("c string").options(**CSV_OPTIONS).option("recursiveFileLookup", "true")
+            .option("multiLine", "true").csv(root))
+    files = rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    plain = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    uri = plain(F.col("file"))  # the URI's escapes, then those of the folder name
+    folder = F.regexp_extract(uri, "/dataset=([^/]+)/[^/]*$", 1)
+    path = F.when(folder != "", plain(folder)).otherwise(F.regexp_extract(uri, "([^/]+/[^/]+)$", 1))
+    return files.select(path.alias("path"), "n").groupBy("path").agg(F.sum("n").alias("n_rows"))
 
 
 def read_database_table(spark: SparkSession, url: str, table: str, partition_column: str,
