@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pursewise.llm.common import BLANKS, ascii_lower, bound
+from pursewise.llm.common import BLANKS, LOWER, UPPER, bound, stored
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
@@ -52,60 +52,73 @@ def _covered(hashes: Column) -> Column:
     return F.when(repeats, full).otherwise(F.lit(0).cast("long"))
 
 
-def _repeat_words(words: Column) -> Column:
-    def of(w):
-        n = F.size(w)
-        hashes = F.transform(F.sequence(F.lit(0), n - WINDOW),
-                             lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]))
-        return F.when(n <= WINDOW, F.lit(0).cast("long")).otherwise(bound(hashes, _covered))
-    return bound(words, of)
+def _repeat_words(w: Column) -> Column:
+    n = F.size(w)
+    hashes = F.transform(F.sequence(F.lit(0), n - WINDOW),
+                         lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]))
+    return F.when(n <= WINDOW, F.lit(0).cast("long")).otherwise(bound(hashes, _covered))
 
 
 def _lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0)
 
 
-def base_counts(text: Column) -> dict[str, Column]:
-    """Columns of the rules that one text decides."""
+def _word_counts(text: Column) -> Column:
+    """(n_words, n_repeat_words) of a text, its words split once."""
+    return bound(_words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"),
+                                                  _repeat_words(w).alias("n_repeat_words")))
+
+
+def base_counts(text: Column) -> list[Column]:
+    """Columns of the rules that one text decides (``words``: a struct of two counts)."""
     text = F.coalesce(text, F.lit(""))
-    bare = F.translate(text, BLANKS, "")
     dup = bound(_lines(text), lambda ls: (F.size(ls) - F.size(F.array_distinct(ls))).cast("long"))
-    return {
-        "n_words": F.size(_words(text)).cast("long"),
-        "word_chars": F.length(bare).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": dup,
-        "n_repeat_words": _repeat_words(_words(text)),
-    }
+    return [
+        _word_counts(text).alias("words"),
+        (F.length(text) - F.regexp_count(text, F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("word_chars"),
+        F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
+        dup.alias("n_dup_lines"),
+    ]
 
 
 def _normal(line: Column) -> Column:
-    digits = F.translate(ascii_lower(line), "0123456789", "0000000000")
-    return F.regexp_replace(F.btrim(digits, F.lit(BLANKS)), r"[\x20\x09-\x0D]+", " ")
+    plain = F.translate(line, UPPER + "123456789", LOWER + "000000000")
+    return F.regexp_replace(F.btrim(plain, F.lit(BLANKS)), r"[\x20\x09-\x0D]+", " ")
+
 
+def _line_hashes(text: Column) -> Column:
+    """Each line with a word as (line: hash of its normal form, words: their number)."""
+    def hashed(n):  # words of a normal form are one blank apart
+        return F.struct(F.xxhash64(n).alias("line"), (F.regexp_count(n, F.lit(" ")) + 1).alias("words"))
+    return F.transform(F.transform(_lines(F.coalesce(text, F.lit(""))), _normal), hashed)
 
-def boilerplate_words(docs: DataFrame) -> DataFrame:
-    """(doc_id, host, text_hash, removed): words in the lines that are boilerplate of the host.
 
+def boilerplate_words(rows: DataFrame) -> DataFrame:
+    """(d, h, t, removed): words in the lines that are boilerplate of the host, by document.
+
+    ``rows``: doc_id, source, text_hash, has_text, lines (``_line_hashes``), as a stored table.
     Documents of a host count once per distinct text. The counts are pre-aggregated in the
     map tasks; only lines above the limits meet the documents again.
     """
-    rows = docs.select("doc_id", F.col("source").alias("host"), F.xxhash64("text").alias("text_hash"), "text")
-    lines = rows.where(F.col("text").isNotNull()).select(
-        "doc_id", "host", "text_hash", F.posexplode(_lines(F.col("text"))).alias("at", "line"))
-    lines = lines.select("doc_id", "host", "text_hash", "at", F.xxhash64(_normal(F.col("line"))).alias("line"),
-                         F.size(_words(F.col("line"))).alias("words"))
+    rows = rows.where("has_text").select("doc_id", F.col("source").alias("host"), "text_hash", "lines")
+    lines = rows.select("doc_id", "host", "text_hash", F.posexplode("lines").alias("at", "l")).select(
+        "doc_id", "host", "text_hash", "at", "l.line", "l.words")
     per_line = (lines.select("host", "line", "text_hash").distinct()
                 .groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > MIN_LINE_DOCS))
-    per_host = (rows.where(F.col("text").isNotNull()).select("host", "text_hash").distinct()
-                .groupBy(F.col("host").alias("h")).agg(F.count(F.lit(1)).alias("host_docs")))
+    per_host = rows.select("host", "text_hash").distinct().groupBy(F.col("host").alias("h")).agg(
+        F.count(F.lit(1)).alias("host_docs"))
     above = (per_line.join(per_host, F.col("host").eqNullSafe(F.col("h")))
              .where(100 * F.col("n_docs") > LINE_DOCS_PERCENT * F.col("host_docs"))
              .select("h", F.col("line").alias("l")))
     hit = lines.join(above, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")))
     # repeated rows share their key and line number, and count once
-    return (hit.groupBy("doc_id", "host", "text_hash", "at").agg(F.max("words").alias("words"))
-            .groupBy("doc_id", "host", "text_hash").agg(F.sum("words").alias("removed")))
+    hit = hit.groupBy("doc_id", "host", "text_hash", "at").agg(F.max("words").alias("words"))
+    return (hit.groupBy(F.col("doc_id").alias("d"), F.col("host").alias("h"), F.col("text_hash").alias("t"))
+            .agg(F.sum("words").alias("removed")))
+
+
+def _failed(n: Column, repeat: Column) -> Column:
+    return (n < MIN_WORDS) | (100 * repeat > MAX_REPEAT_PERCENT * n)
 
 
 def quality(docs: DataFrame) -> DataFrame:
@@ -116,16 +129,16 @@ def quality(docs: DataFrame) -> DataFrame:
     windows. ``kept``: not base_failed, and at least 30 % of the words are left when the
     host's boilerplate lines are removed. A null text has no words and fails; a null source
     is a host of its own; null ids, repeated rows (a row each) and an empty table pass
-    through; other columns are ignored.
+    through; other columns are ignored. The texts are read once.
     """
-    base = docs.select(F.col("doc_id"), F.col("source"), F.xxhash64("text").alias("text_hash"),
-                       *[c.alias(k) for k, c in base_counts(F.col("text")).items()])
-    gone = boilerplate_words(docs).select(F.col("doc_id").alias("d"), "host", F.col("text_hash").alias("t"), "removed")
-    out = base.join(gone, (F.col("text_hash") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))
-                    & F.col("source").eqNullSafe(F.col("host")), "left")
-    n, removed = F.col("n_words"), F.coalesce(F.col("removed"), F.lit(0)).cast("long")
-    failed = (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+    base = stored(docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"),
+                              F.col("text").isNotNull().alias("has_text"), *base_counts(F.col("text")),
+                              _line_hashes(F.col("text")).alias("lines")), "quality-base")
+    out = base.drop("lines").join(boilerplate_words(base), (F.col("text_hash") == F.col("t"))
+                                  & F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("h")), "left")
+    n, removed = F.col("words.n_words"), F.coalesce(F.col("removed"), F.lit(0)).cast("long")
+    failed = _failed(n, F.col("words.n_repeat_words"))
+    return out.select("doc_id", n.alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", "words.n_repeat_words",
                       failed.alias("base_failed"), removed.alias("n_removed_words"),
                       (~failed & (100 * (n - removed) >= MIN_KEPT_PERCENT * n)).alias("kept"))
 
@@ -133,16 +146,19 @@ def quality(docs: DataFrame) -> DataFrame:
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``quality`` keeps, with their own columns, whatever their names."""
     own = docs.columns
-    base = base_counts(F.col("text"))
-    n = F.col("__n")
-    failed = (n < MIN_WORDS) | (100 * F.col("__repeat") > MAX_REPEAT_PERCENT * n)
-    rows = docs.select("*", base["n_words"].alias("__n"), base["n_repeat_words"].alias("__repeat"),
-                       F.xxhash64("text").alias("__hash")).where(~failed)
-    gone = boilerplate_words(docs).select(F.col("doc_id").alias("__d"), F.col("host").alias("__host"),
-                                          F.col("text_hash").alias("__t"), F.col("removed").alias("__removed"))
-    out = rows.join(gone, (rows["__hash"] == F.col("__t")) & rows["doc_id"].eqNullSafe(F.col("__d"))
-                    & rows["source"].eqNullSafe(F.col("__host")), "left")
-    return out.where(100 * (n - F.coalesce(F.col("__removed"), F.lit(0))) >= MIN_KEPT_PERCENT * n).select(*own)
+    key = F.xxhash64("text")
+    lines = stored(docs.select("doc_id", "source", key.alias("text_hash"), F.col("text").isNotNull().alias("has_text"),
+                               _line_hashes(F.col("text")).alias("lines")), "quality-lines")
+    total = F.aggregate("lines", F.lit(0).cast("long"), lambda acc, l: acc + l["words"])
+    sizes = lines.select(F.col("doc_id").alias("sd"), F.col("source").alias("sh"), F.col("text_hash").alias("st"), total.alias("n"))
+    gone = boilerplate_words(lines)
+    depleted = sizes.join(gone, (F.col("st") == F.col("t")) & F.col("sd").eqNullSafe(F.col("d"))
+                          & F.col("sh").eqNullSafe(F.col("h"))).where(100 * (F.col("n") - F.col("removed")) < MIN_KEPT_PERCENT * F.col("n"))
+    depleted = depleted.select("d", "h", "t").distinct()
+    rows = docs.select("*", key.alias("__hash"), _word_counts(F.coalesce(F.col("text"), F.lit(""))).alias("__words"))
+    rows = rows.where(~_failed(F.col("__words.n_words"), F.col("__words.n_repeat_words")))
+    on = (rows["__hash"] == depleted["t"]) & rows["doc_id"].eqNullSafe(depleted["d"]) & rows["source"].eqNullSafe(depleted["h"])
+    return rows.join(depleted, on, "left_anti").select(*own)
 
 
 #: The same rows in DuckDB SQL.
