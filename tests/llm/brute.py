@@ -1,0 +1,132 @@
+"""Plain-Python versions of the operators, for small inputs."""
+
+import hashlib
+import math
+import re
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def shingles(text):
+    words = WORD.findall((text or "").translate(LOWER))
+    if not words:
+        return frozenset()
+    if len(words) < 5:
+        return frozenset([tuple(words)])
+    return frozenset(tuple(words[i:i + 5]) for i in range(len(words) - 4))
+
+
+def components(texts):
+    """Index of the first text of each text's component, and the set sizes."""
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return [find(i) for i in range(len(texts))], [len(s) for s in sets]
+
+
+def targets(sizes):
+    """Target of each source of {source: size}, by repeated resharing of the excess."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    out, free, left = {}, set(names), float(sum(sizes.values()))
+    while free:
+        total = sum(weight[s] for s in free)
+        over = [s for s in free if left * weight[s] / total > 3 * sizes[s]]
+        if not over:
+            out.update({s: left * weight[s] / total for s in free})
+            break
+        for s in over:
+            out[s] = 3.0 * sizes[s]
+        left -= sum(out[s] for s in over)
+        free -= set(over)
+    return out
+
+
+def taken(rows, seed):
+    """Words taken of each (doc_id, source, size) row."""
+    sizes = {}
+    for _, s, n in rows:
+        sizes[s] = sizes.get(s, 0) + n
+    goal = targets(sizes)
+    out = {}
+    for source, size in sizes.items():
+        quota = min(math.floor(goal[source] + 0.5), 3 * size)
+        mine = sorted((hashlib.md5(f"{seed}:{'null' if d is None else d}".encode()).hexdigest(), n, i)
+                      for i, (d, s, n) in enumerate(rows) if s == source)
+        at = 0
+        for _, n, i in mine:
+            out[i] = sum(max(0, min(at + n, quota - p * size) - at) for p in range(3)) if size else 0
+            at += n
+    return [out[i] for i in range(len(rows))], goal
+
+
+def base_rules(text):
+    text = text or ""
+    words = WORD.findall(text)
+    windows = [tuple(words[i:i + 5]) for i in range(len(words) - 4)]
+    seen = {}
+    for w in windows:
+        seen[w] = seen.get(w, 0) + 1
+    covered = {i + k for i, w in enumerate(windows) if seen[w] > 1 for k in range(5)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    return {"n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": sum(text.count(c) for c in "#*$%&|<>"),
+            "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(covered)}
+
+
+def _normal(line):
+    return " ".join(WORD.findall(re.sub("[0-9]", "0", line.translate(LOWER))))
+
+
+def quality(rows, min_docs=10, percent=10, min_kept=30):
+    """(base counts, base_failed, removed words, kept) of each (doc_id, source, text) row."""
+    holds, hosts = {}, {}
+    for _, s, t in rows:
+        if t is None:
+            continue
+        hosts.setdefault(s, set()).add(t)
+        for x in t.split("\n"):
+            if WORD.search(x):
+                holds.setdefault((s, _normal(x)), set()).add(t)
+    bad = {k for k, v in holds.items() if len(v) > min_docs and 100 * len(v) > percent * len(hosts[k[0]])}
+    out = []
+    for _, s, t in rows:
+        b = base_rules(t)
+        gone = sum(len(WORD.findall(x)) for x in (t or "").split("\n") if WORD.search(x) and (s, _normal(x)) in bad)
+        failed = b["n_words"] < 10 or 100 * b["n_repeat_words"] > 20 * b["n_words"]
+        out.append({**b, "base_failed": failed, "n_removed_words": gone,
+                    "kept": not failed and 100 * (b["n_words"] - gone) >= min_kept * b["n_words"]})
+    return out
+
+
+def dice(text, templates, least):
+    """{license: (best percent, units)} of one text."""
+    def grams(s):
+        w = re.sub("[^a-z0-9]+", " ", s.translate(LOWER)).split()
+        return frozenset(zip(w, w[1:]))
+
+    units = {}
+    for u in [*text.split("\n"), *re.split(r"\n\s*\n", text), text]:
+        units.setdefault(" ".join(re.sub("[^a-z0-9]+", " ", u.translate(LOWER)).split()), grams(u))
+    out = {}
+    for g in units.values():
+        if not g:
+            continue
+        scores = [(-200.0 * len(g & grams(t)) / (len(g) + len(grams(t))), n) for n, t in templates.items()
+                  if 200 * len(g & grams(t)) >= least * (len(g) + len(grams(t)))]
+        if scores:
+            d, name = min(scores)
+            best, n = out.get(name, (0.0, 0))
+            out[name] = (max(best, round(-d, 4)), n + 1)
+    return out
