@@ -39,23 +39,19 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the operator sets it to a shared file system. Only a local-mode session
-    without one gets a scratch folder (as in tests); a cluster session without one is an
-    error, since a machine-local folder is not visible to the other executors.
+    Where it is unset the folder is made under the session's warehouse
+    (``spark.sql.warehouse.dir``), which all executors share as well; no machine-local
+    temporary folder is ever used.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
-    if not configured:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
-        configured = tempfile.mkdtemp(prefix="pursewise-ckpt-")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+    sc.setCheckpointDir(configured or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_pursewise")
+    return sc.getCheckpointDir()
 
 
 def ship_package(spark: SparkSession) -> None:

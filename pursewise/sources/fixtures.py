@@ -153,8 +153,8 @@ def _tender_column(i: int, name: str) -> str:
 VIEW_SQL["tenders"] = (
     "select concat('u-', cast(o_orderkey as string), '-', cast(lot as string)) as uuid,\n  "
     + ",\n  ".join(f"{_tender_column(i, c)} as `{c}`" for i, c in enumerate(TENDER_COLUMNS))
-    + "\nfrom {orders} join {customer} on o_custkey = c_custkey\n"
-      "join (select 1 as lot union all select 2 as lot) lots on lot = 1 or o_orderkey % 10 = 0")
+    + "\nfrom (select *, 1 as lot from {orders} union all select *, 2 as lot from {orders} where o_orderkey % 10 = 0) o\n"
+      "join {customer} on o_custkey = c_custkey")
 
 VIEW_SQL["awards"] = """
 select concat('a-', cast(l_orderkey as string), '-', cast(l_linenumber as string)) as uuid,

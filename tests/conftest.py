@@ -11,9 +11,11 @@ SF_CHECK = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from pursewise.session import build_session
 
-    s = build_session(master="local[*]", shuffle_partitions=8)
+    root = tmp_path_factory.mktemp("spark")
+    s = build_session(master="local[*]", shuffle_partitions=8, extra_conf={
+        "spark.checkpoint.dir": f"{root}/shared", "spark.sql.warehouse.dir": f"{root}/warehouse"})
     yield s
     s.stop()

@@ -37,11 +37,44 @@ def test_cell_text_rule(spark):
     assert [r["cells"][0] for r in rows] == list(CASES.values())
 
 
-def test_parsed_fallback_agrees(spark):
-    df = spark.createDataFrame([("k", _page(list(CASES)))], "key string, body string")
-    a = [r["cells"] for r in EX.extract_rows(df, keys=("key",)).orderBy("pos").collect()]
-    b = [r["cells"] for r in EX.extract_rows_parsed(df, keys=("key",)).orderBy("pos").collect()]
-    assert a == b
+def test_parser_agrees_with_the_patterns():
+    from pursewise.functions.htmlrows import parse_rows
+
+    assert [r[0] for r in parse_rows(_page(list(CASES)))] == list(CASES.values())
+
+
+ODD_PAGES = {
+    "nested table": ('<table><tr class="pope"><td>a<table><tr class="pope"><td>in</td></tr></table></td><td>b</td></tr>'
+                     '<tr class="pope"><td>c</td></tr></table>', [["a", "b"], ["in"], ["c"]]),
+    "unclosed": ('<table><tr class="popeven"><td>a<td>b<tr class="popeodd"><td>c<td></table>', [["a", "b"], ["c", " "]]),
+    "cut off": ("<table><tr class='pope'><td>x", [["x"]]),
+    "deep": ("<table><tr class='pope'><td>" + "<i>" * 9 + "o1" + "</i>" * 9 + " tail</td></tr></table>", [[" tail"]]),
+    "comment": ("<table><!-- <tr class='pope'><td>no</td></tr> --><tr class='pope'><td>y</td></tr></table>", [["y"]]),
+    "script": ("<table><tr class='pope'><td>y</td></tr></table><script>'<table><tr class=\"pope\"><td>no'</script>", [["y"]]),
+    "attribute": ("<table><tr title='a>b' class='pope'><td title=\"x>y\">y</td></tr></table>", [["y"]]),
+    "section": ("<table><tbody><tr class='pope'><td>1</td><th>h</th></tr></tbody></table>", [["1"]]),
+    "less than": ("<table><tr class='pope'><td>a < b</td></tr></table>", [["a < b"]]),
+}
+
+
+def test_odd_markup_loses_no_row(spark):
+    df = spark.createDataFrame([(k, v[0]) for k, v in ODD_PAGES.items()], "key string, body string")
+    got = {}
+    for r in EX.extract_rows(df, keys=("key",)).orderBy("pos").collect():
+        got.setdefault(r["key"], []).append(r["cells"])
+    assert got == {k: v[1] for k, v in ODD_PAGES.items()}
+
+
+def test_every_reference_is_decoded_once(spark):
+    from html import unescape
+
+    from pursewise.functions.text import decode_entities
+
+    texts = ["&#8377; 5", "A&#38;B", "&rsquo;x", "&amp;lt;", "&#x20B9;&#X20b9;", "&nosuch; &", "&#0;&#xD800;&#1114112;&#99999999999;",
+             "&#128;&#x99;", "&AMP; &Aacute;&NotEqualTilde;", "&#65 &#65;", "no reference", "", "&lt;b&gt;&quot;&apos;&nbsp;"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r[0] for r in df.orderBy("i").select(decode_entities("t")).collect()]
+    assert got == [unescape(t) for t in texts]
 
 
 def test_header_is_every_text_node(spark):
@@ -53,9 +86,9 @@ def test_header_is_every_text_node(spark):
 def test_classify(spark):
     df = spark.createDataFrame([
         (1, 200, _page(["x"])), (2, 200, f"<p>{EX.NO_RECORD_TEXT}</p>"), (3, 200, "<html></html>"),
-        (4, 500, _page(["x"]))], "id int, status int, body string")
+        (4, 500, _page(["x"])), (5, 200, '<div class="popeven">moved</div>')], "id int, status int, body string")
     got = {r["id"]: r["response_status"] for r in EX.classify(df).collect()}
-    assert got == {1: "dataset", 2: "not_available", 3: "empty", 4: "failed"}
+    assert got == {1: "dataset", 2: "not_available", 3: "empty", 4: "failed", 5: "unparsed"}
 
 
 def test_options_and_clean_text(spark):
@@ -131,8 +164,8 @@ def test_malformed_responses_do_not_fail_the_job(spark):
     assert EX.receipt_rows(df).count() == 0
     pages = spark.createDataFrame([("k", "<table><tr class='pope'><td>x", 200), ("j", None, 200)],
                                   "key string, body string, status int")
-    assert EX.extract_rows(pages, keys=("key",)).count() == 0
-    assert {r["response_status"] for r in EX.classify(pages).collect()} == {"empty"}
+    assert [r["cells"] for r in EX.extract_rows(pages, keys=("key",)).collect()] == [["x"]]
+    assert {r["key"]: r["response_status"] for r in EX.classify(pages).collect()} == {"k": "dataset", "j": "empty"}
 
 
 def test_many_tags_in_a_cell_do_not_overflow_the_regex_stack(spark):

@@ -36,10 +36,22 @@ def test_latest_snapshot_by_file_time(spark):
         IO.write_snapshot(df.withColumn("snapshot_date", F.to_date("snapshot_date")), path)
         time.sleep(1.1)
     read = IO.ddo_codes(spark, path)
-    latest = IO.latest_snapshot(read, "treasury_code", snapshot="folder")  # by file time
+    latest = IO.latest_snapshot(read)  # by file time
     assert sorted(r["DDO Code"] for r in latest.collect()) == ["1", "2"]
 
 
+def test_snapshot_of_several_part_files(spark):
+    path = _tmp("ddo")
+    codes = spark.range(8).select(F.lit("T1").alias("treasury_code"), F.col("id").cast("string").alias("DDO Code"),
+                                  F.lit("n").alias("DDO Name"))
+    IO.write_snapshot(codes, path)  # the day of the run
+    day = os.listdir(f"{path}/treasury_code=T1")
+    assert [d for d in day if d == time.strftime("snapshot_date=%Y-%m-%d")] == day
+    more = codes.repartition(4).write.mode("append").options(**IO.CSV_OPTIONS)
+    more.csv(f"{path}/treasury_code=T1/{day[0]}")
+    assert IO.latest_snapshot(IO.ddo_codes(spark, path)).count() == 16
+
+
 def test_ingest_takes_each_file_once(spark):
     root = tempfile.mkdtemp(prefix="pw-ingest-")
     drops, out, ckpt = f"{root}/in", f"{root}/out", f"{root}/ck"
@@ -51,12 +63,24 @@ def test_ingest_takes_each_file_once(spark):
     ingest(spark, drops, out, ckpt, schema)  # nothing new: nothing added
     with open(f"{drops}/two.csv", "w") as f:
         f.write("a,b\nz,3\n")
+    old = time.time() - 400 * 86_400  # a copy that kept its time
+    os.utime(f"{drops}/two.csv", (old, old))
     ingest(spark, drops, out, ckpt, schema)
     got = sorted((r["a"], r["b"], r["source_file"]) for r in spark.read.parquet(out).collect())
     assert got == [("x", 1, "one.csv"), ("y", 2, "one.csv"), ("z", 3, "two.csv")]
 
 
-def test_missing_against_listed_files(spark):
+def test_ingest_replaces_a_dataset_collected_again(spark):
+    root = tempfile.mkdtemp(prefix="pw-again-")
+    drops, out, ckpt = f"{root}/in", f"{root}/out", f"{root}/ck"
+    for values in ([("d1", 1), ("d1", 2), ("d2", 9)], [("d1", 1), ("d1", 3)]):
+        IO.write_datasets(spark.createDataFrame(values, "dataset string, v int"), drops, ("dataset",))
+        ingest(spark, drops, out, ckpt, "v int, dataset string")
+    got = sorted((r["dataset"], r["v"]) for r in spark.read.parquet(out).collect())
+    assert got == [("d1", 1), ("d1", 3), ("d2", 9)]
+
+
+def test_missing_against_collected_files(spark):
     from pursewise.plans import requests as PL
 
     root = tempfile.mkdtemp(prefix="pw-files-")
@@ -67,11 +91,10 @@ def test_missing_against_listed_files(spark):
     with open(f"{root}/receipts/budget_receipts_02_04_2019.csv", "w") as f:
         f.write(header)  # header only: must be collected again (Q-14)
     open(f"{root}/receipts/budget_receipts_03_04_2019.csv", "w").close()  # empty
-    files = IO.list_files(spark, root).select(
-        F.regexp_extract("path", "(receipts/[^/]*)$", 1).alias("path"), "length")
-    plan = spark.createDataFrame([(f"0{d}/04/2019",) for d in range(1, 5)], "date string").select(
+    plan = spark.createDataFrame([(f"0{d}/04/2019",) for d in range(1, 6)], "date string").select(
         "date", PL.budget_path("budget_receipts", F.col("date")).alias("path"))
-    todo = PL.missing(plan, files, header_bytes=len(header.encode()))
+    IO.write_collected(plan.where("date = '05/04/2019'"), root)  # written by S-5
+    todo = PL.missing(plan, IO.collected_datasets(spark, root))
     assert sorted(r["date"] for r in todo.collect()) == ["02/04/2019", "03/04/2019", "04/04/2019"]
 
 

@@ -1,5 +1,7 @@
 """Plan shapes the design relies on (read from the executed plan, no timing)."""
 
+import re
+
 from conftest import SF_SMALL
 
 from pursewise.registry import QUERIES
@@ -31,7 +33,7 @@ def test_unique_heads_is_one_pass(spark):
 
 def test_every_query_is_free_of_cartesian_products(spark):
     for name in ("spending_series_month", "receipts_series_week", "keys_by_slots", "awards_with_tenders",
-                 "heads_tree_spending", "plan_treasury_requests", "skip_collected", "treasury_counters"):
+                 "heads_tree_spending", "treasury_counters"):
         plan = _plan(spark, name)
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 
@@ -41,9 +43,11 @@ def test_stored_dimensions_prune_partitions(spark):
     assert "PartitionFilters: [isnotnull(head" in plan or "PartitionFilters: [head" in plan, plan
 
 
-def test_extraction_needs_no_python(spark):
+def test_only_odd_pages_go_to_the_parser(spark):
     plan = _plan(spark, "html_table_rows")
-    assert "MapInPandas" not in plan and "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+    calls = re.findall(r"ArrowEvalPython \[(.{30})", plan)
+    assert calls and all(c.startswith("_parsed_pages(CASE WHEN _odd") for c in calls), calls
+    assert "MapInPandas" not in plan and "BatchEvalPython" not in plan
 
 
 def test_partial_sums_before_any_exchange(spark):
@@ -61,28 +65,29 @@ def test_edge_distinct_hashes_on_the_whole_edge(spark):
     assert hashed and all("parent_path" in l and "label" in l for l in hashed), hashed
 
 
-def test_spread_only_for_scans_with_few_splits(spark, tmp_path):
-    from pursewise.sources.fixtures import spread_small_scan
+def test_tree_document_reads_the_facts_once(spark):
+    from pursewise.registry import QUERIES
 
-    one = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
-    assert one.rdd.getNumPartitions() == 1
-    assert spread_small_scan(one, 4).rdd.getNumPartitions() == 4
-    many = spark.range(0, 1000, numPartitions=1).repartition(16)
-    path = str(tmp_path / "many")
-    many.write.parquet(path)
-    wide = spark.read.parquet(path)
-    assert spread_small_scan(wide, 4) is wide
+    df = QUERIES["heads_tree_json_spending"](spark, SF_SMALL)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    scans = [l for l in final.splitlines() if "FileScan parquet" in l and "lineitem.parquet" in l]
+    assert len(scans) == 1, final
 
 
 def test_stored_fact_table_prunes_months_and_gives_the_same_series(spark, tmp_path):
     from pursewise.operators.facts import SPENDING, series
     from pursewise.sources.fixtures import view
+    from dataclasses import replace
+
+    from pursewise.operators.filters import MONTH_KEY
     from pursewise.sources.io import write_fact_table
 
     path = str(tmp_path / "spending")
     write_fact_table(view(spark, SF_SMALL, "spending"), path, "transdate")
     stored = spark.read.parquet(path)
-    a = series(stored, SPENDING, "week", "1997-04-01", "1998-03-31")
+    a = series(stored, replace(SPENDING, month_col=MONTH_KEY), "week", "1997-04-01", "1998-03-31")
     b = series(view(spark, SF_SMALL, "spending"), SPENDING, "week", "1997-04-01", "1998-03-31")
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     plan = a._jdf.queryExecution().executedPlan().toString()

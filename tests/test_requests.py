@@ -1,4 +1,3 @@
-import re
 from urllib.parse import urlencode
 
 from pyspark.sql import functions as F
@@ -13,23 +12,36 @@ def test_request_url_matches_urlencode(spark):
     assert url == "http://h/p.asp?" + urlencode(dict(zip(PL.TREASURY_PARAMS, vals)))
 
 
-def test_dataset_path_rule(spark):
-    def rule(attrs):
-        name = "{query}_{treasury}_{ddo}_{date}.csv".format(**attrs)
-        return re.sub(r",+", "", name).replace(" ", "_").replace("/", "_")
-    df = spark.createDataFrame([("Shimla, Urban / North", "0007", "20190401", "20190430")],
+def test_dataset_paths(spark):
+    cases = {
+        ("Shimla, Urban / North", "0007"): "expenditures/treasury_expenditures_Shimla_Urban___North_0007_20190401-20190430.csv",
+        ("Una", "0100"): "expenditures/treasury_expenditures_Una_0100_20190401-20190430.csv",
+        (",,a,,b", "1"): "expenditures/treasury_expenditures_ab_1_20190401-20190430.csv",
+    }
+    df = spark.createDataFrame([(*k, "20190401", "20190430") for k in cases],
                                "treasury_name string, ddo_code string, start string, end string")
-    got = PL.dataset_path(df, "treasury_expenditures").first()["path"]
-    assert got == "expenditures/" + rule({"query": "treasury_expenditures", "treasury": "Shimla, Urban / North",
-                                          "ddo": "0007", "date": "20190401-20190430"})
+    got = PL.dataset_path(df, "treasury_expenditures").collect()
+    assert {(r.treasury_name, r.ddo_code): r.path for r in got} == cases
 
 
-def test_missing_treats_empty_and_header_only_as_missing(spark):
+def test_missing_goes_by_data_rows(spark):
     plan = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "path string")
-    files = spark.createDataFrame([("a", 0), ("b", 40), ("c", 500)], "path string, length long")
-    assert sorted(r[0] for r in PL.missing(plan, files).collect()) == ["a", "d"]
-    # Q-14: a receipts file that holds only its header is collected again.
-    assert sorted(r[0] for r in PL.missing(plan, files, header_bytes=50).collect()) == ["a", "b", "d"]
+    files = spark.createDataFrame([("a", 0), ("c", 5)], "path string, n_rows long")
+    assert sorted(r[0] for r in PL.missing(plan, files).collect()) == ["a", "b", "d"]
+
+
+def test_plan_without_the_query_option_is_empty(spark):
+    t = spark.createDataFrame([("T1", "One")], "treasury_id string, treasury_name string")
+    d = spark.createDataFrame([("T1", "07")], "treasury_code string, ddo_code string")
+    q = spark.createDataFrame([("010", "Report")], "query_id string, query_name string")
+    assert PL.plan_treasury_requests(t, d, q, "20190401", "20190430").first()["hod_code"] == "T1-07"
+    assert PL.plan_treasury_requests(t, d, q.where("false"), "20190401", "20190430").count() == 0
+
+
+def test_receipt_requests_name_their_unit(spark):
+    days = spark.createDataFrame([("01/04/2019",)], "date string")
+    got = PL.plan_receipt_requests(days, unit="lakhs").collect()
+    assert [(r.public_head_bool, r.major_code, r.unit) for r in got] == [("0", "0000", "2"), ("1", "0000", "2")]
 
 
 def test_scale_is_exact(spark):
@@ -37,4 +49,5 @@ def test_scale_is_exact(spark):
     from decimal import Decimal
 
     assert PL.scale(df, ["v"], "lakhs").first()["v"] == Decimal("1.2345678")
+    assert PL.scale(df, ["v"], "2").first()["v"] == Decimal("1.2345678")  # by receipt index
     assert PL.scale(df, ["v"], "thousands").first()["v"] == Decimal("123.45678")

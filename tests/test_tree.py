@@ -76,6 +76,20 @@ def test_columnar_document_matches_brute_force(spark):
     assert json.loads("".join(f["fragment"] for f in empty)) == {"records": {c: [] for c in cols}, "count": 0}
 
 
+def test_documents_keep_columns_aligned_under_any_key(spark):
+    from pursewise.operators.shaping import columnar_json_fragments, records_json_fragments
+
+    rows = [("o1", "b", 12.0), ("o1", "a", 12.0), (None, "n", None), (None, None, 3.0), ("o2", "c", 1.0), ("o2", "c", 1.0)]
+    df = spark.createDataFrame(rows, "ocid string, v string, n double")
+    frags = columnar_json_fragments(df, ["v", "n"], "ocid").orderBy("s1", "s2", "s3", "k", "_row", "_nth").collect()
+    doc = json.loads("".join(f["fragment"] for f in frags))
+    assert doc["count"] == 6
+    assert list(zip(doc["records"]["v"], doc["records"]["n"])) == [
+        (None, 3.0), ("n", None), ("a", 12.0), ("b", 12.0), ("c", 1.0), ("c", 1.0)]
+    frags = records_json_fragments(df, "ocid").orderBy("s1", "k", "_row", "_nth").collect()
+    assert [r["v"] for r in json.loads("".join(f["fragment"] for f in frags))["records"]] == [None, "n", "a", "b", "c", "c"]
+
+
 def test_records_document_matches_rows(spark):
     from pursewise.operators.shaping import records_json_fragments
 
