@@ -22,13 +22,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pursewise.llm import line_quality, minmax_dedup, piece_codec, source_mix, toxicity_chain
-from pursewise.llm.common import stored, table
+from pursewise.llm.common import prepare, stored, table
 from pursewise.llm.queries import PIECE_BPE, vocabulary
-from pursewise.session import ship_package
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return toxicity_chain.clean_documents(docs, toxicity_chain.fit(docs, table(spark, sf_dir, "labels")))
 
 
@@ -37,7 +36,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return minmax_dedup.distinct_documents(docs)
 
 
@@ -46,7 +45,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return piece_codec.encoded(docs, vocabulary(PIECE_BPE))
 
 
