@@ -8,8 +8,8 @@ shingle set are one class from the start. Then, on classes:
 1. star links: in each bucket of a band, every class is compared with the bucket's smallest
    class, on the full shingle sets; components of the confirmed links are found;
 2. the rest: in every bucket that still holds more than one component, the pairs across
-   components whose sizes and signatures allow the threshold are listed (in blocks, inside
-   the tasks) and compared on the full sets as well; components again.
+   components whose sizes and signatures allow the threshold are compared on the full sets as
+   well, inside the bucket's task, which passes on only the links; components again.
 
 A pair that shares a bucket is thus either compared exactly or already in one component, so
 no group is expanded into all its pairs and no partner is capped. A pair at the threshold
@@ -23,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -37,8 +38,8 @@ PERMUTATIONS, ROWS = 100, 5
 BANDS = 2 * PERMUTATIONS // ROWS
 #: Estimated similarity under which a pair is not compared in full: four standard deviations.
 SKETCH_FLOOR = 0.62
-#: Members compared with one copy of a centre, and rows of one block of a bucket.
-PER_SALT, BLOCK = 512, 2048
+#: Members compared with one copy of a centre; rows and shingles of one block of a bucket.
+PER_SALT, BLOCK, SHINGLES = 512, 2048, 4_000_000
 
 _rng = np.random.Generator(np.random.PCG64(20240601))
 _MUL = _rng.integers(0, 2**64, PERMUTATIONS, dtype=U64) | U64(1)
@@ -153,11 +154,11 @@ def _confirm(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
-def confirmed(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
+def confirmed(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (center, node) of ``pairs`` whose full shingle sets reach the threshold.
 
-    Texts travel once to find their pairs and once to their centres. A centre with many
-    members is copied for every PER_SALT of them, so no task holds a hot centre.
+    ``texts``: (node, text). A centre with many members is copied for every PER_SALT of them,
+    so no task holds a hot centre.
     """
     degree = pairs.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / PER_SALT).cast("int").alias("salts"))
     members = pairs.join(degree, "center").select(
@@ -166,51 +167,77 @@ def confirmed(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     centres = degree.select(F.col("center").alias("node"), "center",
                             F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
                             F.lit(0).alias("role"))
-    wanted = (members.unionByName(centres).join(reps, "node")
-              .select("rep_id", "rep_hash", "node", "center", "salt", "role"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep_id"), _row_hash().alias("rep_hash"), "text")
-    on = (texts["rep_hash"] == wanted["rep_hash"]) & texts["rep_id"].eqNullSafe(wanted["rep_id"])
-    rows = texts.join(wanted, on).select("center", "salt", "role", "node", "text")
+    rows = members.unionByName(centres).join(texts, "node").select("center", "salt", "role", "node", "text")
     return (rows.repartition("center", "salt").sortWithinPartitions("center", "salt", "role")
             .mapInArrow(_confirm, "u long, v long").distinct())
 
 
 # ------------------------------------------------------------------ the rest of a bucket
 
-def _allowed(pdf):
-    """Pairs across components in one block pair whose sizes and signatures allow a link."""
-    import pandas as pd
+def _linked_across(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links between components in one block pair of a bucket.
 
+    A pair is compared on its full sets if its sizes and signatures allow the threshold and
+    no earlier band holds it too; components linked here already are not compared again.
+    """
+    key, same_block = pdf.key.iat[0], pdf.blk_a.iat[0] == pdf.blk_b.iat[0]
     pdf = pdf.drop_duplicates(["node", "mine"]).sort_values("node")
     left, right = pdf[pdf.mine == pdf.blk_a], pdf[pdf.mine == pdf.blk_b]
-    sig_r = np.frombuffer(b"".join(right.sig), np.uint8).reshape(len(right), -1)
-    n_r, c_r, id_r = right.n.to_numpy(), right.root.to_numpy(), right.node.to_numpy()
-    out = []
-    for node, n, root, sig in zip(left.node, left.n, left.root, left.sig):
-        ok = (c_r != root) & (100 * np.minimum(n_r, n) >= PERCENT * np.maximum(n_r, n))
-        if (left is right) or pdf.blk_a.iat[0] == pdf.blk_b.iat[0]:
-            ok &= id_r > node
-        at = np.flatnonzero(ok)
-        if len(at):
-            same = (sig_r[at] == np.frombuffer(sig, np.uint8)).mean(axis=1)
-            near = at[(same - 1 / 256) / (1 - 1 / 256) >= SKETCH_FLOOR]
-            if len(near):
-                out.append(pd.DataFrame({"center": np.minimum(id_r[near], node), "node": np.maximum(id_r[near], node)}))
-    return pd.concat(out) if out else pd.DataFrame({"center": [], "node": []}).astype("int64")
-
-
-def across(members: DataFrame, roots: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Candidate pairs (center, node) between components that still share a bucket."""
+    u, v = [], []
+    if len(left) and len(right):
+        sig_r, bands_r = np.frombuffer(b"".join(right.sig), np.uint8).reshape(len(right), -1), np.stack(right.bands)
+        n_r, c_r, id_r, text_r = right.n.to_numpy(), right.root.to_numpy(), right.node.to_numpy(), right.text.to_numpy()
+        parent: dict[int, int] = {}
+        sets: dict[int, np.ndarray] = {}
+
+        def top(x):
+            while x in parent:
+                x = parent[x]
+            return x
+
+        for node, n, root, sig, bands, text in zip(left.node, left.n, left.root, left.sig, left.bands, left.text):
+            ok = (c_r != root) & (100 * np.minimum(n_r, n) >= PERCENT * np.maximum(n_r, n))
+            if same_block:
+                ok &= id_r > node
+            at = np.flatnonzero(ok)
+            if not len(at):
+                continue
+            share = (sig_r[at] == np.frombuffer(sig, np.uint8)).mean(axis=1)
+            estimate = (share - 1 / 256) / (1 - 1 / 256)
+            band = int(np.flatnonzero(bands == key)[0])
+            here = (estimate >= SKETCH_FLOOR) & ~(bands_r[at, :band] == bands[:band]).any(axis=1)
+            mine = None
+            for j in at[here][np.argsort(-estimate[here], kind="stable")]:
+                a, b = top(root), top(c_r[j])
+                if a == b:
+                    continue
+                if mine is None:
+                    mine = shingle_set(text)
+                if j not in sets:
+                    sets[j] = shingle_set(text_r[j])
+                if _linked(mine, sets[j]):
+                    u.append(node)
+                    v.append(id_r[j])
+                    parent[max(a, b)] = min(a, b)
+    return pd.DataFrame({"u": u, "v": v}).astype("int64")
+
+
+def across(members: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (u, v) between components that still share a bucket.
+
+    Only buckets with more than one component are read, each pair of their blocks in a task
+    of its own. A block holds at most about BLOCK rows and SHINGLES shingles.
+    """
     rows = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    open_ = (rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"))
-             .where("lo <> hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
-    rows = rows.join(open_, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.join(sigs, "node")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = (rows.withColumn("other", other)
-            .select("key", "node", "root", "n", "sig", "mine",
-                    F.least("mine", "other").alias("blk_a"), F.greatest("mine", "other").alias("blk_b")))
-    return (rows.groupBy("key", "blk_a", "blk_b").applyInPandas(_allowed, "center long, node long").distinct())
+    open_ = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    rows = stored(rows.join(open_, "key").join(texts.select("node", "n"), "node"), "minmax-open")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / SHINGLES)).cast("int")
+    rows = rows.join(rows.groupBy("key").agg(blocks.alias("blocks")), "key").join(texts.drop("n"), "node")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", "node", "root", "n", "sig", "bands", "text", "mine",
+                       F.least("mine", "other").alias("blk_a"), F.greatest("mine", "other").alias("blk_b"))
+    return rows.groupBy("key", "blk_a", "blk_b").applyInPandas(_linked_across, "u long, v long").distinct()
 
 
 # ------------------------------------------------------------------ the operator
@@ -231,14 +258,15 @@ def _grouped(docs: DataFrame) -> DataFrame:
     buckets = (banded.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last"))
                .where("center <> last").select("key", "center"))
     members = stored(banded.join(buckets, "key").select("key", "node", "center"), "minmax-members")
-    rep_keys = reps.select("node", "rep_id", "rep_hash")
+    # the texts that meet others, once; both comparisons read this table
+    wanted = members.select("node").distinct().join(reps, "node")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), _row_hash().alias("hash"), "text")
+    on = (keyed["hash"] == wanted["rep_hash"]) & keyed["id"].eqNullSafe(wanted["rep_id"])
+    texts = stored(keyed.join(wanted, on).select("node", "text", "n", "sig", "bands"), "minmax-texts")
 
     star = members.where("node <> center").select("center", "node").distinct()
-    links = stored(confirmed(docs, rep_keys, star), "minmax-star-links")
-    roots = components(links, "minmax-star")
-    rest = across(members.select("key", "node"), roots, reps.select("node", "n", "sig"))
-    rest = stored(rest.join(star, ["center", "node"], "left_anti"), "minmax-rest")  # not compared yet
-    more = confirmed(docs, rep_keys, rest)
+    links = stored(confirmed(texts.select("node", "text"), star), "minmax-star-links")
+    more = across(members.select("key", "node"), components(links, "minmax-star"), texts)
     roots = components(links.unionByName(more), "minmax-all")
 
     per_class = (classes.join(roots, "node", "left")
