@@ -58,7 +58,11 @@ def decode_entities(c) -> Column:
     parts = F.split(text, _REFERENCE)
     refs = F.transform(F.regexp_extract_all(text, F.lit(_REFERENCE), 0), _referenced)
     full = F.array_join(F.flatten(F.zip_with(parts, refs, lambda p, r: F.array(p, F.coalesce(r, F.lit(""))))), "")
-    return F.when(text.contains("&"), full).otherwise(text)
+    common = text  # most texts hold the common names only; ``&amp;`` goes last
+    for name in (*_COMMON[1:], _COMMON[0]):
+        common = F.replace(common, F.lit(f"&{name};"), F.lit(_NAMED[name]))
+    other = text.rlike("&(?!(?:" + "|".join(_COMMON) + ");)")
+    return F.when(~text.contains("&"), text).when(~other, common).otherwise(full)
 
 
 def file_part(c) -> Column:

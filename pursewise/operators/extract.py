@@ -85,21 +85,21 @@ def row_cells(row_html: Column) -> Column:
     return F.transform(F.regexp_extract_all(row_html, F.lit(_CELL), 1), lambda c: cell_text(c))
 
 
-def _unpaired(body: Column, tag: str) -> Column:
-    """Start and end tags do not alternate: one is missing, or an element holds its like."""
-    parts = F.split(body, rf"(?i)</{tag}\s*>")
-    starts = F.transform(parts, lambda p: F.size(F.split(p, rf"(?i)<{tag}\b")) - 1)
-    return F.exists(F.slice(starts, F.lit(1), F.size(starts) - 1), lambda n: n != 1) | (F.element_at(starts, -1) != 0)
+# Everything but the names of the tags that shape a table; what hides markup or a reference
+# without its ``;``. No repeated groups here either.
+_SHAPE = r"(?is)<(/?)(table|tr|td)\b[^>]*+>|<[^>]*+>?|[^<]++"
+_HIDING = (r"(?i)<!--|<!\[|<(?:script|style|textarea|title|th|xmp)\b|=\s*\"[^\"<>]*+>|=\s*'[^'<>]*+>"
+           r"|&[A-Za-z][A-Za-z0-9]*+(?!;)")
 
 
 def needs_parser(body: Column) -> Column:
-    """Pages with rows whose markup is not simply nested (see ``_unpaired``), hides markup in
-    comments, scripts or attribute values, or names an entity without its ``;``."""
-    odd = (_unpaired(body, "table") | _unpaired(body, "tr") | _unpaired(body, "td")
-           | body.rlike(r"(?i)<!--|<!\[|<(?:script|style|textarea|title|th|xmp)\b")
-           | body.rlike("=\\s*\"[^\"<>]*>") | body.rlike("=\\s*'[^'<>]*>")
-           | body.rlike(r"&[A-Za-z][A-Za-z0-9]*+(?!;)"))
-    return F.coalesce(body.contains(ROW_CLASS_PART) & odd, F.lit(False))
+    """Pages with rows whose markup is not simply nested (a start or end tag of a table, row or
+    cell is missing, or one holds its like), hides markup in comments, scripts or attribute
+    values, or names an entity without its ``;``."""
+    shape = F.regexp_replace(body, _SHAPE, "$1$2")
+    for pair in ("td/td", "tr/tr", "table/table"):  # what is left is not paired
+        shape = F.replace(shape, F.lit(pair), F.lit(""))
+    return F.coalesce(body.contains(ROW_CLASS_PART) & ((shape != "") | body.rlike(_HIDING)), F.lit(False))
 
 
 @F.pandas_udf(ArrayType(ArrayType(StringType())))
@@ -116,8 +116,11 @@ def with_cells(responses: DataFrame, body: str = "body", name: str = "_cells") -
     ship_package(responses.sparkSession)
     b = F.col(body)
     native = F.transform(data_rows(b), lambda r: row_cells(r))
-    out = responses.withColumn("_native", native).withColumn("_odd", needs_parser(b))
-    out = out.withColumn("_odd", F.col("_odd") | F.exists("_native", lambda r: F.exists(r, lambda c: c.isNull())))
+    # a generator of one row: both are computed once a page, whatever reads them
+    both = F.struct(native.alias("_native"), needs_parser(b).alias("_odd"))
+    out = responses.select("*", F.inline(F.array(both)))
+    out = out.withColumn("_odd", F.col("_odd") | F.coalesce(
+        F.exists("_native", lambda r: F.exists(r, lambda c: c.isNull())), F.lit(False)))
     out = out.withColumn("_parsed", _parsed_pages(F.when(F.col("_odd"), b)))
     empty = F.array().cast("array<array<string>>")
     return out.withColumn(name, F.coalesce(F.when(F.col("_odd"), F.col("_parsed")).otherwise(F.col("_native")), empty)
