@@ -61,6 +61,12 @@ class PieceCodec:
             self.byte_ids = {int(self.piece[i][1:-1], 16): i for i in range(n) if sp.is_byte(i)}
             self.bpe = all(float(r).is_integer() for r in self.rank.values())
         self.longest = max(map(len, self.ids), default=1)
+        # lengths of the pieces that end in these three characters, longest first
+        tails: dict[str, set[int]] = {}
+        for p in self.ids:
+            if len(p) > 2:
+                tails.setdefault(p[-3:], set()).add(len(p))
+        self.tails = {t: tuple(sorted(n, reverse=True)) for t, n in tails.items()}
         # neighbours that stand side by side in no piece can never be merged
         self.beside = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.words_of = self._word_pattern().findall
@@ -101,35 +107,50 @@ class PieceCodec:
                 heapq.heappush(heap, (self.rank[parts[h] + both], h, parts[h] + both))
         return [p for p in parts if p is not None]
 
-    def _agrees(self, a: str, b: str) -> bool:
+    def _agree(self, key: tuple[str, str]) -> bool:
+        """Whether two neighbouring pieces stay two pieces when merged by rank."""
+        a, b = key
         if a[-1] + b[0] not in self.beside:
             return True
-        key = (a, b)
-        got = self.agree.get(key)
-        if got is None:
-            if len(self.agree) > 500_000:
-                self.agree.clear()
-            got = self.agree[key] = self.merged(a + b) == [a, b]
+        if len(self.agree) > 500_000:
+            self.agree.clear()
+        got = self.agree[key] = self.merged(a + b) == [a, b]
         return got
 
-    def _states(self, word: str, keep: int, last: list[str | None], cost: list[float]) -> None:
-        """Extend the forward states (``last`` piece per prefix length) from ``keep`` on."""
-        del last[keep + 1:], cost[keep + 1:]
-        ids, longest = self.ids, self.longest
+    def _extend_bpe(self, word: str, keep: int, last: list[str | None]) -> None:
+        """Forward states from ``keep`` on: the piece that ends at each position and agrees
+        with the state in front of it (the longest that does; a single character or a byte
+        run is always left)."""
+        del last[keep + 1:]
+        ids, agree, tails, check = self.ids, self.agree, self.tails, self._agree
         for end in range(keep + 1, len(word) + 1):
-            best, low = word[end - 1], 0.0  # a single character is a piece or falls to bytes
-            if self.bpe:
-                for start in range(end - longest if end > longest else 0, end - 1):  # longest first
-                    piece = word[start:end]
-                    if piece in ids and (start == 0 or self._agrees(last[start], piece)):
+            best = word[end - 1]
+            for n in (*tails.get(word[end - 3:end], ()), 2) if end > 2 else (2,):
+                start = end - n
+                if start < 0:
+                    continue
+                piece = word[start:end]
+                if piece in ids:
+                    if start == 0:
+                        best = piece
+                        break
+                    key = (last[start], piece)
+                    ok = agree.get(key)
+                    if check(key) if ok is None else ok:
                         best = piece
                         break
-            else:
-                low = cost[end - 1] + self.rank.get(best, 1e9)
-                for start in range(max(0, end - longest), end - 1):
-                    piece = word[start:end]
-                    if piece in ids and cost[start] + self.rank[piece] < low:
-                        best, low = piece, cost[start] + self.rank[piece]
+            last.append(best)
+
+    def _extend_unigram(self, word: str, keep: int, last: list[str | None], cost: list[float]) -> None:
+        """Forward states from ``keep`` on: the last piece of the cheapest segmentation."""
+        del last[keep + 1:], cost[keep + 1:]
+        for end in range(keep + 1, len(word) + 1):
+            best = word[end - 1]
+            low = cost[end - 1] + self.rank.get(best, 1e9)
+            for start in range(max(0, end - self.longest), end - 1):
+                piece = word[start:end]
+                if piece in self.ids and cost[start] + self.rank[piece] < low:
+                    best, low = piece, cost[start] + self.rank[piece]
             last.append(best)
             cost.append(low)
 
@@ -145,7 +166,10 @@ class PieceCodec:
             keep, top = 0, min(len(before), len(word))
             while keep < top and before[keep] == word[keep]:
                 keep += 1
-            self._states(word, keep, last, cost)
+            if self.bpe:
+                self._extend_bpe(word, keep, last)
+            else:
+                self._extend_unigram(word, keep, last, cost)
             before = word
             pieces, at = [], len(word)
             while at:
