@@ -23,7 +23,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -174,19 +173,38 @@ def confirmed(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ the rest of a bucket
 
-def _linked_across(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links between components in one block pair of a bucket.
+def _block_pairs(frames: Iterator[pa.RecordBatch]):
+    """((key, blk_a, blk_b), rows) of each block pair; the rows come sorted by them."""
+    now, rows = None, []
+    for b in frames:
+        cols = {c: b.column(c).to_pylist() for c in ("key", "blk_a", "blk_b", "mine", "node", "n", "root", "sig")}
+        bands = b.column("bands").flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
+        for i, text in enumerate(b.column("text")):
+            at = (cols["key"][i], cols["blk_a"][i], cols["blk_b"][i])
+            if at != now:
+                if rows:
+                    yield now, rows
+                now, rows = at, []
+            rows.append((cols["node"][i], cols["mine"][i], cols["n"][i], cols["root"][i], cols["sig"][i], bands[i], text))
+    if rows:
+        yield now, rows
+
+
+def _linked_across(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between components in each block pair of a bucket.
 
     A pair is compared on its full sets if its sizes and signatures allow the threshold and
     no earlier band holds it too; components linked here already are not compared again.
     """
-    key, same_block = pdf.key.iat[0], pdf.blk_a.iat[0] == pdf.blk_b.iat[0]
-    pdf = pdf.drop_duplicates(["node", "mine"]).sort_values("node")
-    left, right = pdf[pdf.mine == pdf.blk_a], pdf[pdf.mine == pdf.blk_b]
     u, v = [], []
-    if len(left) and len(right):
-        sig_r, bands_r = np.frombuffer(b"".join(right.sig), np.uint8).reshape(len(right), -1), np.stack(right.bands)
-        n_r, c_r, id_r, text_r = right.n.to_numpy(), right.root.to_numpy(), right.node.to_numpy(), right.text.to_numpy()
+    for (key, blk_a, blk_b), rows in _block_pairs(frames):
+        rows = list({r[:2]: r for r in rows}.values())  # a repeated text row counts once
+        left, right = [r for r in rows if r[1] == blk_a], [r for r in rows if r[1] == blk_b]
+        if not left or not right:
+            continue
+        id_r, n_r, c_r = (np.array([r[k] for r in right], np.int64) for k in (0, 2, 3))
+        sig_r = np.frombuffer(b"".join(r[4] for r in right), np.uint8).reshape(len(right), -1)
+        bands_r = np.stack([r[5] for r in right])
         parent: dict[int, int] = {}
         sets: dict[int, np.ndarray] = {}
 
@@ -195,31 +213,38 @@ def _linked_across(pdf: pd.DataFrame) -> pd.DataFrame:
                 x = parent[x]
             return x
 
-        for node, n, root, sig, bands, text in zip(left.node, left.n, left.root, left.sig, left.bands, left.text):
+        for node, _, n, root, sig, bands, text in left:
             ok = (c_r != root) & (100 * np.minimum(n_r, n) >= PERCENT * np.maximum(n_r, n))
-            if same_block:
+            if blk_a == blk_b:
                 ok &= id_r > node
             at = np.flatnonzero(ok)
             if not len(at):
                 continue
             share = (sig_r[at] == np.frombuffer(sig, np.uint8)).mean(axis=1)
             estimate = (share - 1 / 256) / (1 - 1 / 256)
+            near = estimate >= SKETCH_FLOOR
+            at, estimate = at[near], estimate[near]
+            if not len(at):
+                continue
             band = int(np.flatnonzero(bands == key)[0])
-            here = (estimate >= SKETCH_FLOOR) & ~(bands_r[at, :band] == bands[:band]).any(axis=1)
+            first = ~(bands_r[at, :band] == bands[:band]).any(axis=1)
             mine = None
-            for j in at[here][np.argsort(-estimate[here], kind="stable")]:
-                a, b = top(root), top(c_r[j])
+            for j in at[first][np.argsort(-estimate[first], kind="stable")]:
+                a, b = top(root), top(int(c_r[j]))
                 if a == b:
                     continue
                 if mine is None:
-                    mine = shingle_set(text)
+                    mine = shingle_set(text.as_py())
                 if j not in sets:
-                    sets[j] = shingle_set(text_r[j])
+                    sets[j] = shingle_set(right[j][6].as_py())
                 if _linked(mine, sets[j]):
                     u.append(node)
-                    v.append(id_r[j])
+                    v.append(int(id_r[j]))
                     parent[max(a, b)] = min(a, b)
-    return pd.DataFrame({"u": u, "v": v}).astype("int64")
+        if len(u) > 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+            u, v = [], []
+    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
 def across(members: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
@@ -237,7 +262,8 @@ def across(members: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", "node", "root", "n", "sig", "bands", "text", "mine",
                        F.least("mine", "other").alias("blk_a"), F.greatest("mine", "other").alias("blk_b"))
-    return rows.groupBy("key", "blk_a", "blk_b").applyInPandas(_linked_across, "u long, v long").distinct()
+    return (rows.repartition("key", "blk_a", "blk_b").sortWithinPartitions("key", "blk_a", "blk_b")
+            .mapInArrow(_linked_across, "u long, v long").distinct())
 
 
 # ------------------------------------------------------------------ the operator
