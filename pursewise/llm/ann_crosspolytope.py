@@ -97,16 +97,25 @@ class CrossPolytopes:
         return code
 
 
-def _vectors(column: pa.Array, dim: int, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, dim).astype(np.float64)
+def _kind(rows: DataFrame) -> str:
+    """How vectors are packed: floats as they are, everything else as doubles."""
+    element = rows.schema["embedding"].dataType.elementType.simpleString()
+    return "<f4" if element == "float" else "<f8"
+
+
+def _vectors(packed, dim: int, kind: str) -> np.ndarray:
+    """Packed vectors as rows of doubles (exactly the original components)."""
+    return np.frombuffer(b"".join(packed), kind).reshape(-1, dim).astype(np.float64)
 
 
 def clean_vectors(rows: DataFrame) -> DataFrame:
-    """vec_id, v (the components packed as little-endian doubles), dim, norm of usable vectors.
+    """vec_id, v (the components packed, see ``_kind``), dim, norm of usable vectors.
 
     Null, empty or zero vectors and those with a null or non-finite component are left out,
     as are rows without an id.
     """
+    kind = _kind(rows)
+
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in frames:
             ids, packed, dims, norms = [], [], [], []
@@ -118,7 +127,7 @@ def clean_vectors(rows: DataFrame) -> DataFrame:
                 if not np.isfinite(x).all() or not x.any() or not math.isfinite(norm):
                     continue
                 ids.append(i)
-                packed.append(x.tobytes())
+                packed.append(x.astype(kind).tobytes())
                 dims.append(len(x))
                 norms.append(norm)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary()), pa.array(dims, pa.int32()),
@@ -128,16 +137,15 @@ def clean_vectors(rows: DataFrame) -> DataFrame:
         run, "vec_id long, v binary, dim int, norm double")
 
 
-def _hash_rows(rows: DataFrame, hashes: CrossPolytopes, top: float, probes: int | None) -> DataFrame:
-    """One row per (row, table, bucket): columns of ``rows`` and tab, code."""
-    names = rows.columns
+def _hash_rows(rows: DataFrame, hashes: CrossPolytopes, top: float, probes: int | None, kind: str) -> DataFrame:
+    """(id, tab, code) for each row (id, v) and table: its bucket, or the buckets it probes."""
     dim = hashes.dim
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in frames:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                x = _vectors(part.column(names.index("v")), dim, "<f8")
+                x = _vectors(part.column(1).to_pylist(), dim, kind)
                 if probes is None:
                     x = x / top
                     rest = np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))
@@ -146,51 +154,49 @@ def _hash_rows(rows: DataFrame, hashes: CrossPolytopes, top: float, probes: int
                     unit = x / np.sqrt((x * x).sum(axis=1))[:, None]
                 for t in range(hashes.tables):
                     codes = hashes.codes(unit, t)[:, None] if probes is None else hashes.probes(unit, t, probes)
-                    rows_at = np.repeat(np.arange(len(x)), codes.shape[1])
+                    at_row = np.repeat(np.arange(len(x)), codes.shape[1])
                     yield pa.RecordBatch.from_arrays(
-                        [*(c.take(pa.array(rows_at)) for c in part.columns), pa.array(np.full(len(rows_at), t, np.int32)),
-                         pa.array(codes.reshape(-1))], names=[*names, "tab", "code"])
+                        [part.column(0).take(pa.array(at_row)), pa.array(np.full(len(at_row), t, np.int32)),
+                         pa.array(codes.reshape(-1))], names=["id", "tab", "code"])
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{kinds}, tab int, code long")
+    return rows.select("id", "v").mapInArrow(run, "id long, tab int, code long")
 
 
-def _best(dim: int, k: int):
+def _best(dim: int, k: int, kind: str):
     """Per block of one bucket: each query's best classes, by inner product, then first id."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         q, c = pdf[pdf.is_query], pdf[~pdf.is_query]
         if not len(q) or not len(c):
             return pd.DataFrame({"query_id": [], "first_id": [], "score": []}).astype(
                 {"query_id": "int64", "first_id": "int64", "score": "float64"})
-        qv = np.frombuffer(b"".join(q.v), "<f8").reshape(-1, dim)
-        cv = np.frombuffer(b"".join(c.v), "<f8").reshape(-1, dim)
+        qv, cv = _vectors(q.v, dim, kind), _vectors(c.v, dim, kind)
         ids, queries = c.id.to_numpy(), q.id.to_numpy()
-        near = qv @ cv.T
         take = min(len(ids), k + 8)  # a few more, as a matrix product rounds by its blocking
-        out = []
-        for i in range(len(queries)):
-            at = np.argpartition(-near[i], take - 1)[:take]
-            score = (qv[i] * cv[at]).sum(axis=1)  # the same sum wherever the pair meets
-            best = np.lexsort((ids[at], -score))[:k]
-            out.append(pd.DataFrame({"query_id": queries[i], "first_id": ids[at][best], "score": score[best]}))
-        return pd.concat(out, ignore_index=True)
+        at = np.argpartition(-(qv @ cv.T), take - 1, axis=1)[:, :take]
+        at = np.take_along_axis(at, np.argsort(ids[at], axis=1, kind="stable"), 1)
+        score = (qv[:, None, :] * cv[at]).sum(axis=2)  # the same sum wherever the pair meets
+        best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        return pd.DataFrame({"query_id": np.repeat(queries, best.shape[1]),
+                             "first_id": ids[np.take_along_axis(at, best, 1)].reshape(-1),
+                             "score": np.take_along_axis(score, best, 1).reshape(-1)})
 
     return run
 
 
-def _ranked(cells: DataFrame, dim: int, k: int) -> DataFrame:
-    """Best classes of each query over blocks of buckets; ``cells``: tab, code, is_query, id, v."""
+def _ranked(cells: DataFrame, vectors: DataFrame, dim: int, k: int, kind: str) -> DataFrame:
+    """Best classes of each query over blocks of buckets; ``cells``: tab, code, is_query, id;
+    ``vectors``: id, v. Only buckets that hold both sides get their vectors."""
     size = cells.groupBy("tab", "code").agg(
         F.sum(F.when(F.col("is_query"), 0).otherwise(1)).alias("n"), F.sum(F.when(F.col("is_query"), 1).otherwise(0)).alias("q"))
     size = size.where("n > 0 and q > 0").select("tab", "code", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"),
                                                 F.ceil(F.col("q") / QUERIES).cast("int").alias("qb"))
-    rows = cells.join(size, ["tab", "code"])
+    rows = cells.join(size, ["tab", "code"]).join(vectors, "id")
     mine = F.pmod(F.xxhash64("id"), F.when(F.col("is_query"), F.col("qb")).otherwise(F.col("nb"))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("is_query"), F.col("nb")).otherwise(F.col("qb")) - 1))
     rows = rows.withColumn("mine", mine).withColumn("other", other).select(
         "tab", "code", F.when(F.col("is_query"), F.col("other")).otherwise(F.col("mine")).alias("cell"),
         F.when(F.col("is_query"), F.col("mine")).otherwise(F.col("other")).alias("turn"), "is_query", "id", "v")
-    found = rows.groupBy("tab", "code", "cell", "turn").applyInPandas(_best(dim, k), "query_id long, first_id long, score double")
+    found = rows.groupBy("tab", "code", "cell", "turn").applyInPandas(_best(dim, k, kind), "query_id long, first_id long, score double")
     found = found.distinct()
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "first_id"))
     return found.withColumn("place", place).where(F.col("place") <= k).drop("place")
@@ -207,30 +213,32 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int = TABLES, pro
     different vectors under one id the first in byte order). With fewer than k other rows all
     are returned; an empty table gives no rows; other columns are ignored.
     """
-    spark = vectors.sparkSession
+    spark, kind = vectors.sparkSession, _kind(vectors)
     rows = clean_vectors(vectors).groupBy("vec_id").agg(F.min(F.struct("v", "dim", "norm")).alias("s")).select("vec_id", "s.*")
     rows = stored(rows, "ann-rows")
     out = None
     for dim, n, top in sorted((r["dim"], r["n"], r["top"]) for r in rows.groupBy("dim").agg(
             F.count(F.lit(1)).alias("n"), F.max("norm").alias("top")).collect()):
-        part = _nearest(rows.where(F.col("dim") == dim), dim, n, top, is_query, k, tables, probes)
+        part = _nearest(rows.where(F.col("dim") == dim), dim, n, top, is_query, k, tables, probes, kind)
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     return out
 
 
-def _nearest(rows: DataFrame, dim: int, n: int, top: float, is_query, k: int, tables: int, probes: int) -> DataFrame:
+def _nearest(rows: DataFrame, dim: int, n: int, top: float, is_query, k: int, tables: int, probes: int,
+             kind: str) -> DataFrame:
     # equal vectors are one class, known by its first id; k + 1 of its ids are enough for any query
     place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     listed = stored(rows.select("vec_id", "v").withColumn("place", place).where(F.col("place") <= k + 1), "ann-classes")
     index = listed.where("place = 1").select(F.col("vec_id").alias("id"), "v")
     queries = rows.where(is_query).select(F.col("vec_id").alias("id"), "v")
     hashes = CrossPolytopes(dim, -(-n // ROWS), tables)
-    cells = (_hash_rows(index, hashes, top, None).withColumn("is_query", F.lit(False))
-             .unionByName(_hash_rows(queries, hashes, top, probes).withColumn("is_query", F.lit(True))))
+    vectors = rows.select(F.col("vec_id").alias("id"), "v")
+    cells = (_hash_rows(index, hashes, top, None, kind).withColumn("is_query", F.lit(False))
+             .unionByName(_hash_rows(queries, hashes, top, probes, kind).withColumn("is_query", F.lit(True))))
     # one class more than asked for: the query's own class may hold nothing but the query
-    found = stored(_ranked(stored(cells, "ann-cells"), dim, k + 1), "ann-found")
+    found = stored(_ranked(stored(cells, "ann-cells"), vectors, dim, k + 1, kind), "ann-found")
 
     def expanded(found: DataFrame) -> DataFrame:
         ids = listed.join(index.select(F.col("id").alias("first_id"), F.col("v").alias("w")), F.col("v") == F.col("w"))
@@ -244,10 +252,10 @@ def _nearest(rows: DataFrame, dim: int, n: int, top: float, is_query, k: int, ta
     short = (queries.join(hits.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("n")), "id", "left")
              .where(F.coalesce("n", F.lit(0)) < min(k, n - 1)).select("id", "v"))
     blocks = -(-n // BLOCK)
-    wide = (index.select("id", "v", F.lit(False).alias("is_query"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("code"))
-            .unionByName(short.select("id", "v", F.lit(True).alias("is_query"),
+    wide = (index.select("id", F.lit(False).alias("is_query"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("code"))
+            .unionByName(short.select("id", F.lit(True).alias("is_query"),
                                       F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("code"))))
-    again = expanded(_ranked(wide.withColumn("tab", F.lit(-1)), dim, k + 1))
+    again = expanded(_ranked(wide.withColumn("tab", F.lit(-1)), vectors, dim, k + 1, kind))
     return hits.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(again)
 
 
@@ -256,11 +264,12 @@ def recall(vectors: DataFrame, found: DataFrame, is_query, k: int = 20) -> float
     rows = clean_vectors(vectors)
     dim, n = rows.agg(F.max("dim"), F.count(F.lit(1))).first()
     blocks = -(-n // BLOCK)
-    cells = (rows.select(F.col("vec_id").alias("id"), "v", F.lit(False).alias("is_query"),
+    cells = (rows.select(F.col("vec_id").alias("id"), F.lit(False).alias("is_query"),
                          F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("code"))
-             .unionByName(rows.where(is_query).select(F.col("vec_id").alias("id"), "v", F.lit(True).alias("is_query"),
+             .unionByName(rows.where(is_query).select(F.col("vec_id").alias("id"), F.lit(True).alias("is_query"),
                                                       F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("code"))))
-    true = _ranked(cells.withColumn("tab", F.lit(0)), dim, k + 1).where("query_id <> first_id")
+    true = _ranked(cells.withColumn("tab", F.lit(0)), rows.select(F.col("vec_id").alias("id"), "v"), dim, k + 1,
+                   _kind(vectors)).where("query_id <> first_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "first_id"))
     true = true.withColumn("r", rank).where(F.col("r") <= k).select("query_id", F.col("first_id").alias("vec_id"))
     both = true.join(found.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_semi").count()
