@@ -41,7 +41,7 @@ _loaded: dict[int, PieceCodec] = {}
 class PieceCodec:
     """Encodes and decodes with the vocabulary of a serialized SentencePiece model."""
 
-    def __init__(self, model: bytes, memo: int = 600_000, unigram: dict[str, float] | None = None):
+    def __init__(self, model: bytes, memo: int = 400_000, unigram: dict[str, float] | None = None):
         import sentencepiece
 
         self.memo_limit, self.memo = memo, {}
@@ -112,7 +112,7 @@ class PieceCodec:
         a, b = key
         if a[-1] + b[0] not in self.beside:
             return True
-        if len(self.agree) > 500_000:
+        if len(self.agree) > 300_000:
             self.agree.clear()
         got = self.agree[key] = self.merged(a + b) == [a, b]
         return got

@@ -63,7 +63,7 @@ def _tokens(text: str | None) -> set[str]:
 class Evidence(dict):
     """Token -> scores by category (None: no evidence); emptied at ``limit`` tokens."""
 
-    def __init__(self, lexicon: dict[str, tuple[float, ...]], limit: int = 500_000):
+    def __init__(self, lexicon: dict[str, tuple[float, ...]], limit: int = 100_000):
         super().__init__()
         self.lexicon, self.limit = lexicon, limit
 
@@ -113,7 +113,7 @@ def _feature_counts(sample: DataFrame) -> pd.DataFrame:
                         row = counts[f] = [0] * len(cols)
                     for i in at:
                         row[i] += 1
-            if len(counts) > 200_000:
+            if len(counts) > 50_000:
                 yield _rows(counts, cols)
                 counts = {}
         if counts:
