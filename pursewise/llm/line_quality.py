@@ -87,22 +87,34 @@ def _normal(line: Column) -> Column:
 
 
 def _line_hashes(text: Column) -> Column:
-    """Each line with a word as (line: hash of its normal form, words: their number)."""
-    def hashed(n):  # words of a normal form are one blank apart
-        return F.struct(F.xxhash64(n).alias("line"), (F.regexp_count(n, F.lit(" ")) + 1).alias("words"))
-    return F.transform(F.transform(_lines(F.coalesce(text, F.lit(""))), _normal), hashed)
+    """Each line with a word as (line: hash of its normal form, words: their number, at: its
+    position among all lines of the text)."""
+    def hashed(n, i):  # words of a normal form are one blank apart
+        words = F.when(n == "", F.lit(0)).otherwise(F.regexp_count(n, F.lit(" ")) + 1)
+        return F.struct(F.xxhash64(n).alias("line"), words.alias("words"), i.alias("at"))
+    normal = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), _normal)
+    return F.filter(F.transform(normal, hashed), lambda l: l["words"] > 0)
+
+
+def _without(text: Column, gone: Column) -> Column:
+    """``text`` without the lines at the positions ``gone`` (sorted); linear in the lines."""
+    def runs(lines):  # the lines between one position and the next
+        return F.flatten(F.zip_with(F.concat(F.array(F.lit(-1)), gone), F.concat(gone, F.array(F.size(lines))),
+                                    lambda a, b: F.slice(lines, a + 2, b - a - 1)))
+    return F.array_join(bound(F.split(text, "\n"), runs), "\n")
 
 
 def boilerplate_words(rows: DataFrame) -> DataFrame:
-    """(d, h, t, removed): words in the lines that are boilerplate of the host, by document.
+    """(d, h, t, removed, gone): words in the lines that are boilerplate of the host and the
+    sorted positions of these lines, by document that has any.
 
     ``rows``: doc_id, source, text_hash, has_text, lines (``_line_hashes``), as a stored table.
     Documents of a host count once per distinct text. The counts are pre-aggregated in the
     map tasks; only lines above the limits meet the documents again.
     """
     rows = rows.where("has_text").select("doc_id", F.col("source").alias("host"), "text_hash", "lines")
-    lines = rows.select("doc_id", "host", "text_hash", F.posexplode("lines").alias("at", "l")).select(
-        "doc_id", "host", "text_hash", "at", "l.line", "l.words")
+    lines = rows.select("doc_id", "host", "text_hash", F.explode("lines").alias("l")).select(
+        "doc_id", "host", "text_hash", "l.at", "l.line", "l.words")
     per_line = (lines.select("host", "line", "text_hash").distinct()
                 .groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > MIN_LINE_DOCS))
     per_host = rows.select("host", "text_hash").distinct().groupBy(F.col("host").alias("h")).agg(
@@ -114,7 +126,7 @@ def boilerplate_words(rows: DataFrame) -> DataFrame:
     # repeated rows share their key and line number, and count once
     hit = hit.groupBy("doc_id", "host", "text_hash", "at").agg(F.max("words").alias("words"))
     return (hit.groupBy(F.col("doc_id").alias("d"), F.col("host").alias("h"), F.col("text_hash").alias("t"))
-            .agg(F.sum("words").alias("removed")))
+            .agg(F.sum("words").alias("removed"), F.sort_array(F.collect_list("at")).alias("gone")))
 
 
 def _failed(n: Column, repeat: Column) -> Column:
@@ -144,21 +156,28 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``quality`` keeps, with their own columns, whatever their names."""
+    """The rows of ``docs`` that ``quality`` keeps, without their host's boilerplate lines.
+
+    They have their own columns, whatever their names. A text that loses lines is its other
+    lines, blank ones too, joined again; an ``n_chars`` column then holds its new length.
+    """
     own = docs.columns
     key = F.xxhash64("text")
     lines = stored(docs.select("doc_id", "source", key.alias("text_hash"), F.col("text").isNotNull().alias("has_text"),
                                _line_hashes(F.col("text")).alias("lines")), "quality-lines")
-    total = F.aggregate("lines", F.lit(0).cast("long"), lambda acc, l: acc + l["words"])
-    sizes = lines.select(F.col("doc_id").alias("sd"), F.col("source").alias("sh"), F.col("text_hash").alias("st"), total.alias("n"))
     gone = boilerplate_words(lines)
-    depleted = sizes.join(gone, (F.col("st") == F.col("t")) & F.col("sd").eqNullSafe(F.col("d"))
-                          & F.col("sh").eqNullSafe(F.col("h"))).where(100 * (F.col("n") - F.col("removed")) < MIN_KEPT_PERCENT * F.col("n"))
-    depleted = depleted.select("d", "h", "t").distinct()
     rows = docs.select("*", key.alias("__hash"), _word_counts(F.coalesce(F.col("text"), F.lit(""))).alias("__words"))
     rows = rows.where(~_failed(F.col("__words.n_words"), F.col("__words.n_repeat_words")))
-    on = (rows["__hash"] == depleted["t"]) & rows["doc_id"].eqNullSafe(depleted["d"]) & rows["source"].eqNullSafe(depleted["h"])
-    return rows.join(depleted, on, "left_anti").select(*own)
+    on = (rows["__hash"] == gone["t"]) & rows["doc_id"].eqNullSafe(gone["d"]) & rows["source"].eqNullSafe(gone["h"])
+    n, hit = rows["__words"]["n_words"], gone["gone"].isNotNull()
+    out = rows.join(gone, on, "left").where(~hit | (100 * (n - gone["removed"]) >= MIN_KEPT_PERCENT * n))
+    text = F.when(hit, _without(rows["text"], gone["gone"])).otherwise(rows["text"]).alias("text")
+    out = out.select(*[text if c == "text" else rows[c] for c in own], hit.alias("__hit"))
+    if "n_chars" not in own:
+        return out.select(*own)
+    kind = docs.schema["n_chars"].dataType
+    n_chars = F.when(F.col("__hit"), F.length("text").cast(kind)).otherwise(F.col("n_chars")).alias("n_chars")
+    return out.select(*[n_chars if c == "n_chars" else c for c in own])
 
 
 #: The same rows in DuckDB SQL.

@@ -110,6 +110,17 @@ def quality(rows, min_docs=10, percent=10, min_kept=30):
     return out
 
 
+def without_boilerplate(rows, min_docs=10, percent=10):
+    """Text of each (doc_id, source, text) row without the lines that are boilerplate of its source."""
+    holds, hosts = {}, {}
+    for _, s, t in rows:
+        hosts.setdefault(s, set()).add(t)
+        for x in (t or "").split("\n"):
+            holds.setdefault((s, _normal(x)), set()).add(t)
+    bad = {k for k, v in holds.items() if k[1] and len(v) > min_docs and 100 * len(v) > percent * len(hosts[k[0]] - {None})}
+    return [t and "\n".join(x for x in t.split("\n") if (s, _normal(x)) not in bad) for _, s, t in rows]
+
+
 def dice(text, templates, least):
     """{license: (best percent, units)} of one text."""
     def grams(s):

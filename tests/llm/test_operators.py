@@ -395,6 +395,22 @@ def test_boilerplate_lines_deplete_documents(spark):
     assert out[0].n_removed_words == 13 and out[0].kept and out[50].n_removed_words == 26 and not out[50].kept and out[51].kept
 
 
+def test_kept_documents_lose_their_boilerplate_lines(spark):
+    r = random.Random(7)
+    nav, foot = "Home  news 24 sport", "share this page with a friend"
+    rows = [(i, f"{nav}\n\n{sentence(r, 30, 30)}\n{foot if i % 2 else sentence(r)}\n\n{sentence(r)}\n", ["h", None][i % 2]) for i in range(60)]
+    rows += [(70, f"{nav}\n\n{nav.upper()} \n{sentence(r, 30, 30)}\nhome news 99 sport", "h"), (71, f"{nav}\n{sentence(r, 30, 30)}", "other"),
+             (72, "\n".join([nav] * 9 + [sentence(r, 10, 10)]), "h"), (73, None, "h"), rows[0], rows[1], (None, rows[2][1], "h")]
+    frame = spark.createDataFrame([(d, t, s, len(t or ""), "x") for d, t, s in rows], "doc_id long, text string, source string, n_chars int, gone string")
+    out = line_quality.kept_documents(frame)
+    assert out.schema["n_chars"].dataType == frame.schema["n_chars"].dataType and out.columns == frame.columns
+    triples = [(d, s, t) for d, t, s in rows]
+    want = [(d, c, s, len(c), "x") for (d, s, _), c, v in zip(triples, brute.without_boilerplate(triples), brute.quality(triples)) if v["kept"]]
+    assert counted(map(tuple, out.collect())) == counted(want)
+    texts = {d: t for d, t, *_ in want}
+    assert nav not in texts[0] and texts[1].count(foot) == 0 and nav in texts[71] and 72 not in texts
+
+
 # ------------------------------------------------------------------ 10
 
 def test_pieces_match_the_library(corpus, docs, none):

@@ -1,5 +1,7 @@
 """The registered queries and the pipeline over the driver's smallest tables."""
 
+import random
+
 import duckdb
 import pytest
 from harness import _norm, duck
@@ -54,6 +56,36 @@ def test_pipeline_matches_brute_force(spark):
     assert sorted((r.doc_id, r.lang, r.source, r.n_chars, tuple(r.ids)) for r in got) == want
 
 
+def test_pipeline_drops_boilerplate_lines(spark, tmp_path):
+    import sentencepiece
+
+    r = random.Random(9)
+
+    def sentence(n):
+        return " ".join("".join(r.choice("abcdelnorst") for _ in range(r.randint(2, 7))) for _ in range(n))
+
+    bar = "home news sport weather travel culture music radio shows more from us here"
+    bodies = [sentence(40) for _ in range(36)]
+    rows = [(i, f"{bar}\n{b}\n\nshare 12 this" if i % 3 else b, "en", "s0" if i % 3 else "s1") for i, b in enumerate(bodies)]
+    rows.append((40, f"{bar}\n{bodies[1]}", "en", "s1"))  # stays whole: another host
+    rows.append((41, bodies[2], "en", "s1"))  # equals the rest of document 2
+    rows = [(*x[:3], x[3], len(x[1])) for x in rows]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    triples = [(d, s, t) for d, t, _, s, _ in rows]
+    texts = [t for t, v in zip(brute.without_boilerplate(triples), brute.quality(triples)) if v["kept"]]
+    assert len(texts) == len(rows) and sum(t != x[1] for t, x in zip(texts, rows)) == 24
+    root, _ = brute.components(texts)
+    assert root[37] == 2
+    left = [(d, s, t) for i, ((d, s, _), t) in enumerate(zip(triples, texts)) if root[i] == i]
+    size = [len(brute.WORD.findall(t)) for _, _, t in left]
+    took, _ = brute.taken([(d, s, n) for (d, s, _), n in zip(left, size)], SEED)
+    sp = sentencepiece.SentencePieceProcessor(model_proto=vocabulary(PIECE_BPE))
+    want = sorted((d, s, len(t), tuple(sp.encode(t))) for (d, s, t), n, k in zip(left, size, took) for _ in range(-(-k // n)))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((g.doc_id, g.source, g.n_chars, tuple(g.ids)) for g in got) == want
+
+
 def test_stages_of_an_empty_table(spark):
     docs = table(spark, SMALL, "documents").where("false")
     for name, stage in corpus_pipeline.STAGES:
