@@ -31,6 +31,8 @@ from pursewise.llm.common import stored
 TABLES, PROBES = 12, 24
 #: Vectors of an average bucket; rows of one block of a bucket, queries of one block.
 ROWS, BLOCK, QUERIES = 256, 4096, 1024
+#: Pairs whose products are computed again at a time.
+PAIRS = 50_000
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -171,14 +173,17 @@ def _best(dim: int, k: int, kind: str):
                 {"query_id": "int64", "first_id": "int64", "score": "float64"})
         qv, cv = _vectors(q.v, dim, kind), _vectors(c.v, dim, kind)
         ids, queries = c.id.to_numpy(), q.id.to_numpy()
-        take = min(len(ids), k + 8)  # a few more, as a matrix product rounds by its blocking
-        at = np.argpartition(-(qv @ cv.T), take - 1, axis=1)[:, :take]
-        at = np.take_along_axis(at, np.argsort(ids[at], axis=1, kind="stable"), 1)
-        score = (qv[:, None, :] * cv[at]).sum(axis=2)  # the same sum wherever the pair meets
-        best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"query_id": np.repeat(queries, best.shape[1]),
-                             "first_id": ids[np.take_along_axis(at, best, 1)].reshape(-1),
-                             "score": np.take_along_axis(score, best, 1).reshape(-1)})
+        product, take = qv @ cv.T, min(len(ids), k)
+        cut = np.partition(product, len(ids) - take, axis=1)[:, len(ids) - take]
+        # a matrix product rounds by its blocking: all that may tie with the last one are computed again
+        margin = 4 * dim * np.finfo(float).eps * np.sqrt((qv * qv).sum(axis=1) * (cv * cv).sum(axis=1).max())
+        row, col = np.nonzero(product >= (cut - margin)[:, None])
+        score = np.concatenate([(qv[row[i:i + PAIRS]] * cv[col[i:i + PAIRS]]).sum(axis=1)  # the same sum wherever the pair meets
+                                for i in range(0, len(row), PAIRS)])
+        order = np.lexsort((ids[col], -score, row))
+        first = np.searchsorted(row, np.arange(len(queries)))  # row is sorted
+        order = order[np.arange(len(row)) - first[row] < take]
+        return pd.DataFrame({"query_id": queries[row[order]], "first_id": ids[col[order]], "score": score[order]})
 
     return run
 

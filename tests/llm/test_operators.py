@@ -114,6 +114,13 @@ def test_nearest_with_few_rows(spark):
     assert ann_crosspolytope.nearest(frame.where("false"), F.col("vec_id") % 20 == 0, 20).count() == 0
 
 
+def test_distinct_tied_vectors_go_by_id(spark):
+    rows = [(0, [0.0, 1.0])] + [(i, [float(i), 1.0]) for i in range(399, 0, -1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann_crosspolytope.nearest(frame, F.col("vec_id") == 0, 20).collect()
+    assert [(g.vec_id, g.score) for g in sorted(got, key=lambda g: g["rank"])] == [(i, 1.0) for i in range(1, 21)]
+
+
 def test_hadamard_rounds_keep_lengths_and_probes_start_at_the_bucket():
     h = ann_crosspolytope.CrossPolytopes(20, 3000, tables=3)
     x = np.random.default_rng(1).normal(size=(50, 20))
