@@ -1,7 +1,9 @@
 """Nearest neighbours by cross-polytope hashing (operator 1).
 
 Largest inner product becomes nearest direction by one extra component: a vector x of norm
-|x| <= M is indexed as (x / M, sqrt(1 - |x|^2 / M^2)), a query q as (q / |q|, 0). A fast
+|x| <= M is indexed as (x / M, sqrt(1 - |x|^2 / M^2)), a query q as (q / |q|, 0). Rows are
+split into ranges of norms (a factor of sqrt(2) each, so that short ones do not lean towards
+the extra axis) with an M and tables of their own, and a query probes them all. A fast
 Hadamard pseudo-rotation (three rounds of random signs and a Walsh-Hadamard transform) turns
 the unit vectors, and a hash is the nearest signed axis; several such axes make the code of a
 bucket, the last one over as many axes as give about one bucket for ROWS vectors. Each of
@@ -31,6 +33,8 @@ from pursewise.llm.common import stored
 TABLES, PROBES = 12, 24
 #: Vectors of an average bucket; rows of one block of a bucket, queries of one block.
 ROWS, BLOCK, QUERIES = 256, 4096, 1024
+#: Norm ranges at most; the last one holds all that is shorter.
+RANGES = 32
 #: Pairs whose products are computed again at a time.
 PAIRS = 50_000
 
@@ -139,29 +143,54 @@ def clean_vectors(rows: DataFrame) -> DataFrame:
         run, "vec_id long, v binary, dim int, norm double")
 
 
-def _hash_rows(rows: DataFrame, hashes: CrossPolytopes, top: float, probes: int | None, kind: str) -> DataFrame:
-    """(id, tab, code) for each row (id, v) and table: its bucket, or the buckets it probes."""
-    dim = hashes.dim
+def norm_ranges(sizes: dict[int, int], dim: int, top: float, tables: int, probes: int) -> dict[int, tuple]:
+    """Range -> (hashes, scale M, probes), from the vectors of each range.
+
+    A range whose buckets are all probed needs one table only.
+    """
+    out = {}
+    for r, n in sizes.items():
+        hashes = CrossPolytopes(dim, -(-n // ROWS), tables)
+        if math.prod(2 * axes for axes in hashes.axes) <= probes:
+            hashes = CrossPolytopes(dim, -(-n // ROWS), 1)
+        out[r] = hashes, top * 2 ** (-r / 2), probes
+    return out
+
+
+def _range_of(norm, top: float):
+    """Range of a norm: 0 for the largest, the next for each factor of sqrt(2) below."""
+    return F.least(F.floor(2 * F.log2(F.lit(top) / norm)), F.lit(RANGES - 1)).cast("int")
+
+
+def indexed(x: np.ndarray, top: float) -> np.ndarray:
+    """Rows with norms up to ``top`` as unit vectors with one more component."""
+    x = x / top
+    return np.column_stack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))])
+
+
+def _hash_rows(rows: DataFrame, ranges: dict[int, tuple], dim: int, tables: int, queries: bool, kind: str) -> DataFrame:
+    """(id, tab, code) for each row (id, v, range) and table: its bucket, or, for queries, the
+    buckets it probes in the tables of all ranges."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in frames:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
                 x = _vectors(part.column(1).to_pylist(), dim, kind)
-                if probes is None:
-                    x = x / top
-                    rest = np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))
-                    unit = np.column_stack([x, rest])
-                else:
-                    unit = x / np.sqrt((x * x).sum(axis=1))[:, None]
-                for t in range(hashes.tables):
-                    codes = hashes.codes(unit, t)[:, None] if probes is None else hashes.probes(unit, t, probes)
-                    at_row = np.repeat(np.arange(len(x)), codes.shape[1])
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(pa.array(at_row)), pa.array(np.full(len(at_row), t, np.int32)),
-                         pa.array(codes.reshape(-1))], names=["id", "tab", "code"])
-
-    return rows.select("id", "v").mapInArrow(run, "id long, tab int, code long")
+                mine = part.column(2).to_numpy()
+                for r, (hashes, top, probes) in ranges.items():
+                    here = np.arange(len(x)) if queries else np.flatnonzero(mine == r)
+                    if not len(here):
+                        continue
+                    unit = x / np.sqrt((x * x).sum(axis=1))[:, None] if queries else indexed(x[here], top)
+                    for t in range(hashes.tables):
+                        codes = hashes.probes(unit, t, probes) if queries else hashes.codes(unit, t)[:, None]
+                        at_row = np.repeat(here, codes.shape[1])
+                        yield pa.RecordBatch.from_arrays(
+                            [part.column(0).take(pa.array(at_row)), pa.array(np.full(len(at_row), r * tables + t, np.int32)),
+                             pa.array(codes.reshape(-1))], names=["id", "tab", "code"])
+
+    return rows.select("id", "v", "range").mapInArrow(run, "id long, tab int, code long")
 
 
 def _best(dim: int, k: int, kind: str):
@@ -235,13 +264,14 @@ def _nearest(rows: DataFrame, dim: int, n: int, top: float, is_query, k: int, ta
              kind: str) -> DataFrame:
     # equal vectors are one class, known by its first id; k + 1 of its ids are enough for any query
     place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    listed = stored(rows.select("vec_id", "v").withColumn("place", place).where(F.col("place") <= k + 1), "ann-classes")
-    index = listed.where("place = 1").select(F.col("vec_id").alias("id"), "v")
-    queries = rows.where(is_query).select(F.col("vec_id").alias("id"), "v")
-    hashes = CrossPolytopes(dim, -(-n // ROWS), tables)
+    listed = stored(rows.select("vec_id", "v", _range_of(F.col("norm"), top).alias("range")).withColumn("place", place).where(F.col("place") <= k + 1), "ann-classes")
+    index = listed.where("place = 1").select(F.col("vec_id").alias("id"), "v", "range")
+    queries = rows.where(is_query).select(F.col("vec_id").alias("id"), "v", F.lit(0).alias("range"))
+    sizes = {r["range"]: r["n"] for r in index.groupBy("range").agg(F.count(F.lit(1)).alias("n")).orderBy("range").collect()}
+    ranges = norm_ranges(sizes, dim, top, tables, probes)
     vectors = rows.select(F.col("vec_id").alias("id"), "v")
-    cells = (_hash_rows(index, hashes, top, None, kind).withColumn("is_query", F.lit(False))
-             .unionByName(_hash_rows(queries, hashes, top, probes, kind).withColumn("is_query", F.lit(True))))
+    cells = (_hash_rows(index, ranges, dim, tables, False, kind).withColumn("is_query", F.lit(False))
+             .unionByName(_hash_rows(queries, ranges, dim, tables, True, kind).withColumn("is_query", F.lit(True))))
     # one class more than asked for: the query's own class may hold nothing but the query
     found = stored(_ranked(stored(cells, "ann-cells"), vectors, dim, k + 1, kind), "ann-found")
 

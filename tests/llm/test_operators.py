@@ -114,6 +114,19 @@ def test_nearest_with_few_rows(spark):
     assert ann_crosspolytope.nearest(frame.where("false"), F.col("vec_id") % 20 == 0, 20).count() == 0
 
 
+def test_one_long_row_costs_no_recall(spark):
+    x = np.random.default_rng(3).normal(size=(8000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    got = []
+    for longer in (1, 6):
+        x[1] *= longer
+        frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+        near = ann_crosspolytope.nearest(frame, F.col("vec_id") % 400 == 0, 20, tables=4, probes=4)
+        got.append(ann_crosspolytope.recall(frame, near, F.col("vec_id") % 400 == 0))
+    print(got)
+    assert got[0] > 0.8 and got[1] >= got[0] - 0.02
+
+
 def test_distinct_tied_vectors_go_by_id(spark):
     rows = [(0, [0.0, 1.0])] + [(i, [float(i), 1.0]) for i in range(399, 0, -1)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
