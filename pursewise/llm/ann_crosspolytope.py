@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from pursewise.llm.common import stored
 
 TABLES, PROBES = 12, 24
+#: Above so many vectors the probes grow with the root of their number, or recall would fall.
+PROBED = 100_000
 #: Vectors of an average bucket; rows of one block of a bucket, queries of one block.
 ROWS, BLOCK, QUERIES = 256, 4096, 1024
 #: Norm ranges at most; the last one holds all that is shorter.
@@ -150,10 +152,10 @@ def norm_ranges(sizes: dict[int, int], dim: int, top: float, tables: int, probes
     """
     out = {}
     for r, n in sizes.items():
-        hashes = CrossPolytopes(dim, -(-n // ROWS), tables)
-        if math.prod(2 * axes for axes in hashes.axes) <= probes:
+        hashes, count = CrossPolytopes(dim, -(-n // ROWS), tables), math.ceil(probes * math.sqrt(max(1, n / PROBED)))
+        if math.prod(2 * axes for axes in hashes.axes) <= count:
             hashes = CrossPolytopes(dim, -(-n // ROWS), 1)
-        out[r] = hashes, top * 2 ** (-r / 2), probes
+        out[r] = hashes, top * 2 ** (-r / 2), count
     return out
 
 

@@ -123,10 +123,14 @@ def test_one_long_row_costs_no_recall(spark):
         frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
         near = ann_crosspolytope.nearest(frame, F.col("vec_id") % 400 == 0, 20, tables=4, probes=4)
         got.append(ann_crosspolytope.recall(frame, near, F.col("vec_id") % 400 == 0))
-    print(got)
     assert got[0] > 0.8 and got[1] >= got[0] - 0.02
 
 
+def test_probes_follow_the_number_of_vectors():
+    ranges = ann_crosspolytope.norm_ranges({0: 400_000, 1: 50_000, 2: 3_000}, 64, 2.0, 12, 24)
+    assert [(h.tables, round(m, 6), p) for h, m, p in ranges.values()] == [(12, 2.0, 48), (12, 1.414214, 24), (1, 1.0, 24)]
+
+
 def test_distinct_tied_vectors_go_by_id(spark):
     rows = [(0, [0.0, 1.0])] + [(i, [float(i), 1.0]) for i in range(399, 0, -1)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
