@@ -137,3 +137,60 @@ def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
     roots = cur.select(F.col("v").alias("node")).distinct()
     return (cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
             .unionByName(roots.select("node", F.col("node").alias("root"))))
+
+
+# ------------------------------------------------------------------ word hashes (whole arrays)
+
+_words_rng = np.random.Generator(np.random.PCG64(20240917))
+_BYTE = _words_rng.integers(0, 2**64, 256, dtype=U64)
+_PLACE = _words_rng.integers(0, 2**64, 4096, dtype=U64) | U64(1)
+_IS_BLANK = np.isin(np.arange(256), list(BLANKS.encode()))
+#: Bytes hashed at a time: the temporary arrays are some 30 times as large.
+PIECE = 1 << 20
+
+
+def _piece_hashes(piece: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of each word of ``piece``: a multilinear hash of its bytes, then mixed."""
+    a = np.frombuffer(piece, np.uint8)
+    word = ~_IS_BLANK[a]
+    edge = np.flatnonzero(np.diff(word.view(np.int8), prepend=0, append=0))
+    starts, sizes = edge[::2], edge[1::2] - edge[::2]
+    if not len(starts):
+        return np.empty(0, U64), starts
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+    value = _BYTE[a[word]] * _PLACE[place & 4095]
+    if sizes.max() > 4096:
+        value *= (2 * (place >> 12) + 1).astype(U64)
+    return mixed(np.add.reduceat(value, first) + sizes.astype(U64) * _PLACE[0]), starts
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of each word of all texts in turn, number of words of each text)."""
+    counts = np.zeros(len(texts), np.int64)
+    out = []
+    at = 0
+    while at < len(texts):
+        if len(texts[at]) > PIECE:  # a long text goes in pieces that end at a blank
+            text, begin = texts[at], 0
+            while begin < len(text):
+                end = begin + PIECE
+                while end < len(text) and not _IS_BLANK[text[end]]:
+                    end += 1
+                h = _piece_hashes(text[begin:end])[0]
+                out.append(h)
+                counts[at] += len(h)
+                begin = end
+            at += 1
+            continue
+        stop, size = at, 0
+        while stop < len(texts) and size + len(texts[stop]) <= PIECE:
+            size += len(texts[stop]) + 1
+            stop += 1
+        stop = max(stop, at + 1)
+        h, starts = _piece_hashes(b"\n".join(texts[at:stop]))
+        ends = np.cumsum([len(t) + 1 for t in texts[at:stop]])
+        counts[at:stop] = np.diff(np.searchsorted(starts, ends), prepend=0)
+        out.append(h)
+        at = stop
+    return np.concatenate(out) if out else np.empty(0, U64), counts

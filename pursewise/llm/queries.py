@@ -1,4 +1,4 @@
-"""Queries of the ten operators over the driver's tables, with their DuckDB oracles."""
+"""Queries of the thirteen operators over the driver's tables, with their DuckDB oracles."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pursewise.llm import (ann_crosspolytope, html_text, license_scan, line_quality, minmax_dedup, piece_codec,
-                           shard_lookup, source_mix, token_counts, toxicity_chain)
+                           shard_lookup, source_mix, spelling_variants, suffix_dedup, token_counts, toxicity_chain,
+                           word_runs)
 from pursewise.llm.common import table
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -64,13 +65,27 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encoded(docs, vocabulary(PIECE_BPE))
 
 
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_runs.run_digests(word_runs.periodic_runs(word_runs.with_periods(table(spark, sf_dir, "documents"))))
+
+
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.kept_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.slipped_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_nearest, op2_shards, op3_main_text, op4_near_duplicates, op5_token_counts,
-                            op6_licenses, op7_mix, op8_toxicity, op9_quality, op10_pieces)}
+                            op6_licenses, op7_mix, op8_toxicity, op9_quality, op10_pieces, op11_word_runs,
+                            op12_substrings, op13_spelling)}
 
 ORACLES: dict[str, str] = {
     "op4_near_duplicates": minmax_dedup.ORACLE,
     "op6_licenses": license_scan.ORACLE,
     "op7_mix": source_mix.ORACLE,
     "op9_quality": line_quality.ORACLE,
+    "op12_substrings": suffix_dedup.ORACLE,
 }

@@ -3,6 +3,8 @@
 import hashlib
 import math
 import re
+import zlib
+from fractions import Fraction
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -141,3 +143,111 @@ def dice(text, templates, least):
             best, n = out.get(name, (0.0, 0))
             out[name] = (max(best, round(-d, 4)), n + 1)
     return out
+
+
+def with_periods(doc_id, text):
+    """Words of a text after the repetition that the query of operator 11 puts in."""
+    w = WORD.findall(text or "")
+    if doc_id is None or not w:
+        return w
+    h = zlib.crc32(str(doc_id).encode())
+    if h % 10:
+        return w
+    g, n = h // 10, len(w)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+
+
+def word_runs(w):
+    """(start, length, period) of every run of at least four periods and six words."""
+    n, out = len(w), []
+    for q in range(1, n // 4 + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and w[j] == w[j + q]:
+                j += 1
+            if j > i:
+                s, e = i, j + q
+                if e - s >= max(6, 4 * q) and not any(
+                        q % d == 0 and all(w[k] == w[k + d] for k in range(s, e - d)) for d in range(1, q)):
+                    out.append((s, e - s, q))
+            i = j + 1
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def run_digest(doc_id, text):
+    """Row of the query of operator 11."""
+    w = with_periods(doc_id, text)
+    runs = word_runs(w)
+    gone = {i for s, n, q in runs for i in range(s + q, s + n)}
+    best = max(runs, key=lambda r: (Fraction(r[1], r[2]), -r[0], -r[2]), default=None)
+    lines = "".join(f"{s},{n},{q}\n" for s, n, q in runs)
+    kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+    return (doc_id, len(runs), *(best or (None,) * 3), 1000 * best[1] // best[2] if best else None,
+            hashlib.sha256(lines.encode()).hexdigest(), hashlib.sha256(kept.encode()).hexdigest())
+
+
+def repeated_words(rows, size=50):
+    """Positions removed from each (doc_id, text) row: windows that a smaller doc_id holds too."""
+    words = [WORD.findall(t or "") for _, t in rows]
+    first = {}
+    for (d, _), w in zip(rows, words):
+        for i in range(len(w) - size + 1):
+            k = tuple(w[i:i + size])
+            if d is not None:
+                first[k] = min(d, first.get(k, d))
+    out = []
+    for (d, _), w in zip(rows, words):
+        gone = set()
+        for i in range(len(w) - size + 1):
+            if d is not None and first[tuple(w[i:i + size])] < d:
+                gone.update(range(i, i + size))
+        out.append(gone)
+    return words, out
+
+
+def slipped_counts(rows, slip=199):
+    """Number of each word of (doc_id, text) rows after the slips of operator 13."""
+    out = {}
+    for d, t in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = run.translate(LOWER)
+            h = zlib.crc32(f"{d}:{run}".encode())
+            if d is not None and h % slip == 0:
+                at = h % len(run)
+                run = run[:at] + run[at + 1:]
+            out[run] = out.get(run, 0) + 1
+    return {w: n for w, n in out.items() if len(w) >= 6 and n >= 5}
+
+
+def one_edit(a, b):
+    if abs(len(a) - len(b)) > 1 or a == b:
+        return False
+    if len(a) > len(b):
+        a, b = b, a
+    i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return a[i:] == b[i + 1:] or (len(a) == len(b) and a[i + 1:] == b[i + 1:])
+
+
+def spelling(counts):
+    """{word: (form, root, n, n_near, form_n)} by comparing all pairs."""
+    words = sorted(counts)
+    near = {w: [] for w in words}
+    for i, a in enumerate(words):
+        for b in words[:i]:
+            if one_edit(a, b):
+                near[a].append(b)
+                near[b].append(a)
+    form = {}
+    for w in words:
+        best = min(near[w], key=lambda x: (-counts[x], x), default=None)
+        form[w] = best if best is not None and counts[best] >= 5 * counts[w] else None
+    out = {}
+    for w in words:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out[w] = (form[w], root, counts[w], len(near[w]), counts[form[w]] if form[w] else None)
+    return out

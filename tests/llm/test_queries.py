@@ -31,7 +31,8 @@ def test_runs_over_the_whole_table(spark, name):
     rows = QUERIES[name](spark, SMALL).count()
     source = {"op1_nearest": "embeddings", "op3_main_text": "pages"}.get(name, "documents")
     n = duckdb.sql(f"select count(*) from '{SMALL}/{source}.parquet'").fetchall()[0][0]
-    assert rows == (25 * 20 if name == "op1_nearest" else n)
+    if name != "op13_spelling":  # one row a word; compared in test_repeats
+        assert rows == (25 * 20 if name == "op1_nearest" else n)
 
 
 def test_pipeline_matches_brute_force(spark):

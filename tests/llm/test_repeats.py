@@ -1,0 +1,283 @@
+"""Operators 11 to 13 (runs, repeated passages, spelling) against brute force."""
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from harness import duck
+from llm import brute
+from pyspark.sql import functions as F
+
+from pursewise.llm import spelling_variants, suffix_dedup, word_runs
+from pursewise.llm.common import prepare, stored, word_hashes
+from pursewise.llm.queries import QUERIES
+
+SMALL = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, n_words string, spans int, key string, word string, `end` int"
+
+
+@pytest.fixture(scope="module", autouse=True)
+def prepared(spark):
+    prepare(spark)
+
+
+def frame(spark, rows):
+    """The rows with columns whose names clash with those of the results and helpers."""
+    return spark.createDataFrame([(d, t, "x", 1, "k", "w", 2) for d, t in rows], DOCS).repartition(3)
+
+
+def small_documents():
+    return duck(SMALL).execute("select doc_id, text from documents").fetchall()
+
+
+def test_word_hashes_tell_words_apart():
+    r = random.Random(5)
+    texts = [" ".join("".join(r.choice("abAB é") for _ in range(r.randint(0, 9))) for _ in range(r.randint(0, 60))).encode()
+             for _ in range(300)]
+    texts += [b"", b" \t\n", b"x" * 9000 + b" y", b"ab " * 500_000, b"z" * 3_000_000, " a  ".encode()]
+    h, n = word_hashes(texts)
+    words = [w for t in texts for w in t.split()]
+    assert list(n) == [len(t.split()) for t in texts]
+    seen = dict(zip(words, h.tolist()))
+    assert [seen[w] for w in words] == h.tolist() and len(set(seen.values())) == len(seen)
+
+
+# ------------------------------------------------------------------ 11
+
+def periodic_texts(n=250):
+    r = random.Random(11)
+    out = []
+    for _ in range(n):
+        size, kind = r.randrange(0, 300), r.randrange(5)
+        if kind == 0:
+            w = [r.choice("ab") for _ in range(size)]
+        elif kind == 1:  # periods of any size in words that hardly repeat
+            w = [str(r.randrange(90)) for _ in range(size)]
+            for _ in range(3 if size > 5 else 0):
+                a = r.randrange(size)
+                p, b = 1 + (size - a) // r.randrange(3, 11), r.randrange(a, size)
+                for i in range(a, b):
+                    w[i] = w[a + (i - a) % p]
+        elif kind == 2:  # a broken period
+            w = ([r.choice("abc") for _ in range(r.randrange(1, 40))] * 300)[:size]
+            for _ in range(r.randrange(3) if w else 0):
+                w[r.randrange(len(w))] = r.choice("abcd")
+        elif kind == 3:  # a Fibonacci string
+            x, w = ["a"], ["a", "b"]
+            while len(w) < size:
+                x, w = w, w + x
+            w = w[:size]
+        else:  # periods inside a period
+            w = ((["a", "b"] * r.randrange(1, 12) + ["c"]) * 60)[:size]
+        out.append(w)
+    return out
+
+
+def test_runs_match_brute_force():
+    texts = periodic_texts()
+    got = [x for at in range(0, len(texts), 9)
+           for x in word_runs.find_runs(*word_hashes([" ".join(w).encode() for w in texts[at:at + 9]]))]
+    want = [brute.word_runs(w) for w in texts]
+    assert sum(map(len, want)) > 500
+    assert got == want
+
+
+def test_long_periods():
+    r = np.random.default_rng(4)
+    for n, a, p in ((40_000, 1234, 9000), (40_000, 0, 10_000), (30_000, 7, 8), (30_000, 5000, 4096)):
+        w = r.integers(0, 10**6, n)
+        w[a:] = np.resize(w[a:a + p], n - a)
+        got = word_runs.find_runs(*word_hashes([" ".join(map(str, w)).encode()]))[0]
+        assert (a, n - a, p) in got or n - a < 4 * p
+        assert all(q == p for _, _, q in got) and len(got) == (n - a >= 4 * p)
+
+
+def test_synchronising_set_is_consistent_and_dense():
+    r = random.Random(2)
+    for scale in (8, 16):
+        w = [r.choice("abc") for _ in range(900)] + list("ab" * 60) + [r.choice("abc") for _ in range(300)]
+        w += w[:400]
+        grams = {1: word_hashes([" ".join(w).encode()])[0]}
+        for k in range(5):
+            grams[2 << k] = word_runs._doubled(grams[1 << k], 1 << k)
+        s = set(word_runs.synchronising_set(grams[scale // 2], grams[scale], scale).tolist())
+        last = len(w) - 2 * scale
+        member = {}
+        for i in range(last + 1):
+            assert member.setdefault(tuple(w[i:i + 2 * scale]), i in s) == (i in s)
+        for i in range(last - scale):
+            stretch = w[i:i + 3 * scale - 1]
+            p = next(p for p in range(1, len(stretch) + 1) if stretch[p:] == stretch[:len(stretch) - p])
+            assert (not s.isdisjoint(range(i, i + scale))) == (p > scale // 3)
+
+
+def test_runs_query_matches_brute_force(spark):
+    rows = small_documents()
+    got = QUERIES["op11_word_runs"](spark, SMALL)
+    assert got.columns == ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
+    assert [t for _, t in got.dtypes] == ["bigint"] * 6 + ["string"] * 2
+    want = [brute.run_digest(d, t) for d, t in rows]
+    assert sum(x[1] for x in want) > 10
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_runs_of_odd_rows(spark):
+    rows = [(i, " ".join(w)) for i, w in enumerate(periodic_texts(60))]
+    rows += [(100, None), (101, ""), (102, " \n\t"), (None, "a a a a a a a"), (None, None), (103, "one"), rows[2], rows[2],
+             (104, "É\x0bé " * 30), (105, "a " * 200_000), (29, "x y z")]
+    docs = frame(spark, rows)
+    got = word_runs.run_digests(word_runs.periodic_runs(word_runs.with_periods(docs))).collect()
+    key = lambda r: tuple((x is None, x) for x in r)
+    # a run of 200,000 words is too long for brute force
+    assert sorted((tuple(g) for g in got if g.doc_id != 105), key=key) == sorted(
+        (brute.run_digest(d, t) for d, t in rows if d != 105), key=key)
+    long = [g for g in got if g.doc_id == 105][0]
+    assert (long.n_runs, long.start, long.length, long.period) == (1, 0, 200_000, 1)
+    assert long.collapsed_sha256 == hashlib.sha256(b"a").hexdigest()
+    plain = {g.doc_id: g for g in word_runs.periodic_runs(docs).where("doc_id in (3, 101)").collect()}
+    assert [tuple(x) for x in plain[3].runs] == brute.word_runs(rows[3][1].split())
+    assert (plain[101].n_words, plain[101].runs, plain[101].collapsed) == (0, [], "")
+    assert word_runs.run_digests(word_runs.periodic_runs(word_runs.with_periods(docs.where("false")))).count() == 0
+
+
+# ------------------------------------------------------------------ 12
+
+def passages(seed=12):
+    r = random.Random(seed)
+
+    def prose(n, letters="abcdelnorst"):
+        return [("".join(r.choice(letters) for _ in range(r.randint(1, 3)))) for _ in range(n)]
+
+    shared = prose(70)
+    base = prose(260)
+    rows = []
+    for i in range(40):
+        w = prose(r.randint(0, 120))
+        kind = i % 5
+        if kind == 1:
+            at = r.randint(0, len(w))
+            w[at:at] = shared[r.randint(0, 25):r.randint(45, 70)]
+        if kind == 2:  # near copies with an edit or two
+            w = list(base)
+            for _ in range(r.randint(0, 2)):
+                w[r.randrange(len(w))] = "edited"
+        if kind == 3:  # few different words: many keys alike
+            w = [r.choice("ab") for _ in range(r.randint(0, 300))] + ["z"] * r.randint(0, 200)
+        rows.append((r.randint(0, 60), (" ", "\n", "\t \x0b")[i % 3].join(w)))
+    rows += [(61, " ".join(base)), (3, " ".join(base)), (3, " ".join(base)), (62, "\n".join(base)), rows[1], rows[2],
+             (None, " ".join(base)), (None, " ".join(shared)), (None, None), (63, None), (64, ""), (65, " \n "),
+             (66, " ".join(shared[:50])), (67, " ".join(shared[:49])), (68, " ".join(shared[:50] * 40)),
+             (69, " ".join(prose(60_000) + shared)), (-1, " ".join(["z"] * 51))]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def passage_rows():
+    return passages()
+
+
+@pytest.mark.parametrize("group", [suffix_dedup.GROUP, 400])
+def test_repeated_passages_match_brute_force(spark, passage_rows, group):
+    words, gone = brute.repeated_words(passage_rows)
+    want = sorted(((d is None, d or 0), len(w), len(g), hashlib.sha256(" ".join(
+        x for i, x in enumerate(w) if i not in g).encode()).hexdigest()) for (d, _), w, g in zip(passage_rows, words, gone))
+    got = suffix_dedup.kept_digests(frame(spark, passage_rows), group)
+    assert sorted(((r.doc_id is None, r.doc_id or 0), r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == want
+    assert sum(map(len, gone)) > 5000
+
+
+def test_spans_are_the_removed_words(spark, passage_rows):
+    words, gone = brute.repeated_words(passage_rows)
+    want = sorted((d is None, d or 0, len(w), tuple(sorted(g))) for (d, _), w, g in zip(passage_rows, words, gone))
+    got = suffix_dedup.repeated_spans(frame(spark, passage_rows)).collect()
+    spans = [[range(s.start, s.start + s.n_words) for s in r.spans] for r in got]
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_words, tuple(i for s in x for i in s)) for r, x in zip(got, spans)) == want
+    assert all(a.stop < b.start for x in spans for a, b in zip(x, x[1:]))
+
+
+def test_repeated_passages_of_no_rows(spark):
+    docs = frame(spark, [(1, "a")]).where("false")
+    assert suffix_dedup.kept_digests(docs).count() == 0 and suffix_dedup.repeated_spans(docs).count() == 0
+
+
+def test_suffix_order_is_that_of_a_suffix_tree():
+    r = random.Random(3)
+    texts = [[r.choice("ab") for _ in range(r.randint(1, 90))] for _ in range(30)]
+    h, n = word_hashes([" ".join(t).encode() for t in texts])
+    stop = np.cumsum(n)
+    ends = np.repeat(stop, n)
+    order, shared = suffix_dedup.suffix_order(h, ends, np.arange(len(h)))
+    suffix = {int(i): tuple(h[i:ends[i]].tolist()) for i in range(len(h))}
+
+    def common(a, b):
+        return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+    rows = [suffix[int(i)][:64] for i in order]
+    assert rows == sorted(rows) and sorted(order.tolist()) == list(range(len(h)))
+    assert [min(common(suffix[int(a)], suffix[int(b)]), 64) for a, b in zip(order, order[1:])] == np.minimum(shared[1:], 64).tolist()
+
+
+# ------------------------------------------------------------------ 13
+
+def groups(rows):
+    got = {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in rows}
+    assert len(got) == len(rows)
+    return got
+
+
+@pytest.mark.parametrize("crowded", [spelling_variants.CROWDED, 1])
+def test_variants_match_brute_force(spark, crowded):
+    r = random.Random(13)
+    counts = {}
+    for _ in range(250):  # short letters and few of them: many words are near
+        w = "".join(r.choice("ab") for _ in range(r.randint(1, 9)))
+        counts[w] = r.choice((5, 6, 30, 31, 200, 1100))
+    for _ in range(60):
+        w = "".join(r.choice("abcdeé𝄞") for _ in range(r.randint(10, 30)))
+        counts[w] = 2000
+        for k in range(4):  # inserted, deleted, replaced
+            at = r.randrange(len(w))
+            v = (w[:at] + "ß" + w[at:], w[:at] + w[at + 1:], w[:at] + "ß" + w[at + 1:], w[:at] + w[at:][::-1])[k]
+            counts.setdefault(v, r.choice((7, 400, 401, 2000)))
+    words = spark.createDataFrame([*counts.items(), (None, 9), ("null count", None)], "word string, n long").withColumn("near", F.lit(1))
+    got = groups(spelling_variants.variants(words.repartition(4), crowded).collect())
+    want = brute.spelling(counts)
+    assert sum(v[3] for v in want.values()) > 500 and any(f and want[f][0] for f, *_ in want.values())
+    assert got == want
+
+
+def test_chain_of_forms(spark):
+    words = [("a" * (6 + k), 6 ** k) for k in range(20)]  # every word is a variant of the next
+    got = groups(spelling_variants.variants(spark.createDataFrame(words, "word string, n long")).collect())
+    assert {x[1] for x in got.values()} == {"a" * 25}
+
+
+def test_spelling_query_matches_brute_force(spark):
+    rows = small_documents()
+    got = QUERIES["op13_spelling"](spark, SMALL)
+    assert got.columns == ["word", "form", "root", "n", "n_near", "form_n"]
+    assert [t for _, t in got.dtypes] == ["string"] * 3 + ["bigint"] * 3
+    want = brute.spelling(brute.slipped_counts(rows))
+    assert groups(got.collect()) == want and any(x[0] for x in want.values())
+
+
+def test_spelling_of_odd_rows(spark):
+    rows = [(i, "Farbenfroh FARBENFROH farbenfrôh farbenfroh FarBenfroh farbenfroH Ça÷va×là straßenbahn strassenbahn " * (1 + i % 3) + f"abcde{chr(97 + i % 4)}") for i in range(400)]
+    rows += [(None, "Nirgends nirgendS " * 9), (None, None), (401, None), (402, ""), (403, "ÀÉÎ 123 _" * 50), rows[3], rows[3],
+             (404, "Überlänge" + "x" * 100_000 + " ") , (405, "wortwort " * 30_000)]
+    docs = frame(spark, rows)
+    want = brute.spelling(brute.slipped_counts(rows))
+    assert "nirgends" in want and any(x[0] for x in want.values())
+    assert groups(spelling_variants.slipped_groups(docs).collect()) == want
+    plain = {r.word: r.n for r in spelling_variants.vocabulary(spelling_variants.runs(docs)).collect()}
+    assert plain["nirgends"] == 18 and plain == brute.slipped_counts([(None, t) for _, t in rows])
+    assert spelling_variants.slipped_groups(docs.where("false")).count() == 0
+
+
+def test_pairs_are_met_once(spark):
+    words = stored(spark.createDataFrame([("abcdef",), ("abcdeg",), ("abcdefg",), ("bcdef",), ("xbcdef",), ("abdef",)], "word string"),
+                   "test-words")
+    got = sorted(tuple(sorted(r)) for r in spelling_variants.near_pairs(words).collect())
+    names = [r.word for r in words.collect()]
+    assert got == sorted(tuple(sorted((a, b))) for i, a in enumerate(names) for b in names[:i] if brute.one_edit(a, b))
