@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -33,7 +34,9 @@ def clean_text(c) -> Column:
 
 
 def _literal_map(pairs: dict) -> Column:
-    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+    """A constant map, folded to one literal; a ``map`` of its 4,000 parts would be copied and
+    walked with every expression that holds it."""
+    return F.from_json(F.lit(json.dumps(pairs)), "map<string,string>")
 
 
 def _referenced(ref: Column) -> Column:
@@ -46,7 +49,7 @@ def _referenced(ref: Column) -> Column:
         F.when(hexa, F.conv(digits, 16, 10)).otherwise(F.try_to_number(digits, F.lit("99999999")).cast("string")).cast("int"))
     plain = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
     valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
-    char = F.coalesce(F.try_element_at(_literal_map(_WINDOWS), number), F.when(valid, plain).otherwise(F.lit("\ufffd")))
+    char = F.coalesce(F.try_element_at(_literal_map(_WINDOWS), number.cast("string")), F.when(valid, plain).otherwise(F.lit("\ufffd")))
     return F.when(F.substring(ref, 2, 1) == "#", char).otherwise(
         F.coalesce(F.try_element_at(_literal_map(_NAMED), body), ref))
 

@@ -15,14 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from pursewise.functions.htmlrows import ROW_CLASS_PART, parse_rows
+from pursewise.functions.htmlrows import HEADER_CLASS, ROW_CLASS_PART, parse_page
 from pursewise.functions.text import clean_text, decode_entities, digit_runs, strip_blank
 from pursewise.session import ship_package
 
 # The markers of a dataset page, the ids of the form selects, the query
 # option indexes (expenditures, treasury receipts) and the receipts XML elements.
 NO_RECORD_TEXT = "There is no record with given values"
-HEADER_CLASS = "popupheadingeKosh"
 SELECT_QUERY = "ddlQuery"
 SELECT_TREASURY = "cmbHOD"
 SELECT_DEPARTMENT = "cmbDpt"
@@ -85,33 +84,37 @@ def row_cells(row_html: Column) -> Column:
     return F.transform(F.regexp_extract_all(row_html, F.lit(_CELL), 1), lambda c: cell_text(c))
 
 
-# Everything but the names of the tags that shape a table; what hides markup or a reference
+# The tags that shape a table, without their attributes; what hides markup or a reference
 # without its ``;``. No repeated groups here either.
-_SHAPE = r"(?is)<(/?)(table|tr|td)\b[^>]*+>|<[^>]*+>?|[^<]++"
+_SHAPE = r"(?i)</?t(?:able|r|d)\b"
 _HIDING = (r"(?i)<!--|<!\[|<(?:script|style|textarea|title|th|xmp)\b|=\s*\"[^\"<>]*+>|=\s*'[^'<>]*+>"
            r"|&[A-Za-z][A-Za-z0-9]*+(?!;)")
 
 
 def needs_parser(body: Column) -> Column:
-    """Pages with rows whose markup is not simply nested (a start or end tag of a table, row or
-    cell is missing, or one holds its like), hides markup in comments, scripts or attribute
-    values, or names an entity without its ``;``."""
-    shape = F.regexp_replace(body, _SHAPE, "$1$2")
-    for pair in ("td/td", "tr/tr", "table/table"):  # what is left is not paired
+    """Pages with data or heading rows whose markup is not simply nested (a start or end tag of
+    a table, row or cell is missing, or one holds its like), hides markup in comments, scripts
+    or attribute values, or names an entity without its ``;``."""
+    shape = F.lower(F.array_join(F.regexp_extract_all(body, F.lit(_SHAPE), 0), ""))
+    for pair in ("<td</td", "<tr</tr", "<table</table"):  # what is left is not paired
         shape = F.replace(shape, F.lit(pair), F.lit(""))
-    return F.coalesce(body.contains(ROW_CLASS_PART) & ((shape != "") | body.rlike(_HIDING)), F.lit(False))
+    marked = body.contains(ROW_CLASS_PART) | body.contains(HEADER_CLASS)
+    return F.coalesce(marked & ((shape != "") | body.rlike(_HIDING)), F.lit(False))
 
 
 @F.pandas_udf(ArrayType(ArrayType(StringType())))
 def _parsed_pages(body: pd.Series) -> pd.Series:
-    return body.map(lambda b: None if b is None else parse_rows(b))
+    """One reading of each page: its headings, then its rows."""
+    return body.map(lambda b: None if b is None else parse_page(b))
 
 
-def with_cells(responses: DataFrame, body: str = "body", name: str = "_cells") -> DataFrame:
-    """X-1 + X-2: ``responses`` with the cells of all data rows (array of arrays), page order.
+def with_cells(responses: DataFrame, body: str = "body", name: str = "_cells", head: str | None = None) -> DataFrame:
+    """X-1 + X-2: ``responses`` with the cells of all data rows (array of arrays), page order;
+    with ``head``, a column of that name for the page's headings (X-3).
 
     The patterns read every page; the parser gets only the body of those that need it
-    (null for all others, so nothing else is sent to Python).
+    (null for all others, so nothing else is sent to Python). Headings and rows of a page come
+    from the same reading.
     """
     ship_package(responses.sparkSession)
     b = F.col(body)
@@ -123,13 +126,16 @@ def with_cells(responses: DataFrame, body: str = "body", name: str = "_cells") -
         F.exists("_native", lambda r: F.exists(r, lambda c: c.isNull())), F.lit(False)))
     out = out.withColumn("_parsed", _parsed_pages(F.when(F.col("_odd"), b)))
     empty = F.array().cast("array<array<string>>")
-    return out.withColumn(name, F.coalesce(F.when(F.col("_odd"), F.col("_parsed")).otherwise(F.col("_native")), empty)
+    parsed = F.slice("_parsed", 2, F.greatest(F.size("_parsed") - 1, F.lit(0)))
+    if head:
+        out = out.withColumn(head, F.when(F.col("_odd"), F.get("_parsed", F.lit(0))).otherwise(header_cells(b)))
+    return out.withColumn(name, F.coalesce(F.when(F.col("_odd"), parsed).otherwise(F.col("_native")), empty)
                           ).drop("_native", "_odd", "_parsed")
 
 
 def header_cells(body: Column) -> Column:
     """X-3: every text node inside the cells of the heading rows (class exactly
-    ``popupheadingeKosh``), in order, entities decoded."""
+    ``popupheadingeKosh``), in order, entities decoded; of pages in simply nested markup."""
     rows = F.flatten(F.transform(tables_of(body),
                                  lambda t: F.regexp_extract_all(t, F.lit(_HEADER_ROW), 1)))
     cells = F.flatten(F.transform(rows, lambda r: F.regexp_extract_all(r, F.lit(_CELL), 1)))
@@ -152,8 +158,12 @@ def extract_rows(responses: DataFrame, keys: Sequence[str] = ("treasury_id", "dd
 def extract_header(responses: DataFrame, keys: Sequence[str] = ("treasury_id", "ddo_code", "from_date", "to_date"),
                    body: str = "body") -> DataFrame:
     """X-3: ``(keys..., header array<string>)`` for pages with a heading row."""
-    h = header_cells(F.col(body))
-    return responses.select(*keys, h.alias("header")).filter(F.size("header") > 0)
+    ship_package(responses.sparkSession)
+    b = F.col(body)
+    pages = responses.select(*keys, header_cells(b).alias("_native"), F.when(needs_parser(b), b).alias("_odd"))
+    pages = pages.withColumn("_parsed", _parsed_pages("_odd"))
+    h = F.when(F.col("_odd").isNotNull(), F.get("_parsed", F.lit(0))).otherwise(F.col("_native"))
+    return pages.select(*keys, h.alias("header")).filter(F.size("header") > 0)
 
 
 def extract_records(responses: DataFrame, keys: Sequence[str] = ("treasury_id", "ddo_code", "from_date", "to_date"),
@@ -165,7 +175,7 @@ def extract_records(responses: DataFrame, keys: Sequence[str] = ("treasury_id",
     count differs from the heading count (the missing side is null) and allows repeated
     headings.
     """
-    pages = with_cells(responses.select(*keys, F.col(body).alias("body"), header_cells(F.col(body)).alias("_h")))
+    pages = with_cells(responses.select(*keys, F.col(body).alias("body")), head="_h")
     rows = pages.select(*keys, "_h", F.posexplode("_cells").alias("pos", "_row"))
     return rows.select(*keys, F.col("pos").cast("int").alias("pos"),
                        F.arrays_zip(F.col("_h").alias("heading"), F.col("_row").alias("cell")).alias("record"))
@@ -212,9 +222,29 @@ def failure_counts(responses: DataFrame, key: str = "treasury_id", status: str =
     return failures(responses, status).groupBy(key).agg(F.count(F.lit(1)).alias("failed_count"))
 
 
+# What hides markup on a form page: comments and elements that hold text only.
+_HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title)\b[^>]*+>.*?(?:</\1\s*+>|\z)"
+_GROUP = r"(?is)<optgroup\b[^>]*+>.*?(?:</optgroup\s*+>|\z)"
+# Rest of a start tag: an attribute value in quotes may hold a ``>``. The group is repeated once
+# for each attribute at most.
+_TAG_REST = r"(?s)^((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>(.*)$"
+_ATTRIBUTE = r"(?s)[^\s\"'>/=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?"
+
+
 def _select_block(body: Column, select_id: str) -> Column:
-    ident = r"(?:\"" + select_id + r"\"|'" + select_id + r"'|" + select_id + r"(?=[\s>]))"
-    return F.regexp_extract(body, r"(?is)<select\b[^>]*?\bid\s*=\s*" + ident + r"[^>]*>(.*?)</select>", 1)
+    """What stands in a select: up to its end tag, the next select or the end of the page."""
+    shown = F.when(body.rlike(_HIDDEN), F.regexp_replace(body, _HIDDEN, _SEP)).otherwise(body)
+    ident = r"(?-i:\"" + select_id + r"\"|'" + select_id + r"'|" + select_id + r"(?=[\s>]))"
+    block = F.regexp_extract(shown, r"(?is)<select\b[^>]*?(?<![\w-])id\s*=\s*" + ident
+                             + r"[^>]*+>(.*?)(?:</?select\b|\z)", 1)
+    return F.regexp_replace(block, _GROUP, "</option>")  # options of a group are no children of the select
+
+
+def _attribute(rest: Column, name: str) -> Column:
+    """Value of a tag's first attribute ``name``, without its quotes; null without one."""
+    own = F.filter(F.regexp_extract_all(rest, F.lit(_ATTRIBUTE), 0), lambda a: a.rlike(f"(?is)^{name}\\s*+="))
+    value = F.regexp_extract(F.get(own, F.lit(0)), r"(?s)=\s*+(.*)$", 1)
+    return F.regexp_replace(value, r"(?s)^([\"'])(.*)\1$", "$2")
 
 
 def options(forms: DataFrame, select_id: str, skip_placeholder: bool,
@@ -223,19 +253,28 @@ def options(forms: DataFrame, select_id: str, skip_placeholder: bool,
 
     Position 0 is the placeholder for treasuries and DDOs (dropped with
     ``skip_placeholder``); for departments it is kept. Text is cleaned (E-9).
+
+    HTML lets an option go without its end tag, and a select on a page cut off too. The tags are
+    scanned by cutting the select's content where an option starts, so an option lasts to its end
+    tag, the next option or the end of the select, whichever comes first, in one pass over the
+    text (a fold would copy the options found so far for each one). Options in comments or in a
+    group are left out. An option without ``value`` has a null one, one without text the empty text.
     """
     block = _select_block(F.col(body), select_id)
-    opts = F.regexp_extract_all(block, F.lit(r"(?is)<option\b([^>]*)>(.*?)</option>"), 0)
-    rows = forms.select(*keys, F.posexplode(opts).alias("position", "_opt"))
+    pieces = F.split(block, r"(?i)<option(?=[\s>/])")
+    pieces = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
+    # attributes and content; a tag with an unpaired quote ends at its first ``>``
+    cut = F.transform(pieces, lambda p: F.struct(
+        F.coalesce(F.nullif(F.regexp_extract(p, _TAG_REST, 1), F.lit("")), F.regexp_extract(p, r"(?s)^([^>]*+)>", 1)).alias("rest"),
+        F.regexp_extract(F.when(p.rlike(_TAG_REST), F.regexp_extract(p, _TAG_REST, 2))
+                         .otherwise(F.regexp_extract(p, r"(?s)^[^>]*+>(.*)$", 1)), r"(?is)^(.*?)(?:</option\b|\z)", 1).alias("inner")))
+    rows = forms.select(*keys, F.posexplode(cut).alias("position", "_opt"))
     if skip_placeholder:
         rows = rows.filter(F.col("position") > 0)
-    raw = F.regexp_extract(F.col("_opt"), r"(?is)<option\b[^>]*?\bvalue\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", 1)
-    value = F.regexp_replace(raw, r"^[\"']|[\"']$", "")
-    inner = F.regexp_extract(F.col("_opt"), r"(?is)<option\b[^>]*>(.*?)</option>", 1)
     # the first text node inside the option, at any depth (``.//text()``, first)
-    text = F.regexp_extract(inner, _FIRST_TEXT, 1)
+    text = F.regexp_extract(F.col("_opt.inner"), _FIRST_TEXT, 1)
     return rows.select(*keys, F.col("position").cast("int").alias("position"),
-                       decode_entities(value).alias("value"),
+                       decode_entities(_attribute(F.col("_opt.rest"), "value")).alias("value"),
                        clean_text(decode_entities(text)).alias("text"))
 
 
@@ -264,17 +303,39 @@ def _elements(text: Column, name: str) -> Column:
         text, F.lit(r"(?s)<" + _PREFIX + name + r"\b[^>]*+>(.*?)</" + _PREFIX + name + r"\s*>"), 1)
 
 
+_XML_HIDING = r"(?s)<!--.*?(?:-->|\z)|<!\[CDATA\[.*?(?:\]\]>|\z)"
+
+
+def plain_xml(body: Column) -> Column:
+    """``body`` with each CDATA section as escaped text and each comment empty (it still parts
+    the text before from the text after), so that the element patterns read neither as markup."""
+    def shown(hiding):
+        text = F.regexp_extract(hiding, r"(?s)^<!\[CDATA\[(.*?)(?:\]\]>|\z)", 1)
+        for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            text = F.replace(text, F.lit(char), F.lit(name))
+        return F.when(hiding.startswith("<![CDATA["), text).otherwise(F.lit("<!---->"))
+
+    parts = F.split(body, _XML_HIDING)
+    hidden = F.transform(F.regexp_extract_all(body, F.lit(_XML_HIDING), 0), shown)
+    full = F.array_join(F.flatten(F.zip_with(parts, hidden, lambda p, h: F.array(p, F.coalesce(h, F.lit(""))))), "")
+    return F.when(body.contains("<!"), full).otherwise(body)
+
+
+def _texts(xml: Column) -> Column:
+    """The text nodes of some XML, entities decoded."""
+    return F.transform(F.regexp_extract_all(F.concat(F.lit(">"), xml, F.lit("<")), F.lit(_TEXT_NODE), 1), decode_entities)
+
+
 def _majors(body: Column) -> Column:
-    """Text of each ``ReceiptMajorDetail/Major``, entities decoded."""
-    return F.transform(
-        F.flatten(F.transform(_elements(body, XML_MAJOR_DETAIL), lambda d: _elements(d, XML_MAJOR))),
-        lambda m: decode_entities(F.regexp_replace(m, r"<[^>]*>", "")))
+    """Text nodes of each ``ReceiptMajorDetail/Major``, entities decoded."""
+    majors = F.flatten(F.transform(_elements(plain_xml(body), XML_MAJOR_DETAIL), lambda d: _elements(d, XML_MAJOR)))
+    return F.transform(majors, _texts)
 
 
 def major_codes(responses: DataFrame, keys: Sequence[str] = ("public_head_bool", "date"),
                 body: str = "body") -> DataFrame:
     """X-9: every run of digits in each ``ReceiptMajorDetail/Major``, namespaces ignored."""
-    majors = _majors(F.col(body))
+    majors = F.flatten(_majors(F.col(body)))
     return (responses.select(*keys, F.explode(majors).alias("_m"))
             .select(*keys, F.explode(digit_runs(F.col("_m")))
                     .alias("major_code")))
@@ -284,18 +345,34 @@ def receipt_rows(responses: DataFrame, keys: Sequence[str] = ("public_head_bool"
                  body: str = "body", date: str = "date") -> DataFrame:
     """X-10: per ``ReceiptSubMinorDetail``, its non-blank text lines in order with the
     request date put second: ``(keys..., pos, cols array<string>)``."""
-    elems = _elements(F.col(body), XML_SUB_MINOR_DETAIL)
-    rows = responses.select(*keys, F.posexplode(elems).alias("pos", "_e"))
-    texts = F.regexp_extract_all(F.concat(F.lit(">"), F.col("_e"), F.lit("<")), F.lit(_TEXT_NODE), 1)
-    lines = F.flatten(F.transform(texts, lambda t: F.regexp_extract_all(t, F.lit("([^\n]+)"), 1)))
-    kept = F.filter(lines, lambda x: strip_blank(x) != F.lit(""))
-    lines = F.transform(kept, decode_entities)
+    elems = _elements(plain_xml(F.col(body)), XML_SUB_MINOR_DETAIL)
+    rows = responses.select(*keys, F.col(date).alias("_date"), F.posexplode(elems).alias("pos", "_e"))
+    lines = F.flatten(F.transform(_texts(F.col("_e")), lambda t: F.regexp_extract_all(t, F.lit("([^\n]+)"), 1)))
+    lines = F.filter(lines, lambda x: strip_blank(x) != F.lit(""))
     # Python's list.insert(1, date): second place, or last when there is at most one line
     # (array_insert would pad an empty list with a null first).
-    cols = F.concat(F.slice(lines, 1, 1), F.array(F.col(date)), F.slice(lines, 2, F.size(lines)))
+    cols = F.concat(F.slice(lines, 1, 1), F.array(F.col("_date")), F.slice(lines, 2, F.size(lines)))
     return rows.select(*keys, F.col("pos").cast("int").alias("pos"), cols.alias("cols"))
 
 
+def receipt_rejects(responses: DataFrame, keys: Sequence[str] = ("public_head_bool", "date"), body: str = "body") -> DataFrame:
+    """``(keys..., reason)`` of the responses that are no receipts XML: ``empty`` (no text),
+    ``malformed`` (Spark's XML reader calls it corrupt, as an error page or a response cut off
+    is) or ``no_receipts`` (XML without a major or a receipt).
+
+    A malformed response still gives the elements that are whole in it, as the reference's
+    recovering parser does, so it may have rows as well as a reject.
+    """
+    reader = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt", "ignoreNamespace": "true"}
+    b = F.col(body)
+    read = F.from_xml(b, f"{XML_MAJOR_DETAIL} array<string>, {XML_SUB_MINOR_DETAIL} array<string>, corrupt string", reader)
+    out = responses.select(*keys, b.alias("_b"), read.alias("_x"))
+    reason = (F.when(F.coalesce(strip_blank(F.col("_b")) == "", F.lit(True)), "empty")
+              .when(F.col("_x.corrupt").isNotNull(), "malformed")
+              .when(F.col(f"_x.{XML_MAJOR_DETAIL}").isNull() & F.col(f"_x.{XML_SUB_MINOR_DETAIL}").isNull(), "no_receipts"))
+    return out.select(*keys, reason.alias("reason")).where("reason is not null")
+
+
 def split_head(df: DataFrame, col: str = "head") -> DataFrame:
     """X-12: ``Maj-Smj-Min-Smn [Sub Minor Head]`` into major, sub_major, minor, sub_minor,
     sub_minor_desc (major_desc is not in the text; join it from the major list)."""
@@ -310,7 +387,7 @@ def split_head(df: DataFrame, col: str = "head") -> DataFrame:
 
 def major_list(responses: DataFrame, body: str = "body") -> DataFrame:
     """The (major, major_desc) pairs a receipts response lists as ``code-desc``."""
-    m = responses.select(F.explode(_majors(F.col(body))).alias("_m"))
+    m = responses.select(F.explode(F.transform(_majors(F.col(body)), lambda t: F.array_join(t, ""))).alias("_m"))
     return m.select(F.regexp_extract("_m", r"^\s*([^-]*?)\s*-", 1).alias("major"),
                     F.regexp_extract("_m", r"^[^-]*-\s*(.*?)\s*$", 1).alias("major_desc")).distinct()
 

@@ -431,6 +431,14 @@ def _xml_rows(spark, sf):
                     F.col("cols")[1].alias("receipt_date"), F.col("cols")[2].alias("total"))
 
 
+@register("xml_rejects", f"with {_RECEIPT_ROWS}, d as (select distinct date from rr where day(date) < 4) "
+          "select k.public_head_bool, strftime(date, '%d/%m/%Y') as date, '9999' as major_code, "
+          "case day(date) when 1 then 'malformed' when 2 then 'no_receipts' else 'empty' end as reason "
+          f"from d cross join {_KINDS}")
+def _xml_rejects(spark, sf):
+    return EX.receipt_rejects(CA.receipts_xml(spark, sf), ("public_head_bool", "date", "major_code"))
+
+
 @register("split_receipt_head", f"with {_RECEIPT_ROWS} select k.public_head_bool, major, "
           "(select min(major_desc) from rr r2 where r2.major = rr.major) as major_desc, sub_major, minor, "
           "sub_minor, sub_minor_desc, strftime(date, '%d/%m/%Y') as date, cast(total_receipt as double) as total "

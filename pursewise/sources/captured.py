@@ -22,7 +22,7 @@ HEADER_CELLS = ("DDO Name", "Major Head", "Flag", "Budget", "Object", "Gross Amo
 # Rows that go into the dataset pages: one page per (treasury, DDO, ship month); a
 # supplier whose key ends in 0 gets a "no record" page, 1 an empty page (every other one a
 # page with a row marker and no rows: kind 10), 2 an HTTP 500. Kinds 3 to 7 are pages in odd
-# markup: unclosed rows and cells, nested tables, deep nesting, numeric references, comments.
+# markup: unclosed rows, cells and headings, nested tables (headings too), deep nesting, numeric references, comments.
 PAGE_BASE_SQL = """
 select concat('T', lpad(cast(r_regionkey as string), 2, '0')) as treasury_id,
   lpad(cast(s_suppkey as string), 4, '0') as ddo_code,
@@ -99,15 +99,20 @@ def render_pages(rows: DataFrame) -> DataFrame:
     # without end tags: a cell ends at the next cell, a row at the next row
     unclosed = F.concat(row_class, *[F.concat(F.lit("<td>"), c) for c in cells])
     row_html = F.when(kind == 3, unclosed).otherwise(closed)
-    header = ('<tr class="' + HEADER_CLASS + '">'
-              + "".join(f"<td>{h}</td>" for h in HEADER_CELLS) + "</tr>\n")
+    heading = '<tr class="' + HEADER_CLASS + '">'
+    closed_header = heading + "".join(f"<td>{h}</td>" for h in HEADER_CELLS) + "</tr>\n"
+    # kind 3 has no end tags here either; in kind 4 a heading cell holds a table
+    header = (F.when(kind == 3, F.lit(heading + "".join(f"<td>{h}" for h in HEADER_CELLS)))
+              .when(kind == 4, F.lit(closed_header.replace("</td>", "<table><tr><td></td></tr></table></td>", 1)))
+              .otherwise(F.lit(closed_header)))
     keys = ["treasury_id", "ddo_code", "from_date", "to_date", "kind"]
     # listagg ... within group orders the rows of a page inside the aggregate.
     order = ", ".join(PAGE_ORDER)
     grouped = rows.select(*keys, *PAGE_ORDER, row_html.alias("_html")).groupBy(*keys).agg(
         F.expr(f"listagg(_html, '') within group (order by {order})").alias("_rows"))
+    layout = F.when(kind == 4, F.lit("<table><tr><td>layout</td><td>")).otherwise(F.lit(""))
     table = F.concat(
-        F.lit('<html><body><h3>Report</h3>\n<table class="grid" border="1">\n'), F.lit(header),
+        F.lit('<html><body><h3>Report</h3>\n'), layout, F.lit('<table class="grid" border="1">\n'), header,
         F.col("_rows"),
         F.lit('<tr class="total"><td>Total</td></tr>\n</table></body></html>'))
     body = (F.when(F.col("kind") == 0, F.lit(f"<html><body><p>{NO_RECORD_TEXT}</p></body></html>"))
@@ -126,9 +131,11 @@ def pages_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- forms
 
-def _option(value, text, selected=None):
-    sel = F.lit("") if selected is None else F.when(selected, F.lit(' selected="selected"')).otherwise(F.lit(""))
-    return F.concat(F.lit('<option value="'), value, F.lit('"'), sel, F.lit(">"), text, F.lit("</option>\n"))
+def _option(value, text, open_, selected=None):
+    """An option, without its end tag where ``open_``; a quoted ``>`` in the tag of a selected one."""
+    sel = F.lit("") if selected is None else F.when(selected, F.lit(' title="a > b" selected')).otherwise(F.lit(""))
+    end = F.when(open_, F.lit("\n")).otherwise(F.lit("</option>\n"))
+    return F.concat(F.lit('<option'), sel, F.lit(' value="'), value, F.lit('">'), text, end)
 
 
 def forms_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +145,9 @@ def forms_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     then one option per region); ``budget`` holds ``ddlQuery`` and ``cmbDpt`` (one per
     nation, no placeholder); ``ddo`` forms hold ``ddlDDOCode`` for one treasury and
     DDOS_PER_FORM supplier keys each.
-    Option texts carry line breaks and runs of blanks.
+    Option texts carry line breaks and runs of blanks. Options go without their end tags in
+    part (``ddlQuery``, ``cmbHOD``, ``ddlDDOCode``) or throughout (``cmbDpt``), every second DDO
+    form is cut off, and there are options in comments and in a group, which do not count.
     """
     t = load_tables(spark, sf_dir, ("part", "region", "nation", "supplier"))
     sizes = t["part"].select("p_size").distinct()
@@ -146,19 +155,20 @@ def forms_html(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lpad(F.col("p_size").cast("string"), 3, "0"),
         F.concat(F.lit("\n   Consolidated   report  \n  size "), F.col("p_size").cast("string"),
                  F.lit("  ")),
-        F.col("p_size") == 10).alias("html"))
+        F.col("p_size") % 2 == 1, F.col("p_size") == 10).alias("html"))
     hod = t["region"].select(F.lit(2).alias("_k"), F.col("r_regionkey").alias("_o"), _option(
         F.concat(F.lit("T"), F.lpad(F.col("r_regionkey").cast("string"), 2, "0")),
-        F.concat(F.lit("  "), F.col("r_name"), F.lit("   Treasury \n"))).alias("html"))
+        F.concat(F.lit("  "), F.col("r_name"), F.lit("   Treasury \n")), F.col("r_regionkey") % 2 == 1).alias("html"))
     dpt = t["nation"].select(F.lit(3).alias("_k"), F.col("n_nationkey").alias("_o"), _option(
         F.concat(F.lit("D"), F.lpad(F.col("n_nationkey").cast("string"), 3, "0")),
-        F.concat(F.col("n_name"), F.lit("  Department"))).alias("html"))
+        F.concat(F.col("n_name"), F.lit("  Department")), F.lit(True)).alias("html"))
     opts = q_opts.unionByName(hod).unionByName(dpt)
     agg = opts.groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("_o", "html"))).alias("o"))
     joined = F.array_join(F.transform("o", lambda r: r["html"]), "")
     parts = agg.select("_k", joined.alias("opts"))
     wide = parts.groupBy().pivot("_k", [1, 2, 3]).agg(F.first("opts"))
-    placeholder = '<option value="0">--Select--</option>\n'
+    placeholder = '<option value="0">--Select--\n<!-- <option value="T99">gone</option> -->'
+    group = '<optgroup label="more"><option value="D998">in a group<option value="D999">too</optgroup>\n'
     query_form = wide.select(
         F.lit("query").alias("form"), F.lit(None).cast("string").alias("treasury_code"),
         F.concat(F.lit(f'<html><body><form>\n<select name="q" id="{SELECT_QUERY}">\n'), F.col("1"),
@@ -167,19 +177,19 @@ def forms_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     budget_form = wide.select(
         F.lit("budget").alias("form"), F.lit(None).cast("string").alias("treasury_code"),
         F.concat(F.lit(f'<html><body><form>\n<select id="{SELECT_QUERY}">\n'), F.col("1"),
-                 F.lit(f'</select>\n<select id="{SELECT_DEPARTMENT}">\n'), F.col("3"),
+                 F.lit(f'<select id="{SELECT_DEPARTMENT}">\n' + group), F.col("3"),
                  F.lit("</select>\n</form></body></html>")).alias("body"))
     ddo = (t["supplier"].join(t["nation"], F.col("s_nationkey") == F.col("n_nationkey"))
            .select(F.concat(F.lit("T"), F.lpad(F.col("n_regionkey").cast("string"), 2, "0")).alias("treasury_code"),
                    F.col("s_suppkey"), F.floor(F.col("s_suppkey") / DDOS_PER_FORM).alias("part"),
                    _option(F.lpad(F.col("s_suppkey").cast("string"), 4, "0"),
-                           F.concat(F.col("s_name"), F.lit("  (DDO)"))).alias("html")))
+                           F.concat(F.col("s_name"), F.lit("  (DDO)")), F.col("s_suppkey") % 3 == 1).alias("html")))
     ddo_forms = ddo.groupBy("treasury_code", "part").agg(
         F.array_sort(F.collect_list(F.struct("s_suppkey", "html"))).alias("o")).select(
         F.lit("ddo").alias("form"), "treasury_code",
         F.concat(F.lit(f'<html><body><select id="{SELECT_DDO}">\n' + placeholder),
                  F.array_join(F.transform("o", lambda r: r["html"]), ""),
-                 F.lit("</select></body></html>")).alias("body"))
+                 F.when(F.col("part") % 2 == 1, F.lit("")).otherwise(F.lit("</select></body></html>"))).alias("body"))
     return query_form.unionByName(budget_form).unionByName(ddo_forms)
 
 
@@ -195,7 +205,7 @@ from {orders} join {customer} on o_custkey = c_custkey
 """
 
 RECEIPTS_PER_PART = 4096
-DDOS_PER_FORM = 1000
+DDOS_PER_FORM = 400
 
 XML_HEAD = ('<?xml version="1.0" encoding="utf-8"?>\n'
             '<ArrayOfReceipt xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" '
@@ -213,22 +223,30 @@ def receipts_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     As in the two request steps: the response for major ``0000`` lists the day's majors
     (``ReceiptMajorDetail/Major`` = ``code-desc``); each major's responses hold one
     ``ReceiptSubMinorDetail`` per receipt with a head text and a total, blank lines between
-    the elements and ampersands escaped. A part covers RECEIPTS_PER_PART row keys, so no
+    the elements and ampersands escaped. Some heads and majors are CDATA sections, some elements
+    stand in comments (and do not count). On a month's first day a further response (major
+    ``9999``) is an error page, on the second XML of another kind, on the third empty. A part covers RECEIPTS_PER_PART row keys, so no
     response grows with the data.
     """
     r = receipt_rows(spark, sf_dir)
     day = F.date_format("date", "dd/MM/yyyy")
     head = F.concat_ws("-", "major", "sub_major", "minor", "sub_minor")
+    named = F.concat(head, F.lit(" ["), F.col("sub_minor_desc"), F.lit("]"))
+    cdata = lambda t: F.concat(F.lit("<![CDATA["), t, F.lit("]]>"))
+    escaped = lambda t: F.replace(t, F.lit("&"), F.lit("&amp;"))
+    key = F.col("row_key")
+    hidden = "  <!-- <ReceiptSubMinorDetail><Head>9-9-9-9 [gone]</Head><Total>0</Total></ReceiptSubMinorDetail> -->\n"
     detail = F.concat(
-        F.lit("  <ReceiptSubMinorDetail>\n    <Head>"), head, F.lit(" ["),
-        F.replace(F.col("sub_minor_desc"), F.lit("&"), F.lit("&amp;")),
-        F.lit("]</Head>\n    <Total>"), F.col("total_receipt").cast("string"),
+        F.when(key % 7 == 0, F.lit(hidden)).otherwise(F.lit("")),
+        F.lit("  <ReceiptSubMinorDetail>\n    <Head>"), F.when(key % 3 == 0, cdata(named)).otherwise(escaped(named)),
+        F.lit("</Head>\n    <Total>"), F.col("total_receipt").cast("string"),
+        F.when(key % 5 == 0, F.lit("<!-- 99 -->")).otherwise(F.lit("")),
         F.lit("</Total>\n  </ReceiptSubMinorDetail>\n"))
     majors = r.groupBy(day.alias("date")).agg(
         F.array_sort(F.collect_set(F.concat_ws("-", "major", "major_desc"))).alias("majors"))
     listed = F.array_join(F.transform("majors", lambda m: F.concat(
-        F.lit("  <ReceiptMajorDetail><Major>"), F.replace(m, F.lit("&"), F.lit("&amp;")),
-        F.lit("</Major></ReceiptMajorDetail>\n"))), "")
+        F.lit("  <ReceiptMajorDetail><Major>"), F.when(m < "0012", cdata(m)).otherwise(escaped(m)),
+        F.lit("</Major></ReceiptMajorDetail>\n<!--<ReceiptMajorDetail><Major>99</Major></ReceiptMajorDetail>-->"))), "")
     first = majors.select("date", F.lit("0000").alias("major_code"), F.lit(0).cast("long").alias("part"),
                           F.concat(F.lit(XML_HEAD), listed, F.lit("</ArrayOfReceipt>")).alias("body"))
     part = F.floor(F.col("row_key") / RECEIPTS_PER_PART)
@@ -237,8 +255,13 @@ def receipts_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = F.array_join(F.transform("details", lambda d: d["x"]), "")
     second = details.select("date", "major_code", "part",
                             F.concat(F.lit(XML_HEAD), rows, F.lit("</ArrayOfReceipt>")).alias("body"))
+    day_no = F.substring("date", 1, 2)
+    odd = (F.when(day_no == "01", F.lit("<html><body>Server Error<br></body>"))
+           .when(day_no == "02", F.lit("<html><body>moved</body></html>")).otherwise(F.lit(" \n")))
+    third = majors.where(day_no < "04").select("date", F.lit("9999").alias("major_code"), F.lit(0).cast("long").alias("part"),
+                                               odd.alias("body"))
     kinds = F.explode(F.array(F.lit("0"), F.lit("1"))).alias("public_head_bool")
-    return first.unionByName(second).select(kinds, "date", "major_code", "part", "body")
+    return first.unionByName(second).unionByName(third).select(kinds, "date", "major_code", "part", "body")
 
 
 # ---------------------------------------------------------------- DDO snapshots

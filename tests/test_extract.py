@@ -103,6 +103,106 @@ def test_options_and_clean_text(spark):
     assert t == "a b\tc"
 
 
+FORMS = {
+    "no end tags": ('<select id="q"><option value=a>A<option value=b>B\n<option value="c">C</select><option value=z>z', [("a", "A"), ("b", "B"), ("c", "C")]),
+    "half closed": ("<select id='q'><option value='a'>A</option><option value='b'>B<option value='c'>C</select>", [("a", "A"), ("b", "B"), ("c", "C")]),
+    "cut off": ('<select id="q"><option value="a">A</option><option value="b">B', [("a", "A"), ("b", "B")]),
+    "next select": ('<select id="q"><option value="a">A<select id="r"><option value="b">B</select>', [("a", "A")]),
+    "comments": ('<!-- <select id="q"><option value="x">X</select> --><select id="q"><!-- <option value="y">Y</option> -->'
+                 '<option value="a">A<!-- n --> tail</select>', [("a", "A")]),
+    "groups": ('<select id="q"><option value="a">A<optgroup label="g"><option value="x">X</optgroup><option value="b">B</select>',
+               [("a", "A"), ("b", "B")]),
+    "attributes": ("<select data-id='q'><option value=x>x</select><select class=s id=q><option title='x > y' data-value=1 VALUE = 'a \"1\"' selected>A"
+                   "<option>none<option value>bare<option value=''></option></select>",
+                   [('a "1"', "A"), (None, "none"), (None, "bare"), ("", "")]),
+    "markup in text": ('<select id="q"><option value="a&amp;b"><b>A</b>tail<option value="b">\n  R &amp;  D &lt;1&gt; </select>',
+                       [("a&b", "A"), ("b", "R & D <1>")]),
+    "other case of the id": ('<select id="Q"><option value="a">A</select>', []),
+    "stray quote": ('<select id="q"><option value="a>A</option></select>', [(None, "A")]),
+    "no options": ('<select id="q"></select>', []),
+    "nothing": ("", []),
+}
+
+
+def test_options_of_odd_forms(spark):
+    df = spark.createDataFrame([(k, v[0]) for k, v in FORMS.items()] + [("null", None)], "key string, body string")
+    got = {k: [] for k in FORMS}
+    for r in EX.options(df, "q", skip_placeholder=False, keys=("key",)).orderBy("key", "position").collect():
+        assert r["position"] == len(got[r["key"]])
+        got[r["key"]].append((r["value"], r["text"]))
+    assert got == {k: v[1] for k, v in FORMS.items()}
+
+
+def test_a_form_of_many_options(spark):
+    body = '<select id="q">' + "".join(f"<option value={i}>n {i}" for i in range(30_000)) + "</select>"
+    df = spark.createDataFrame([(body,)], "body string")
+    got = EX.options(df, "q", skip_placeholder=True).agg(F.count("*"), F.max(F.col("value").cast("int")), F.max("position")).first()
+    assert tuple(got) == (29_999, 29_999, 29_999)
+
+
+ODD_HEADINGS = {
+    "unclosed": '<table><tr class="popupheadingeKosh"><td>H1<td>H2<tr class="popeven"><td>x<td>y</table>',
+    "layout table": ('<table><tr><td>menu</td><td><table><tr class="popupheadingeKosh"><td>H1</td><td>H2</td></tr>'
+                     '<tr class="popeven"><td>x</td><td>y</td></tr></table></td></tr></table>'),
+    "nested in a heading": ('<table><tr class="popupheadingeKosh"><td>H1<table><tr><td></td></tr></table></td><td>H2</td></tr>'
+                            '<tr class="popeven"><td>x</td><td>y</td></tr></table>'),
+    "nested in a row": ('<table><tr class="popupheadingeKosh"><td>H1</td><td>H2</td></tr><tr class="popeven"><td>x<table><tr>'
+                        '<td>in</td></tr></table></td><td>y</td></tr></table>'),
+    "no rows": '<table><tr class="popupheadingeKosh"><th>no</th><td>H1<td>H2</table>',
+    "comment": ('<table><!-- <tr class="popupheadingeKosh"><td>no</td></tr> --><tr class="popupheadingeKosh"><td>H1</td><td>H2</td></tr>'
+                '<tr class="popeven"><td>x</td><td>y</td></tr></table>'),
+    "another class too": ('<table><tr class="popupheadingeKosh x"><td>no</td></tr><tr class="popupheadingeKosh"><td>H1<td>H2</tr>'
+                          '<tr class="popeven"><td>x<td>y</tr></table>'),
+}
+
+
+def test_headings_of_odd_pages(spark):
+    df = spark.createDataFrame(list(ODD_HEADINGS.items()), "key string, body string")
+    got = {r["key"]: r["header"] for r in EX.extract_header(df, keys=("key",)).collect()}
+    assert got == {k: ["H1", "H2"] for k in ODD_HEADINGS}
+    named = {r["key"]: [tuple(x) for x in r["record"]] for r in EX.extract_records(df, keys=("key",)).where("pos = 0").collect()}
+    assert named == {k: [("H1", "x"), ("H2", "y")] for k in ODD_HEADINGS if k != "no rows"}
+
+
+def test_headings_and_rows_from_one_reading():
+    from pursewise.functions.htmlrows import parse_page
+
+    assert parse_page(_page(["x"])) == [["Name ", "A&B", "V"], ["x"]]
+    nested = '<table><tr class="popupheadingeKosh"><td>a<table><tr><td>b</td></tr></table>c</td></tr></table>'
+    assert parse_page(nested) == [["a", "b", "c"]]
+
+
+def test_cdata_comments_and_rejects(spark):
+    rows = {
+        "cdata": ('<r><a:ReceiptMajorDetail xmlns:a="u"><a:Major><![CDATA[0020-A & B ]]>&lt;c></a:Major></a:ReceiptMajorDetail>'
+                  '<ReceiptSubMinorDetail><H><![CDATA[0020-1-2-3 [x < y & z]]]></H><T>1.5</T></ReceiptSubMinorDetail></r>',
+                  ["0020"], [["0020-1-2-3 [x < y & z]", "d", "1.5"]], None),
+        "comments": ('<?xml version="1.0"?><r><!-- <ReceiptMajorDetail><Major>1</Major></ReceiptMajorDetail> --><ReceiptMajorDetail>'
+                     '<Major>00<!-- 5 -->21</Major></ReceiptMajorDetail><!--<ReceiptSubMinorDetail><H>a</H></ReceiptSubMinorDetail>-->'
+                     '<ReceiptSubMinorDetail><H>h<!-- x --></H>\n\n<T>1</T></ReceiptSubMinorDetail></r>', ["00", "21"], [["h", "d", "1"]], None),
+        "comment in cdata": ('<r><ReceiptSubMinorDetail><H><![CDATA[<!-- kept -->]]></H><!-- <![CDATA[gone]]> --><T>2</T></ReceiptSubMinorDetail></r>',
+                             [], [["<!-- kept -->", "d", "2"]], None),
+        "lines": ("<r><ReceiptSubMinorDetail><H>a&#10;b\n c</H></ReceiptSubMinorDetail></r>", [], [["a", "d", "b", " c"]], None),
+        "none": ("<r><ReceiptSubMinorDetail/></r>", [], [], None),
+        "error page": ("<html><body>Server Error<br></body>", [], [], "malformed"),
+        "another page": ("<html><body>moved</body></html>", [], [], "no_receipts"),
+        "cut off": ("<r><ReceiptMajorDetail><Major>0020-x</Major></ReceiptMajorDetail><Rec", ["0020"], [], "malformed"),
+        "open comment": ("<r><ReceiptMajorDetail><Major>7</Major></ReceiptMajorDetail><!-- <ReceiptMajorDetail><Major>8</Major></ReceiptMajorDetail>",
+                         ["7"], [], "malformed"),
+        "blank": (" \n", [], [], "empty"), "null": (None, [], [], "empty"),
+    }
+    df = spark.createDataFrame([(k, "d", v[0]) for k, v in rows.items()], "key string, date string, body string")
+    majors, details = {k: [] for k in rows}, {k: [] for k in rows}
+    for r in EX.major_codes(df, ("key",)).collect():
+        majors[r["key"]].append(r["major_code"])
+    for r in EX.receipt_rows(df, ("key",)).orderBy("pos").collect():
+        details[r["key"]].append(r["cols"])
+    assert majors == {k: v[1] for k, v in rows.items()}
+    assert details == {k: v[2] for k, v in rows.items()}
+    assert {r["key"]: r["reason"] for r in EX.receipt_rejects(df, ("key",)).collect()} == {k: v[3] for k, v in rows.items() if v[3]}
+    assert {r["major"]: r["major_desc"] for r in EX.major_list(df).where("major = '0020'").collect()} in ({"0020": "A & B <c>"}, {"0020": "x"})
+
+
 def test_xml_rows_and_majors(spark):
     xml = ('<?xml version="1.0"?><r xmlns="http://tempuri.org/">'
            '<ReceiptMajorDetail><Major>0020-Misc 7</Major></ReceiptMajorDetail>\n'
