@@ -27,6 +27,7 @@ from pursewise.operators.periods import slots_covering
 from pursewise.plans import requests as PL
 from pursewise.session import ensure_checkpoint_dir
 from pursewise.sources import captured as CA
+from pursewise.sources import manifest as MF
 from pursewise.sources import io as IO
 from pursewise.sources.fixtures import BASE_TABLES, load_tables, view
 
@@ -577,10 +578,11 @@ def _collected(spark, sf) -> DataFrame:
     datasets are there, and half of those hold a header only."""
     root = scratch(spark, "collected")
     key = F.col("ddo_code").cast("int")
-    have = PL.dataset_path(_treasury_plan(spark, sf), CRAWL).filter(key % 2 == 0)
-    IO.write_collected(have.filter(key % 4 != 0).select("path", "treasury_id", "ddo_code"), root + "/rows")
+    PL.dataset_path(_treasury_plan(spark, sf), CRAWL).filter(key % 2 == 0).write.parquet(root + "-planned")
+    have = spark.read.parquet(root + "-planned")
+    IO.write_collected(have.filter(key % 4 != 0).select("path", "treasury_id", "ddo_code"), root)
     header = have.filter(key % 4 == 0).select(F.col("path").alias("dataset"), F.lit("treasury_id,ddo_code").alias("value"))
-    header.write.partitionBy("dataset").text(root + "/headers")
+    header.write.mode("append").partitionBy("dataset").text(root)
     return IO.collected_datasets(spark, root)
 
 
@@ -656,16 +658,18 @@ def _heads_export(spark, sf):
     return IO.read_csv(spark, path, "combination string")
 
 
-@register("csv_drop_ingest", ORACLES["html_table_rows"] + " and not (treasury_id = 'T01' and pos % 2 = 1)")
-def _csv_drop_ingest(spark, sf):
-    """Three drops of dataset CSVs land in one folder; after each, one catch-up run. The
-    second drop's files are a year old; the third collects the datasets of one treasury
-    again, with every other row. The table holds each dataset as it was collected last."""
+def _drop_ingest(spark, sf) -> str:
+    """Root of a table (``/table``) fed by four drops of dataset CSVs in one folder, with a
+    catch-up run after each. The second drop's files are a year old; the third collects the
+    datasets of one treasury again, with every other row; the fourth collects those of another
+    treasury's even DDOs again with a header only and takes those of a third away."""
     from pursewise.streaming.ingest import ingest
 
     rows = _cells_flat(EX.extract_rows(CA.pages_html(spark, sf)))
     rows = rows.withColumn("dataset", F.concat_ws("_", "treasury_id", "ddo_code"))
     root = scratch(spark, "ingest")
+    rows.write.parquet(f"{root}/rows")
+    rows = spark.read.parquet(f"{root}/rows")
     drops, out, ckpt = f"{root}/drops", f"{root}/table", f"{root}/checkpoint"
     first = F.col("treasury_id").isin("T00", "T01", "T02")
     again = (F.col("treasury_id") == "T01") & (F.col("pos") % 2 == 0)
@@ -674,7 +678,33 @@ def _csv_drop_ingest(spark, sf):
         if n == 1:
             _age_files(spark, drops, days=365)
         ingest(spark, drops, out, ckpt, _ROW_SCHEMA + ", dataset string")
-    return spark.read.parquet(out).select(*[f.split()[0] for f in _ROW_SCHEMA.split(", ")])
+    emptied = rows.filter((F.col("treasury_id") == "T02") & (F.col("ddo_code").cast("int") % 2 == 0)).select("dataset").distinct()
+    header = ",".join(f.split()[0] for f in _ROW_SCHEMA.split(", "))
+    (emptied.withColumn("value", F.lit(header)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .option("compression", "none").partitionBy("dataset").text(drops))
+    for folder in MF.folders(spark, drops, "dataset=T03_*"):
+        MF.delete_folder(spark, folder)
+    ingest(spark, drops, out, ckpt, _ROW_SCHEMA + ", dataset string", glob="*.{csv,txt}")
+    return root
+
+
+_NOT_LAST = ("(treasury_id = 'T01' and pos % 2 = 1) or (treasury_id = 'T02' and cast(ddo_code as int) % 2 = 0) "
+             "or treasury_id = 'T03'")
+
+
+@register("csv_drop_ingest", f"{ORACLES['html_table_rows']} and not ({_NOT_LAST})")
+def _csv_drop_ingest(spark, sf):
+    """The table holds each dataset as it was collected last."""
+    return spark.read.parquet(_drop_ingest(spark, sf) + "/table").select(*[f.split()[0] for f in _ROW_SCHEMA.split(", ")])
+
+
+@register("ingest_manifest", f"with {_PAGE_ROWS}, d as (select *, concat(treasury_id, '_', ddo_code) as dataset "
+          f"from page_rows where {_HAS_ROWS}) select dataset, cast(count(*) filter (where not ({_NOT_LAST})) as bigint) as n_rows, "
+          "treasury_id = 'T03' as removed from d group by dataset, treasury_id")
+def _ingest_manifest(spark, sf):
+    """Rows of each dataset by the manifest of the same drops, and whether its files are gone."""
+    e = MF.entries(spark, _drop_ingest(spark, sf) + "/table")
+    return e.groupBy("dataset").agg(F.sum("n_rows").alias("n_rows"), F.bool_and("removed").alias("removed"))
 
 
 def _age_files(spark, path: str, days: int) -> None:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from pursewise.functions.dates import today_text
+from pursewise.sources import manifest
 
 # CSV headers the collected files carry.
 DDO_HEADER = ("DDO Code", "DDO Name")
@@ -123,26 +124,37 @@ def export_heads(df: DataFrame, path: str) -> None:
 
 
 def write_collected(df: DataFrame, root: str, path_col: str = "path") -> None:
-    """S-5 under the P-4 paths: one folder ``dataset=<path>`` for each collected dataset."""
+    """S-5 under the P-4 paths: one folder ``dataset=<path>`` for each collected dataset, noted
+    in the manifest of ``root`` with its data rows."""
     out = df.withColumnRenamed(path_col, "dataset") if path_col != "dataset" else df
     write_datasets(out, root, ("dataset",))
+    note_collected(df.sparkSession, root)
+
+
+def note_collected(spark: SparkSession, root: str) -> None:
+    """Note in the manifest of ``root`` what changed among its files since the last time.
+
+    Only new and changed files are read, and of those one column, so that rows with line breaks
+    count once. A header-only or empty file has 0 rows.
+    """
+    def rows_of(paths: list[str]) -> DataFrame:
+        rows = spark.read.schema("c string").options(**CSV_OPTIONS).option("multiLine", "true").csv(paths)
+        return rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+    manifest.refresh(spark, root, rows_of)
 
 
 def collected_datasets(spark: SparkSession, root: str) -> DataFrame:
     """(path, n_rows): the datasets under ``root`` by their P-4 path, with their data rows.
 
     A dataset is a folder ``dataset=<path>`` of part files (``write_collected``) or one file
-    ``<kind>/<name>``. Only one column is parsed, so that rows with line breaks count once.
-    A header-only file counts 0 rows; an empty file is not listed.
+    ``<kind>/<name>``. The rows come from the manifest: files are listed, and read only if they
+    came there by another way than ``write_collected`` since the last call. A header-only or an
+    empty file counts 0 rows; a removed one is not listed.
     """
-    rows = (spark.read.schema("c string").options(**CSV_OPTIONS).option("recursiveFileLookup", "true")
-            .option("multiLine", "true").csv(root))
-    files = rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"))
-    plain = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
-    uri = plain(F.col("file"))  # the URI's escapes, then those of the folder name
-    folder = F.regexp_extract(uri, "/dataset=([^/]+)/[^/]*$", 1)
-    path = F.when(folder != "", plain(folder)).otherwise(F.regexp_extract(uri, "([^/]+/[^/]+)$", 1))
-    return files.select(path.alias("path"), "n").groupBy("path").agg(F.sum("n").alias("n_rows"))
+    note_collected(spark, root)
+    return (manifest.entries(spark, root).where("not removed").groupBy(F.col("dataset").alias("path"))
+            .agg(F.sum("n_rows").alias("n_rows")))
 
 
 def read_database_table(spark: SparkSession, url: str, table: str, partition_column: str,

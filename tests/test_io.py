@@ -5,6 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from pursewise.sources import io as IO
+from pursewise.sources import manifest
 from pursewise.streaming.ingest import ingest
 
 
@@ -111,3 +112,71 @@ def test_empty_null_and_blank_survive_csv(spark):
     IO.write_datasets(df, path, ("key",))
     back = IO.read_csv(spark, path, "e string, n string, b string, key string").first()
     assert (back["e"], back["n"], back["b"]) == ("", None, " ")
+
+
+def _dropped(spark, root, values, emptied=(), glob="*.csv"):
+    """Write the datasets of ``values`` and header-only ones, then run one catch-up pass."""
+    if values:
+        IO.write_datasets(spark.createDataFrame(values, "dataset string, v int"), f"{root}/in", ("dataset",))
+    for name in emptied:
+        folder = f"{root}/in/dataset={name}"
+        for f in os.listdir(folder):
+            os.remove(f"{folder}/{f}")
+        with open(f"{folder}/again.csv", "w") as f:
+            f.write("v\n")
+    ingest(spark, f"{root}/in", f"{root}/out", f"{root}/ck", "v int, dataset string")
+    return sorted((r["dataset"], r["v"]) for r in spark.read.parquet(f"{root}/out").collect())
+
+
+def test_a_dataset_collected_again_without_rows_is_empty(spark):
+    import shutil
+
+    root = tempfile.mkdtemp(prefix="pw-empty-")
+    start = [("a", 1), ("a", 2), ("b b/%", 3), ("c", 4), ("d", 5)]
+    assert _dropped(spark, root, start) == start
+    assert _dropped(spark, root, [("e", 6)], emptied=("a",)) == [*start[2:], ("e", 6)]
+    shutil.rmtree(f"{root}/in/dataset=c")  # taken away
+    assert _dropped(spark, root, []) == [("b b/%", 3), ("d", 5), ("e", 6)]
+    name = next(f for f in os.listdir(f"{root}/in/dataset=d") if f.endswith(".csv"))
+    crc = f"{root}/in/dataset=d/.{name}.crc"
+    if os.path.exists(crc):
+        os.remove(crc)
+    with open(f"{root}/in/dataset=d/{name}", "w") as f:  # overwritten in place, under its name
+        f.write("v\n50\n51\n")
+    assert _dropped(spark, root, []) == [("b b/%", 3), ("d", 50), ("d", 51), ("e", 6)]
+    assert _dropped(spark, root, [("a", 9)]) == [("a", 9), ("b b/%", 3), ("d", 50), ("d", 51), ("e", 6)]
+    known = manifest.entries(spark, f"{root}/out").collect()
+    counts = {}
+    for r in known:
+        counts[r["dataset"]] = counts.get(r["dataset"], 0) + r["n_rows"]
+    assert counts == {"a": 1, "b b/%": 1, "c": 0, "d": 2, "e": 1}
+    assert all(r["removed"] for r in known if r["dataset"] == "c")
+    version = max(r["version"] for r in known)
+    assert _dropped(spark, root, []) and max(r["version"] for r in manifest.entries(spark, f"{root}/out").collect()) == version
+
+
+def test_ingest_reads_only_touched_datasets(spark, monkeypatch):
+    root = tempfile.mkdtemp(prefix="pw-touched-")
+    _dropped(spark, root, [("a", 1), ("b", 2)])
+    read = []
+    plain = manifest.as_globs
+    monkeypatch.setattr(manifest, "as_globs", lambda paths: read.extend(paths) or plain(paths))
+    _dropped(spark, root, [("b", 3), ("b", 4)])
+    assert read and all("/dataset=b/" in p for p in read)
+
+
+def test_planning_reads_the_manifest_only(spark):
+    root = tempfile.mkdtemp(prefix="pw-plan-")
+    df = spark.createDataFrame([("x/a.csv", "1"), ("x/a.csv", "two\nlines"), ("x/b+ %.csv", "2")], "path string, v string")
+    IO.write_collected(df, root)
+    got = IO.collected_datasets(spark, root)
+    assert sorted(tuple(r) for r in got.collect()) == [("x/a.csv", 2), ("x/b+ %.csv", 1)]
+    assert got.inputFiles() and all(f"/{manifest.FOLDER}/" in f for f in got.inputFiles())
+    IO.write_collected(spark.createDataFrame([("x/a.csv", "3")], "path string, v string"), root)
+    os.makedirs(f"{root}/receipts")
+    with open(f"{root}/receipts/[odd] {{name}}.csv", "w") as f:
+        f.write("v\n1\n2\n3\n")
+    again = {r["path"]: r["n_rows"] for r in IO.collected_datasets(spark, root).collect()}
+    assert again == {"x/a.csv": 1, "x/b+ %.csv": 1, "receipts/[odd] {name}.csv": 3}
+    os.remove(f"{root}/receipts/[odd] {{name}}.csv")
+    assert "receipts/[odd] {name}.csv" not in {r["path"] for r in IO.collected_datasets(spark, root).collect()}
