@@ -46,7 +46,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return piece_codec.encoded(docs, vocabulary(PIECE_BPE))
+    return piece_codec.encoded(docs, vocabulary(PIECE_BPE), memo=100_000, batch=1_000_000)
 
 
 STAGES = [

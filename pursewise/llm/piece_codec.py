@@ -38,10 +38,14 @@ MARK = "▁"
 _loaded: dict[int, PieceCodec] = {}
 
 
+#: Words a codec remembers.
+MEMO = 400_000
+
+
 class PieceCodec:
     """Encodes and decodes with the vocabulary of a serialized SentencePiece model."""
 
-    def __init__(self, model: bytes, memo: int = 400_000, unigram: dict[str, float] | None = None):
+    def __init__(self, model: bytes, memo: int = MEMO, unigram: dict[str, float] | None = None):
         import sentencepiece
 
         self.memo_limit, self.memo = memo, {}
@@ -223,7 +227,7 @@ def _codec(model: bytes) -> PieceCodec:
     return _loaded.get(key) or _loaded.setdefault(key, PieceCodec(model))
 
 
-def encoded(docs: DataFrame, model: bytes) -> DataFrame:
+def encoded(docs: DataFrame, model: bytes, memo: int | None = None, batch: int = 8_000_000) -> DataFrame:
     """Per row of ``docs``: its other columns but ``text`` kept as they are, then ``ids``
     (array of int), ``n_ids`` and ``round_trip`` (decoding gives back the text).
 
@@ -231,6 +235,10 @@ def encoded(docs: DataFrame, model: bytes) -> DataFrame:
     tell apart. Null and empty texts have no ids and round-trip to the empty text; repeated
     rows give a row each, an empty table gives none. Columns named ids, n_ids or round_trip
     in ``docs`` are replaced.
+
+    ``memo`` bounds the words a task remembers, which are then forgotten with the task (a worker
+    process outlives its tasks and stages); without it they stay for the next one. ``batch``: bytes
+    of text split at a time. The ids depend on neither.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one model file, under 1 MB
     rest = [c for c in docs.columns if c not in ("text", "ids", "n_ids", "round_trip")]
@@ -239,7 +247,8 @@ def encoded(docs: DataFrame, model: bytes) -> DataFrame:
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value)
-        for b in batches(frames, len(rest)):
+        codec.memo_limit = memo or MEMO
+        for b in batches(frames, len(rest), batch):
             texts = b.column(len(rest)).to_pylist()
             ids = codec.encode_batch(texts)
             ok = [codec.decode(x.tolist()) == (t or "").replace(MARK, " ") for x, t in zip(ids, texts)]
@@ -248,6 +257,8 @@ def encoded(docs: DataFrame, model: bytes) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
             yield pa.RecordBatch.from_arrays([*b.columns[:len(rest)], lists, pa.array(n), pa.array(ok)],
                                              names=[*rest, "ids", "n_ids", "round_trip"])
+        if memo is not None:
+            codec.memo, codec.agree = {}, {}
 
     return docs.select(*rest, "text").mapInArrow(run, schema)
 
