@@ -33,6 +33,8 @@ from pursewise.llm.common import U64, batches, mixed, stored, word_hashes
 
 #: Words of a passage; words of a gram in a key; words of all bundles of one tree.
 WINDOW, GRAM, GROUP = 50, 8, 1 << 18
+#: Tasks over which the texts of one key are dealt.
+SALTS = 16
 
 _rng = np.random.Generator(np.random.PCG64(20241012))
 _AT = _rng.integers(0, 2**64, WINDOW, dtype=U64) | U64(1)
@@ -308,10 +310,14 @@ def _classes(docs: DataFrame, group: int) -> tuple[DataFrame, DataFrame, DataFra
     each = stored(rows.where("doc_id is not null and n_words > 0").groupBy("text_key")
                   .agg(F.min("doc_id").alias("doc"), F.first("suffix_keys").alias("suffix_keys")), "suffix-each")
     least = each.select("text_key", "doc")
-    found = each.select("text_key", F.explode("suffix_keys").alias("key"))
+    # a key that many texts hold is dealt over SALTS tasks; the other side has a row for each salt in use
     mark = F.xxhash64("text_key")
-    shared = found.groupBy("key").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).where("lo <> hi").select("key")
-    mine = found.join(shared, "key").groupBy("text_key").agg(F.collect_list("key").alias("keys"))
+    found = each.select("text_key", mark.alias("mark"), F.pmod(mark, F.lit(SALTS)).cast("int").alias("salt"),
+                        F.explode("suffix_keys").alias("key"))
+    shared = (found.groupBy("key").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi"),
+                                       F.bit_or(F.expr("shiftleft(1, salt)")).alias("salts")).where("lo <> hi"))
+    shared = shared.select("key", F.explode(F.expr(f"filter(sequence(0, {SALTS - 1}), s -> getbit(salts, s) = 1)")).alias("salt"))
+    mine = found.join(shared, ["key", "salt"]).groupBy("text_key").agg(F.collect_list("key").alias("keys"))
     texts = (docs.where("doc_id is not null and text is not null").select(_text_key().alias("text_key"), "doc_id", "text")
              .groupBy("text_key").agg(F.min("doc_id").alias("doc"), F.min_by("text", "doc_id").alias("text")))
     texts = stored(texts.join(mine, "text_key").select("text_key", "doc", "text", "keys"), "suffix-texts")
