@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pursewise.functions.text import json_value
 from pursewise.operators.filters import CLASS_COLUMN, classified
+from pursewise.session import scratch
 
 
 def expenditure_summary(summary: DataFrame) -> DataFrame:
@@ -119,51 +120,63 @@ def result_json(df: DataFrame) -> DataFrame:
                                {"ignoreNullFields": "false"}).alias("value"))
 
 
-def _placed(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, head): each row as (k, _row, _nth) with a place of its own, and one row with the
-    first place and the row count.
+def _numbered(df: DataFrame, key: str, cells: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows, total): every row as ``(pos, cells)`` with its place in the document, and one row
+    with the count ``n``.
 
-    The key orders the document; rows with equal or null keys are ordered by their columns,
-    and rows equal in all columns are numbered, so every column lists its values in the same
-    order. Both parts are lazy and read the same plan.
+    The key orders the document (nulls first); rows with equal keys are ordered by the digest
+    of their cell texts, and equal rows are interchangeable. Rows are dealt to range partitions
+    by (key, digest, copy), three narrow values, so a hot key and a row repeated very often
+    are split as well. They are sorted there and stored once with their place in
+    the partition. A row's number is that place plus the rows of all partitions before it: a running sum
+    over one row per partition. The places are read back from the stored table and never
+    computed twice, so a task that runs again cannot see other range borders.
     """
-    names = df.columns
-    row = F.struct(*[F.col(f"`{c}`") for c in names])
-    rows = df.select(F.col(f"`{key}`").alias("k"), row.alias("_row")).groupBy("k", "_row").agg(F.count(F.lit(1)).alias("_n"))
-    rows = rows.select("k", "_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_nth"))
-    head = rows.agg(F.min(F.struct("k", "_row", "_nth")).alias("first"), F.count(F.lit(1)).alias("n"))
-    return rows, head
-
-
-def _comma(rows: DataFrame, head: DataFrame) -> DataFrame:
-    """Adds ``_comma``: empty for the first row (one-row join), a comma for the others."""
-    return rows.join(F.broadcast(head.select("first")), F.lit(True)).withColumn(
-        "_comma", F.when(F.struct("k", "_row", "_nth").eqNullSafe(F.col("first")), F.lit("")).otherwise(F.lit(","))
-    ).drop("first")
+    spark = df.sparkSession
+    rows = df.select(F.col(f"`{key}`").alias("k"), cells.alias("cells")).groupBy("k", "cells").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.select("k", F.md5(F.concat_ws(",", "cells")).alias("digest"),
+                       F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"), "cells")
+    order = ("k", "digest", "copy")
+    path = scratch(spark, "numbered")
+    # an id of Spark's: partition number in the upper 31 bits, place in the partition below
+    (rows.repartitionByRange(*order).sortWithinPartitions(*order)
+     .select(F.monotonically_increasing_id().alias("at"), "cells").write.parquet(path))
+    at = spark.read.schema("at long, cells array<string>").parquet(path).withColumn("part", F.shiftright("at", 33))
+    parts = at.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    place = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    # one row per range partition: a fixed size, whatever the table holds
+    placed = at.join(F.broadcast(starts), "part").select((F.col("start") + place).alias("pos"), "cells")
+    return placed, parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
+def _comma(text: Column) -> Column:
+    """The text with a comma in front of it, but for the first row."""
+    return F.when(F.col("pos") == 0, text).otherwise(F.concat(F.lit(","), text))
 
 
 def columnar_json_fragments(df: DataFrame, columns: Sequence[str], key: str,
                             names: Sequence[str] | None = None) -> DataFrame:
     """R-5 / R-6 document ``{"records": {name: [values in key order], ...}, "count": n}``
-    as ordered fragments ``(s1, s2, s3, k, fragment, _row, _nth)``; concatenated in the order
-    (s1, s2, s3, k, _row, _nth) they are the document.
+    as ordered fragments ``(s1, s2, s3, pos, fragment)``; concatenated in the order
+    (s1, s2, s3, pos) they are the document.
 
-    Each row gives one fragment per column, so the work is spread like the table itself;
-    no column is gathered into one task. Keys may repeat or be null (see ``_placed``).
+    Each row gives one fragment per column, which carries the row's number and nothing else
+    of the row; no column is gathered into one task. Keys may repeat or be null (see ``_numbered``,
+    which stores the numbered rows when this is called).
     """
     names = list(names or columns)
-    rows, head = _placed(df, key)
+    rows, total = _numbered(df, key, F.array(*[json_value(F.col(f"`{c}`")) for c in columns]))
     fixed = [(0, 0, 0, F.lit('{"records":{'))]
     for i, name in enumerate(names):
         fixed.append((1, i, 0, F.concat(F.lit("," if i else ""), json_value(F.lit(name)), F.lit(":["))))
         fixed.append((1, i, 2, F.lit("]")))
     fixed.append((2, 0, 0, F.concat(F.lit('},"count":'), F.col("n").cast("string"), F.lit("}"))))
-    frame = head.select(F.inline(F.array(*[F.struct(F.lit(s1).alias("s1"), F.lit(s2).alias("s2"), F.lit(s3).alias("s3"),
-                                                    text.alias("fragment")) for s1, s2, s3, text in fixed])))
-    cells = F.array(*[F.struct(F.lit(i).alias("s2"), json_value(F.col(f"_row.`{c}`")).alias("v"))
-                      for i, c in enumerate(columns)])
-    values = _comma(rows, head).select("k", "_row", "_nth", "_comma", F.inline(cells)).select(
-        F.lit(1).alias("s1"), "s2", F.lit(1).alias("s3"), "k", F.concat("_comma", "v").alias("fragment"), "_row", "_nth")
+    frame = total.select(F.inline(F.array(*[F.struct(F.lit(s1).alias("s1"), F.lit(s2).alias("s2"), F.lit(s3).alias("s3"),
+                                                     text.alias("fragment")) for s1, s2, s3, text in fixed])))
+    values = rows.select("pos", F.posexplode("cells").alias("s2", "cell")).select(
+        F.lit(1).alias("s1"), "s2", F.lit(1).alias("s3"), "pos", _comma(F.col("cell")).alias("fragment"))
     return values.unionByName(frame, allowMissingColumns=True)
 
 
@@ -172,17 +185,17 @@ def write_columnar_json(df: DataFrame, path: str, columns: Sequence[str], key: s
     """Write the columnar document as ordered text part files (a range-partitioned sort);
     read in part order they concatenate to the JSON."""
     frags = columnar_json_fragments(df, columns, key, names)
-    frags.orderBy("s1", "s2", "s3", "k", "_row", "_nth").select("fragment").write.mode("overwrite").text(path)
+    frags.orderBy("s1", "s2", "s3", "pos").select("fragment").write.mode("overwrite").text(path)
 
 
 def records_json_fragments(df: DataFrame, key: str) -> DataFrame:
     """R-7 document ``{"records": [row, ...], "count": n}`` as ordered fragments
-    ``(s1, k, fragment, _row, _nth)``: one per row plus the opening and the count, in the
-    order (s1, k, _row, _nth). Written like the columnar document; nothing is gathered."""
-    rows, head = _placed(df, key)
+    ``(s1, pos, fragment)``: one per row plus the opening and the count, in the order
+    (s1, pos). Written like the columnar document; nothing is gathered."""
+    record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+    rows, total = _numbered(df, key, F.array(record))
     close = F.concat(F.lit('],"count":'), F.col("n").cast("string"), F.lit("}"))
-    frame = head.select(F.inline(F.array(F.struct(F.lit(0).alias("s1"), F.lit('{"records":[').alias("fragment")),
-                                         F.struct(F.lit(2).alias("s1"), close.alias("fragment")))))
-    text = F.to_json("_row", {"ignoreNullFields": "false"})
-    values = _comma(rows, head).select(F.lit(1).alias("s1"), "k", F.concat("_comma", text).alias("fragment"), "_row", "_nth")
+    frame = total.select(F.inline(F.array(F.struct(F.lit(0).alias("s1"), F.lit('{"records":[').alias("fragment")),
+                                          F.struct(F.lit(2).alias("s1"), close.alias("fragment")))))
+    values = rows.select(F.lit(1).alias("s1"), "pos", _comma(F.col("cells")[0]).alias("fragment"))
     return values.unionByName(frame, allowMissingColumns=True)

@@ -7,7 +7,6 @@ survey (ranges and filter payloads), never row caps or id subsets.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -25,7 +24,7 @@ from pursewise.operators import shaping as SH
 from pursewise.operators import tree as TR
 from pursewise.operators.periods import slots_covering
 from pursewise.plans import requests as PL
-from pursewise.session import ensure_checkpoint_dir
+from pursewise.session import scratch
 from pursewise.sources import captured as CA
 from pursewise.sources import manifest as MF
 from pursewise.sources import io as IO
@@ -461,12 +460,6 @@ PLAN_RANGE = ("20190401", "20190430")
 CRAWL = "treasury_expenditures"
 
 
-def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh folder under the shared checkpoint folder (never a machine-local one on a
-    cluster: ``spark.checkpoint.dir`` names the shared place)."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/pursewise-io/{what}-{uuid.uuid4().hex}"
-
-
 def _treasuries(spark, sf):
     forms = CA.forms_html(spark, sf).filter(F.col("form") == "query")
     return EX.options(forms, EX.SELECT_TREASURY, skip_placeholder=True).select(
@@ -893,18 +886,19 @@ def _sql_json_value(c: str) -> str:
     return f"substr(to_json([{c}]), 2, length(to_json([{c}])) - 2)"
 
 
-def _sql_columnar(select_sql: str, columns, key: str, key_type: str = "bigint") -> str:
+def _sql_columnar(select_sql: str, columns, key: str) -> str:
     """R-5 / R-6 fragments in plain SQL (the oracle of ``columnar_json_fragments``)."""
     cols = ", ".join(f"({i}, '{c}')" for i, c in enumerate(columns))
-    order = ", ".join(f'"{c}" nulls first' for c in (key, *columns))
     quoted = [f'"{c}"' for c in columns]
+    digest = f"md5(concat_ws(',', {', '.join(_sql_json_value(c) for c in quoted)}))"
     vals = " union all ".join(
-        f"select 1 as s1, {i} as s2, 1 as s3, k, case when r = 1 then '' else ',' end || {_sql_json_value(c)} as fragment from t"
+        f"select 1 as s1, {i} as s2, 1 as s3, pos, case when pos = 0 then '' else ',' end || {_sql_json_value(c)} as fragment from t"
         for i, c in enumerate(quoted))
-    return f"""with u as ({select_sql}), t as (select *, "{key}" as k, row_number() over (order by {order}) as r from u),
+    return f"""with u as ({select_sql}),
+t as (select *, row_number() over (order by "{key}" nulls first, {digest}) - 1 as pos from u),
 f as (select count(*) as n from t),
 cols(s2, name) as (values {cols})
-select 0 as s1, 0 as s2, 0 as s3, cast(null as {key_type}) as k, '{{"records":{{' as fragment
+select 0 as s1, 0 as s2, 0 as s3, cast(null as bigint) as pos, '{{"records":{{' as fragment
 union all select 1, s2, 0, null, case when s2 > 0 then ',' else '' end || '"' || name || '":[' from cols
 union all select 1, s2, 2, null, ']' from cols
 union all select 2, 0, 0, null, '}},"count":' || cast(n as varchar) || '}}' from f
@@ -922,16 +916,16 @@ def _covid_document(spark, sf):
     """R-5 document as ordered fragments (write with ``shaping.write_columnar_json``)."""
     df = view(spark, sf, "covid").withColumn("funds_sanctioned", F.col("funds_sanctioned").cast("double"))
     df = df.select(F.expr(_COVID_KEY).alias("doc_key"), *COVID_COLUMNS)
-    return SH.columnar_json_fragments(df, COVID_COLUMNS, "doc_key").drop("_row", "_nth")
+    return SH.columnar_json_fragments(df, COVID_COLUMNS, "doc_key")
 
 
 @register("tender_document", O.oracle_with(_sql_columnar(
     f"select {_quoted(SH.TENDER_COLUMNS)} from tenders where \"tender/classification/id\" != ''",
-    SH.TENDER_COLUMNS, "ocid", "varchar"), "tenders"))
+    SH.TENDER_COLUMNS, "ocid"), "tenders"))
 def _tender_document(spark, sf):
     """R-6 document: classified tenders, every column but the surrogate id."""
     t = SH.tender_rows(view(spark, sf, "tenders"))
-    return SH.columnar_json_fragments(t, t.columns, "ocid").drop("_row", "_nth")
+    return SH.columnar_json_fragments(t, t.columns, "ocid")
 
 
 @register("heads_tree_json_spending", _sql_tree_json("spending", HE.SPENDING_LEVELS))
@@ -969,14 +963,14 @@ _PLAN_FIELDS = ("start", "end", "query_id", "query_name", "treasury_id", "treasu
 _SQL_STRUCT = "{" + ", ".join(f"'{c}': \"{c}\"" for c in _PLAN_FIELDS) + "}"
 
 
-@register("result_document", f"{_SQL_PLAN}, f as (select min(hod_code) as k0, count(*) as n from plan) "
-          "select 0 as s1, cast(null as varchar) as k, '{\"records\":[' as fragment "
-          "union all select 2, null, '],\"count\":' || cast(n as varchar) || '}' from f "
-          "union all select 1, hod_code, case when hod_code = k0 then '' else ',' end || "
-          f"to_json({_SQL_STRUCT}) from plan, f")
+@register("result_document", f"{_SQL_PLAN}, p as (select *, row_number() over (order by hod_code) - 1 as pos from plan) "
+          "select 0 as s1, cast(null as bigint) as pos, '{\"records\":[' as fragment "
+          "union all select 2, null, '],\"count\":' || cast(count(*) as varchar) || '}' from p "
+          "union all select 1, pos, case when pos = 0 then '' else ',' end || "
+          f"to_json({_SQL_STRUCT}) from p")
 def _result_document(spark, sf):
     """R-7 envelope ``{"records": [...], "count": n}`` over the request plan, as fragments."""
-    return SH.records_json_fragments(_treasury_plan(spark, sf), "hod_code").drop("_row", "_nth")
+    return SH.records_json_fragments(_treasury_plan(spark, sf), "hod_code")
 
 
 @register("requests_to_make", f"{_SQL_PLAN} select {_PLAN_COLS}, {_SQL_PATH} as path, {_SQL_URL} as url "

@@ -92,3 +92,17 @@ def test_stored_fact_table_prunes_months_and_gives_the_same_series(spark, tmp_pa
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     plan = a._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(month_key" in plan and "(month_key" in plan
+
+
+def test_document_fragments_carry_a_number_and_no_row(spark):
+    from pursewise.operators.shaping import columnar_json_fragments
+
+    tenders = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    df = columnar_json_fragments(tenders, tenders.columns, "o_custkey").orderBy("s1", "s2", "s3", "pos")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    sort = next(l for l in plan.splitlines() if "Sort [" in l)
+    assert [n in sort for n in ("s1#", "s2#", "s3#", "pos#")] == [True] * 4 and sort.count("#") == 4
+    assert [f.name for f in df.schema.fields] == ["s1", "s2", "s3", "pos", "fragment"]
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString()
+    assert "parquet" in final and "orders.parquet" not in final  # the numbered rows are read, the table is not sorted again

@@ -403,7 +403,7 @@ def test_columnar_document_escapes_any_text(spark, rows):
     from pursewise.operators.shaping import columnar_json_fragments
 
     df = spark.createDataFrame([(i, s, n) for i, (s, n) in enumerate(rows)], "id int, s string, n bigint")
-    frags = columnar_json_fragments(df, ["s", "n"], "id").orderBy("s1", "s2", "s3", "k", "_row", "_nth").collect()
+    frags = columnar_json_fragments(df, ["s", "n"], "id").orderBy("s1", "s2", "s3", "pos").collect()
     doc = json.loads("".join(f["fragment"] for f in frags))
     assert doc == {"records": {"s": [s for s, _ in rows], "n": [n for _, n in rows]}, "count": len(rows)}
 
