@@ -2,7 +2,7 @@
 
 All unique-value queries are one pass over the table: the head columns are unpivoted
 into ``(head, value)`` with one generator and de-duplicated together, instead of one
-scan per column. Trees are the label rows of ``tree.tree_edges``.
+scan per column. Trees are the label rows of ``tree.tree_nodes``.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pursewise.operators.filters import apply_filters
-from pursewise.operators.tree import pair_label, tree_edges
+from pursewise.operators.tree import pair_label, tree_nodes
 
 # Head columns and tree levels of each table, in the reference's order.
 ALLOCATION_HEADS = ("demand", "major", "sub_major", "minor", "sub_minor", "budget",
@@ -80,14 +80,15 @@ def label_rows(df: DataFrame, levels: Sequence, filters: Mapping | None = None)
 
 
 def heads_tree(df: DataFrame, levels: Sequence, filters: Mapping | None = None) -> DataFrame:
-    """H-2 .. H-7: the head tree as distinct edges ``(level, parent_path, label)``.
+    """H-2 .. H-7: the head tree as its distinct nodes ``(level, node_id, parent_id, label)``;
+    ``tree.node_paths`` gives the text of the paths.
 
     The label rows are de-duplicated first (the GROUP BY of the reference): real spending
     has many transactions per head combination, and the map-side partial aggregate
-    shrinks them before any path string is built. Only the distinct combinations are
+    shrinks them before any id is worked out. Only the distinct combinations are
     exploded into their edges.
     """
-    return tree_edges(label_rows(df, levels, filters).distinct())
+    return tree_nodes(label_rows(df, levels, filters).distinct())
 
 
 def unique_heads(df: DataFrame, heads: Sequence) -> DataFrame:

@@ -6,6 +6,11 @@
 and hashes on the whole edge, so a root that owns a third of the rows is spread over
 as many tasks as its edges hash to.
 
+``tree_nodes`` gives the same trie by node ids: a node's id is a 128-bit hash of its parent's
+id and its own label, so ids chain from the root and each row can work out its own. An
+edge carries 16 bytes of its parent instead of the parent's whole path, at any depth, and
+the path text is kept once per node, as the label. ``node_paths`` puts the paths back.
+
 ``tree_json_fragments`` renders the nested form ``{label: {label: {...}}}`` without
 gathering a tree anywhere: every node gets a text fragment that depends only on itself
 and, for a leaf, on how many of its prefixes it is the greatest path under (a partial
@@ -52,6 +57,52 @@ def tree_edges(levels_df: DataFrame, sep: str = PATH_SEP) -> DataFrame:
     return levels_df.select(F.inline(edges)).distinct()
 
 
+# Fixed value: the parent of a root, in hexadecimal (no node has it but by a hash of zero).
+ROOT_ID = "0" * 32
+
+
+def node_id(parent: Column, label: Column) -> Column:
+    """The id of the node ``label`` under ``parent``, both ids as hexadecimal text. A parent's
+    id always has 32 digits, so two different pairs never give the same text to hash."""
+    return F.md5(F.concat(parent, label))
+
+
+def tree_nodes(levels_df: DataFrame) -> DataFrame:
+    """R-3 (a) by ids: distinct ``(level, node_id, parent_id, label)``, ids as binary(16).
+
+    ``levels_df`` holds one column per level, root first; null labels become ''. The ids
+    are chained once per row, level by level. The distinct shuffles (level, parent_id, label) after a partial
+    aggregate and hashes on all three; a node's own id follows from its parent's and is
+    worked out afterwards, so it is never shuffled.
+    """
+    names = levels_df.columns
+    rows, parent = levels_df, F.lit(ROOT_ID)
+    for i, n in enumerate(names[:-1]):  # one projection a level: an id is worked out once
+        rows = rows.withColumn(f"_id{i}", node_id(parent, _label(F.col(f"`{n}`"))))
+        parent = F.col(f"_id{i}")
+    edges = F.array(*[F.struct(F.lit(i + 1).alias("level"),
+                               F.unhex(F.col(f"_id{i - 1}") if i else F.lit(ROOT_ID)).alias("parent_id"),
+                               _label(F.col(f"`{n}`")).alias("label")) for i, n in enumerate(names)])
+    distinct = rows.select(F.inline(edges)).distinct()
+    own = F.unhex(node_id(F.lower(F.hex("parent_id")), F.col("label")))
+    return distinct.select("level", own.alias("node_id"), "parent_id", "label")
+
+
+def node_paths(nodes: DataFrame, depth: int, sep: str = PATH_SEP) -> DataFrame:
+    """``tree_edges`` from ``tree_nodes``: (level, parent_path, label), for those who need the
+    text. Each level is joined to the one above it by id; the join is split by AQE where a
+    parent has very many children."""
+    above = nodes.where("level = 1").select("node_id", F.lit("").alias("parent_path"), "label")
+    out = above.select(F.lit(1).alias("level"), "parent_path", "label")
+    for level in range(2, depth + 1):
+        parents = above.select(F.col("node_id").alias("parent_id"), F.col("label").alias("_label") if level == 2 else
+                               F.concat_ws(sep, "parent_path", "label").alias("_label"))
+        above = nodes.where(F.col("level") == level).join(parents, "parent_id").select(
+            "node_id", F.col("_label").alias("parent_path"), "label")
+        out = out.unionByName(above.select(F.lit(level).alias("level"), "parent_path", "label"))
+    return out
+
+
 def tree_json_fragments(levels_df: DataFrame) -> DataFrame:
     """R-3 (b): ``(path, fragment)``; ``'{' + concat(fragments ordered by path) + '}'``
     is the nested document ``{root: {child: {... {leaf: {}}}}}``.

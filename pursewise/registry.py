@@ -258,6 +258,19 @@ def _sql_tree(view_name: str, levels, filters=None) -> str:
         + "\nunion\n".join(parts), view_name)
 
 
+def _sql_nodes(view_name: str, levels, filters=None) -> str:
+    """The nodes of the tree with their ids, chained from the root, in plain SQL."""
+    labs = ", ".join(f"coalesce(cast({_sql_label(lv)} as varchar), '') as l{i + 1:02d}"
+                     for i, lv in enumerate(levels))
+    ctes = [f"n00 as (select *, '{TR.ROOT_ID}' as i00 from (select distinct {labs} from {view_name} "
+            f"where true{O.sql_filters(filters)}))"]
+    for i in range(1, len(levels) + 1):
+        ctes.append(f"n{i:02d} as (select *, md5(concat(i{i - 1:02d}, l{i:02d})) as i{i:02d} from n{i - 1:02d})")
+    parts = [f"select {i} as level, i{i:02d} as node_id, i{i - 1:02d} as parent_id, l{i:02d} as label from n{len(levels):02d}"
+             for i in range(1, len(levels) + 1)]
+    return O.oracle_with("with " + ",\n".join(ctes) + "\n" + "\nunion\n".join(parts), view_name)
+
+
 def _sql_unique(view_name: str, heads) -> str:
     parts = [f"select '{HE.level_name(h)}' as head, cast({_sql_label(h)} as varchar) as value "
              f"from {view_name}" for h in heads]
@@ -274,8 +287,19 @@ def _heads_flat(spark, sf):
 
 
 def _reg_tree(name, view_name, levels, filters=None):
-    register(name, _sql_tree(view_name, levels, filters))(
-        lambda spark, sf: HE.heads_tree(view(spark, sf, view_name), levels, filters))
+    def run(spark, sf):
+        nodes = HE.heads_tree(view(spark, sf, view_name), levels, filters)
+        ids = {c: F.lower(F.hex(c)) for c in ("node_id", "parent_id")}  # as text, for comparing
+        return nodes.withColumns(ids)
+    register(name, _sql_nodes(view_name, levels, filters))(run)
+
+
+@register("heads_tree_paths", _sql_tree("allocation", HE.ALLOCATION_HEADS))
+def _heads_tree_paths(spark, sf):
+    """H-2 with the text of every path, from the stored nodes of the tree."""
+    path = scratch(spark, "head-tree")
+    HE.heads_tree(view(spark, sf, "allocation"), HE.ALLOCATION_HEADS).write.partitionBy("level").parquet(path)
+    return TR.node_paths(spark.read.parquet(path), len(HE.ALLOCATION_HEADS))
 
 
 _reg_tree("heads_tree_codes", "allocation", HE.ALLOCATION_HEADS)

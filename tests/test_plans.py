@@ -62,7 +62,7 @@ def test_partial_sums_before_any_exchange(spark):
 def test_edge_distinct_hashes_on_the_whole_edge(spark):
     plan = _plan(spark, "heads_tree_codes")
     hashed = [l for l in plan.splitlines() if "Exchange hashpartitioning(level" in l]
-    assert hashed and all("parent_path" in l and "label" in l for l in hashed), hashed
+    assert hashed and all("parent_id" in l and "label" in l and "path" not in l for l in hashed), hashed
 
 
 def test_tree_document_reads_the_facts_once(spark):

@@ -6,7 +6,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from pursewise.operators.tree import tree_edges, tree_json_fragments, write_tree_json
+from pursewise.operators.tree import ROOT_ID, node_paths, tree_edges, tree_json_fragments, tree_nodes, write_tree_json
 from pursewise.operators.heads import label_rows, RECEIPT_LEVELS
 from pursewise.sources.fixtures import view
 from conftest import SF_SMALL
@@ -38,6 +38,23 @@ def test_edges_match_brute_force(spark):
     assert got == want
 
 
+def test_nodes_have_one_id_each_and_give_the_paths_back(spark):
+    rows = [("a", "b", "c"), ("a", "b", "c"), ("a", None, "c"), ("a", "", "d"), ("b", "a", "c"), ("ab", "", "c"),
+            (None, None, None), ("", "x", "a\u001f")]
+    lv = spark.createDataFrame(rows, "l1 string, l2 string, l3 string")
+    nodes = tree_nodes(lv)
+    got = nodes.collect()
+    assert len({(r["level"], bytes(r["node_id"])) for r in got}) == len(got)  # an id is a node's own
+    assert all(len(r["node_id"]) == 16 for r in got)
+    known = {1: {bytes.fromhex(ROOT_ID)}}
+    for r in got:
+        known.setdefault(r["level"] + 1, set()).add(bytes(r["node_id"]))
+    assert all(bytes(r["parent_id"]) in known[r["level"]] for r in got)
+    want = sorted(map(tuple, tree_edges(lv).collect()))
+    assert sorted(map(tuple, node_paths(nodes, 3).collect())) == want
+    assert tree_nodes(lv.where("false")).count() == 0
+
+
 def test_nested_document_matches_brute_force(spark):
     lv = _levels(spark)
     rows = [tuple(r) for r in lv.collect()]
