@@ -121,6 +121,20 @@ def build_dimensions(df: DataFrame, path: str, heads: Sequence[str] = DIMENSION_
      .write.mode("overwrite").partitionBy("head").parquet(path))
 
 
+def load_dimensions(df: DataFrame, path: str, heads: Sequence[str] = DIMENSION_HEADS) -> None:
+    """H-12, incremental: append the values of ``df`` that are not stored yet, head by head.
+
+    One pass over the new rows, then an anti-join of their distinct values with the stored
+    ones; stored values are read (two columns) and never written again. A load that failed can
+    be repeated: what it stored is found. Loads of one path run one after the other. The
+    first load is ``build_dimensions``.
+    """
+    known = df.sparkSession.read.schema("value string, head string").parquet(path)
+    found = unique_heads(df, heads)
+    unseen = found.join(known, (found["head"] == known["head"]) & found["value"].eqNullSafe(known["value"]), "left_anti")
+    unseen.hint("rebalance", "head").write.mode("append").partitionBy("head").parquet(path)
+
+
 def read_dimensions(spark, path: str, heads: Sequence[str] | None = None) -> DataFrame:
     """H-12: read the stored values; a head filter prunes partitions (directories)."""
     df = spark.read.parquet(path)

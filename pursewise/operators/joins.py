@@ -17,7 +17,7 @@ AWARD_COLUMNS = ("ocid", "id", "date", "parties/0/roles", "awards/0/id", "awards
 
 def awards_with_tenders(awards: DataFrame, tenders: DataFrame,
                         award_columns: Sequence[str] = AWARD_COLUMNS,
-                        key: str = "ocid", class_col: str = CLASS_COLUMN) -> DataFrame:
+                        key: str | Sequence[str] = "ocid", class_col: str = CLASS_COLUMN) -> DataFrame:
     """J-1: awards LEFT JOIN tenders ON ocid WHERE classification <> ''.
 
     The predicate on the right side makes the outer join an inner one, so it is written
@@ -26,6 +26,7 @@ def awards_with_tenders(awards: DataFrame, tenders: DataFrame,
     the planner's size check, else a shuffled sort-merge join, split by AQE on a skewed
     ocid) is left to the optimizer.
     """
-    t = classified(tenders, class_col).select(F.col(f"`{key}`").alias("_tkey"))
-    joined = awards.join(t, awards[f"`{key}`"] == t["_tkey"], "inner")
+    keys = [key] if isinstance(key, str) else list(key)
+    t = classified(tenders, class_col).select(*[F.col(f"`{k}`").alias(f"_tkey{i}") for i, k in enumerate(keys)])
+    joined = awards.join(t, [awards[f"`{k}`"] == t[f"_tkey{i}"] for i, k in enumerate(keys)], "inner")
     return joined.select(*[awards[f"`{c}`"] for c in award_columns])

@@ -28,6 +28,7 @@ from pursewise.session import scratch
 from pursewise.sources import captured as CA
 from pursewise.sources import manifest as MF
 from pursewise.sources import io as IO
+from pursewise.sources import stores as ST
 from pursewise.sources.fixtures import BASE_TABLES, load_tables, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,6 +152,15 @@ register("filter_payload_in_quoted", _filter_rows_sql(FILTERS_ONE))(_filter_rows
 register("filter_quoted_in", _filter_rows_sql(FILTER_SINGLE, True))(_filter_rows(FILTER_SINGLE, True))
 
 
+@register("filter_payload_in_clustered", _filter_rows_sql(FILTERS_ONE))
+def _filter_clustered(spark, sf):
+    """F-2 on the spending facts stored in clusters of their heads: row groups are skipped."""
+    path = scratch(spark, "spending-clustered")
+    ST.write_clustered(view(spark, sf, "spending"), path, ("major", "district", "ddo_code", "demand"))
+    df = FI.apply_filters(spark.read.parquet(path), FILTERS_ONE)
+    return df.select("district", "major", "sub_major", "soe_description", "transdate", F.col("gross").cast("double").alias("gross"))
+
+
 @register("filter_classified", O.oracle_with(
     "select ocid, \"tender/classification/id\" as class_id from tenders where \"tender/classification/id\" != ''", "tenders"))
 def _filter_classified(spark, sf):
@@ -175,6 +185,15 @@ def _awards(spark, sf):
     return out.withColumn("awards/0/value/amount", F.col("`awards/0/value/amount`").cast("double"))
 
 
+@register("awards_with_tenders_stored", ORACLES["awards_with_tenders"])
+def _awards_stored(spark, sf):
+    """J-1 on tables bucketed by ocid: no exchange."""
+    names = ST.store_awards_and_tenders(view(spark, sf, "awards"), view(spark, sf, "tenders"), scratch(spark, "procurement"),
+                                        int(spark.conf.get("spark.sql.shuffle.partitions")))
+    out = ST.stored_awards_with_tenders(spark, *names)
+    return out.withColumn("awards/0/value/amount", F.col("`awards/0/value/amount`").cast("double"))
+
+
 @register("expenditure_summary", O.oracle_with(
     "select demand, demand_description, cast(sanction_previous as double) as sanction_previous, "
     "cast(sanction_current as double) as sanction_current, "
@@ -746,6 +765,18 @@ def _head_dimensions(spark, sf):
     return HE.read_dimensions(spark, path, HE.DIMENSION_HEADS)
 
 
+@register("head_dimensions_loaded", _sql_unique("spending", HE.DIMENSION_HEADS))
+def _head_dimensions_loaded(spark, sf):
+    """Built from the rows up to 1995, then loaded with the later ones and with all of them again."""
+    path = scratch(spark, "dimensions")
+    rows = view(spark, sf, "spending")
+    early = F.coalesce(F.col("transdate") < F.lit("1996-01-01").cast("date"), F.lit(False))
+    HE.build_dimensions(rows.where(early), path)
+    HE.load_dimensions(rows.where(~early), path)
+    HE.load_dimensions(rows, path)
+    return HE.read_dimensions(spark, path, HE.DIMENSION_HEADS)
+
+
 @register("head_dimensions_pruned", O.oracle_with(
     "select distinct 'ddo_code' as head, ddo_code as value from spending "
     "union select distinct 'district', district from spending", "spending"))
