@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 import zlib
+from collections import Counter
 from fractions import Fraction
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -56,20 +57,40 @@ def targets(sizes):
     return out
 
 
+def drawn_slots(quotas, slots):
+    """Source of each slot of the mix: the slot's point (its bits behind the binary point, in
+    reverse) looked up in the cumulative quotas, in whole numbers."""
+    borders, upto = [], 0
+    for s in sorted((s for s in quotas if s is not None)) + [s for s in quotas if s is None]:
+        upto += quotas[s]
+        borders.append((upto, s))
+    out = []
+    for t in range(slots):
+        digits = bin(t)[2:]  # the point is reversed(digits) / 2 ** len(digits)
+        at = int(digits[::-1], 2) * upto
+        out.append(next(s for border, s in borders if at < border << len(digits)))
+    return out
+
+
 def taken(rows, seed):
-    """Words taken of each (doc_id, source, size) row."""
+    """Words taken of each (doc_id, source, size, text) row (mixes of at most 2 ** 20 words: a slot
+    is one word)."""
     sizes = {}
-    for _, s, n in rows:
+    for _, s, n, _ in rows:
         sizes[s] = sizes.get(s, 0) + n
     goal = targets(sizes)
+    quotas = {s: min(math.floor(goal[s] + 0.5), 3 * n) for s, n in sizes.items()}
+    assert sum(quotas.values()) <= 2 ** 20
+    drawn = Counter(drawn_slots(quotas, sum(quotas.values())))
     out = {}
     for source, size in sizes.items():
-        quota = min(math.floor(goal[source] + 0.5), 3 * size)
-        mine = sorted((hashlib.md5(f"{seed}:{'null' if d is None else d}".encode()).hexdigest(), n, i)
-                      for i, (d, s, n) in enumerate(rows) if s == source)
+        ends = min(drawn[source], 3 * size)
+        text_key = lambda t: "null" if t is None else hashlib.md5(t.encode()).hexdigest()
+        mine = sorted((hashlib.md5(f"{seed}:{'null' if d is None else d}:{text_key(t)}".encode()).hexdigest(), n, i)
+                      for i, (d, s, n, t) in enumerate(rows) if s == source)
         at = 0
         for _, n, i in mine:
-            out[i] = sum(max(0, min(at + n, quota - p * size) - at) for p in range(3)) if size else 0
+            out[i] = sum(max(0, min(at + n, ends - p * size) - at) for p in range(3)) if size else 0
             at += n
     return [out[i] for i in range(len(rows))], goal
 

@@ -47,7 +47,7 @@ def test_pipeline_matches_brute_force(spark):
     root, _ = brute.components([r.text for r in rows])
     rows = [r for i, r in enumerate(rows) if root[i] == i]
     size = [len(brute.WORD.findall(r.text)) for r in rows]
-    took, _ = brute.taken([(r.doc_id, r.source, n) for r, n in zip(rows, size)], SEED)
+    took, _ = brute.taken([(r.doc_id, r.source, n, r.text) for r, n in zip(rows, size)], SEED)
     sp = sentencepiece.SentencePieceProcessor(model_proto=vocabulary(PIECE_BPE))
     want = sorted((r.doc_id, r.lang, r.source, r.n_chars, tuple(sp.encode(r.text)))
                   for r, n, k in zip(rows, size, took) for _ in range(-(-k // n)))
@@ -80,7 +80,7 @@ def test_pipeline_drops_boilerplate_lines(spark, tmp_path):
     assert root[37] == 2
     left = [(d, s, t) for i, ((d, s, _), t) in enumerate(zip(triples, texts)) if root[i] == i]
     size = [len(brute.WORD.findall(t)) for _, _, t in left]
-    took, _ = brute.taken([(d, s, n) for (d, s, _), n in zip(left, size)], SEED)
+    took, _ = brute.taken([(d, s, n, t) for (d, s, t), n in zip(left, size)], SEED)
     sp = sentencepiece.SentencePieceProcessor(model_proto=vocabulary(PIECE_BPE))
     want = sorted((d, s, len(t), tuple(sp.encode(t))) for (d, s, t), n, k in zip(left, size, took) for _ in range(-(-k // n)))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
