@@ -35,7 +35,7 @@ TABLES, PROBES = 12, 24
 PROBED = 100_000
 #: Vectors of an average bucket; rows of one block of a bucket, queries of one block.
 ROWS, BLOCK, QUERIES = 256, 4096, 1024
-#: Norm ranges at most; the last one holds all that is shorter.
+#: Norm ranges that hold vectors, at most; the last one holds all that is shorter.
 RANGES = 32
 #: Pairs whose products are computed again at a time.
 PAIRS = 50_000
@@ -116,8 +116,20 @@ def _vectors(packed, dim: int, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(packed), kind).reshape(-1, dim).astype(np.float64)
 
 
+def _lengths(x: np.ndarray) -> np.ndarray:
+    """log2 of the rows' norms, by way of their largest components: no square over- or underflows."""
+    most = np.abs(x).max(axis=1)
+    return np.log2(most) + 0.5 * np.log2(((x / most[:, None]) ** 2).sum(axis=1))
+
+
+def _scaled(x: np.ndarray, log_length) -> np.ndarray:
+    """``x / 2 ** log_length``, in two steps: the power itself may be out of range."""
+    half = np.exp2(np.asarray(log_length) / 2)
+    return x / half / half
+
+
 def clean_vectors(rows: DataFrame) -> DataFrame:
-    """vec_id, v (the components packed, see ``_kind``), dim, norm of usable vectors.
+    """vec_id, v (the components packed, see ``_kind``), dim, norm (its log2) of usable vectors.
 
     Null, empty or zero vectors and those with a null or non-finite component are left out,
     as are rows without an id.
@@ -131,13 +143,12 @@ def clean_vectors(rows: DataFrame) -> DataFrame:
                 if i is None or not e or None in e:
                     continue
                 x = np.array(e, "<f8") + 0.0  # no negative zeros: equal vectors have equal bytes
-                norm = math.sqrt(float((x * x).sum()))
-                if not np.isfinite(x).all() or not x.any() or not math.isfinite(norm):
+                if not np.isfinite(x).all() or not x.any():
                     continue
                 ids.append(i)
                 packed.append(x.astype(kind).tobytes())
                 dims.append(len(x))
-                norms.append(norm)
+                norms.append(float(_lengths(x[None])[0]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary()), pa.array(dims, pa.int32()),
                                               pa.array(norms, pa.float64())], names=["vec_id", "v", "dim", "norm"])
 
@@ -146,7 +157,7 @@ def clean_vectors(rows: DataFrame) -> DataFrame:
 
 
 def norm_ranges(sizes: dict[int, int], dim: int, top: float, tables: int, probes: int) -> dict[int, tuple]:
-    """Range -> (hashes, scale M, probes), from the vectors of each range.
+    """Range -> (hashes, log2 of its scale M, probes), from the vectors of each range.
 
     A range whose buckets are all probed needs one table only.
     """
@@ -155,18 +166,18 @@ def norm_ranges(sizes: dict[int, int], dim: int, top: float, tables: int, probes
         hashes, count = CrossPolytopes(dim, -(-n // ROWS), tables), math.ceil(probes * math.sqrt(max(1, n / PROBED)))
         if math.prod(2 * axes for axes in hashes.axes) <= count:
             hashes = CrossPolytopes(dim, -(-n // ROWS), 1)
-        out[r] = hashes, top * 2 ** (-r / 2), count
+        out[r] = hashes, top - r / 2, count
     return out
 
 
 def _range_of(norm, top: float):
-    """Range of a norm: 0 for the largest, the next for each factor of sqrt(2) below."""
-    return F.least(F.floor(2 * F.log2(F.lit(top) / norm)), F.lit(RANGES - 1)).cast("int")
+    """Range of a norm (as its log2): 0 for the largest, the next for each factor of sqrt(2) below."""
+    return F.floor(2 * (F.lit(top) - norm)).cast("int")
 
 
 def indexed(x: np.ndarray, top: float) -> np.ndarray:
-    """Rows with norms up to ``top`` as unit vectors with one more component."""
-    x = x / top
+    """Rows with norms up to ``2 ** top`` as unit vectors with one more component."""
+    x = _scaled(x, top)
     return np.column_stack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))])
 
 
@@ -184,7 +195,7 @@ def _hash_rows(rows: DataFrame, ranges: dict[int, tuple], dim: int, tables: int,
                     here = np.arange(len(x)) if queries else np.flatnonzero(mine == r)
                     if not len(here):
                         continue
-                    unit = x / np.sqrt((x * x).sum(axis=1))[:, None] if queries else indexed(x[here], top)
+                    unit = _scaled(x, _lengths(x)[:, None]) if queries else indexed(x[here], top)
                     for t in range(hashes.tables):
                         codes = hashes.probes(unit, t, probes) if queries else hashes.codes(unit, t)[:, None]
                         at_row = np.repeat(here, codes.shape[1])
@@ -204,13 +215,16 @@ def _best(dim: int, k: int, kind: str):
                 {"query_id": "int64", "first_id": "int64", "score": "float64"})
         qv, cv = _vectors(q.v, dim, kind), _vectors(c.v, dim, kind)
         ids, queries = c.id.to_numpy(), q.id.to_numpy()
-        product, take = qv @ cv.T, min(len(ids), k)
-        cut = np.partition(product, len(ids) - take, axis=1)[:, len(ids) - take]
-        # a matrix product rounds by its blocking: all that may tie with the last one are computed again
-        margin = 4 * dim * np.finfo(float).eps * np.sqrt((qv * qv).sum(axis=1) * (cv * cv).sum(axis=1).max())
-        row, col = np.nonzero(product >= (cut - margin)[:, None])
-        score = np.concatenate([(qv[row[i:i + PAIRS]] * cv[col[i:i + PAIRS]]).sum(axis=1)  # the same sum wherever the pair meets
-                                for i in range(0, len(row), PAIRS)])
+        with np.errstate(over="ignore", invalid="ignore", under="ignore"):
+            product, take = qv @ cv.T, min(len(ids), k)
+            known = np.isfinite(product)  # others are computed again, whatever the cut
+            cut = np.partition(np.where(known, product, -np.inf), len(ids) - take, axis=1)[:, len(ids) - take]
+            # a matrix product rounds by its blocking: all that may tie with the last one are computed again
+            margin = 4 * dim * np.finfo(float).eps * np.exp2(_lengths(qv) + _lengths(cv).max())
+            row, col = np.nonzero(~known | (product >= (cut - margin)[:, None]))
+            score = np.concatenate([(qv[row[i:i + PAIRS]] * cv[col[i:i + PAIRS]]).sum(axis=1)  # the same sum wherever the pair meets
+                                    for i in range(0, len(row), PAIRS)])
+            score[np.isnan(score)] = -np.inf
         order = np.lexsort((ids[col], -score, row))
         first = np.searchsorted(row, np.arange(len(queries)))  # row is sorted
         order = order[np.arange(len(row)) - first[row] < take]
@@ -243,7 +257,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int = TABLES, pro
 
     ``vectors``: vec_id, embedding (array of float or double); ``is_query``: a condition on
     vec_id. Returns query_id, rank (from 1), vec_id, score, nearest first, ties to the smaller
-    vec_id; a query's own row is no candidate. Vectors that are null, empty, zero or hold null
+    vec_id; a query's own row is no candidate. Components of any finite size take part: a product
+    beyond a double's range scores infinite, one without a value (infinities of both signs) minus
+    infinite. Vectors that are null, empty, zero or hold null
     or non-finite components take no part, nor do rows without an id; vectors of another
     dimension than the query meet only their own kind. Repeated rows of an id count once (of
     different vectors under one id the first in byte order). With fewer than k other rows all
@@ -268,8 +284,13 @@ def _nearest(rows: DataFrame, dim: int, n: int, top: float, is_query, k: int, ta
     place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     listed = stored(rows.select("vec_id", "v", _range_of(F.col("norm"), top).alias("range")).withColumn("place", place).where(F.col("place") <= k + 1), "ann-classes")
     index = listed.where("place = 1").select(F.col("vec_id").alias("id"), "v", "range")
+    # one row per factor of sqrt(2) between the least and the greatest double: at most some 4,200
+    counts = sorted((r["range"], r["n"]) for r in index.groupBy("range").agg(F.count(F.lit(1)).alias("n")).collect())
+    last = counts[min(len(counts), RANGES) - 1][0]  # ranges without vectors do not count
+    sizes = dict(counts[:RANGES])
+    sizes[last] += sum(n for _, n in counts[RANGES:])
+    index = index.withColumn("range", F.least("range", F.lit(last)))
     queries = rows.where(is_query).select(F.col("vec_id").alias("id"), "v", F.lit(0).alias("range"))
-    sizes = {r["range"]: r["n"] for r in index.groupBy("range").agg(F.count(F.lit(1)).alias("n")).orderBy("range").collect()}
     ranges = norm_ranges(sizes, dim, top, tables, probes)
     vectors = rows.select(F.col("vec_id").alias("id"), "v")
     cells = (_hash_rows(index, ranges, dim, tables, False, kind).withColumn("is_query", F.lit(False))

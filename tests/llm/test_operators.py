@@ -127,8 +127,48 @@ def test_one_long_row_costs_no_recall(spark):
 
 
 def test_probes_follow_the_number_of_vectors():
-    ranges = ann_crosspolytope.norm_ranges({0: 400_000, 1: 50_000, 2: 3_000}, 64, 2.0, 12, 24)
-    assert [(h.tables, round(m, 6), p) for h, m, p in ranges.values()] == [(12, 2.0, 48), (12, 1.414214, 24), (1, 1.0, 24)]
+    ranges = ann_crosspolytope.norm_ranges({0: 400_000, 1: 50_000, 2: 3_000}, 64, 1.0, 12, 24)
+    assert [(h.tables, m, p) for h, m, p in ranges.values()] == [(12, 1.0, 48), (12, 0.5, 24), (1, 0.0, 24)]
+
+
+def test_vectors_of_any_finite_size_take_part(spark):
+    r = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in r.normal(size=6)]) for i in range(400)]
+    rows += [(400, [1e-200, 2e-200, 0.0, 0.0, 0.0, 1e-200]), (420, [5e-324, 0.0, 0.0, 0.0, 0.0, 0.0]), (440, [1e200, -2e200, 0.0, 1e200, 0.0, 0.0]),
+             (460, [-1e200, 2e200, 1e200, 0.0, 0.0, 0.0]), (461, [1.7e308] * 6)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann_crosspolytope.nearest(frame, F.col("vec_id") % 20 == 0, 20).collect()
+    with np.errstate(over="ignore", invalid="ignore"):
+        ok = {i: np.array(v) for i, v in rows}
+        want = {}
+        for q in range(0, 480, 20):
+            if q in ok:
+                scores = {c: float((ok[q] * ok[c]).sum()) for c in ok if c != q}
+                scores = {c: -math.inf if math.isnan(x) else x for c, x in scores.items()}
+                want[q] = sorted(((-x, c) for c, x in scores.items()))[:20]
+    found = {}
+    for g in sorted(got, key=lambda g: (g.query_id, g["rank"])):
+        found.setdefault(g.query_id, []).append((-g.score, g.vec_id))
+    assert set(found) == set(want) and all(len(x) == 20 for x in found.values())
+    hit = sum(len(set(found[q]) & set(want[q])) for q in want)
+    assert hit >= 0.9 * 20 * len(want), hit / len(want)
+    # the long vectors lead wherever they are near, with their exact products
+    assert all({c for _, c in want[q] if c in (440, 460, 461)} <= {c for _, c in found[q]} for q in want)
+
+
+def test_two_dimensions_and_an_id_with_two_vectors(spark):
+    r = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in r.normal(size=4 if i % 3 else 7)]) for i in range(120)]
+    frame = spark.createDataFrame(rows + [(40, [0.5] * 4), (60, rows[60][1])], "vec_id long, embedding array<double>")
+    got = ann_crosspolytope.nearest(frame, F.col("vec_id") % 20 == 0, 20).collect()
+    pack = lambda v: np.array(v, "<f8").tobytes()
+    one = dict(rows)
+    one[40] = min(one[40], [0.5] * 4, key=pack)  # of two vectors the first in byte order
+    for q in range(0, 120, 20):
+        same = [(c, v) for c, v in one.items() if len(v) == len(one[q])]
+        want = _brute_nearest(same, [q], 20)[q]
+        assert [(g.vec_id, round(g.score, 12)) for g in sorted(got, key=lambda g: g["rank"]) if g.query_id == q] == [
+            (c, round(s, 12)) for c, s in want]
 
 
 def test_distinct_tied_vectors_go_by_id(spark):
