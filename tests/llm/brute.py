@@ -272,3 +272,80 @@ def spelling(counts):
             root = form[root]
         out[w] = (form[w], root, counts[w], len(near[w]), counts[form[w]] if form[w] else None)
     return out
+
+
+# ------------------------------------------------------------------ main text of well-formed pages
+
+def main_text(page, tree, op):
+    """Main text of a page without entities or missing end tags: one pass over its tags."""
+    stack, blocks, text, linked, link = [], [], "", "", 0
+    controls = {}
+    leaf = {"p", "li", "h1", "h2", "blockquote"}
+
+    def outer():
+        for depth in range(len(stack), 0, -1):
+            if stack[depth - 1][0] not in leaf:
+                return stack[depth - 1][1], stack[depth - 1][0]
+        return 0, ""
+
+    def end_block():
+        nonlocal text, linked
+        if text.split():
+            tags = [s[0] for s in stack]
+            content = any(s[2] for s in stack)
+            blocks.append({"text": " ".join(text.split()), "words": len(text.split()), "linked": len(linked.split()),
+                           "parent": outer()[0], "in_content": content, "in_furniture": any(s[3] for s in stack),
+                           "heading": tags[-1] in ("h1", "h2"), "list_item": "li" in tags[-3:], "paragraph": tags[-1] == "p"})
+        text = linked = ""
+
+    serial, hidden = 0, ""
+    for tag, data in re.findall(r"<([^>]*)>|([^<]+)", page):
+        if data:
+            if not hidden:
+                text += data
+                linked += data if link else ""
+            continue
+        name = re.match(r"/?(\w+)", tag).group(1)
+        if hidden:
+            hidden = "" if tag == "/" + hidden else hidden
+            continue
+        if name in ("input", "button", "select") and not tag.startswith("/"):
+            number, around = outer()
+            if around not in ("article", "main"):
+                controls[number] = controls.get(number, 0) + 1
+            hidden = "" if name == "input" else name
+        elif name == "a":
+            link += -1 if tag.startswith("/") else 1
+        elif name == "label":
+            continue
+        elif tag.startswith("/"):
+            end_block()
+            while stack.pop()[0] != name:
+                pass
+        else:
+            end_block()
+            link, serial = 0, serial + 1
+            kind = re.search(r'class="([^"]*)"', tag)
+            words = set(re.findall("[a-z]+", kind.group(1))) if kind else set()
+            inside = any(s[2] for s in stack)
+            known = bool(words & op._FURNITURE)
+            content = name in ("article", "main") or (name in ("div", "section") and not known and bool(words & op._CONTENT))
+            furniture = known or name in ("nav", "footer", "aside", "form") or (name == "header" and not inside)
+            stack.append((name, serial, content, furniture))
+    out = []
+    for i, b in enumerate(blocks):
+        row = {k: float(b[k]) for k in ("words", "in_content", "heading", "list_item", "paragraph")}
+        row["links"] = b["linked"] / b["words"]
+        for step, end in ((1, ""), (2, "_2")):
+            for where, j in (("before", i - step), ("after", i + step)):
+                other = blocks[j] if 0 <= j < len(blocks) else None
+                row[f"words_{where}{end}"] = other["words"] if other else 0
+                row[f"links_{where}{end}"] = other["linked"] / other["words"] if other else 0
+        row["parent_words"] = sum(o["words"] for o in blocks if o["parent"] == b["parent"])
+        row["parent_controls"] = controls.get(b["parent"], 0)
+        node = tree
+        while not isinstance(node, bool):
+            node = node[2] if row[op.FEATURES[node[0]]] <= node[1] else node[3]
+        if node and not b["in_furniture"]:
+            out.append(b["text"])
+    return "\n\n".join(out)

@@ -250,13 +250,57 @@ def test_main_text_of_broken_and_plain_pages(spark):
     for i, want in enumerate(pages.values()):
         assert by_id[i].text == want and by_id[i].n_chars == len(want)
     assert got.count() == len(rows) and html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
-    x, y = html_text.labelled_blocks()
-    half = html_text.train(x[::2], y[::2])
-    assert (html_text.is_content(half, x[1::2]) == y[1::2]).mean() > 0.95
+    x, y = html_text.labelled_blocks(200, seed=5)  # held out
+    assert (html_text.is_content(tree, x) == y).mean() > 0.95
     deep = "<div>" * 20_000 + "x" + "</div>" * 20_000
     assert isinstance(html_text.main_text(deep + f"<article><p>{long}</p></article>", tree), str)
 
 
+def test_main_text_where_names_and_end_tags_say_nothing():
+    tree = html_text.train(*html_text.labelled_blocks())
+    long = " ".join(["word"] * 40)
+    for page, want in {
+        f"<button>Menu<article><p>{long}</p><p>Short.</p></article>": f"{long}\n\nShort.",
+        f"<article><p>{long}</p><select><option>a<option>b<p>Second words here.</p></article>": f"{long}\n\nSecond words here.",
+        f"<article><div><button>Open</div><p>{long}</p></article>": long,
+        f"<article><button>One<div>Two</div></button><noscript><p>Enable it</p></noscript><p>{long}</p></article>": long,
+        f"<article><h1>T</h1><h2 id='share-prices'>Share prices</h2><p>{long}</p><h2 id='related-work'>Related</h2><p id='tags'>Tags text.</p></article>":
+            f"T\n\nShare prices\n\n{long}\n\nRelated\n\nTags text.",
+        f"<article><p>{long}</p><section id='share-prices'><p>They rose.</p></section><div id='comments-list'><p>Nice!</p></div></article>": f"{long}\n\nThey rose.",
+        f"<body><div><h1>A title of it</h1><p>{long}</p><p>Short one.</p><p>{long}</p></div><footer>x</footer></body>": f"A title of it\n\n{long}\n\nShort one.\n\n{long}",
+        f"<body><div><p>{long}</p><p>{long}</p></div><div class='box7'><p>Get our news by mail.</p><input name=e><button>Go</button></div></body>": f"{long}\n\n{long}",
+        f"<article><p>{long}</p><div class='box7'><p>Get our news by mail.</p><input name=e></div><p>{long}</p></article>": f"{long}\n\n{long}",
+        "<nav><a href=x>H</a></nav><article><p>a</p></article><footer>c</footer>": "a",
+        f"<article><h2><a href=x>Title link</a></h2><p>{long}</p></article>": f"Title link\n\n{long}",
+    }.items():
+        assert html_text.main_text(page, tree) == want, page
+
+
+def test_main_text_tree_reads_the_neighbours(spark, corpus):
+    """Shuffled neighbour figures must cost accuracy on pages whose names say nothing."""
+    tree = html_text.train(*html_text.labelled_blocks())
+
+    def used(t):
+        return set() if isinstance(t, bool) else {html_text.FEATURES[t[0]]} | used(t[2]) | used(t[3])
+
+    assert {"words", "links"} <= used(tree)
+    assert any(f.startswith("words_") for f in used(tree)) and any(f.startswith("links_") for f in used(tree))
+    plain = [html_text.parsed(p) for p in html_text.labelled_pages(200, seed=5)[1::2]]
+    x = np.vstack([html_text.features(p)[~html_text.named_furniture(p)] for p in plain])
+    y = np.array([m == "content" for p in plain for m, out in zip(p.marks, html_text.named_furniture(p)) if not out])
+    mixed = x.copy()
+    mixed[:, 2:10] = np.random.default_rng(1).permutation(x[:, 2:10])
+    right = (html_text.is_content(tree, x) == y).mean()
+    assert right > 0.95 and (html_text.is_content(tree, mixed) == y).mean() < right - 0.01
+
+
+def test_main_text_matches_brute_force():
+    """Well-formed pages: a plain scan of the tags, figures by loops, the tree walked block by block."""
+    tree = html_text.train(*html_text.labelled_blocks())
+    for page in html_text.labelled_pages(80, seed=23):
+        assert html_text.main_text(page, tree) == brute.main_text(page, tree, html_text), page
+
+
 # ------------------------------------------------------------------ 4
 
 def test_near_duplicates_match_brute_force(spark, corpus, docs, none):
