@@ -16,8 +16,9 @@ from pursewise.llm.common import BLANKS, LOWER, UPPER, bound, stored
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
-#: A line is boilerplate of a host when more documents of the host hold it than both limits.
-MIN_LINE_DOCS, LINE_DOCS_PERCENT = 10, 10
+#: A line is boilerplate of a host when more distinct documents of the host hold it. The limit is
+#: a number and no share, so that a line's lot does not depend on what else the host holds.
+MAX_LINE_DOCS = 10
 #: Documents that keep a smaller percentage of their words are rejected.
 MIN_KEPT_PERCENT = 30
 
@@ -110,18 +111,14 @@ def boilerplate_words(rows: DataFrame) -> DataFrame:
 
     ``rows``: doc_id, source, text_hash, has_text, lines (``_line_hashes``), as a stored table.
     Documents of a host count once per distinct text. The counts are pre-aggregated in the
-    map tasks; only lines above the limits meet the documents again.
+    map tasks; only lines above the limit meet the documents again.
     """
     rows = rows.where("has_text").select("doc_id", F.col("source").alias("host"), "text_hash", "lines")
     lines = rows.select("doc_id", "host", "text_hash", F.explode("lines").alias("l")).select(
         "doc_id", "host", "text_hash", "l.at", "l.line", "l.words")
-    per_line = (lines.select("host", "line", "text_hash").distinct()
-                .groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > MIN_LINE_DOCS))
-    per_host = rows.select("host", "text_hash").distinct().groupBy(F.col("host").alias("h")).agg(
-        F.count(F.lit(1)).alias("host_docs"))
-    above = (per_line.join(per_host, F.col("host").eqNullSafe(F.col("h")))
-             .where(100 * F.col("n_docs") > LINE_DOCS_PERCENT * F.col("host_docs"))
-             .select("h", F.col("line").alias("l")))
+    above = (lines.select("host", "line", "text_hash").distinct()
+             .groupBy(F.col("host").alias("h"), F.col("line").alias("l")).agg(F.count(F.lit(1)).alias("n_docs"))
+             .where(F.col("n_docs") > MAX_LINE_DOCS).drop("n_docs"))
     hit = lines.join(above, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")))
     # repeated rows share their key and line number, and count once
     hit = hit.groupBy("doc_id", "host", "text_hash", "at").agg(F.max("words").alias("words"))
@@ -158,26 +155,25 @@ def quality(docs: DataFrame) -> DataFrame:
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``quality`` keeps, without their host's boilerplate lines.
 
-    They have their own columns, whatever their names. A text that loses lines is its other
+    They have their own columns, whatever their names (they travel as one value). A text that loses lines is its other
     lines, blank ones too, joined again; an ``n_chars`` column then holds its new length.
     """
-    own = docs.columns
     key = F.xxhash64("text")
     lines = stored(docs.select("doc_id", "source", key.alias("text_hash"), F.col("text").isNotNull().alias("has_text"),
                                _line_hashes(F.col("text")).alias("lines")), "quality-lines")
-    gone = boilerplate_words(lines)
-    rows = docs.select("*", key.alias("__hash"), _word_counts(F.coalesce(F.col("text"), F.lit(""))).alias("__words"))
-    rows = rows.where(~_failed(F.col("__words.n_words"), F.col("__words.n_repeat_words")))
-    on = (rows["__hash"] == gone["t"]) & rows["doc_id"].eqNullSafe(gone["d"]) & rows["source"].eqNullSafe(gone["h"])
-    n, hit = rows["__words"]["n_words"], gone["gone"].isNotNull()
-    out = rows.join(gone, on, "left").where(~hit | (100 * (n - gone["removed"]) >= MIN_KEPT_PERCENT * n))
-    text = F.when(hit, _without(rows["text"], gone["gone"])).otherwise(rows["text"]).alias("text")
-    out = out.select(*[text if c == "text" else rows[c] for c in own], hit.alias("__hit"))
-    if "n_chars" not in own:
-        return out.select(*own)
-    kind = docs.schema["n_chars"].dataType
-    n_chars = F.when(F.col("__hit"), F.length("text").cast(kind)).otherwise(F.col("n_chars")).alias("n_chars")
-    return out.select(*[n_chars if c == "n_chars" else c for c in own])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), key.alias("hash"),
+                       _word_counts(F.coalesce(F.col("text"), F.lit(""))).alias("counts"))
+    n, hit = F.col("counts.n_words"), F.col("gone").isNotNull()
+    rows = rows.where(~_failed(n, F.col("counts.n_repeat_words")))
+    on = (F.col("hash") == F.col("t")) & F.col("doc.doc_id").eqNullSafe(F.col("d")) & F.col("doc.source").eqNullSafe(F.col("h"))
+    out = rows.join(boilerplate_words(lines), on, "left").where(~hit | (100 * (n - F.col("removed")) >= MIN_KEPT_PERCENT * n))
+    text = F.when(hit, _without(F.col("doc.text"), F.col("gone"))).otherwise(F.col("doc.text"))
+    out = out.select("doc", hit.alias("hit"), text.alias("left"))
+    own = {c: F.col(f"doc.`{c}`") for c in docs.columns} | {"text": F.col("left")}
+    if "n_chars" in own:
+        kind = docs.schema["n_chars"].dataType
+        own["n_chars"] = F.when(F.col("hit"), F.length("left").cast(kind)).otherwise(own["n_chars"])
+    return out.select(*[v.alias(c) for c, v in own.items()])
 
 
 #: The same rows in DuckDB SQL.
@@ -195,9 +191,7 @@ norm as (select rid, source, text, len(regexp_extract_all(line, '[^\x20\x09-\x0D
          regexp_replace(regexp_replace(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
            '[0-9]', '0', 'g'), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '[\x20\x09-\x0D]+', ' ', 'g') as line from l),
 freq as (select source, line, count(distinct text) as n from norm group by source, line),
-host as (select source, count(distinct text) as n from d where text is not null group by source),
-bad as (select f.source, f.line from freq f join host h on f.source is not distinct from h.source
-        where f.n > {MIN_LINE_DOCS} and 100 * f.n > {LINE_DOCS_PERCENT} * h.n),
+bad as (select source, line from freq where n > {MAX_LINE_DOCS}),
 gone as (select rid, sum(words) as n from norm join bad on norm.line = bad.line
          and norm.source is not distinct from bad.source group by rid),
 m as (select d.doc_id, len(w.ws)::bigint as n_words,

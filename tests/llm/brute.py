@@ -112,17 +112,16 @@ def _normal(line):
     return " ".join(WORD.findall(re.sub("[0-9]", "0", line.translate(LOWER))))
 
 
-def quality(rows, min_docs=10, percent=10, min_kept=30):
+def quality(rows, max_docs=10, min_kept=30):
     """(base counts, base_failed, removed words, kept) of each (doc_id, source, text) row."""
-    holds, hosts = {}, {}
+    holds = {}
     for _, s, t in rows:
         if t is None:
             continue
-        hosts.setdefault(s, set()).add(t)
         for x in t.split("\n"):
             if WORD.search(x):
                 holds.setdefault((s, _normal(x)), set()).add(t)
-    bad = {k for k, v in holds.items() if len(v) > min_docs and 100 * len(v) > percent * len(hosts[k[0]])}
+    bad = {k for k, v in holds.items() if len(v) > max_docs}
     out = []
     for _, s, t in rows:
         b = base_rules(t)
@@ -133,14 +132,13 @@ def quality(rows, min_docs=10, percent=10, min_kept=30):
     return out
 
 
-def without_boilerplate(rows, min_docs=10, percent=10):
+def without_boilerplate(rows, max_docs=10):
     """Text of each (doc_id, source, text) row without the lines that are boilerplate of its source."""
-    holds, hosts = {}, {}
+    holds = {}
     for _, s, t in rows:
-        hosts.setdefault(s, set()).add(t)
         for x in (t or "").split("\n"):
             holds.setdefault((s, _normal(x)), set()).add(t)
-    bad = {k for k, v in holds.items() if k[1] and len(v) > min_docs and 100 * len(v) > percent * len(hosts[k[0]] - {None})}
+    bad = {k for k, v in holds.items() if k[1] and len(v) > max_docs}
     return [t and "\n".join(x for x in t.split("\n") if (s, _normal(x)) not in bad) for _, s, t in rows]
 
 

@@ -600,3 +600,31 @@ def test_unigram_words_get_their_best_path():
     for w, ids in codec.encode_words(words).items():
         pieces = [codec.piece[i] for i in np.frombuffer(ids, "<i4")]
         assert "".join(pieces) == w and math.isclose(sum(vocab[p] for p in pieces), best(w))
+
+
+def test_a_line_limit_does_not_grow_with_the_host(spark):
+    r = random.Random(8)
+    nav = "home news sport weather travel"
+    rows = [(i, f"{nav}\n{sentence(r, 30, 30)}" if i < 11 else sentence(r, 30, 30), "h") for i in range(400)]
+    rows += [(1000 + i, f"{nav}\n{sentence(r, 30, 30)}", "ten") for i in range(10)]
+    out = {x.doc_id: x.n_removed_words for x in
+           line_quality.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert {out[i] for i in range(11)} == {5} and {v for k, v in out.items() if k > 10} == {0}
+
+
+def test_filtering_stages_carry_columns_of_any_name(spark):
+    names = ("__hash", "__k", "__d", "__nth", "__words", "__hit", "hash", "d", "k", "nth", "t", "h", "gone", "removed", "left",
+             "hit", "counts", "doc", "line", "host", "row_hash", "root", "cls", "n_shingles", "n_words", "a.b")
+    r = random.Random(9)
+    same, nav = sentence(r, 30, 30), "home news sport weather travel"
+    rows = [(i, f"{nav}\n{sentence(r, 30, 30)}", "h") for i in range(12)] + [(20, same, "h"), (21, same, "g"), (22, None, None), (None, "", "g")]
+    rows.append((30, "\n".join(sentence(r, 200, 200) for _ in range(500)), "h"))  # a very long text
+    wide = spark.createDataFrame([(*row, *range(len(names))) for row in rows],
+                                 "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    kept, first = line_quality.kept_documents(wide), minmax_dedup.distinct_documents(wide)
+    assert kept.columns == first.columns == wide.columns
+    kept, first = kept.collect(), first.collect()
+    assert sorted(x.doc_id for x in kept) == [*range(12), 20, 21, 30] and all(x[3:] == tuple(range(len(names))) for x in kept + first)
+    assert all(nav not in x.text for x in kept)
+    assert sorted(x.doc_id for x in first if x.doc_id is not None) == [*range(12), 20, 22, 30]
+    assert {x.text for x in kept if x.doc_id == 30} == {rows[-1][1]} == {x.text for x in first if x.doc_id == 30}
