@@ -328,16 +328,16 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     The row with the group's smallest doc_id (null ids last, then the smallest row hash);
     rows without words are kept, repeated ones once.
     """
-    own = docs.columns
     rows = _grouped(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash"))
     some = rows.where("n_shingles > 0").groupBy("root").agg(first.alias("s")).select("s.doc_id", "s.row_hash")
     none = rows.where("n_shingles = 0").select("doc_id", "row_hash").distinct()
-    kept = some.unionByName(none).select(F.col("doc_id").alias("__d"), F.col("row_hash").alias("__k"))
-    out = docs.select("*", _row_hash().alias("__hash"))
-    out = out.join(kept, (F.col("__hash") == F.col("__k")) & out["doc_id"].cast("long").eqNullSafe(F.col("__d")))
-    again = Window.partitionBy("__hash", "__d").orderBy("__hash")
-    return out.withColumn("__nth", F.row_number().over(again)).where("__nth = 1").select(*own)
+    kept = some.unionByName(none).select(F.col("doc_id").alias("d"), F.col("row_hash").alias("k"))
+    # the rows travel as one value, so their columns may have any names
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), _row_hash().alias("hash"))
+    out = out.join(kept, (F.col("hash") == F.col("k")) & F.col("doc.doc_id").cast("long").eqNullSafe(F.col("d")))
+    again = Window.partitionBy("hash", "d").orderBy("hash")
+    return out.withColumn("nth", F.row_number().over(again)).where("nth = 1").select("doc.*")
 
 
 #: The same rows in DuckDB SQL: every pair that shares a shingle, compared in full.
