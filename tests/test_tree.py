@@ -139,3 +139,13 @@ def test_records_keep_null_fields(spark):
     frags = records_json_fragments(df, "id").orderBy("s1", "pos").collect()
     assert json.loads("".join(f["fragment"] for f in frags))["records"] == [{"id": 1, "v": None}, {"id": 2, "v": "x"}]
     assert json.loads(result_json(df).orderBy("value").first()["value"]) == {"id": 1, "v": None}
+
+
+def test_combinations_with_columns_shuffle_the_columns_only(spark):
+    from pursewise.operators.heads import head_combinations
+
+    df = spark.createDataFrame([("a", "b"), ("a", "b"), (None, "a+b"), ("a+b", None)], "x string, y string")
+    out = head_combinations(df, ("x", "y"), keep_columns=True)
+    assert sorted(map(str, out.collect())) == sorted(map(str, df.distinct().selectExpr("concat_ws('+', x, y) as combination", "x", "y").collect()))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(x" in plan and "hashpartitioning(combination" not in plan
