@@ -141,6 +141,40 @@ def test_records_keep_null_fields(spark):
     assert json.loads(result_json(df).orderBy("value").first()["value"]) == {"id": 1, "v": None}
 
 
+def _shuffled_rows(df) -> int:
+    """Rows that the exchanges of ``df`` wrote when it last ran."""
+    seen = set()
+
+    def walk(node) -> int:
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(node.plan())
+        if name.startswith("ReusedExchange"):
+            return 0
+        own = 0
+        if name == "ShuffleExchangeExec" and node.id() not in seen:
+            seen.add(node.id())
+            own = node.metrics().get("shuffleRecordsWritten").get().value()
+        children = node.children()
+        return own + sum(walk(children.apply(i)) for i in range(children.size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def _deep(spark):
+    names = [f"l{i:02d}" for i in range(1, 10)]
+    return spark.range(3000).select(*[(F.col("id") % m).cast("string").alias(n) for n, m in
+                                      zip(names, (3, 5, 7, 11, 13, 17, 19, 23, 3000))])
+
+
+def test_nodes_of_the_deep_levels_are_not_shuffled(spark):
+    df = tree_nodes(_deep(spark))
+    assert len(df.collect()) > 15000
+    assert _shuffled_rows(df) < 9000  # two shuffles of the 3,000 paths, and the short prefixes
+
+
 def test_combinations_with_columns_shuffle_the_columns_only(spark):
     from pursewise.operators.heads import head_combinations
 
