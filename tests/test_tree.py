@@ -175,6 +175,25 @@ def test_nodes_of_the_deep_levels_are_not_shuffled(spark):
     assert _shuffled_rows(df) < 9000  # two shuffles of the 3,000 paths, and the short prefixes
 
 
+def test_document_of_many_levels_shuffles_few_prefixes(spark):
+    lv = _deep(spark)
+    df = tree_json_fragments(lv)
+    got = sorted(map(tuple, df.collect()))
+    assert json.loads("{" + "".join(f for _, f in got) + "}") == _brute([tuple(r) for r in lv.collect()])
+    assert _shuffled_rows(df) < 12000
+
+
+def test_one_and_two_levels_and_one_path(spark):
+    rows = [("a", "x"), ("a", "y"), ("b", "x"), (None, "x"), ("", "x"), ("a", "x")]
+    df = spark.createDataFrame(rows, "l1 string, l2 string")
+    for lv in (df, df.select("l1"), df.where("l2 = 'y'"), df.where("l2 = 'y'").select("l2")):
+        frags = tree_json_fragments(lv).orderBy("path").collect()
+        assert json.loads("{" + "".join(f["fragment"] for f in frags) + "}") == _brute([tuple(r) for r in lv.collect()])
+        want = sorted(map(tuple, tree_edges(lv).collect()))
+        assert sorted(map(tuple, node_paths(tree_nodes(lv), len(lv.columns)).collect())) == want
+        assert tree_nodes(lv).count() == len(want)
+
+
 def test_combinations_with_columns_shuffle_the_columns_only(spark):
     from pursewise.operators.heads import head_combinations
 
