@@ -327,7 +327,9 @@ def _texts(xml: Column) -> Column:
 
 
 def _majors(body: Column) -> Column:
-    """Text nodes of each ``ReceiptMajorDetail/Major``, entities decoded."""
+    """Text nodes of each ``ReceiptMajorDetail/Major``, entities decoded. Responses that do not
+    name the element (those of the receipts, which are the bulk) are not searched for it."""
+    body = F.when(body.contains(XML_MAJOR_DETAIL), body)
     majors = F.flatten(F.transform(_elements(plain_xml(body), XML_MAJOR_DETAIL), lambda d: _elements(d, XML_MAJOR)))
     return F.transform(majors, _texts)
 

@@ -273,3 +273,13 @@ def test_many_tags_in_a_cell_do_not_overflow_the_regex_stack(spark):
     body = f'<table><tr class="pope"><td>{brs}t</td><td><b>x{brs}y</b> tail</td></tr></table>'
     df = spark.createDataFrame([("k", body)], "key string, body string")
     assert EX.extract_rows(df, keys=("key",)).first()["cells"] == ["t", " tail"]
+
+
+def test_receipt_responses_are_not_searched_for_majors(spark):
+    from pursewise.operators.extract import major_list
+
+    major = "<A><x:ReceiptMajorDetail><Major><![CDATA[01-a]]></Major></x:ReceiptMajorDetail></A>"
+    rows = spark.createDataFrame([(major,), ("<A><ReceiptSubMinorDetail><!-- -->1</ReceiptSubMinorDetail></A>",), (None,)], "body string")
+    out = major_list(rows)
+    assert [tuple(r) for r in out.collect()] == [("01", "a")]
+    assert "Contains" in out._jdf.queryExecution().optimizedPlan().toString()
