@@ -65,16 +65,19 @@ class PieceCodec:
             self.byte_ids = {int(self.piece[i][1:-1], 16): i for i in range(n) if sp.is_byte(i)}
             self.bpe = all(float(r).is_integer() for r in self.rank.values())
         self.longest = max(map(len, self.ids), default=1)
-        # lengths of the pieces that end in these three characters, longest first
+        # lengths of the pieces that end in these three characters, longest first, and two
         tails: dict[str, set[int]] = {}
         for p in self.ids:
             if len(p) > 2:
                 tails.setdefault(p[-3:], set()).add(len(p))
-        self.tails = {t: tuple(sorted(n, reverse=True)) for t, n in tails.items()}
+        self.tails = {t: (*sorted(n, reverse=True), 2) for t, n in tails.items()}
         # neighbours that stand side by side in no piece can never be merged
         self.beside = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.words_of = self._word_pattern().findall
-        self.byte_of = {i: b for b, i in (self.byte_ids or {}).items()}
+        # what each id stands for in UTF-8; a piece starts a character, so no byte run reaches into it
+        self.raw = [p.encode("utf-8") for p in self.piece]
+        for b, i in (self.byte_ids or {}).items():
+            self.raw[i] = bytes([b])
 
     # ---------------------------------------------------------------- words
 
@@ -126,10 +129,11 @@ class PieceCodec:
         with the state in front of it (the longest that does; a single character or a byte
         run is always left)."""
         del last[keep + 1:]
-        ids, agree, tails, check = self.ids, self.agree, self.tails, self._agree
+        ids, agree, tails, check = self.ids, self.agree, self.tails.get, self._agree
+        two, add = (2,), last.append
         for end in range(keep + 1, len(word) + 1):
             best = word[end - 1]
-            for n in (*tails.get(word[end - 3:end], ()), 2) if end > 2 else (2,):
+            for n in tails(word[end - 3:end], two) if end > 2 else two:
                 start = end - n
                 if start < 0:
                     continue
@@ -143,7 +147,7 @@ class PieceCodec:
                     if check(key) if ok is None else ok:
                         best = piece
                         break
-            last.append(best)
+            add(best)
 
     def _extend_unigram(self, word: str, keep: int, last: list[str | None], cost: list[float]) -> None:
         """Forward states from ``keep`` on: the last piece of the cheapest segmentation."""
@@ -167,8 +171,10 @@ class PieceCodec:
             if self.bpe and word.startswith(MARK * 3):
                 out[word] = self._to_ids(self.merged(word))
                 continue
-            keep, top = 0, min(len(before), len(word))
-            while keep < top and before[keep] == word[keep]:
+            keep = 0
+            for a, b in zip(before, word):
+                if a != b:
+                    break
                 keep += 1
             if self.bpe:
                 self._extend_bpe(word, keep, last)
@@ -184,9 +190,11 @@ class PieceCodec:
 
     def _to_ids(self, pieces) -> bytes:
         out = []
+        known = self.ids.get
         for p in pieces:
-            if p in self.ids:
-                out.append(self.ids[p])
+            i = known(p)
+            if i is not None:
+                out.append(i)
             elif self.byte_ids:
                 out.extend(self.byte_ids[b] for b in p.encode("utf-8"))
             else:
@@ -206,19 +214,7 @@ class PieceCodec:
 
     def decode(self, ids) -> str:
         """Text of a row of ids: pieces joined, bytes decoded, marks back to spaces."""
-        out = []
-        run = bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                run.append(self.byte_of[i])
-                continue
-            if run:
-                out.append(run.decode("utf-8", "replace"))
-                run.clear()
-            out.append(self.piece[i])
-        if run:
-            out.append(run.decode("utf-8", "replace"))
-        text = "".join(out)
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return text.replace(MARK, " ")[1:] if text.startswith(MARK) else text.replace(MARK, " ")
 
 

@@ -628,3 +628,13 @@ def test_filtering_stages_carry_columns_of_any_name(spark):
     assert all(nav not in x.text for x in kept)
     assert sorted(x.doc_id for x in first if x.doc_id is not None) == [*range(12), 20, 22, 30]
     assert {x.text for x in kept if x.doc_id == 30} == {rows[-1][1]} == {x.text for x in first if x.doc_id == 30}
+
+
+def test_decoding_joins_pieces_and_bytes_in_one_pass():
+    from pursewise.llm.piece_codec import PieceCodec
+
+    codec = object.__new__(PieceCodec)
+    codec.raw = ["▁a".encode(), b"\xe2", b"\x82", b"\xac", "é".encode(), b"\n"]
+    assert codec.decode([0, 1, 2, 3, 4, 5]) == "a€é\n"
+    assert codec.decode([1, 2, 0, 3, 4]) == "\ufffd a\ufffdé"
+    assert codec.decode([]) == ""
