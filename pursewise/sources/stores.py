@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pursewise.operators.filters import CLASS_COLUMN
 from pursewise.operators.joins import AWARD_COLUMNS, awards_with_tenders
+from pursewise.session import scratch
 
 CODE_BYTES = 6  # bytes of a value that rank it, behind the prefix common to all values
 SLICE = "_slice"
@@ -53,9 +54,14 @@ def cluster_bounds(df: DataFrame, columns: Sequence[str], bits: int = 4) -> dict
 
 def cluster_key(bounds: dict[str, tuple[int, list[int]]], bits: int = 4) -> Column:
     """The interleaved bits of the columns' ranks, highest bits first (a Z order) as a long."""
+    return _interleaved([_code(c, prefix) for c, (prefix, _) in bounds.items()], bounds, bits)
+
+
+def _interleaved(codes: Sequence[Column], bounds: dict[str, tuple[int, list[int]]], bits: int) -> Column:
+    """``cluster_key`` from the columns' codes."""
     ranks = []
-    for c, (prefix, cuts) in bounds.items():
-        above = [F.when(_code(c, prefix) >= cut, 1).otherwise(0) for cut in cuts]
+    for code, (_, cuts) in zip(codes, bounds.values()):
+        above = [F.when(code >= cut, 1).otherwise(0) for cut in cuts]
         ranks.append(sum(above, F.lit(0)).cast("long"))
     key = F.lit(0).cast("long")
     for b in range(bits - 1, -1, -1):
@@ -72,13 +78,20 @@ def write_clustered(df: DataFrame, path: str, columns: Sequence[str], bits: int
     equal ranks, by a hash of the row, so the rows of a hot head fill many files. Every file and row group holds a
     narrow range of each column: an IN filter on any of them skips the others by their least and greatest
     values, dictionaries and bloom filters. ``files`` fixes the number of range partitions;
-    without it AQE sizes them.
+    without it AQE sizes them. The rows are read four times (ends, bounds, ranges, layout), so
+    they are stored plainly first, and what ``df`` is made of is worked out once.
     """
     if not columns or len(columns) * bits > 62:
         raise ValueError("one to 62 / bits columns can be interleaved")
-    z = cluster_key(cluster_bounds(df, columns, bits), bits)
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), z.alias("z"),
-                     F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("h"))
+    plain = scratch(df.sparkSession, "unclustered")
+    df.write.parquet(plain)
+    df = df.sparkSession.read.schema(df.schema).parquet(plain)
+    bounds = cluster_bounds(df, columns, bits)
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    codes = [_code(c, prefix).alias(f"c{i}") for i, (c, (prefix, _)) in enumerate(bounds.items())]
+    coded = df.select(row, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("h"), *codes)
+    z = _interleaved([F.col(f"c{i}") for i in range(len(codes))], bounds, bits)
+    rows = coded.select("row", z.alias("z"), "h")
     dealt = rows.repartitionByRange(files, "z", "h") if files else rows.repartitionByRange("z", "h")
     w = dealt.sortWithinPartitions("z", "h").select("row.*").write.mode("overwrite")
     for c in columns:

@@ -109,3 +109,16 @@ def test_a_second_load_writes_only_unseen_values(spark, tmp_path):
     rebuilt = str(tmp_path / "rebuilt")
     HE.build_dimensions(first.unionByName(second), rebuilt, heads)
     assert sorted(map(str, HE.read_dimensions(spark, path).collect())) == sorted(map(str, HE.read_dimensions(spark, rebuilt).collect()))
+
+
+def test_clustering_works_the_rows_out_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        made.add(1)
+        return x
+
+    df = spark.range(200).select("id", F.udf(seen, "string")(F.col("id").cast("string")).alias("major"))
+    ST.write_clustered(df, str(tmp_path / "t"), ("major",))
+    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "t")).collect()) == list(range(200))
+    assert made.value == 200
