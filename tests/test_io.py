@@ -206,3 +206,21 @@ def test_large_datasets_are_shared_by_tasks(spark, monkeypatch):
     assert sorted(len([f for f in fs if f.endswith(".csv")]) for fs in files)[-2:] != [1, 1]
     back = IO.read_csv(spark, path, "id long, group string, key string")
     assert sorted(r["id"] for r in back.collect()) == list(range(1050))
+
+
+def test_many_folders_are_listed_by_few_tasks(spark):
+    root = tempfile.mkdtemp(prefix="pw-listing-")
+    sc, key = spark.sparkContext, "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    most, was = 4 * sc.defaultParallelism, spark.conf.get(key)
+    values = [(f"d{i:04d}", i) for i in range(most + 40)]
+    sc.setJobGroup(root, "ingest")
+    try:
+        assert _dropped(spark, root, values) == values
+        sc.setJobGroup(f"{root}-pass", "ingest")
+        ingest(spark, f"{root}/in", f"{root}/out", f"{root}/ck", "v int, dataset string")
+        jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup(f"{root}-pass")]
+    finally:
+        sc._jsc.sc().clearJobGroup()
+    stages = [sc.statusTracker().getStageInfo(s) for j in jobs if j for s in j.stageIds]
+    assert stages and max(s.numTasks for s in stages if s) <= most
+    assert spark.conf.get(key) == was
