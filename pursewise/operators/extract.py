@@ -64,42 +64,50 @@ def data_rows(body: Column) -> Column:
                                  lambda t: F.regexp_extract_all(t, F.lit(_ROW), 1)))
 
 
-def cell_text(cell_html: Column) -> Column:
-    """X-2: the first direct text node of a cell, ``' '`` when it has none, and null when the
-    cell holds markup these patterns cannot read (elements inside elements, a stray ``<``).
+def _bare(cell_html: Column) -> Column:
+    """A cell without its child elements; a removed one still ends the text node before it, so it
+    becomes a separator. A ``<`` that is left is markup these patterns cannot read."""
+    return F.regexp_replace(F.regexp_replace(cell_html, _VOID, _SEP), _LEAF_ELEMENT, _SEP)
+
+
+def cell_texts(cells: Column) -> Column:
+    """X-2 for the cells of a row: the first direct text node of each, ``' '`` when it has none, and
+    null when the cell holds markup these patterns cannot read (elements inside elements, a stray ``<``).
 
     Child elements are removed first, so ``<b>x</b> tail`` gives `` tail`` and ``a<br>b``
-    gives ``a``; entities are decoded last.
+    gives ``a``; entities are decoded last. Each step goes over the array, so that the patterns
+    run once a cell however often the next step names what they gave.
     """
-    # a removed child still ends the text node before it: it becomes a separator
-    s = F.regexp_replace(F.regexp_replace(cell_html, _VOID, _SEP), _LEAF_ELEMENT, _SEP)
-    first = F.when(~s.contains("<"), F.regexp_extract(s, _FIRST_TEXT, 1))
     # Most cells are plain text: the patterns only run on cells that hold markup.
-    text = F.when(cell_html.contains("<"), first).otherwise(cell_html)
-    return F.when(text == "", F.lit(" ")).otherwise(decode_entities(text))
+    bared = F.transform(cells, lambda c: F.struct(c.alias("html"), F.when(c.contains("<"), _bare(c)).alias("bare")))
+    texts = F.transform(bared, lambda c: F.when(c["bare"].isNull(), c["html"]).when(
+        ~c["bare"].contains("<"), F.regexp_extract(c["bare"], _FIRST_TEXT, 1)))
+    return F.transform(texts, lambda t: F.when(t == "", F.lit(" ")).otherwise(decode_entities(t)))
 
 
 def row_cells(row_html: Column) -> Column:
     """Cells of one row, each by the X-2 rule (every ``td`` gives one, so rows align)."""
-    return F.transform(F.regexp_extract_all(row_html, F.lit(_CELL), 1), lambda c: cell_text(c))
+    return cell_texts(F.regexp_extract_all(row_html, F.lit(_CELL), 1))
 
 
-# The tags that shape a table, without their attributes; what hides markup or a reference
-# without its ``;``. No repeated groups here either.
-_SHAPE = r"(?i)</?t(?:able|r|d)\b"
-_HIDING = (r"(?i)<!--|<!\[|<(?:script|style|textarea|title|th|xmp)\b|=\s*\"[^\"<>]*+>|=\s*'[^'<>]*+>"
-           r"|&[A-Za-z][A-Za-z0-9]*+(?!;)")
+# A page in which each table, row and cell has its end tag and none holds its like. Groups are only
+# repeated possessively, which the regex engine does in a loop; the next tag decides, so no way is missed.
+_OTHER = r"(?:[^<]++|<(?!/?t(?:able|r|d)\b))*+"
+_PAIRED_CELL = rf"<td\b{_OTHER}</td\b{_OTHER}"
+_PAIRED_ROW = rf"<tr\b{_OTHER}(?:{_PAIRED_CELL})*+</tr\b{_OTHER}"
+_PAIRED_TABLE = rf"<table\b{_OTHER}(?:{_PAIRED_CELL}|{_PAIRED_ROW})*+</table\b{_OTHER}"
+_PAIRED = rf"(?i)\A{_OTHER}(?:{_PAIRED_CELL}|{_PAIRED_ROW}|{_PAIRED_TABLE})*+\z"
+# What hides markup, or a reference without its ``;``. It is looked for at three characters only.
+_HIDING = (r"(?i)(?=[<=&])(?:<(?:!--|!\[|(?:script|style|textarea|title|th|xmp)\b)|=\s*+(?:\"[^\"<>]*+>|'[^'<>]*+>)"
+           r"|&[A-Za-z][A-Za-z0-9]*+(?!;))")
 
 
 def needs_parser(body: Column) -> Column:
     """Pages with data or heading rows whose markup is not simply nested (a start or end tag of
     a table, row or cell is missing, or one holds its like), hides markup in comments, scripts
     or attribute values, or names an entity without its ``;``."""
-    shape = F.lower(F.array_join(F.regexp_extract_all(body, F.lit(_SHAPE), 0), ""))
-    for pair in ("<td</td", "<tr</tr", "<table</table"):  # what is left is not paired
-        shape = F.replace(shape, F.lit(pair), F.lit(""))
     marked = body.contains(ROW_CLASS_PART) | body.contains(HEADER_CLASS)
-    return F.coalesce(marked & ((shape != "") | body.rlike(_HIDING)), F.lit(False))
+    return F.coalesce(marked & (~body.rlike(_PAIRED) | body.rlike(_HIDING)), F.lit(False))
 
 
 @F.pandas_udf(ArrayType(ArrayType(StringType())))
@@ -184,15 +192,28 @@ def extract_records(responses: DataFrame, keys: Sequence[str] = ("treasury_id",
 def classify(responses: DataFrame, body: str = "body", status: str = "status") -> DataFrame:
     """X-4: ``dataset`` (rows), ``not_available`` (the no-record text), ``unparsed`` (a row
     marker on the page but no row found), ``empty``; responses that failed (status >= 400)
-    are ``failed``."""
+    are ``failed``.
+
+    The rows are those of ``with_cells``, found in the same way (by the parser on the same pages);
+    what their cells say is not worked out.
+    """
+    ship_package(responses.sparkSession)
     b = F.col(body)
+    # one flag a row: whether a cell of it holds markup the patterns cannot read
+    flags = F.transform(data_rows(b), lambda r: F.exists(
+        F.regexp_extract_all(r, F.lit(_CELL), 1), lambda c: c.contains("<") & _bare(c).contains("<")))
+    both = F.struct(F.coalesce(flags, F.array().cast("array<boolean>")).alias("_rows"), needs_parser(b).alias("_odd"))
+    out = responses.select("*", F.inline(F.array(both)))  # computed once a page
+    out = out.withColumn("_odd", F.col("_odd") | F.exists("_rows", lambda f: f))
+    out = out.withColumn("_parsed", _parsed_pages(F.when(F.col("_odd"), b)))
+    n_rows = F.when(F.col("_odd"), F.size("_parsed") - 1).otherwise(F.size("_rows"))
     has = lambda text: F.coalesce(b.contains(text), F.lit(False))
     kind = (F.when(F.col(status) >= 400, F.lit("failed"))
-            .when(F.size("_cells") > 0, F.lit("dataset"))
+            .when(n_rows > 0, F.lit("dataset"))
             .when(has(NO_RECORD_TEXT), F.lit("not_available"))
             .when(has(ROW_CLASS_PART), F.lit("unparsed"))
             .otherwise(F.lit("empty")))
-    return with_cells(responses, body).withColumn("response_status", kind).drop("_cells")
+    return out.withColumn("response_status", kind).drop("_rows", "_odd", "_parsed")
 
 
 def counters(classified: DataFrame, treasuries: DataFrame, key: str = "treasury_id",

@@ -283,3 +283,36 @@ def test_receipt_responses_are_not_searched_for_majors(spark):
     out = major_list(rows)
     assert [tuple(r) for r in out.collect()] == [("01", "a")]
     assert "Contains" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_paired_tags_are_told_as_by_cutting_out_pairs(spark):
+    import random
+    import re
+
+    def paired(page):  # cells first, then rows, then tables
+        shape = "".join(re.findall(r"(?i)</?t(?:able|r|d)\b", page)).lower()
+        for pair in ("<td</td", "<tr</tr", "<table</table"):
+            shape = shape.replace(pair, "")
+        return shape == ""
+
+    rnd = random.Random(7)
+    some = ["<table>", "</table>", "<tr class='pope'>", "</tr>", "<td>", "</td>", "<TD>x</tD >", "<tr><td></td><td>1</td></tr>",
+            "<table border=1><tr></tr></table>", "<b>", "</b>", "<tdx>", "</track>", " a < b ", "x", "\n", "<", "<t", "</"]
+    pages = ["pope" + "".join(rnd.choices(some, k=rnd.randint(0, 9))) for _ in range(4000)]
+    got = spark.createDataFrame([(p,) for p in pages], "body string").select("body", EX.needs_parser(F.col("body"))).collect()
+    assert {r[0]: r[1] for r in got} == {p: not paired(p) for p in pages}
+    assert 100 < sum(r[1] for r in got) < len(pages) - 100
+    large = spark.createDataFrame([("<table>" + "<tr class='pope'><td>1</td><td><b>2</b></td></tr>\n" * 20_000 + "</table>",)], "body string")
+    assert not large.select(EX.needs_parser(F.col("body"))).first()[0]
+
+
+def test_status_goes_by_the_rows_without_their_texts(spark):
+    pages = [_page(list(CASES)), *(p for p, _ in ODD_PAGES.values()), None, "", "<p>pope</p>", EX.NO_RECORD_TEXT, "<table></table>",
+             "<table><tr data-x='class=\"pope\"'><td><i><b>1</b></i></td></tr></table>"]
+    df = spark.createDataFrame([(i, 200, p) for i, p in enumerate(pages)], "n int, status int, body string")
+    found = {r["n"]: r["rows"] for r in EX.with_cells(df).select("n", F.size("_cells").alias("rows")).collect()}
+    status = {r["n"]: r["response_status"] for r in EX.classify(df).collect()}
+    assert {n for n, s in status.items() if s == "dataset"} == {n for n, rows in found.items() if rows > 0}
+    assert EX.classify(df).columns == ["n", "status", "body", "response_status"]
+    plan = EX.classify(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "(?:^|[>" not in plan and "from_json" not in plan
