@@ -141,8 +141,8 @@ def test_records_keep_null_fields(spark):
     assert json.loads(result_json(df).orderBy("value").first()["value"]) == {"id": 1, "v": None}
 
 
-def _shuffled_rows(df) -> int:
-    """Rows that the exchanges of ``df`` wrote when it last ran."""
+def _shuffled_rows(df, metric="shuffleRecordsWritten") -> int:
+    """Rows (or another metric) that the exchanges of ``df`` wrote when it last ran."""
     seen = set()
 
     def walk(node) -> int:
@@ -156,7 +156,7 @@ def _shuffled_rows(df) -> int:
         own = 0
         if name == "ShuffleExchangeExec" and node.id() not in seen:
             seen.add(node.id())
-            own = node.metrics().get("shuffleRecordsWritten").get().value()
+            own = node.metrics().get(metric).get().value()
         children = node.children()
         return own + sum(walk(children.apply(i)) for i in range(children.size()))
 
@@ -183,6 +183,37 @@ def test_document_of_many_levels_shuffles_few_prefixes(spark):
     assert _shuffled_rows(df) < 12000
 
 
+def test_paths_are_shuffled_as_plain_texts(spark):
+    """A path takes little more than its labels in both shuffles: 20,000 paths of 9 labels of 4 letters."""
+    names = [f"l{i:02d}" for i in range(1, 10)]
+    lv = spark.range(20000).select(*[F.substring(F.md5(F.concat(F.lit(n), (F.col("id") % m).cast("string"))), 1, 4).alias(n)
+                                     for n, m in zip(names, (3, 50, 500, 20000, 20000, 20000, 20000, 20000, 20000))])
+    nodes = tree_nodes(lv)
+    nodes.collect()
+    assert _shuffled_rows(nodes, "shuffleBytesWritten") < 1_760_000  # 1.97 million as lists of labels
+    frags = tree_json_fragments(lv)
+    frags.collect()
+    assert _shuffled_rows(frags, "shuffleBytesWritten") < 1_910_000  # 2.12 million
+
+
+def test_labels_of_control_characters_keep_their_place_and_order(spark):
+    signs = ["", "\u0000", "\u0001", "\u0002", "\u0001\u0001", "\u0001\u0002", "\u0000\u0001", "a", "a\u0000", "a\u0001", "a\u0002", "ab"]
+    rows = [(a, b, c, d) for a in signs for b in signs[:6] for c in signs[3:9] for d in (signs[0], signs[5], None)]
+    lv = spark.createDataFrame(rows, "l1 string, l2 string, l3 string, l4 string")
+    frags = tree_json_fragments(lv).orderBy("path").collect()
+    assert json.loads("{" + "".join(f["fragment"] for f in frags) + "}") == _brute(rows)
+    labels = [[x or "" for x in r] for r in rows]
+    want = {(i + 1, tuple(r[:i]), r[i]) for r in labels for i in range(4)}
+    nodes = tree_nodes(lv)
+    assert nodes.count() == len(want)
+    up = {bytes(r["node_id"]): r for r in nodes.collect()}
+
+    def path(r):
+        return () if r["level"] == 1 else (*path(up[bytes(r["parent_id"])]), up[bytes(r["parent_id"])]["label"])
+
+    assert {(r["level"], path(r), r["label"]) for r in up.values()} == want
+
+
 def test_one_and_two_levels_and_one_path(spark):
     rows = [("a", "x"), ("a", "y"), ("b", "x"), (None, "x"), ("", "x"), ("a", "x")]
     df = spark.createDataFrame(rows, "l1 string, l2 string")
