@@ -224,3 +224,56 @@ def test_many_folders_are_listed_by_few_tasks(spark):
     stages = [sc.statusTracker().getStageInfo(s) for j in jobs if j for s in j.stageIds]
     assert stages and max(s.numTasks for s in stages if s) <= most
     assert spark.conf.get(key) == was
+
+
+def _odd_datasets(spark):
+    keys = ["a", "a/b", "a%2Fb", "a b", "x=1", "", None, "é:?*[]{}'\"\\^#", "tab\there", "+"]
+    texts = ["plain", "", " ", None, 'a "quoted", one', "two\nlines", "\\N", "x,y", "back\\slash", " lead and trail "]
+    rows = [(g, k, n, texts[(n + i) % len(texts)], texts[n]) for i, k in enumerate(keys) for g in ("g1", "g 2") for n in range(len(texts))]
+    return spark.createDataFrame(rows, "group string, key string, `n o` int, t string, `u,v` string")
+
+
+def _texts(root):
+    return {os.path.relpath(d, root): sorted(open(f"{d}/{f}", encoding="utf-8", newline="").read() for f in names if f.startswith("part-"))
+            for d, _, names in os.walk(root) if any(f.startswith("part-") for f in names)}
+
+
+def test_datasets_by_file_calls_are_those_of_sparks_writer(spark):
+    """Same folders and same text as Spark's writer makes, without its file of check sums beside each."""
+    root = tempfile.mkdtemp()
+    df = _odd_datasets(spark).repartition(1).sortWithinPartitions("group", "key", "n o")
+    IO.write_datasets(df, f"{root}/here", ("group", "key"))
+    (df.where("key is null or key <> ''").write.options(**IO.CSV_OPTIONS).partitionBy("group", "key").csv(f"{root}/spark"))
+    def rows(found):
+        return {k: sorted("".join(v).split("\n")) for k, v in found.items() if "HIVE" not in k}
+    assert rows(_texts(f"{root}/here")) == rows(_texts(f"{root}/spark"))
+    assert set(_texts(f"{root}/here")) == set(_texts(f"{root}/spark"))
+    assert not [f for _, _, names in os.walk(f"{root}/here") for f in names if f.endswith(".crc")]
+    assert not [f for f in os.listdir(f"{root}/here") if f.startswith(".")]  # nothing is left of the staging
+
+
+def test_datasets_read_back_by_file_names(spark):
+    root = tempfile.mkdtemp()
+    df = _odd_datasets(spark)
+    schema = "group string, key string, `n o` int, t string, `u,v` string"
+    IO.write_datasets(df, root, ("group", "key"))
+    IO.write_datasets(df.where("group = 'g1' and key = 'a'").withColumn("t", F.lit("new")), root, ("group", "key"))
+    got, want = IO.read_datasets(spark, root, schema, ("group", "key")), IO.read_csv(spark, root, schema)
+    assert got.columns == want.columns == ["n o", "t", "u,v", "group", "key"]
+    rows = sorted(map(str, got.collect()))
+    assert rows == sorted(map(str, want.collect())) and len(rows) >= df.count()
+    assert {(r["group"], r["key"]) for r in got.collect()} == {(r["group"], r["key"] or None) for r in df.collect()}
+    assert {r["t"] for r in got.where("group = 'g1' and key = 'a' and t is not null").collect()} == {"new"}
+    days = spark.createDataFrame([(1, "2024-02-01")], "v int, day string")
+    IO.write_datasets(days, f"{root}-days", ("day",))
+    assert IO.read_datasets(spark, f"{root}-days", "v int, day date", ("day",)).first()["day"].isoformat() == "2024-02-01"
+
+
+def test_reading_many_datasets_infers_no_folders(spark):
+    """Spark's reading of keys from folders takes time with the square of their number."""
+    root = tempfile.mkdtemp()
+    IO.write_datasets(spark.range(6).selectExpr("id % 2 as g", "id as k", "id as v"), root, ("g", "k"))
+    df = IO.read_datasets(spark, root, "g int, k int, v int", ("g", "k"))
+    scan = df._jdf.queryExecution().optimizedPlan().collectLeaves().head()
+    assert scan.relation().location().partitionSchema().isEmpty()
+    assert sorted(map(tuple, df.select("g", "k", "v").collect())) == [(i % 2, i, i) for i in (0, 2, 4)] + [(1, i, i) for i in (1, 3, 5)]
