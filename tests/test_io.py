@@ -277,3 +277,28 @@ def test_reading_many_datasets_infers_no_folders(spark):
     scan = df._jdf.queryExecution().optimizedPlan().collectLeaves().head()
     assert scan.relation().location().partitionSchema().isEmpty()
     assert sorted(map(tuple, df.select("g", "k", "v").collect())) == [(i % 2, i, i) for i in (0, 2, 4)] + [(1, i, i) for i in (1, 3, 5)]
+
+
+def _ingested(spark, values):
+    root = tempfile.mkdtemp()
+    IO.write_datasets(spark.createDataFrame(values, "dataset string, v int"), f"{root}/in", ("dataset",))
+    ingest(spark, f"{root}/in", f"{root}/out", f"{root}/ck", "v int, dataset string")
+    got = spark.read.schema("v int, dataset string").parquet(f"{root}/out").select("dataset", "v").collect()
+    assert sorted(map(tuple, got)) == sorted(values)
+    return [f"{d}/{f}" for d, _, names in os.walk(f"{root}/out") for f in names if "dataset=" in d and f.startswith("part-")]
+
+
+def test_many_small_datasets_of_a_batch_are_written_by_many_tasks(spark, monkeypatch):
+    """One file a dataset, made by a few tasks a core and not by the one task that their bytes ask for;
+    a dataset of very many rows is shared by several."""
+    import pursewise.streaming.ingest as module
+
+    values = [(f"d{i}", i) for i in range(80)]
+    files = _ingested(spark, values)
+    assert len(files) == 80
+    assert len({os.path.basename(f).split("-")[1] for f in files}) >= min(4, spark.sparkContext.defaultParallelism)
+    monkeypatch.setattr(IO, "ROWS_AT_ONCE", 50)
+    monkeypatch.setattr(module, "ROWS_AT_ONCE", 50)
+    files = _ingested(spark, [("hot", i) for i in range(400)] + values[:5])
+    assert len([f for f in files if "dataset=hot" in f]) > 1
+    assert len(files) - len([f for f in files if "dataset=hot" in f]) == 5
